@@ -162,13 +162,13 @@ def matching_windows(segments: pa.Array, owners: np.ndarray, units: Units) -> np
     return hit
 
 
-def _digest(batches):
+def _digest(batches, length):
     for batch in batches:
         for part in slices(batch):
             raw, offsets = C.flat(part.column("text"))
             starts, ends, first = C.words(raw, offsets)
             removed, sha = [], []
-            for i, lo, hi in kept(part):
+            for i, lo, hi in kept(part, length, np.diff(first)):
                 mine = slice(first[i], first[i + 1])
                 s, e = starts[mine], ends[mine]
                 removed.append(int((hi - lo).sum()))
@@ -190,7 +190,7 @@ def remove_repeats(docs: DataFrame, length: int = 13, k: int = 5) -> DataFrame:
     """Spans of words to remove: every word covered by a window of `length` words that also starts in a smaller doc_id.
 
     docs: doc_id, text. Words are runs of other than space, tab, line feed, vertical tab, form feed and carriage return.
-    Returns doc_id, text, part and spans (array of part, start, end in words; null: none). Null and short texts keep
+    Returns doc_id, text, copy (nothing is new in it), part and spans (array of part, start, end in words; null: none). Null and short texts keep
     everything, and so do rows with a null doc_id. Repeated rows count as one document.
     """
     return removed_spans(docs, Units(length, k, False), matching_windows)
@@ -198,4 +198,4 @@ def remove_repeats(docs: DataFrame, length: int = 13, k: int = 5) -> DataFrame:
 
 def digest(docs: DataFrame, length: int = 13, k: int = 5) -> DataFrame:
     """One row per document: n_words, n_removed and the SHA-256 of the kept words joined by spaces."""
-    return remove_repeats(docs, length, k).mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return remove_repeats(docs, length, k).mapInArrow(lambda batches: _digest(batches, length), "doc_id long, n_words long, n_removed long, kept_sha256 string")

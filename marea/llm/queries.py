@@ -6,21 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marea.llm import fmindex, suffixarray
+from marea.llm import fmindex, gif, licenses, secrets, suffixarray
 from marea.llm.common import documents
 
 
+def op1_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.store_texts(documents(spark, sf_dir))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.digest(documents(spark, sf_dir))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(documents(spark, sf_dir))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixarray.digest(documents(spark, sf_dir))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.recognise(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_substring_dedup, op9_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_gif, op4_substring_dedup, op5_secrets, op9_suffix_array_dedup, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_licenses": licenses.sql()}

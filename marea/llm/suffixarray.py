@@ -139,12 +139,12 @@ def earlier_windows(segments: pa.Array, owners: np.ndarray, units: Units) -> np.
     return hit
 
 
-def _digest(batches):
+def _digest(batches, length):
     for batch in batches:
         for part in slices(batch):
             raw, offsets = C.flat(part.column("text"))
             removed, spans, sha = [], [], []
-            for i, lo, hi in kept(part):
+            for i, lo, hi in kept(part, length, np.diff(offsets)):
                 text = raw[offsets[i] : offsets[i + 1]]
                 removed.append(int((hi - lo).sum()))
                 spans.append(len(lo))
@@ -162,7 +162,7 @@ def _digest(batches):
 def remove_repeats(docs: DataFrame, length: int = 50, k: int = 16) -> DataFrame:
     """Spans of bytes to remove: every byte covered by a `length`-byte string that also starts in a smaller doc_id.
 
-    docs: doc_id, text. Returns doc_id, text, part and spans (array of part, start, end; null: none). Null and short
+    docs: doc_id, text. Returns doc_id, text, copy (nothing is new in it), part and spans (array of part, start, end; null: none). Null and short
     texts keep everything, and so do rows with a null doc_id. Repeated rows count as one document.
     """
     return removed_spans(docs, Units(length, k, True), earlier_windows)
@@ -170,4 +170,4 @@ def remove_repeats(docs: DataFrame, length: int = 50, k: int = 16) -> DataFrame:
 
 def digest(docs: DataFrame, length: int = 50, k: int = 16) -> DataFrame:
     """One row per document: n_bytes, n_removed, n_spans and the SHA-256 of what is kept."""
-    return remove_repeats(docs, length, k).mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return remove_repeats(docs, length, k).mapInArrow(lambda batches: _digest(batches, length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -1,8 +1,9 @@
 """Repeated windows across documents, the plan shared by the FM-index and the suffix-array operator.
 
 Every window of `length` symbols (bytes or words) is dealt to the shard of its minimiser, so equal windows of any two
-documents meet in one shard and a shard never needs the rest of the corpus. The plan has four steps:
+documents meet in one shard and a shard never needs the rest of the corpus. The plan has five steps:
 
+0. exact copies collapse to their smallest doc_id;
 1. each document's minimisers, as (hash, doc_id), sorted by hash: those that two documents hold are shared;
 2. documents with shared minimisers give their segments (runs of windows with one minimiser) to the shards;
 3. in a shard, equal segments collapse to the one of the smallest doc_id; what differs goes to the operator's own index,
@@ -27,6 +28,8 @@ from marea.llm import common as C
 
 #: Bytes of text handled at once, and of distinct segments that one index gets.
 SLICE, SHARD = 1 << 20, 1 << 20
+#: Bits of a minimiser's hash that its first, filtering pass leaves out, and those its shard's name leaves out.
+KEPT, NAMED = 16, 32
 
 
 @dataclass(frozen=True)
@@ -69,6 +72,7 @@ def _minimisers(units: Units) -> Callable:
                 row, _, _, low = C.anchors(hashes, first, units.k, units.length)
                 if not len(row):
                     continue
+                low = low >> np.uint64(KEPT)  # a false match only costs time
                 order = np.lexsort((low, row))
                 row, low = row[order], low[order]
                 once = np.append(True, (row[1:] != row[:-1]) | (low[1:] != low[:-1]))
@@ -102,12 +106,13 @@ def _segments(units: Units) -> Callable:
                 raw, place, first, hashes = units.parse(part.column("text"))
                 row, at, size, low = C.anchors(hashes, first, units.k, units.length)
                 wanted, bounds = part.column("hs").flatten().to_numpy(zero_copy_only=False), part.column("hs").value_lengths().to_numpy()
-                low = low.view(np.int64)
+                short = (low >> np.uint64(KEPT)).view(np.int64)
+                low = (low >> np.uint64(NAMED)).astype(np.uint32).view(np.int32)
                 keep = np.zeros(len(row), dtype=bool)
                 ends = np.cumsum(bounds)
                 cut = np.searchsorted(row, np.arange(len(bounds) + 1))
                 for i in range(len(bounds)):
-                    keep[cut[i] : cut[i + 1]] = np.isin(low[cut[i] : cut[i + 1]], wanted[ends[i] - bounds[i] : ends[i]])
+                    keep[cut[i] : cut[i + 1]] = np.isin(short[cut[i] : cut[i + 1]], wanted[ends[i] - bounds[i] : ends[i]])
                 row, at, size, low = row[keep], at[keep], size[keep], low[keep]
                 if not len(row):
                     continue
@@ -216,29 +221,40 @@ def _spans(units: Units, solve: Callable) -> Callable:
 
 
 def removed_spans(docs: DataFrame, units: Units, solve: Callable) -> DataFrame:
-    """`docs` (doc_id, text) with `part` and `spans` (array of part, start, end): symbols covered by a repeated window.
+    """`docs` (doc_id, text) with `copy`, `part` and `spans` (array of part, start, end): symbols covered by repeated windows.
 
-    Rows with null ids and null or short texts keep everything. Rows with one doc_id are one document to the rest of
+    A copy's text is that of a smaller doc_id; each of its windows is repeated, and `spans` leaves it out. Rows with null ids and null or short texts keep everything. Rows with one doc_id are one document to the rest of
     the corpus; `part` (a hash of the text) tells their spans apart.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    texts = base.withColumn("part", F.expr("cast(pmod(xxhash64(text), 65536) as int)")).repartition("doc_id")
-    low = base.filter("doc_id is not null").mapInArrow(_minimisers(units), "h long, doc_id long")
+    part = F.expr("cast(pmod(xxhash64(text), 65536) as int)")
+    texts = base.withColumn("part", part).repartition("doc_id")  # read four times, shuffled once
+    # exact copies are answered at once: only the smallest doc_id of a text takes part in the search
+    first = base.filter("doc_id is not null").groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("doc_id"), F.first(part).alias("part"))
+    originals = first.groupBy("doc_id").agg(F.collect_list("part").alias("parts"))
+    told = texts.join(originals, "doc_id", "left").withColumn("copy", ~F.coalesce(F.array_contains("parts", F.col("part")), F.col("doc_id").isNull())).drop("parts")
+    single = told.filter("doc_id is not null and not copy").drop("copy")
+    low = single.select("doc_id", "text").mapInArrow(_minimisers(units), "h long, doc_id long")
     shared = low.repartition("h").sortWithinPartitions("h").mapInArrow(_shared, "doc_id long, h long")
     per_doc = shared.groupBy("doc_id").agg(F.collect_list("h").alias("hs"))
-    segments = texts.join(per_doc, "doc_id").select("doc_id", "part", "text", "hs").mapInArrow(_segments(units), "h long, doc_id long, part int, at int, segment binary")
+    segments = single.join(per_doc, "doc_id").select("doc_id", "part", "text", "hs").mapInArrow(_segments(units), "h int, doc_id long, part int, at int, segment binary")
     spans = segments.repartition("h").sortWithinPartitions("h").mapInArrow(_spans(units, solve), "doc_id long, part int, start int, end int")
-    return texts.join(spans.groupBy("doc_id").agg(F.collect_list(F.struct("part", "start", "end")).alias("spans")), "doc_id", "left")
+    return told.join(spans.groupBy("doc_id").agg(F.collect_list(F.struct("part", "start", "end")).alias("spans")), "doc_id", "left")
 
 
-def kept(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each row its index and its merged spans."""
+def kept(batch: pa.RecordBatch, length: int, symbols: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row its index and its merged spans; a copy with a window (symbols: each row's length) loses everything."""
+    copy = batch.column("copy").to_numpy(zero_copy_only=False)
     lists = batch.column("spans")
     flat = lists.flatten()
     part, start, end = (flat.field(i).to_numpy() for i in range(3))
     size = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     upto, own = np.cumsum(size), batch.column("part").to_numpy()
     for i in range(len(size)):
+        if copy[i]:
+            whole = symbols[i : i + 1] * (symbols[i] >= length)
+            yield i, whole[whole > 0] * 0, whole[whole > 0]
+            continue
         mine = slice(upto[i] - size[i], upto[i])
         ok = part[mine] == own[i]
         yield i, *C.merge_spans(start[mine][ok], end[mine][ok])
