@@ -5,9 +5,9 @@ documents meet in one shard and a shard never needs the rest of the corpus. The
 
 0. exact copies collapse to their smallest doc_id;
 1. each document's minimisers, as (hash, doc_id), sorted by hash: those that two documents hold are shared;
-2. documents with shared minimisers give their segments (runs of windows with one minimiser) to the shards;
-3. in a shard, equal segments collapse to the one of the smallest doc_id; what differs goes to the operator's own index,
-   which says which windows also start in a smaller doc_id;
+2. documents with shared minimisers name their segments (runs of windows with one minimiser) by hash: equal ones collapse
+   to the one of the smallest doc_id, and where a minimiser has several, their texts are called for;
+3. a shard's texts go to the operator's own index, which says which windows also start in a smaller doc_id;
 4. the removed spans meet their document again.
 
 No step holds more of a key than its distinct segments: copies of a segment are answered as they stream by.
@@ -40,13 +40,13 @@ class Units:
     k: int
     bytewise: bool
 
-    def parse(self, column):
-        """Bytes, symbol starts in them (one more at the end) and each row's first symbol (one more at the end)."""
+    def parse(self, column, hashed: bool = True):
+        """Bytes, symbol starts in them, each row's first symbol (both with one more at the end) and hashes of k symbols."""
         raw, offsets = C.flat(column)
         if self.bytewise:
-            return raw, np.arange(len(raw) + 1), offsets, C.byte_grams(raw, self.k)
+            return raw, np.arange(len(raw) + 1), offsets, C.byte_grams(raw, self.k) if hashed else None
         starts, ends, first = C.words(raw, offsets)
-        hashes = C.grams(C.word_codes(raw, starts, ends), self.k)
+        hashes = C.grams(C.word_codes(raw, starts, ends), self.k) if hashed else None
         size = ends - starts + 1
         out = np.concatenate([[0], np.cumsum(size)])
         joined = np.append(raw, np.uint8(32))[np.repeat(starts - out[:-1], size) + np.arange(out[-1])]
@@ -99,7 +99,7 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(h)], ["doc_id", "h"])
 
 
-def _segments(units: Units) -> Callable:
+def _names(units: Units) -> Callable:
     def run(batches):
         for batch in batches:
             for part in slices(batch):
@@ -116,15 +116,74 @@ def _segments(units: Units) -> Callable:
                 row, at, size, low = row[keep], at[keep], size[keep], low[keep]
                 if not len(row):
                     continue
+                lo, hi = place[at], place[at + size + units.length - 1]
+                name = C.word_codes(raw, lo, hi).view(np.int64)
+                ids, copies = part.column("doc_id").to_numpy()[row], part.column("part").to_numpy()[row]
+                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(name), pa.array(ids), pa.array(copies), pa.array((at - first[row]).astype(np.int32)), pa.array((size + units.length - 1).astype(np.int16))], ["h", "name", "doc_id", "part", "at", "n"])
+
+    return run
+
+
+#: Kinds of rows after the names have met: a span to remove, and a segment whose text its group has to compare.
+SPAN, WANTED = 0, 1
+
+
+def _compare_names(batches):
+    """Names stand for segments: 64 bits of their own and 32 of their minimiser.
+
+    From rows by (h, name, doc_id): spans of all but a name's smallest document, and what groups of several names need."""
+
+    def out(rows, kind):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows["doc_id"]), kind, np.int8)), *(pa.array(rows[c]) for c in ("doc_id", "part", "at", "n", "h"))], ["kind", "doc_id", "part", "at", "n", "h"])
+
+    def settle(rows, last):
+        """Rows of whole groups, and of the group that may go on: those of its names' first documents."""
+        h, name, doc = rows["h"], rows["name"], rows["doc_id"]
+        new = np.append(True, (h[1:] != h[:-1]) | (name[1:] != name[:-1]))
+        owner = doc[new][np.cumsum(new) - 1]
+        own = doc == owner
+        group = np.append(True, h[1:] != h[:-1])
+        index = np.cumsum(group) - 1
+        several = np.bincount(index, weights=new) > 1
+        open_ = index == index[-1] if not last else np.zeros(len(h), bool)
+        return {c: v[~own] for c, v in rows.items()}, {c: v[own & several[index] & ~open_] for c, v in rows.items()}, {c: v[own & open_] for c, v in rows.items()}
+
+    held: dict[str, np.ndarray] = {}
+    for batch in batches:
+        rows = {c: batch.column(c).to_numpy() for c in batch.schema.names}
+        if held:
+            rows = {c: np.append(held[c], v) for c, v in rows.items()}
+        if not len(rows["h"]):
+            continue
+        spans, wanted, held = settle(rows, False)
+        yield out(spans, SPAN)
+        yield out(wanted, WANTED)
+    if held and len(held["h"]):
+        yield out(settle(held, True)[1], WANTED)
+
+
+def _segments(units: Units) -> Callable:
+    """The texts of the wanted segments of each document."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                raw, place, first, _ = units.parse(part.column("text"), False)
+                lists = part.column("wanted")
+                size, flat = lists.value_lengths().to_numpy(), lists.flatten()
+                row = np.repeat(np.arange(len(size)), size)
+                h, of, at, n = (flat.field(i).to_numpy() for i in range(4))
+                mine = of == part.column("part").to_numpy()[row]
+                row, h, at, n = row[mine], h[mine], at[mine], n[mine]
                 ids, copies = part.column("doc_id").to_numpy()[row], part.column("part").to_numpy()[row]
                 for i in range(0, len(row), 20_000):
                     cut = slice(i, i + 20_000)
-                    lo, n = place[at[cut]], place[at[cut] + size[cut] + units.length - 1]
-                    n = n - lo
-                    out = np.concatenate([[0], np.cumsum(n)])
-                    data = raw[np.repeat(lo - out[:-1], n) + np.arange(out[-1])]
-                    segment = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(out.astype(np.int32)), pa.py_buffer(data)])
-                    yield pa.RecordBatch.from_arrays([pa.array(low[cut]), pa.array(ids[cut]), pa.array(copies[cut]), pa.array((at - first[row])[cut].astype(np.int32)), segment], ["h", "doc_id", "part", "at", "segment"])
+                    start = first[row[cut]] + at[cut]
+                    lo, size = place[start], place[start + n[cut]] - place[start]
+                    out = np.concatenate([[0], np.cumsum(size)])
+                    data = raw[np.repeat(lo - out[:-1], size) + np.arange(out[-1])]
+                    segment = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(out.astype(np.int32)), pa.py_buffer(data)])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[cut]), pa.array(ids[cut]), pa.array(copies[cut]), pa.array(at[cut]), segment], ["h", "doc_id", "part", "at", "segment"])
 
     return run
 
@@ -228,18 +287,25 @@ def removed_spans(docs: DataFrame, units: Units, solve: Callable) -> DataFrame:
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     part = F.expr("cast(pmod(xxhash64(text), 65536) as int)")
-    texts = base.withColumn("part", part).repartition("doc_id")  # read four times, shuffled once
+    nameless = base.filter("doc_id is null").select("doc_id", "text", F.lit(0).alias("part"), F.lit(False).alias("copy"), F.lit(None).cast("array<struct<part: int, start: int, end: int>>").alias("spans"))
+    base = base.filter("doc_id is not null")
+    texts = base.withColumn("part", part).repartition("doc_id")  # read again and again, shuffled once
     # exact copies are answered at once: only the smallest doc_id of a text takes part in the search
-    first = base.filter("doc_id is not null").groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("doc_id"), F.first(part).alias("part"))
+    first = base.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("doc_id"), F.first(part).alias("part"))
     originals = first.groupBy("doc_id").agg(F.collect_list("part").alias("parts"))
-    told = texts.join(originals, "doc_id", "left").withColumn("copy", ~F.coalesce(F.array_contains("parts", F.col("part")), F.col("doc_id").isNull())).drop("parts")
-    single = told.filter("doc_id is not null and not copy").drop("copy")
+    told = texts.join(originals, "doc_id", "left").withColumn("copy", ~F.coalesce(F.array_contains("parts", F.col("part")), F.lit(False))).drop("parts")
+    single = told.filter("not copy").drop("copy")
     low = single.select("doc_id", "text").mapInArrow(_minimisers(units), "h long, doc_id long")
     shared = low.repartition("h").sortWithinPartitions("h").mapInArrow(_shared, "doc_id long, h long")
     per_doc = shared.groupBy("doc_id").agg(F.collect_list("h").alias("hs"))
-    segments = single.join(per_doc, "doc_id").select("doc_id", "part", "text", "hs").mapInArrow(_segments(units), "h int, doc_id long, part int, at int, segment binary")
-    spans = segments.repartition("h").sortWithinPartitions("h").mapInArrow(_spans(units, solve), "doc_id long, part int, start int, end int")
-    return told.join(spans.groupBy("doc_id").agg(F.collect_list(F.struct("part", "start", "end")).alias("spans")), "doc_id", "left")
+    names = single.join(per_doc, "doc_id").select("doc_id", "part", "text", "hs").mapInArrow(_names(units), "h int, name long, doc_id long, part int, at int, n short")
+    met = names.repartition("h").sortWithinPartitions("h", "name", "doc_id").mapInArrow(_compare_names, "kind byte, doc_id long, part int, at int, n short, h int").repartition("doc_id")
+    wanted = met.filter(f"kind = {WANTED}").groupBy("doc_id").agg(F.collect_list(F.struct("h", "part", "at", "n")).alias("wanted"))
+    segments = single.join(wanted, "doc_id").select("doc_id", "part", "text", "wanted").mapInArrow(_segments(units), "h int, doc_id long, part int, at int, segment binary")
+    found = segments.repartition("h").sortWithinPartitions("h").mapInArrow(_spans(units, solve), "doc_id long, part int, start int, end int")
+    copied = met.filter(f"kind = {SPAN}").select("doc_id", F.struct("part", F.col("at").alias("start"), F.expr("at + n").alias("end")).alias("span"))
+    spans = copied.union(found.select("doc_id", F.struct("part", "start", "end"))).groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
+    return told.join(spans, "doc_id", "left").select("doc_id", "text", "part", "copy", "spans").union(nameless)
 
 
 def kept(batch: pa.RecordBatch, length: int, symbols: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
