@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marea.llm import fmindex, gif, licenses, secrets, suffixarray
+from marea.llm import fmindex, gif, licenses, minhash, secrets, suffixarray, toxicity
 from marea.llm.common import documents
 
 
@@ -14,6 +14,10 @@ def op1_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.store_texts(documents(spark, sf_dir))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.link(documents(spark, sf_dir))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.digest(documents(spark, sf_dir))
 
@@ -22,6 +26,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(documents(spark, sf_dir))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixarray.digest(documents(spark, sf_dir))
 
@@ -31,7 +39,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_gif, op4_substring_dedup, op5_secrets, op9_suffix_array_dedup, op10_licenses)}
+    return {f.__name__: f for f in (op1_gif, op3_minhash, op4_substring_dedup, op5_secrets, op6_toxicity, op9_suffix_array_dedup, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
