@@ -6,7 +6,8 @@ documents meet in one shard and a shard never needs the rest of the corpus. The
 0. exact copies collapse to their smallest doc_id;
 1. each document's minimisers, as (hash, doc_id), sorted by hash: those that two documents hold are shared;
 2. documents with shared minimisers name their segments (runs of windows with one minimiser) by hash: equal ones collapse
-   to the one of the smallest doc_id, and where a minimiser has several, their texts are called for;
+   to the one of the smallest doc_id; where a minimiser has several that also agree on one side of it, their texts are
+   called for;
 3. a shard's texts go to the operator's own index, which says which windows also start in a smaller doc_id;
 4. the removed spans meet their document again.
 
@@ -99,6 +100,29 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(h)], ["doc_id", "h"])
 
 
+def _sides(units: Units, raw, place, hashes, at, size, value):
+    """Hashes of what stands left and right of each run's minimiser, with it: any window of the run holds one of both.
+
+    0: the run has no window with that side; a run with several minimisers of its value has -1 on both.
+    """
+    reach, wide = (units.length - units.k) // 2, units.length - units.k
+    found, times = np.full(len(at), -1), np.zeros(len(at), np.int32)
+    last = at + size - 1 + wide
+    for o in range(int(size.max()) + wide):
+        here = np.minimum(at + o, last)
+        same = (hashes[here] == value) & (at + o <= last)
+        found[same & (found < 0)] = here[same & (found < 0)]
+        times += same
+    end = at + size - 1 + units.length
+    out = []
+    for lo, hi in ((found - reach, found + units.k), (found, found + units.k + reach)):
+        ok = (lo >= at) & (hi <= end)
+        code = np.zeros(len(at), np.int32)
+        code[ok] = (C.word_codes(raw, place[lo[ok]], place[hi[ok]]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        out.append(np.where(times > 1, np.int32(-1), code))
+    return out
+
+
 def _names(units: Units) -> Callable:
     def run(batches):
         for batch in batches:
@@ -106,20 +130,21 @@ def _names(units: Units) -> Callable:
                 raw, place, first, hashes = units.parse(part.column("text"))
                 row, at, size, low = C.anchors(hashes, first, units.k, units.length)
                 wanted, bounds = part.column("hs").flatten().to_numpy(zero_copy_only=False), part.column("hs").value_lengths().to_numpy()
-                short = (low >> np.uint64(KEPT)).view(np.int64)
+                short, value = (low >> np.uint64(KEPT)).view(np.int64), low
                 low = (low >> np.uint64(NAMED)).astype(np.uint32).view(np.int32)
                 keep = np.zeros(len(row), dtype=bool)
                 ends = np.cumsum(bounds)
                 cut = np.searchsorted(row, np.arange(len(bounds) + 1))
                 for i in range(len(bounds)):
                     keep[cut[i] : cut[i + 1]] = np.isin(short[cut[i] : cut[i + 1]], wanted[ends[i] - bounds[i] : ends[i]])
-                row, at, size, low = row[keep], at[keep], size[keep], low[keep]
+                row, at, size, low, value = row[keep], at[keep], size[keep], low[keep], value[keep]
                 if not len(row):
                     continue
+                left, right = _sides(units, raw, place, hashes, at, size, value)
                 lo, hi = place[at], place[at + size + units.length - 1]
                 name = C.word_codes(raw, lo, hi).view(np.int64)
                 ids, copies = part.column("doc_id").to_numpy()[row], part.column("part").to_numpy()[row]
-                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(name), pa.array(ids), pa.array(copies), pa.array((at - first[row]).astype(np.int32)), pa.array((size + units.length - 1).astype(np.int16))], ["h", "name", "doc_id", "part", "at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(name), pa.array(ids), pa.array(copies), pa.array((at - first[row]).astype(np.int32)), pa.array((size + units.length - 1).astype(np.int16)), pa.array(left), pa.array(right)], ["h", "name", "doc_id", "part", "at", "n", "left", "right"])
 
     return run
 
@@ -145,8 +170,19 @@ def _compare_names(batches):
         group = np.append(True, h[1:] != h[:-1])
         index = np.cumsum(group) - 1
         several = np.bincount(index, weights=new) > 1
+        # of a group's names, those that share a side with another one
+        one = np.flatnonzero(new & several[index])
+        alike = np.zeros(len(h), bool)
+        for side in ("left", "right"):
+            v = rows[side][one]
+            by = np.lexsort((v, h[one]))
+            same = (h[one][by][1:] == h[one][by][:-1]) & (v[by][1:] == v[by][:-1]) & (v[by][1:] != 0)
+            alike[one[by[1:][same]]] = alike[one[by[:-1][same]]] = True
+        loose = np.zeros(len(several), bool)
+        loose[index[one][rows["left"][one] == -1]] = True
+        wanted = (alike[np.flatnonzero(new)] | loose[index[new]])[np.cumsum(new) - 1]
         open_ = index == index[-1] if not last else np.zeros(len(h), bool)
-        return {c: v[~own] for c, v in rows.items()}, {c: v[own & several[index] & ~open_] for c, v in rows.items()}, {c: v[own & open_] for c, v in rows.items()}
+        return {c: v[~own] for c, v in rows.items()}, {c: v[own & several[index] & wanted & ~open_] for c, v in rows.items()}, {c: v[own & open_] for c, v in rows.items()}
 
     held: dict[str, np.ndarray] = {}
     for batch in batches:
@@ -298,7 +334,7 @@ def removed_spans(docs: DataFrame, units: Units, solve: Callable) -> DataFrame:
     low = single.select("doc_id", "text").mapInArrow(_minimisers(units), "h long, doc_id long")
     shared = low.repartition("h").sortWithinPartitions("h").mapInArrow(_shared, "doc_id long, h long")
     per_doc = shared.groupBy("doc_id").agg(F.collect_list("h").alias("hs"))
-    names = single.join(per_doc, "doc_id").select("doc_id", "part", "text", "hs").mapInArrow(_names(units), "h int, name long, doc_id long, part int, at int, n short")
+    names = single.join(per_doc, "doc_id").select("doc_id", "part", "text", "hs").mapInArrow(_names(units), "h int, name long, doc_id long, part int, at int, n short, left int, right int")
     met = names.repartition("h").sortWithinPartitions("h", "name", "doc_id").mapInArrow(_compare_names, "kind byte, doc_id long, part int, at int, n short, h int").repartition("doc_id")
     wanted = met.filter(f"kind = {WANTED}").groupBy("doc_id").agg(F.collect_list(F.struct("h", "part", "at", "n")).alias("wanted"))
     segments = single.join(wanted, "doc_id").select("doc_id", "part", "text", "wanted").mapInArrow(_segments(units), "h int, doc_id long, part int, at int, segment binary")
