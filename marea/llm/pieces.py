@@ -183,7 +183,8 @@ def _chunks(column):
 
 def _uniform(key: np.ndarray, what: int, place) -> np.ndarray:
     """Hash of key, purpose and place, in (0, 1)."""
-    x = C.mix(C.mix(key + np.uint64(what + 1) * np.uint64(0x9E3779B97F4A7C15)) + np.asarray(place).astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(1))
+    turn = np.array([(what + 1) * 0x9E3779B97F4A7C15 % 2**64], dtype=np.uint64)
+    x = C.mix(C.mix(np.atleast_1d(key) + turn) + np.asarray(place).astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(1))
     return ((x >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52
 
 
@@ -216,7 +217,7 @@ def sample_slice(column, keys: np.ndarray, vocabulary: Vocabulary, k: int, seed:
         only = lattice.first[lattice.start[path["edge"][since:]] + 1] - lattice.first[lattice.start[path["edge"][since:]]] == 1
         away[only] = -np.inf
         mass = np.append(0, np.cumsum(q))[since:-1] + away
-        wait = -np.log(_uniform(keys[row], 4 * turn + 1, shift[path["chunk"][since:]] + lattice.start[path["edge"][since:]]))
+        wait = -np.log(_uniform(keys[row : row + 1], 4 * turn + 1, shift[path["chunk"][since:]] + lattice.start[path["edge"][since:]]))
         with np.errstate(divide="ignore", over="ignore"):
             bound = mass - np.log(np.exp(mass - top) + wait)
         path |= {"since": since, "bound": np.where(np.isfinite(mass), bound, -np.inf), "banned": banned, "log_prob": float(q.sum())}
@@ -288,7 +289,7 @@ def sample(docs: DataFrame, key: str = "doc_id", k: int = 3, seed: int = 0, thet
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=2 << 20):
                 keys = part.column("key").fill_null(0).to_numpy().astype(np.int64)
                 found = sample_slice(part.column("text"), keys, held.value, k, seed, theta)
                 n = [len(x) for x in found]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marea.llm import fmindex, gif, licenses, minhash, secrets, suffixarray, toxicity
+from marea.llm import decontaminate, fmindex, gif, licenses, linedup, minhash, pieces, secrets, suffixarray, toxicity
 from marea.llm.common import documents
 
 
@@ -14,6 +14,10 @@ def op1_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.store_texts(documents(spark, sf_dir))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.link(documents(spark, sf_dir))
 
@@ -30,6 +34,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.digest(documents(spark, sf_dir))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(documents(spark, sf_dir))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixarray.digest(documents(spark, sf_dir))
 
@@ -39,8 +51,8 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_gif, op3_minhash, op4_substring_dedup, op5_secrets, op6_toxicity, op9_suffix_array_dedup, op10_licenses)}
+    return {f.__name__: f for f in (op1_gif, op2_decontamination, op3_minhash, op4_substring_dedup, op5_secrets, op6_toxicity, op7_line_dedup, op8_sentencepiece, op9_suffix_array_dedup, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_licenses": licenses.sql()}
+    return {"op2_decontamination": decontaminate.sql(), "op10_licenses": licenses.sql()}
