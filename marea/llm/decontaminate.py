@@ -102,7 +102,7 @@ def sql(percent: int = 80) -> str:
     """search() over tables documents and benchmark in DuckDB's SQL, by exact comparison alone."""
 
     def grams(table, key):
-        w = f"list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), x -> x <> '')"
+        w = f"list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '')"
         return f"""SELECT {key}, len(w) AS n, unnest(range(0, len(w) - {SHINGLE - 1})) AS pos, w FROM (SELECT {key}, {w} AS w FROM {table}) WHERE len(w) >= {SHINGLE}"""
 
     gram = " || ' ' || ".join(f"w[pos + {j}]" for j in range(1, SHINGLE + 1))
