@@ -19,17 +19,18 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
+def _done(edges: DataFrame) -> bool:
+    """Whether all edges are stars: no node has two parents, and no parent has one."""
+    ends = edges.select(F.col("a").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.filter("up > 1 or up > 0 and down > 0").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and component (the smallest node reachable) of all nodes on edges (a, b); self-links and repeats don't matter."""
     now = C.materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.expr("try_sum(cast(a as decimal(38)))"), F.lit(0)), F.coalesce(F.expr("bit_xor(xxhash64(a, b))"), F.lit(0))).first())
-    was = state(now)
-    while was[0]:
+    while not _done(now):
         new = C.materialise(_stars(_stars(now, True), False))
-        is_ = state(new)
         C.discard(now)
         now = new
-        if is_ == was:
-            break
-        was = is_
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

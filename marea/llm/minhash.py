@@ -106,8 +106,9 @@ def link(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     """
     rows = C.materialise(docs.select("doc_id", "text").mapInArrow(_sketches(size), "doc_id long, n long, name long, bands array<long>"))
     whole = rows.filter("name is not null and doc_id is not null")
-    classes = whole.groupBy("name").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    first = C.materialise(whole.join(classes.select("name", "rep"), "name").filter("doc_id = rep").dropDuplicates(["name"]).select("name", "rep", "n", "bands"))
+    # rows of one name have one set, and so one n and one list of bands
+    first = C.materialise(whole.groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    classes = first.select("name", "rep")
     buckets = first.select("name", "rep", "n", F.explode("bands").alias("key"))
     several = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = buckets.join(several, "key")
@@ -118,22 +119,23 @@ def link(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
         wanted = F.broadcast(wanted)
     sets = C.materialise(docs.filter("doc_id is not null").select("doc_id", "text").join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_sets(size), "name long, hashes array<long>"))
     # rows of one doc_id are one node
-    met = whole.join(classes.select("name", "rep"), "name").select("doc_id", "rep")
+    met = whole.join(classes, "name").select("doc_id", "rep")
     several_texts = met.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b")
     links = C.materialise(met.join(several_texts.select("doc_id", F.col("a").alias("rb")), "doc_id").select(F.col("rep").alias("ra"), "rb"))
-    linked = lambda: C.materialise(components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
     left, centres, found = members, 1, None
     while found is None or not left.isEmpty():
         at = left.withColumn("rank", F.expr("row_number() over (partition by key order by degree desc, name)"))
         middle = at.filter(f"rank <= {centres}").select("key", F.col("name").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("rank").alias("turn"))
         pairs = at.join(middle, "key").filter(f"rank > turn and component <> ca and 100 * least(n, na) >= {percent} * greatest(n, na)").select("a", "ra", "na", F.col("name").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb")).dropDuplicates(["a", "b"])
-        links = C.materialise(links.union(_confirm(pairs, sets, percent)))
-        found = linked()
+        new = C.materialise(_confirm(pairs, sets, percent))
+        if found is None or not new.isEmpty():
+            links = C.materialise(links.union(new))
+            found = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
         # centres have met all others of their bucket; a bucket in one component is done
         now = at.filter(f"rank > {centres}").drop("component", "rank").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         open_ = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
         left, centres = C.materialise(now.join(open_, "key").select(members.columns)), centres * 8
-    labelled = rows.join(classes.select("name", "rep"), "name", "left").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    labelled = rows.join(classes, "name", "left").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull() & F.col("name").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     return labelled.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
