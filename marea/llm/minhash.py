@@ -97,6 +97,27 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(f"100 * common >= {percent} * (na + nb - common)").select("ra", "rb")
 
 
+def _open(members: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components."""
+    several = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
+    return members.join(several, "key")
+
+
+def _linkable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members with `own`, their shingles that no other member has, without those whom these keep from any link.
+
+    A set of n shingles, o of them its own, has n - o in common with another at most, and n + o' more or less in union:
+    its best partner in a bucket has as few shingles as the smallest there, but not under n - o.
+    """
+    names = members.select("name").distinct()
+    shingles = sets.join(names, "name", "left_semi").select("name", F.explode("hashes").alias("h"))
+    single = shingles.groupBy("h").agg(F.min("name").alias("name"), F.max("name").alias("last")).filter("name = last")
+    own = single.groupBy("name").agg(F.count(F.lit(1)).cast("int").alias("own"))
+    least = members.groupBy("key").agg(F.min("n").alias("fewest"))
+    at = members.drop("own").join(own, "name", "left").fillna(0, ["own"]).join(least, "key")
+    return at.filter(f"100 * (n - own) >= {percent} * (greatest(fewest, n - own) + own)")
+
+
 def link(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text).
 
@@ -122,19 +143,23 @@ def link(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     met = whole.join(classes, "name").select("doc_id", "rep")
     several_texts = met.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b")
     links = C.materialise(met.join(several_texts.select("doc_id", F.col("a").alias("rb")), "doc_id").select(F.col("rep").alias("ra"), "rb"))
-    left, centres, found = members, 1, None
+    left, centres, found = members.withColumn("own", F.lit(0)), 1, None
     while found is None or not left.isEmpty():
         at = left.withColumn("rank", F.expr("row_number() over (partition by key order by degree desc, name)"))
-        middle = at.filter(f"rank <= {centres}").select("key", F.col("name").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("rank").alias("turn"))
-        pairs = at.join(middle, "key").filter(f"rank > turn and component <> ca and 100 * least(n, na) >= {percent} * greatest(n, na)").select("a", "ra", "na", F.col("name").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb")).dropDuplicates(["a", "b"])
+        middle = at.filter(f"rank <= {centres}").select("key", F.col("name").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("own").alias("oa"), F.col("component").alias("ca"), F.col("rank").alias("turn"))
+        most = "least(n - own, na - oa)"
+        able = f"100 * {most} >= {percent} * (n + na - {most})"
+        pairs = at.join(middle, "key").filter(f"rank > turn and component <> ca and {able}").select("a", "ra", "na", F.col("name").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb")).dropDuplicates(["a", "b"])
         new = C.materialise(_confirm(pairs, sets, percent))
         if found is None or not new.isEmpty():
             links = C.materialise(links.union(new))
             found = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
         # centres have met all others of their bucket; a bucket in one component is done
         now = at.filter(f"rank > {centres}").drop("component", "rank").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        open_ = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-        left, centres = C.materialise(now.join(open_, "key").select(members.columns)), centres * 8
+        left = C.materialise(_open(now).select(left.columns))
+        if centres == 1 and not left.isEmpty():
+            left = C.materialise(_open(_linkable(left, sets, percent)).select(left.columns))
+        centres *= 8
     labelled = rows.join(classes, "name", "left").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull() & F.col("name").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     return labelled.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
