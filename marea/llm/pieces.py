@@ -117,16 +117,18 @@ class Lattice:
         start = np.concatenate([start, inside]).astype(np.int64)
         size = np.concatenate([size, np.ones(len(inside), np.int64)]).astype(np.int64)
         piece = np.concatenate([piece, vocabulary.byte_ids[raw[inside]]]).astype(np.int64)
-        order = np.lexsort((size, start))
+        # by start, the longest first: presorted runs, one a length
+        start, size, piece = start[::-1], size[::-1], piece[::-1]
+        order = np.argsort(start, kind="stable")
         self.start, self.end, self.piece = start[order], start[order] + size[order], piece[order]
         weight = theta * vocabulary.log_probs[self.piece]
         # sums over all paths to a chunk's end, from its end backwards; a chunk's end has sum 1
         beta = np.full(n + 1, -np.inf)
         left = (stop - np.arange(n))[self.start]
-        level = np.argsort(left, kind="stable")
-        cuts = np.flatnonzero(np.append(True, np.diff(left[level]) > 0))
-        for a, b in zip(cuts, np.append(cuts[1:], len(level)), strict=True):
-            e = np.sort(level[a:b])
+        level = np.argsort(left.astype(np.uint16) if len(left) and left.max() < 1 << 16 else left, kind="stable")
+        cuts = np.flatnonzero(np.append(True, np.diff(left[level]) > 0)) if len(left) else np.zeros(0, np.int64)
+        for a, b in zip(cuts, np.append(cuts, len(level))[1:], strict=False):
+            e = level[a:b]
             to = np.where(self.end[e] == stop[self.start[e]], 0.0, beta[np.minimum(self.end[e], n)])
             value = weight[e] + to
             head = np.flatnonzero(np.append(True, np.diff(self.start[e]) > 0))
@@ -135,11 +137,15 @@ class Lattice:
         # an edge that leads nowhere has no part in any path
         good = np.isfinite(to)
         self.start, self.end, self.piece = self.start[good], self.end[good], self.piece[good]
-        self.log_q = np.minimum(weight[good] + to[good] - beta[self.start], 0.0)
+        log_q = np.minimum(weight[good] + to[good] - beta[self.start], 0.0)
+        # with each edge the probability of its node's edges up to it
+        self.log_q = log_q
         self.first = np.searchsorted(self.start, np.arange(n + 1))
-        self.sums = np.cumsum(np.exp(self.log_q))
-        self.before = np.append(0, self.sums)[self.first]
-        self.chunk_end = stop
+        sums = np.cumsum(np.exp(self.log_q))
+        last = np.zeros(len(sums), dtype=bool)
+        last[self.first[1:][np.diff(self.first) > 0] - 1] = True
+        self.upto = sums - np.append(0, sums)[self.first[self.start]]
+        self.upto[last] = 2.0  # rounding must not lead beyond a node's last edge
 
     def walk(self, node: np.ndarray, stop: np.ndarray, draw: Callable) -> tuple[np.ndarray, np.ndarray]:
         """Samples a path from each node to its stop; draw(lanes, nodes) gives uniforms. Lanes and edges, path by path."""
@@ -148,9 +154,11 @@ class Lattice:
         at = node.copy()
         while len(live):
             here = at[live]
-            low, high = self.first[here], self.first[here + 1]
-            total = self.sums[high - 1] - self.before[here]
-            e = np.clip(np.searchsorted(self.sums, self.before[here] + draw(live, here) * total, side="right"), low, high - 1)
+            e, u = self.first[here], draw(live, here)
+            more = np.flatnonzero(u >= self.upto[e])
+            while len(more):
+                e[more] += 1
+                more = more[u[more] >= self.upto[e[more]]]
             lanes.append(live)
             edges.append(e)
             at[live] = self.end[e]
@@ -199,59 +207,74 @@ def sample_slice(column, keys: np.ndarray, vocabulary: Vocabulary, k: int, seed:
     base = place - begin[rows]  # place of a chunk in its row
     shift = base - chunk  # from node to place in the row
 
-    def uniform(row, turn, purpose, at):
-        return float(_uniform(keys[row : row + 1], 4 * turn + purpose, np.array([at]))[0])
-
     def walk(chunks, nodes, turn):
         draw = lambda lanes, here: _uniform(keys[rows[chunks[lanes]]], 4 * turn, here + shift[chunks[lanes]])
         lane, edge = lattice.walk(nodes, stop[chunks], draw)
         return chunks[lane], edge
 
-    def branches(row, path, turn, since, top, banned):
-        """Bounds of the sets that leave the path at each edge from `since` on; banned: excluded edges there besides its own."""
+    def branches(row, path, turn, since, top, banned, margin=70.0):
+        """Bounds of the sets that leave the path at each edge from `since` on; banned: excluded edges there besides its own.
+
+        A set's bound is its log mass and 37 at most (uniforms have 52 bits), so sets far below the best are left out;
+        `cut` bounds what is left out.
+        """
         q = lattice.log_q[path["edge"]]
-        away = np.log(np.maximum(-np.expm1(q[since:]), 1e-300))
+        sums = np.append(0.0, np.cumsum(q))
+        before = sums[since:-1]
+        keep = len(before) if margin is None else int(np.searchsorted(-before, -(min(before[0], top) - margin - 37.0)))
+        edges = path["edge"][since : since + keep]
+        node = lattice.start[edges]
+        away = np.log(np.maximum(-np.expm1(q[since : since + keep]), 1e-300))
+        away[lattice.first[node + 1] - lattice.first[node] == 1] = -np.inf
         if banned:
-            rest = np.setdiff1d(np.arange(lattice.first[lattice.start[path["edge"][since]]], lattice.first[lattice.start[path["edge"][since]] + 1]), [*banned, path["edge"][since]])
-            away[0] = np.log(max(np.exp(lattice.log_q[rest]).sum(), 1e-300)) if len(rest) else -np.inf
-        only = lattice.first[lattice.start[path["edge"][since:]] + 1] - lattice.first[lattice.start[path["edge"][since:]]] == 1
-        away[only] = -np.inf
-        mass = np.append(0, np.cumsum(q))[since:-1] + away
-        wait = -np.log(_uniform(keys[row : row + 1], 4 * turn + 1, shift[path["chunk"][since:]] + lattice.start[path["edge"][since:]]))
+            out = {*banned, edges[0]}
+            rest = [e for e in range(lattice.first[node[0]], lattice.first[node[0] + 1]) if e not in out]
+            away[0] = np.log(max(np.exp(lattice.log_q[rest]).sum(), 1e-300)) if rest else -np.inf
+        mass = before[:keep] + away
+        wait = -np.log(_uniform(keys[row : row + 1], 4 * turn + 1, shift[path["chunk"][since : since + keep]] + node))
         with np.errstate(divide="ignore", over="ignore"):
             bound = mass - np.log(np.exp(mass - top) + wait)
-        path |= {"since": since, "bound": np.where(np.isfinite(mass), bound, -np.inf), "banned": banned, "log_prob": float(q.sum())}
+        path |= {"since": since, "bound": np.where(np.isfinite(mass), bound, -np.inf), "banned": banned, "log_prob": float(sums[-1]), "turn": turn, "cut": before[keep] + 37.0 if keep < len(before) else -np.inf, "used": path.get("used", [])}
+        path["bound"][path["used"]] = -np.inf
 
     paths: list[list[dict]] = [[] for _ in range(len(first) - 1)]
+    roots = -np.log(-np.log(_uniform(keys, 2, 0)))
     chunks, edges = walk(np.arange(len(code)), chunk.copy(), 0)
     cut = np.searchsorted(rows[chunks], np.arange(len(first))) if len(chunks) else np.zeros(len(first), int)
     for row in range(len(first) - 1):
         if cut[row + 1] > cut[row]:
-            path = {"chunk": chunks[cut[row] : cut[row + 1]], "edge": edges[cut[row] : cut[row + 1]], "top": -np.log(-np.log(uniform(row, 0, 2, 0)))}
+            path = {"chunk": chunks[cut[row] : cut[row + 1]], "edge": edges[cut[row] : cut[row + 1]], "top": float(roots[row])}
             branches(row, path, 0, 0, path["top"], [])
             paths[row].append(path)
 
     def best(row):
-        top, which = -np.inf, None
-        for i, p in enumerate(paths[row]):
-            if len(p["bound"]) and (j := int(p["bound"].argmax())) >= 0 and p["bound"][j] > top:
-                top, which = float(p["bound"][j]), (i, j)
-        return top, which
+        while True:
+            top, which = -np.inf, None
+            for i, p in enumerate(paths[row]):
+                if len(p["bound"]) and p["bound"][j := int(p["bound"].argmax())] > top:
+                    top, which = float(p["bound"][j]), (i, j)
+            short = [p for p in paths[row] if p["cut"] > top]
+            if not short:
+                return top, which
+            for p in short:
+                branches(row, p, p["turn"], p["since"], p["top"], p["banned"], None)
 
     for turn in range(1, k):
+        picks = _uniform(keys, 4 * turn + 3, 0)
         opened, todo_chunks, todo_nodes = [], [], []
         for row in range(len(paths)):
             top, which = best(row)
             if which is None or not np.isfinite(top):
                 continue
             parent, at = paths[row][which[0]], which[1] + paths[row][which[0]]["since"]
-            parent["bound"][which[1]] = -np.inf  # the set passes to the new path
+            parent["used"].append(which[1])  # the set passes to the new path
+            parent["bound"][which[1]] = -np.inf
             own = parent["edge"][at]
             banned = [own, *(parent["banned"] if which[1] == 0 else [])]
             node, c = lattice.start[own], parent["chunk"][at]
-            others = np.setdiff1d(np.arange(lattice.first[node], lattice.first[node + 1]), banned)
+            others = np.array([e for e in range(lattice.first[node], lattice.first[node + 1]) if e not in banned])
             p = np.cumsum(np.exp(lattice.log_q[others] - lattice.log_q[others].max()))
-            new = others[min(np.searchsorted(p, uniform(row, turn, 3, node + shift[c]) * p[-1]), len(others) - 1)]
+            new = others[min(int(np.searchsorted(p, picks[row] * p[-1])), len(others) - 1)]
             opened.append((row, parent, at, new, banned, top))
             todo_chunks.append(np.arange(c, first[row + 1]))
             nodes = chunk[c : first[row + 1]].copy()
@@ -289,7 +312,7 @@ def sample(docs: DataFrame, key: str = "doc_id", k: int = 3, seed: int = 0, thet
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, limit=2 << 20):
+            for part in slices(batch, limit=4 << 20):
                 keys = part.column("key").fill_null(0).to_numpy().astype(np.int64)
                 found = sample_slice(part.column("text"), keys, held.value, k, seed, theta)
                 n = [len(x) for x in found]
