@@ -25,3 +25,24 @@ def missing(df: DataFrame, columns: list[str]) -> list[str]:
 def empty(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
     """The empty result of an operator whose inputs are missing."""
     return spark.createDataFrame([], schema)
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the Python workers this package, once a context: they may run where it isn't installed."""
+    import os
+    import tempfile
+    import zipfile
+
+    context = spark.sparkContext
+    if getattr(context, "_marea_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="marea-"), "marea.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    context.addPyFile(path)
+    context._marea_shipped = True
