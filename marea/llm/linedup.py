@@ -26,7 +26,7 @@ SLOTS, REPORTED, BROADCAST_ROWS = 1 << 20, 8, 1_000_000
 class Lines:
     """The lines of a slice: row and number of each, and their distinct words (as codes) with the line of each."""
 
-    def __init__(self, column):
+    def __init__(self, column, rarity: np.ndarray | None = None):
         raw, offsets = C.flat(column)
         starts, ends, first = C.words(raw, offsets)
         feeds = np.flatnonzero(raw == 10)
@@ -44,7 +44,8 @@ class Lines:
         line = np.searchsorted(self.heads, starts, side="right") - 1
         line = np.maximum(line, top[word_row])
         codes = C.word_codes(raw, starts, ends)
-        order = np.lexsort((codes, line))
+        # by line, then by rarity if it is given, then by code
+        order = np.lexsort((codes, line) if rarity is None else (codes, rarity[_slot(codes)], line))
         line, codes = line[order], codes[order]
         once = np.append(True, (line[1:] != line[:-1]) | (codes[1:] != codes[:-1])) if len(line) else np.zeros(0, bool)
         self.line, self.codes = line[once], codes[once]
@@ -64,7 +65,9 @@ def _frequencies(batches):
     counts = np.zeros(SLOTS, dtype=np.int64)
     for batch in batches:
         for part in slices(batch):
-            counts += np.bincount(_slot(Lines(part.column("text")).codes), minlength=SLOTS)
+            raw, offsets = C.flat(part.column("text"))
+            starts, ends, _ = C.words(raw, offsets)
+            counts += np.bincount(_slot(C.word_codes(raw, starts, ends)), minlength=SLOTS)
     full = np.flatnonzero(counts >= REPORTED)
     if len(full):
         yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(counts[full])], ["slot", "n"])
@@ -94,7 +97,7 @@ def _prefixes(counts, percent):
         rarity = counts.value
         for batch in batches:
             for part in slices(batch):
-                lines = Lines(part.column("text"))
+                lines = Lines(part.column("text"), rarity)
                 doc, at = _places(part, lines)
                 # one of each distinct line, the first of the slice by (doc_id, at)
                 full = np.flatnonzero(lines.size > 0)
@@ -105,8 +108,6 @@ def _prefixes(counts, percent):
                 line, code = lines.line, lines.codes
                 keep = chosen[line]
                 line, code = line[keep], code[keep]
-                order = np.lexsort((code, rarity[_slot(code)], line))
-                line, code = line[order], code[order]
                 size = np.bincount(line, minlength=len(lines.size))
                 begin = np.cumsum(size) - size
                 pos = np.arange(len(line)) - begin[line]
@@ -118,20 +119,22 @@ def _prefixes(counts, percent):
                 parity[some] = np.bitwise_xor.reduceat(bit, begin[some])
                 head = pos <= (size - _need(size, percent))[line]
                 line, code, pos = line[head], code[head], pos[head]
-                word = (code >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                word = (code & ~np.uint64(0xFFFFFFFF)) | parity[line]
                 for i in range(0, len(line), 50_000):
                     c = slice(i, i + 50_000)
                     k = line[c]
-                    yield pa.RecordBatch.from_arrays([pa.array(word[c]), pa.array(lines.name[k]), pa.array(doc[k]), pa.array(at[k]), pa.array(size[k].astype(np.int32)), pa.array(pos[c].astype(np.int32)), pa.array(parity[k].view(np.int32))], ["word", "name", "doc_id", "at", "n", "pos", "parity"])
+                    yield pa.RecordBatch.from_arrays([pa.array(word[c].view(np.int64)), pa.array(lines.name[k]), pa.array(doc[k]), pa.array(at[k]), pa.array(size[k]), pa.array(pos[c])], ["word", "name", "doc_id", "at", "n", "pos"])
 
     return run
 
 
-PREFIX = "word int, name long, doc_id long, at long, n int, pos int, parity int"
+#: word: 32 bits of the word's code, and below them the line's parity signature.
+PREFIX = "word long, name long, doc_id long, at long, n long, pos long"
+WORD = "shiftright(word, 32)"
 
 
 def _candidates(skip: int, upto: int, percent: int):
-    """From prefix rows by (word, doc_id, at): pairs of a line and earlier candidates, its skip-th to upto-th."""
+    """From prefix rows by word: pairs of a line and earlier candidates, its skip-th to upto-th."""
 
     def pairs(word, name, n, pos, parity, open_):
         # rows of a word in order; the first of each name
@@ -165,7 +168,7 @@ def _candidates(skip: int, upto: int, percent: int):
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             rows = rows if held is None else pa.concat_tables([held, rows])
-            word = rows.column("word").to_numpy()
+            word = rows.column("word").to_numpy() >> 32
             full = int(np.searchsorted(word, word[-1])) if len(word) else 0
             yield from emit(rows.slice(0, full))
             held = compact(rows.slice(full))
@@ -174,16 +177,18 @@ def _candidates(skip: int, upto: int, percent: int):
 
     def compact(rows):
         """The first row of each name of the one word that may go on."""
-        keep = np.sort(np.unique(rows.column("name").to_numpy(), return_index=True)[1])
+        by = np.lexsort((rows.column("at").to_numpy(), rows.column("doc_id").to_numpy()))
+        keep = np.sort(by[np.unique(rows.column("name").to_numpy()[by], return_index=True)[1]])
         return rows.take(pa.array(keep)).combine_chunks() if len(keep) < rows.num_rows else rows
 
     def emit(rows):
         if rows.num_rows < 2:
             return
-        columns = [rows.column(c).to_numpy() for c in ("word", "name", "n", "pos", "parity")]
-        columns[2], columns[3] = columns[2].astype(np.int64), columns[3].astype(np.int64)
-        columns[4] = columns[4].view(np.uint32)
-        open_ = rows.column("open").to_numpy(zero_copy_only=False)
+        word, name, doc, at, n, pos = (rows.column(c).to_numpy() for c in ("word", "name", "doc_id", "at", "n", "pos"))
+        parity, word = (word & 0xFFFFFFFF).astype(np.uint32), word >> 32
+        by = np.lexsort((at, doc, word))
+        columns = [c[by] for c in (word, name, n, pos, parity)]
+        open_ = rows.column("open").to_numpy(zero_copy_only=False)[by]
         found = [np.concatenate(x) for x in zip(*pairs(*columns, open_), strict=True)]
         if found and len(found[0]):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["x", "y", "more"])
@@ -195,8 +200,10 @@ def _words_of(batches):
     for batch in batches:
         for part in slices(batch):
             lines = Lines(part.column("text"))
-            full = lines.size > 0
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lines.size[full])).astype(np.int32)), pa.array(lines.codes.view(np.int64)))
+            full = np.zeros(len(lines.size), bool)
+            full[np.unique(lines.name, return_index=True)[1]] = True  # each distinct line once
+            full &= lines.size > 0
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lines.size[full])).astype(np.int32)), pa.array(lines.codes[full[lines.line]].view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(lines.name[full]), lists], ["name", "words"])
 
 
@@ -213,14 +220,14 @@ def matched_lines(rows: DataFrame, percent: int = 80) -> DataFrame:
     held = spark.sparkContext.broadcast(counts)
     prefixes = rows.mapInArrow(_prefixes(held, percent), PREFIX)
     matched = spark.createDataFrame([], "x long")
-    open_, skip, upto = None, 0, 4
+    open_, skip, upto = None, 0, 16
     while True:
         if open_ is None:
             those = prefixes.withColumn("open", F.lit(True))
         else:
-            mine = C.materialise(prefixes.join(_small(open_), F.col("name") == F.col("x"), "left_semi").select("word").distinct())
-            those = prefixes.join(_small(mine), "word", "left_semi").join(_small(open_.withColumn("open", F.lit(True))), F.col("name") == F.col("x"), "left").drop("x").withColumn("open", F.coalesce("open", F.lit(False)))
-        pairs = those.repartition("word").sortWithinPartitions("word", "doc_id", "at").mapInArrow(_candidates(skip, upto, percent), "x long, y long, more boolean")
+            mine = C.materialise(prefixes.join(_small(open_), F.col("name") == F.col("x"), "left_semi").select(F.expr(WORD).alias("w")).distinct())
+            those = prefixes.join(_small(mine), F.expr(WORD) == F.col("w"), "left_semi").join(_small(open_.withColumn("open", F.lit(True))), F.col("name") == F.col("x"), "left").drop("x").withColumn("open", F.coalesce("open", F.lit(False)))
+        pairs = those.repartition(F.expr(WORD)).sortWithinPartitions("word").mapInArrow(_candidates(skip, upto, percent), "x long, y long, more boolean")
         pairs = C.materialise(pairs.groupBy("x", "y").agg(F.max("more").alias("more")))
         names = C.materialise(pairs.select(F.col("x").alias("name")).union(pairs.select("y")).distinct())
         sets = C.materialise(rows.select("text").mapInArrow(_words_of, "name long, words array<long>").join(_small(names), "name", "left_semi").dropDuplicates(["name"]))
@@ -267,7 +274,7 @@ def remove_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     base = docs.select("doc_id", "text", F.struct(*rest).alias("others") if rest else F.lit(True).alias("others"))
     rows = base.filter("doc_id is not null and text is not null").select("doc_id", part.alias("part"), "text")
     matched = matched_lines(rows, percent).withColumn("matched", F.lit(True))
-    lines = rows.mapInArrow(_names, "name long, doc_id long, at long").repartition("name")
+    lines = rows.mapInArrow(_names, "name long, doc_id long, at long").filter("name is not null").repartition("name")
     first = lines.groupBy("name").agg(F.min(F.struct("doc_id", "at")).alias("first"))
     told = lines.join(first.join(matched, "name", "left"), "name")
     gone = told.filter("matched or doc_id <> first.doc_id or at <> first.at").groupBy("doc_id").agg(F.collect_set("at").alias("gone"))
