@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from marea.plans import queries_core, queries_linking, queries_store  # noqa: E402, F401
+from marea.plans import queries_core, queries_linking, queries_more, queries_store  # noqa: E402, F401
