@@ -56,9 +56,10 @@ def lzw_encode(data: bytes, bits: int) -> bytes:
     clear, last = 1 << bits, 4095 - (1 << bits) - 2
     runs: list[list[int]] = []
     if data:
-        prefix, codes, table, free = data[0], [], {}, clear + 2
+        rest = iter(data)
+        prefix, codes, table, free = next(rest), [], {}, clear + 2
         get = table.get
-        for b in memoryview(data)[1:]:
+        for b in rest:
             key = prefix << 8 | b
             code = get(key)
             if code is None:
