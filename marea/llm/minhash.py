@@ -118,6 +118,13 @@ def _linkable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return at.filter(f"100 * (n - own) >= {percent} * (greatest(fewest, n - own) + own)")
 
 
+def _clustered(members: DataFrame) -> DataFrame:
+    """Members once each, under one key for all buckets that hang together, so that no pair comes up bucket by bucket."""
+    least = members.groupBy("key").agg(F.min("name").alias("b"))
+    together = components(members.join(least, "key").select(F.col("name").alias("a"), "b")).select(F.col("node").alias("name"), F.col("component").alias("key"))
+    return members.drop("key").dropDuplicates(["name"]).join(together, "name")
+
+
 def link(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text).
 
@@ -158,7 +165,7 @@ def link(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
         now = at.filter(f"rank > {centres}").drop("component", "rank").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         left = C.materialise(_open(now).select(left.columns))
         if centres == 1 and not left.isEmpty():
-            left = C.materialise(_open(_linkable(left, sets, percent)).select(left.columns))
+            left = C.materialise(_open(_clustered(C.materialise(_open(_linkable(left, sets, percent)).select(left.columns)))).select(left.columns))
         centres *= 8
     labelled = rows.join(classes, "name", "left").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull() & F.col("name").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
