@@ -39,12 +39,53 @@ def test_toxicity_on_held_out_rows(spark):
 
 
 def test_class_models_are_distributions():
-    """After each context both class models sum to one over the bytes seen and the rest."""
-    words = pa.array([b"abab", b"abc", b"ba", b"cab"], pa.binary())
-    key, _ = toxicity._keys(words, 3)
-    keys, n = np.unique(key, return_counts=True)
-    _, ratio, contexts, rest = toxicity.estimate(keys, n.astype(float), np.ones(len(keys)), 3, doubts=(0.5, 0.5))
-    assert len(ratio) == len(keys) and np.isfinite(ratio).all() and np.isfinite(rest).all() and len(contexts) == len(np.unique(keys >> np.uint64(8)))
+    """Against Kneser-Ney written out: after each context both classes sum to one over all bytes, and ratios follow."""
+    words = pa.array([b"abab", b"abc", b"ba", b"cab", b"abd"], pa.binary())
+    key, word = toxicity._keys(words, 3)
+    toxic_words = np.array([1, 1, 0, 0, 1])
+    keys, code = np.unique(key, return_inverse=True)
+    toxic, ordinary = np.bincount(code, toxic_words[word]), np.bincount(code, 2 - toxic_words[word])
+    _, ratio, contexts, rest = toxicity.estimate(keys, toxic, ordinary, 3, 0.75, 0.5)
+    split = lambda k: (int(k) >> 8, int(k) & 255)
+
+    def shared(grams, context, byte, order):
+        """The shared model: counts of grams (whole order) or continuations, discounted by 0.75."""
+        if order == 0:
+            return 1 / 256
+        own = {c: n for (x, c), n in grams.items() if x == context}
+        lower = {}
+        for x, c in grams:
+            short = (x & ((1 << 8 * max(order - 2, 0)) - 1), c)
+            lower[short] = lower.get(short, 0) + 1
+        below = shared(lower, context & ((1 << 8 * max(order - 2, 0)) - 1), byte, order - 1)
+        total = sum(own.values())
+        return (max(own.get(byte, 0) - 0.75, 0) + 0.75 * len(own) * below) / total if total else below
+
+    grams = {split(k): n for k, n in zip(keys, toxic + ordinary, strict=True)}
+    logs = {}
+    for name, n in (("toxic", toxic), ("ordinary", ordinary)):
+        own = {split(k): c for k, c in zip(keys, n, strict=True)}
+        for context in map(int, contexts):
+            mine = {c: v for (x, c), v in own.items() if x == context and v}
+            total = sum(mine.values())
+            free = sum(min(v, 0.5) for v in mine.values()) / total if total else 1.0
+            p = [(max(mine.get(c, 0) - 0.5, 0) / total if total else 0) + free * shared(grams, context, c, 3) for c in range(256)]
+            assert abs(sum(p) - 1) < 1e-9
+            logs[name, context] = (np.log(p), np.log(free))
+    for k, r in zip(keys, ratio, strict=True):
+        context, byte = split(k)
+        assert abs(r - (logs["toxic", context][0][byte] - logs["ordinary", context][0][byte])) < 1e-5
+    for context, r in zip(map(int, contexts), rest, strict=True):
+        assert abs(r - (logs["toxic", context][1] - logs["ordinary", context][1])) < 1e-5
+
+
+def test_scores_of_few_labels_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, t, "s", 5) for i, t in enumerate(["gromak gromak vilbis", "the other house", None, ""])], "doc_id long, text string, half string, score int")
+    model = toxicity.fit(docs.limit(2).selectExpr("doc_id", "text", "cast(1 - doc_id as int) as label"))
+    got = toxicity.score(docs, model)
+    assert got.columns == ["doc_id", "half", "score"]
+    score = {r.doc_id: r.score for r in got.collect()}
+    assert all(0 <= x <= 1 for x in score.values()) and score[2] == score[3]
 
 
 @pytest.fixture(scope="module")
