@@ -10,11 +10,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from marea.llm.windows import slices
 
-#: Rows of a stored payload's frame, and its samples a row.
-WIDTH, ROWS = 64, 16_384
+#: Samples a row of a stored payload's frame, its rows, and pixels of a canvas or an image beyond which a file is a fault.
+WIDTH, ROWS, PIXELS = 64, 64, 1 << 24
+#: The palette of stored payloads: three bits of red, three of green, two of blue.
+COLOURS = np.array([[(i >> 5) * 36, (i >> 2 & 7) * 36, (i & 3) * 85] for i in range(256)], dtype=np.uint8)
 
 FRAMES = "frame long, start_ms long, delay_ms long, disposal int, left int, top int, width int, height int, canvas_width int, canvas_height int, rgba binary, histogram array<int>, transparent long, fault string"
 
@@ -217,6 +220,8 @@ def read(data: bytes) -> Gif:
             at += 1 + n
 
     gif = Gif(u16(6), u16(8), None)
+    if gif.width * gif.height > PIXELS:
+        raise GifError("canvas too large")
     control = (0, 0, None)
     try:
         if data[10] & 0x80:
@@ -239,6 +244,8 @@ def read(data: bytes) -> Gif:
                     raise GifError("image breaks off")
                 left, top, w, h, flags = u16(at), u16(at + 2), u16(at + 4), u16(at + 6), data[at + 8]
                 at += 9
+                if w * h > PIXELS:
+                    raise GifError("image too large")
                 own = colours(flags) if flags & 0x80 else None
                 bits = data[at] if at < len(data) else 0
                 at += 1
@@ -316,41 +323,62 @@ def frames(data: bytes | None) -> list[dict]:
 
 
 def decode_frames(df: DataFrame, key: Sequence[str], column: str = "gif") -> DataFrame:
-    """`key` columns and the frames of a binary GIF column, one row per frame (FRAMES); null and empty files give none."""
-    keyed = df.select(*key, column)
+    """`key` columns and the frames of a binary GIF column, one row per frame (FRAMES); null and empty files give none.
+
+    A key column that is called like one of FRAMES comes back as `key_` and its name. Files that are no GIF, or whose
+    canvas or images have more than PIXELS pixels, give a row with a fault; repeated rows give their frames again.
+    """
+    own = [c.split()[0] for c in FRAMES.split(", ")]
+    names = [f"key_{c}" if c in own else c for c in key]
+    keyed = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(key, names, strict=True)), F.col(f"`{column}`").alias("the_file"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields[:-1])
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            rows = [dict(zip(key, r[:-1], strict=True)) | f for r in pdf.itertuples(index=False, name=None) for f in frames(r[-1])]
-            names = [*key, *(c.split()[0] for c in FRAMES.split(", "))]
-            yield pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names)
+            for r in pdf.itertuples(index=False, name=None):
+                rows = [[*r[:-1], *(f.get(c) for c in own)] for f in frames(r[-1])]
+                if rows:  # a file's frames at a time
+                    yield pd.DataFrame(rows, columns=[*names, *own])
 
     return keyed.mapInPandas(run, f"{kinds}, {FRAMES}")
 
 
 def pack(payload: bytes) -> bytes:
-    """Bytes as the 8-bit samples of a GIF with a grey palette: `WIDTH` a row, `ROWS` rows a frame. Length: a multiple of WIDTH."""
-    grey = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
+    """Bytes as the 8-bit samples of a GIF: `WIDTH` a row, `ROWS` rows a frame. Length: a multiple of WIDTH.
+
+    Disposal goes round 1, 2, 3 and delays with it. A sample that the canvas shows already is transparent, by an index
+    that its frame doesn't use, so the payload can only be read from the rendered canvas.
+    """
     samples = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    gif = Gif(WIDTH, min(len(samples), ROWS), grey)
-    gif.images = [Image(samples[i : i + ROWS], delay=4, disposal=1) for i in range(0, len(samples), ROWS)]
+    gif = Gif(WIDTH, min(len(samples), ROWS), COLOURS)
+    canvas = np.full((gif.height, WIDTH), -1, np.int16)
+    for i in range(0, len(samples), ROWS):
+        frame = samples[i : i + ROWS]
+        area, turn = canvas[: len(frame)], i // ROWS % 3
+        used = np.bincount(frame.ravel(), minlength=256)
+        clear, shown = int(used.argmin()), area == frame
+        clear = clear if used[clear] == 0 and shown.any() else None
+        gif.images.append(Image(frame if clear is None else np.where(shown, np.uint8(clear), frame), delay=4 + turn, disposal=1 + turn, transparent=clear))
+        if turn < 2:  # 3 puts back what was there
+            area[...] = frame if turn == 0 else -1
     return write(gif)
 
 
-def unpack(media: bytes) -> tuple[bytes, np.ndarray, int]:
-    """What pack() stored, the summed histogram of its frames and their number; read from the rendered canvas."""
+def unpack(media: bytes) -> tuple[bytes, np.ndarray, int, int]:
+    """What pack() stored, the summed histogram of its frames, their number and how many have transparent samples; read
+    from the rendered canvas."""
     gif = read(media)
     if gif.fault:
         raise GifError(gif.fault)
-    parts, bins = [], np.zeros(64, dtype=np.int64)
+    parts, bins, clear = [], np.zeros(64, dtype=np.int64), 0
     for im, canvas in render(gif):
         shown = canvas[: im.indexes.shape[0]]
-        parts.append(np.ascontiguousarray(shown[..., 0]).tobytes())
+        parts.append((shown[..., 0] // 36 << 5 | shown[..., 1] // 36 << 2 | shown[..., 2] // 85).astype(np.uint8).tobytes())
         bins += histogram(shown)
-    return b"".join(parts), bins, len(parts)
+        clear += im.transparent is not None
+    return b"".join(parts), bins, len(parts), clear
 
 
 def _round_trip(batches):
@@ -361,13 +389,14 @@ def _round_trip(batches):
             for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                 raw = (text or "").encode()
                 media = pack(raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw)))
-                back, bins, n = unpack(media)
-                feature = f"frames={n};" + ",".join(f"{i}:{bins[i]}" for i in np.flatnonzero(bins))
+                back, bins, n, clear = unpack(media)
+                feature = f"frames={n};transparent={clear};" + ",".join(f"{i}:{bins[i]}" for i in np.flatnonzero(bins))
                 rows.append((doc, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], names)
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """Digest of each text stored as a GIF and read back. Null texts count as empty; every row of docs gives one."""
+    """Digest of each text stored as a GIF and read back. Null texts count as empty; every row of docs gives one, repeated
+    ones and those of null ids too. feature: frames, those with transparent samples, and the colour histogram."""
     return docs.select("doc_id", "text").mapInArrow(_round_trip, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -1,7 +1,9 @@
 """License scans by sentence rules.
 
-Texts are cut into sentences, each normalised and looked up in a table of known licence sentences. The identifiers of
-the sentences found, in order, are matched against ordered licence rules; the first rule that matches names the licence.
+Comment signs at the heads of lines go, and a text is cut into sentences at marks and at blank lines, so wrapped lines stay
+together. Each sentence is normalised and looked up in a table of known licence sentences; titles and copyright lines may
+stand before a known one. A sentence that is not known as a whole is looked up line by line. The identifiers of what was
+found, in order, are matched against ordered licence rules: of each family the first rule that matches names the licence.
 """
 
 from __future__ import annotations
@@ -9,111 +11,212 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Where sentences end: a mark before white space or the end, or a line feed.
-CUT = r"[.!?;:]+(?:[ \t\r\f]+|$)|[.!?;:]*\n+[ \t]*"
+#: Comment signs, where sentences end (a mark before white space or the end, or a blank line), and characters of no word.
+SIGNS, CUT, REST = r"(?m)^[ \t]*(?://+|/?\*+/?|#+|;+|--+|%+|<!--|rem )[ \t]?", r"[.!?;:]+(?:[ \t\r\f\n]+|$)|\n[ \t\r\f]*\n", "[^a-z0-9]+"
+#: Words by whose last a known sentence is looked up.
+KEY = 3
 
 # Identifiers and normalised sentences (lower case, letters and digits, single spaces) of public licences.
 SENTENCES = {
     "mit-release": "released under the mit license",
     "mit-licensed": "licensed under the mit license",
+    "mit-terms": "licensed under the terms of the mit license",
     "mit-this": "this project is licensed under the mit license",
+    "mit-subject": "subject to the mit license",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    "mit0-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so",
     "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "as-is": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    "mit-liable": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-grant-and": "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "zero-bsd-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "isc-warranty": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
     "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-advertising": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
     "bsd-licensed": "licensed under the bsd license",
+    "bsd-3-licensed": "licensed under the bsd 3 clause license",
+    "bsd-2-licensed": "licensed under the bsd 2 clause license",
+    "bsd-style": "use of this source code is governed by a bsd style license that can be found in the license file",
     "apache-licensed": "licensed under the apache license version 2 0",
     "apache-licensed-the-license": "licensed under the apache license version 2 0 the license",
     "apache-released": "released under the apache license version 2 0",
     "apache-may-not": "you may not use this file except in compliance with the license",
     "apache-obtain": "you may obtain a copy of the license at",
-    "gpl-work-3": "this work is licensed under the gnu general public license version 3",
-    "gpl-work-2": "this work is licensed under the gnu general public license version 2",
+    "apache-obtain-url": "you may obtain a copy of the license at http www apache org licenses license 2 0",
+    "apache-unless": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "apache-see": "see the license for the specific language governing permissions and limitations under the license",
     "gpl-free": "this program is free software",
-    "gpl-terms-2": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "gpl-terms-3": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "lgpl-work-3": "this work is licensed under the gnu lesser general public license version 3",
-    "agpl-work-3": "this work is licensed under the gnu affero general public license version 3",
-    "mpl-terms": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "cc-by": "licensed under cc by 4 0",
-    "cc-by-sa": "licensed under cc by sa 4 0",
-    "cc-by-nc": "licensed under cc by nc 4 0",
-    "cc-by-nc-sa": "licensed under cc by nc sa 4 0",
-    "cc-by-nd": "licensed under cc by nd 4 0",
+    "lgpl-free": "this library is free software",
+    "gpl-file-free": "this file is free software",
+    "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty",
+    "mpl-terms": "this source code form is subject to the terms of the mozilla public license v",
+    "mpl-terms-2": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "mpl-copy": "if a copy of the mpl was not distributed with this file you can obtain one at",
+    "epl-terms-2": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0",
+    "epl-terms-1": "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0",
+    "boost-distributed": "distributed under the boost software license version 1 0",
+    "boost-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "zlib-origin": "the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+    "zlib-origin-cut": "the origin of this software must not be misrepresented",
+    "wtfpl": "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",
     "cc0": "licensed under cc0 1 0",
+    "cc0-dedicated": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
     "public-domain": "this work is in the public domain",
+    "public-domain-placed": "this file has been placed in the public domain",
     "unlicense": "this is free and unencumbered software released into the public domain",
+    "unlicense-anyone": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
     "reserved": "all rights reserved",
 }
 
-# Licences and the sequences of identifiers that make them, the first that matches counting.
+# Families, licences and the sequences of identifiers that make them; of a family the first that matches counts.
 RULES = [
-    ("MIT", "mit-grant,mit-notice"),
-    ("MIT", "mit-grant"),
-    ("ISC", "isc-grant"),
-    ("BSD-3-Clause", "bsd-redistribution,bsd-source,bsd-binary,bsd-endorse"),
-    ("BSD-2-Clause", "bsd-redistribution,bsd-source,bsd-binary"),
-    ("Apache-2.0", "apache-licensed-the-license,apache-may-not,apache-obtain"),
-    ("GPL-3.0-or-later", "gpl-free,gpl-terms-3"),
-    ("GPL-2.0-or-later", "gpl-free,gpl-terms-2"),
-    ("MPL-2.0", "mpl-terms"),
-    ("AGPL-3.0", "agpl-work-3"),
-    ("LGPL-3.0", "lgpl-work-3"),
-    ("GPL-3.0", "gpl-work-3"),
-    ("GPL-2.0", "gpl-work-2"),
-    ("CC-BY-NC-SA-4.0", "cc-by-nc-sa"),
-    ("CC-BY-NC-4.0", "cc-by-nc"),
-    ("CC-BY-ND-4.0", "cc-by-nd"),
-    ("CC-BY-SA-4.0", "cc-by-sa"),
-    ("CC-BY-4.0", "cc-by"),
-    ("CC0-1.0", "cc0"),
-    ("Apache-2.0", "apache-licensed-the-license"),
-    ("Apache-2.0", "apache-licensed"),
-    ("Apache-2.0", "apache-released"),
-    ("MIT", "mit-release"),
-    ("MIT", "mit-licensed"),
-    ("MIT", "mit-this"),
-    ("BSD", "bsd-licensed"),
-    ("Unlicense", "unlicense"),
-    ("Public-Domain", "public-domain"),
-    ("Proprietary", "reserved"),
+    ("mit", "MIT", "mit-grant,mit-notice"),
+    ("mit", "MIT", "mit-grant"),
+    ("mit", "MIT-0", "mit0-grant"),
+    ("isc", "ISC", "isc-grant"),
+    ("isc", "ISC", "isc-grant-and"),
+    ("isc", "0BSD", "zero-bsd-grant"),
+    ("bsd", "BSD-4-Clause", "bsd-redistribution,bsd-source,bsd-binary,bsd-advertising"),
+    ("bsd", "BSD-3-Clause", "bsd-redistribution,bsd-source,bsd-binary,bsd-endorse"),
+    ("bsd", "BSD-2-Clause", "bsd-redistribution,bsd-source,bsd-binary"),
+    ("apache", "Apache-2.0", "apache-licensed-the-license,apache-may-not,apache-obtain"),
+    ("mpl", "MPL-2.0", "mpl-terms"),
+    ("mpl", "MPL-2.0", "mpl-terms-2"),
+    ("epl", "EPL-2.0", "epl-terms-2"),
+    ("epl", "EPL-1.0", "epl-terms-1"),
+    ("boost", "BSL-1.0", "boost-grant"),
+    ("boost", "BSL-1.0", "boost-distributed"),
+    ("zlib", "Zlib", "zlib-grant"),
+    ("wtfpl", "WTFPL", "wtfpl"),
+    ("cc0", "CC0-1.0", "cc0"),
+    ("cc0", "CC0-1.0", "cc0-dedicated"),
+    ("apache", "Apache-2.0", "apache-licensed-the-license"),
+    ("apache", "Apache-2.0", "apache-licensed"),
+    ("apache", "Apache-2.0", "apache-released"),
+    ("mit", "MIT", "mit-release"),
+    ("mit", "MIT", "mit-licensed"),
+    ("mit", "MIT", "mit-terms"),
+    ("mit", "MIT", "mit-this"),
+    ("mit", "MIT", "mit-subject"),
+    ("bsd", "BSD-3-Clause", "bsd-3-licensed"),
+    ("bsd", "BSD-2-Clause", "bsd-2-licensed"),
+    ("bsd", "BSD", "bsd-licensed"),
+    ("bsd", "BSD", "bsd-style"),
+    ("public", "Unlicense", "unlicense"),
+    ("public", "Public-Domain", "public-domain"),
+    ("public", "Public-Domain", "public-domain-placed"),
+    ("reserved", "Proprietary", "reserved"),
 ]
 
 
+def _add_families() -> None:
+    """Sentences and rules of the licences that differ in a name and a version only."""
+    gnu = (("GPL", "gnu general public license", ("2", "3")), ("LGPL", "gnu lesser general public license", ("2.1", "3")), ("LGPL", "gnu library general public license", ("2",)), ("AGPL", "gnu affero general public license", ("3",)))
+    for short, name, versions in gnu:
+        for v in versions:
+            said, full = v.replace(".", " "), v if "." in v else f"{v}.0"
+            terms = f"you can redistribute it and or modify it under the terms of the {name}"
+            kinds = {
+                "later": f"{terms} as published by the free software foundation either version {said} of the license or at your option any later version",
+                "only": f"{terms} as published by the free software foundation version {said} of the license",
+                "kernel": f"{terms} version {said} as published by the free software foundation",
+                "work": f"this work is licensed under the {name} version {said}",
+                "licensed": f"licensed under the {name} version {said}",
+            }
+            for kind, sentence in kinds.items():
+                key = f"{name.split()[1][:7]}-{said.replace(' ', '-')}-{kind}"
+                SENTENCES[key] = sentence
+                # licences of one text may differ in version, so each is a family of its own
+                RULES.insert(9, (f"{short}-{full}", f"{short}-{full}" + {"later": "-or-later", "only": "-only", "kernel": "-only"}.get(kind, ""), key))
+    for kind in ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd"):
+        for v in ("2.0", "2.5", "3.0", "4.0"):
+            words = f"cc {kind} {v}".replace("-", " ").replace(".", " ")
+            names = {"by": "attribution", "sa": "sharealike", "nd": "noderivatives", "nc": "noncommercial"}
+            long = " ".join(names[x] for x in kind.split("-"))
+            for i, sentence in enumerate((f"licensed under {words}", f"this work is licensed under a creative commons {long} {v.replace('.', ' ')} international license", f"licensed under a creative commons {long} {v.replace('.', ' ')} license")):
+                key = f"cc-{kind}-{v.replace('.', '-')}-{i}"
+                SENTENCES[key] = sentence
+                RULES.insert(9, ("cc", f"CC-{kind.upper()}-{v}", key))
+
+
+_add_families()
+
+
+def _by_end() -> dict[str, list[tuple[str, str]]]:
+    """Known sentences by their last words, the longest first."""
+    out: dict[str, list[tuple[str, str]]] = {}
+    for name, sentence in SENTENCES.items():
+        out.setdefault(" ".join(sentence.split()[-KEY:]), []).append((sentence, name))
+    return {k: sorted(v, key=lambda x: (-len(x[0]), x[1])) for k, v in out.items()}
+
+
 def sentence_ids(text: Column) -> Column:
     """The identifiers of the known sentences of a text, in order; no text: none."""
-    normal = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-    known = F.create_map(*(F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)))
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), CUT), lambda s: F.try_element_at(known, normal(s))), lambda s: s.isNotNull())
+    table = _by_end()
+    known = F.create_map(*(x for end, rows in table.items() for x in (F.lit(end), F.array(*(F.struct(F.lit(s).alias("s"), F.lit(n).alias("n")) for s, n in rows)))))
+    plain = lambda s: F.trim(F.regexp_replace(F.lower(s), REST, " "))
+
+    def found(s):
+        """What a normalised sentence is, or ends with after a title."""
+        end = F.substring_index(s, " ", -KEY)
+        return F.get(F.filter(F.try_element_at(known, end), lambda k: (s == k["s"]) | F.endswith(s, F.concat(F.lit(" "), k["s"]))), F.lit(0))["n"]
+
+    def parts(s):
+        whole = found(plain(s))
+        return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.filter(F.transform(F.split(s, "\n"), lambda x: found(plain(x))), lambda x: x.isNotNull()))
 
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), SIGNS, "")
+    return F.flatten(F.transform(F.split(bare, CUT), parts))
 
-def licence(sequence: Column, rules: list[tuple[str, str]] = RULES) -> Column:
-    """The first rule's licence whose identifiers stand in a row in the comma-joined sequence; UNKNOWN if none, NONE without sentences."""
-    out = F.when(sequence == "", "NONE")
-    for name, ids in rules:
-        out = out.when(F.contains(F.concat(F.lit(","), sequence, F.lit(",")), F.lit(f",{ids},")), name)
-    return out.otherwise("UNKNOWN")
+
+def licences(sequence: Column, rules: list[tuple[str, str, str]] | None = None) -> Column:
+    """The licences whose identifiers stand in a row in the comma-joined sequence, in its order and comma-joined: of each
+    family the first rule that matches. UNKNOWN if none, NONE without sentences."""
+    rules = RULES if rules is None else rules
+    table = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(f).alias("family"), F.lit(n).alias("name"), F.lit(f",{ids},").alias("ids")) for i, (f, n, ids) in enumerate(rules)))
+    line = F.concat(F.lit(","), sequence, F.lit(","))
+    met = F.filter(table, lambda r: F.contains(line, r["ids"]))
+    first = F.filter(met, lambda r: ~F.exists(met, lambda o: (o["family"] == r["family"]) & (o["i"] < r["i"])))
+    ordered = F.array_sort(F.transform(first, lambda r: F.struct(F.call_function("instr", line, r["ids"]).alias("at"), r["i"].alias("i"), r["name"].alias("name"))))
+    names = F.array_join(F.transform(ordered, lambda r: r["name"]), ",")
+    return F.when(sequence == "", "NONE").when(names == "", "UNKNOWN").otherwise(names)
 
 
 def recognise(docs: DataFrame) -> DataFrame:
-    """doc_id, n_known, sentence_ids (comma-joined) and license of each row of docs (doc_id, text). One pass, no shuffle."""
+    """doc_id, n_known, sentence_ids (comma-joined) and license of each row of docs (doc_id, text). One pass, no shuffle.
+
+    Null and empty texts have no sentences (NONE); repeated rows and null ids give a row each; other columns are not
+    looked at. Known sentences without a rule give UNKNOWN.
+    """
     ids = docs.select("doc_id", sentence_ids(F.col("text")).alias("ids"))
     found = ids.select("doc_id", F.size("ids").cast("long").alias("n_known"), F.array_join("ids", ",").alias("sentence_ids"))
-    return found.select("*", licence(F.col("sentence_ids")).alias("license"))
+    return found.select("*", licences(F.col("sentence_ids")).alias("license"))
 
 
 def sql() -> str:
     """The same over table documents in DuckDB's SQL."""
     table = ", ".join(f"('{s}', '{n}')" for n, s in SENTENCES.items())
-    cases = " ".join(f"WHEN contains(',' || sentence_ids || ',', ',{ids},') THEN '{name}'" for name, ids in RULES)
+    rules = ", ".join(f"({i}, '{f}', '{n}', ',{ids},')" for i, (f, n, ids) in enumerate(RULES))
+    plain = lambda x: f"trim(regexp_replace(lower({x}), '{REST}', ' ', 'g'))"
     return f"""
 WITH known(sentence, id) AS (VALUES {table}),
-cut AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '{CUT}')) AS s, generate_subscripts(string_split_regex(coalesce(text, ''), '{CUT}'), 1) AS i FROM documents),
-hits AS (SELECT doc_id, i, id FROM cut JOIN known ON trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) = sentence),
-ids AS (SELECT doc_id, count(*) AS n_known, string_agg(id, ',' ORDER BY i) AS sentence_ids FROM hits GROUP BY doc_id),
-rows AS (SELECT d.doc_id, coalesce(n_known, 0) AS n_known, coalesce(sentence_ids, '') AS sentence_ids FROM documents d LEFT JOIN ids USING (doc_id))
-SELECT doc_id, n_known, sentence_ids, CASE WHEN sentence_ids = '' THEN 'NONE' {cases} ELSE 'UNKNOWN' END AS license FROM rows"""
+rules(i, family, name, ids) AS (VALUES {rules}),
+bare AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(coalesce(text, ''), '{SIGNS}', '', 'g') AS t FROM documents),
+cut AS (SELECT r, unnest(string_split_regex(t, '{CUT}')) AS s, generate_subscripts(string_split_regex(t, '{CUT}'), 1) AS i FROM bare),
+lines AS (SELECT r, i, s, unnest(string_split(s, chr(10))) AS l, generate_subscripts(string_split(s, chr(10)), 1) AS j FROM cut),
+ends AS (SELECT DISTINCT array_to_string(string_split(sentence, ' ')[-{KEY}:], ' ') AS e FROM known),
+norm AS (SELECT r, i, j, {plain('s')} AS whole, {plain('l')} AS line FROM lines),
+likely AS (SELECT * FROM norm WHERE array_to_string(string_split(whole, ' ')[-{KEY}:], ' ') IN (SELECT e FROM ends) OR array_to_string(string_split(line, ' ')[-{KEY}:], ' ') IN (SELECT e FROM ends)),
+texts AS (SELECT DISTINCT whole AS x FROM likely UNION SELECT line FROM likely),
+named AS (SELECT x, max_by(id, length(sentence)) AS id FROM texts JOIN known ON x = sentence OR ends_with(x, ' ' || sentence) GROUP BY x),
+hits AS (SELECT s.r, s.i, s.j, coalesce(w.id, n.id) AS id FROM likely s LEFT JOIN named w ON s.whole = w.x LEFT JOIN named n ON s.line = n.x AND w.id IS NULL WHERE w.id IS NULL AND n.id IS NOT NULL OR w.id IS NOT NULL AND s.j = (SELECT min(j) FROM likely o WHERE o.r = s.r AND o.i = s.i)),
+ids AS (SELECT r, count(*) AS n_known, string_agg(id, ',' ORDER BY i, j) AS sentence_ids FROM hits GROUP BY r),
+met AS (SELECT ids.r, rules.i, name, instr(',' || sentence_ids || ',', rules.ids) AS place, row_number() OVER (PARTITION BY ids.r, family ORDER BY rules.i) AS turn FROM ids JOIN rules ON contains(',' || sentence_ids || ',', rules.ids)),
+named_licences AS (SELECT r, string_agg(name, ',' ORDER BY place, i) AS license FROM met WHERE turn = 1 GROUP BY r)
+SELECT doc_id, coalesce(n_known, 0) AS n_known, coalesce(sentence_ids, '') AS sentence_ids, CASE WHEN sentence_ids IS NULL THEN 'NONE' ELSE coalesce(license, 'UNKNOWN') END AS license
+FROM bare LEFT JOIN ids USING (r) LEFT JOIN named_licences USING (r)"""

@@ -16,8 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marea.llm import common as C
 from marea.llm.windows import slices
 
+#: Verdicts up to which they are broadcast to their uses; beyond it both are shuffled, and a copied value's uses are split as skew.
+BROADCAST_ROWS = 1_000_000
+
 KINDS = ("assign", "access", "hex", "live", "example")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 _WORDS = ("password", "passwd", "secret", "token", "api")
@@ -78,9 +82,11 @@ def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None
     owner = F.coalesce(owner if owner is not None else F.col("source"), F.lit("?"))
     repository = F.coalesce(repository if repository is not None else F.concat_ws("/", F.coalesce("source", F.lit("?")), F.coalesce("lang", F.lit("?"))), F.lit("?"))
     rows = docs.select("doc_id", F.expr("xxhash64(text)").alias("text_id"), owner.alias("owner"), repository.alias("repository"), "text")
-    found = rows.mapInArrow(_scan, SCAN).repartition("doc_id")  # used twice, scanned once
+    found = C.materialise(rows.mapInArrow(_scan, SCAN))  # used three times, scanned once
     hits = found.filter(F.size("hits") > 0).select("doc_id", "text_id", "owner", "repository", F.explode("hits").alias("hit")).select("doc_id", "text_id", "owner", "repository", "hit.*")
     judged = ownership(hits, **limits).filter("verdict is not null").select("value", F.when(F.col("verdict") == "live", 3).otherwise(4).alias("kind"))
+    judged = C.materialise(judged)
+    judged = F.broadcast(judged) if judged.count() <= BROADCAST_ROWS else judged
     added = hits.select("doc_id", "text_id", "value", "start", "end").join(judged, "value").groupBy("doc_id", "text_id").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))
     added = added.withColumnsRenamed({"doc_id": "of", "text_id": "of_text"})
     return found.join(added, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_id") == F.col("of_text")), "left").select("doc_id", "base", F.coalesce("added", F.expr("cast(array() as array<struct<kind: int, start: int, end: int>>)")).alias("added"))

@@ -107,6 +107,55 @@ def test_secrets(spark):
     assert secrets.digest(df.limit(0)).count() == 0
 
 
+MIT = """The MIT License (MIT)
+
+Copyright (c) 2020 A. Person
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD = """Copyright (c) 2020, A. Person
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+APACHE = """# Copyright 2020 A. Person
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+
+
+def gnu(name, version, program="program"):
+    return f"""/*
+ * This {program} is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU {name}
+ * as published by the Free Software Foundation; either version {version}
+ * of the License, or (at your option) any later version.
+ */
+""".replace("Foundation;", "Foundation,")
+
+
 def test_licenses(spark):
     rows = [
         (1, "Foo bar.\nReleased under the MIT License.\nx", "mit-release", "MIT"),
@@ -114,7 +163,40 @@ def test_licenses(spark):
         (3, "Permission is hereby granted", "", "NONE"),
         (4, "This program is free software: x. This program is free software", "gpl-free,gpl-free", "UNKNOWN"),
         (5, None, "", "NONE"),
-        (6, "Licensed under CC BY-NC 4.0! " + "word. " * 5000 + "All rights reserved.", "cc-by-nc,reserved", "CC-BY-NC-4.0"),
+        (6, "Licensed under CC BY-NC 4.0! " + "word. " * 5000 + "All rights reserved.", "cc-by-nc-4-0-0,reserved", "CC-BY-NC-4.0,Proprietary"),
+        (7, "prose of a line\nReleased under the MIT License\nmore prose", "mit-release", "MIT"),
     ]
     df = spark.createDataFrame([r[:2] for r in rows] * 2, "doc_id long, text string").withColumn("id", F.lit("x"))
     assert sorted((r.doc_id, r.sentence_ids, r.license) for r in licenses.recognise(df).collect()) == sorted([(d, s, n) for d, _, s, n in rows] * 2)
+
+
+def test_licence_files(spark):
+    """Texts as they stand in files: wrapped, commented, after titles and copyright lines, several in one."""
+    endorse = "3. Neither the name of the copyright holder nor the names of its contributors\n   may be used to endorse or promote products derived from this software without\n   specific prior written permission.\n"
+    rows = [
+        (MIT, "MIT"), (BSD, "Proprietary,BSD-2-Clause"), (BSD + endorse, "Proprietary,BSD-3-Clause"), (APACHE, "Apache-2.0"), (ISC, "ISC"),
+        (gnu("General Public License", 3), "GPL-3.0-or-later"), (gnu("General Public License", 2), "GPL-2.0-or-later"),
+        (gnu("Lesser General Public License", "2.1", "library"), "LGPL-2.1-or-later"), (gnu("Affero General Public License", 3), "AGPL-3.0-or-later"),
+        (APACHE + "\n" + MIT, "Apache-2.0,MIT"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.recognise(df).collect()}
+    assert [got[i] for i in range(len(rows))] == [n for _, n in rows]
+    import duckdb
+
+    documents = df.toPandas()  # noqa: F841
+    con = duckdb.connect()
+    con.register("documents", documents)
+    assert {r[0]: r[3] for r in con.sql(licenses.sql()).fetchall()} == got
+
+
+def test_hostile_gif_and_clashing_keys(spark):
+    small = gif.pack(bytes(range(256)) * 64)
+    huge = b"GIF89a" + (32767).to_bytes(2, "little") * 2 + bytes([0x70, 0, 0]) + b"\x2c" + bytes(4) + (1).to_bytes(2, "little") * 2 + b"\x00\x02\x00\x3b"
+    df = spark.createDataFrame([(1, small), (2, huge), (3, None)], "frame long, gif binary")
+    rows = gif.decode_frames(df, ["frame"]).collect()
+    assert [(r.key_frame, r.fault) for r in rows if r.key_frame == 2] == [(2, "canvas too large")]
+    mine = sorted((r for r in rows if r.key_frame == 1), key=lambda r: r.frame)
+    assert [(r.disposal, r.delay_ms) for r in mine] == [(1, 40), (2, 50), (3, 60), (1, 40)] and {sum(r.histogram) for r in mine} == {64 * 64}
+    # equal frames: the second shows what stands there already
+    assert gif.unpack(gif.pack(b"ab" * 4096))[2:] == (2, 1)
