@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -90,32 +91,28 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_codes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash for each word: a polynomial over its bytes, from prefix sums in blocks, then mixed with the length."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    n = len(raw)
-    powers, inverse = _powers(n + 1)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_CODE[raw] * powers[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _ROLL)
-
-
-_cache: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_cache.get("p", ())) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        base, back = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
-        for name, b in (("p", base), ("i", back)):
-            a = np.ones(size, dtype=np.uint64)
-            have = 1
-            while have < size:
-                a[have : 2 * have] = a[:have] * np.uint64(pow(b, have, 2**64))
-                have *= 2
-            _cache[name] = a
-    return _cache["p"], _cache["i"]
+#: Words of more bytes get their code from BLAKE2b, one by one; shorter ones eight bytes a step, side by side.
+LONG = 128
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
+
+
+def word_codes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash for each word, its bytes mixed in eight at a time: no two words of one length up to 8 share one."""
+    size = ends - starts
+    padded = np.append(raw, np.zeros(8, np.uint8))
+    eight = np.ndarray(len(raw) + 1, "<u8", padded, 0, (1,))
+    code = mix(size.astype(np.uint64) * _ROLL + np.uint64(2 * seed + 1))
+    live, at, left = slice(None), starts, size
+    while len(at):
+        code[live] = mix(code[live] * _M1 ^ (eight[at] & _KEEP[np.minimum(left, 8)]))
+        more = (left > 8) & (size[live] <= LONG)
+        if not more.any():
+            break
+        live = np.flatnonzero(more) if isinstance(live, slice) else live[more]
+        at, left = at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG):
+        code[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8, salt=bytes([seed])).digest(), "little")
+    return code
 
 
 def grams(codes: np.ndarray, k: int) -> np.ndarray:

@@ -23,6 +23,8 @@ from marea.llm.windows import slices
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Log-probability of a byte that stands for a part of an unknown character.
 BYTE_LOG_PROB = -16.0
+#: Bytes of text whose lattices and paths are held at once.
+SLICE = 1 << 18
 SAMPLE = "sample int, log_prob double, bound double, inclusion double, ids array<int>, round_trip boolean"
 
 
@@ -100,10 +102,10 @@ class Lattice:
             known = keys[at] == key
             live, key, found = live[known], key[known], piece[at[known]]
             whole = found >= 0
-            starts.append(live[whole])
-            sizes.append(np.full(whole.sum(), length))
-            ids.append(found[whole])
-        start, size, piece = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, sizes, ids))
+            starts.append(live[whole].astype(np.int32))
+            sizes.append(np.full(whole.sum(), length, np.int32))
+            ids.append(found[whole].astype(np.int32))
+        start, size, piece = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (starts, sizes, ids))
         # characters that are no piece go by their bytes
         first = (raw & 0xC0) != 0x80
         char = np.flatnonzero(first)
@@ -114,9 +116,9 @@ class Lattice:
         single[start[size == wide[start]]] = True
         lone = ~single[char]
         inside = np.repeat(char[lone], width[lone]) + np.concatenate([np.arange(w) for w in width[lone]]) if lone.any() else np.zeros(0, np.int64)
-        start = np.concatenate([start, inside]).astype(np.int64)
-        size = np.concatenate([size, np.ones(len(inside), np.int64)]).astype(np.int64)
-        piece = np.concatenate([piece, vocabulary.byte_ids[raw[inside]]]).astype(np.int64)
+        start = np.concatenate([start, inside]).astype(np.int32)
+        size = np.concatenate([size, np.ones(len(inside), np.int32)])
+        piece = np.concatenate([piece, vocabulary.byte_ids[raw[inside]]]).astype(np.int32)
         # by start, the longest first: presorted runs, one a length
         start, size, piece = start[::-1], size[::-1], piece[::-1]
         order = np.argsort(start, kind="stable")
@@ -312,7 +314,7 @@ def sample(docs: DataFrame, key: str = "doc_id", k: int = 3, seed: int = 0, thet
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, limit=4 << 20):
+            for part in slices(batch, limit=SLICE):
                 keys = part.column("key").fill_null(0).to_numpy().astype(np.int64)
                 found = sample_slice(part.column("text"), keys, held.value, k, seed, theta)
                 n = [len(x) for x in found]
