@@ -17,7 +17,15 @@ _BYTE_CODE = np.random.default_rng(20_24).integers(1, 2**63, 256, dtype=np.uint6
 _M1, _M2, _ROLL = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
+def lean(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch where the session has Spark's own number: texts are long, and a batch lies in memory twice."""
+    name, usual = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(name, usual) == usual:
+        spark.conf.set(name, "1000")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -33,6 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Writes a frame to the shared folder and reads it back: cuts the lineage in a way that survives lost executors."""
     spark = df.sparkSession
+    lean(spark)
     path = f"{shared_dir(spark)}/marea/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

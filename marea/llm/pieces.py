@@ -310,6 +310,7 @@ def sample(docs: DataFrame, key: str = "doc_id", k: int = 3, seed: int = 0, thet
     the first k given the threshold, 1 where all segmentations are out; round_trip: decoding gave the text back. Rows
     of one key and text have the same samples; a null key counts as 0. theta scales the log-probabilities.
     """
+    C.lean(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(load(model))
 
     def run(batches):
