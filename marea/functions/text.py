@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented Latin letters and the ASCII letters they fold to.
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCY"
+def _folded() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters beyond ASCII and the ASCII that their compatibility decomposition holds: those of one character, and longer."""
+    one, more = {}, {}
+    for code in range(0x80, 0x10000):
+        c = chr(code)
+        plain = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+        if plain:
+            (one if len(plain) == 1 else more)[c] = plain
+    return one, more
+
+
+_ONE, _MORE = _folded()
+ACCENTED, PLAIN = "".join(_ONE), "".join(_ONE.values()).replace("'", " ")
 
 # Markers that stand for a missing text.
 EMPTY_MARKERS = ("", "nan", "none", "null", "nat")
@@ -50,8 +62,12 @@ def known(value: Column) -> Column:
 
 
 def fold(value: Column) -> Column:
-    """Lower case without accents or other signs beyond ASCII."""
-    return F.regexp_replace(F.translate(F.lower(text(value)), ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
+    """Lower case without accents or other signs beyond ASCII; letters and signs that hold ASCII ones fold to these."""
+    lower = F.lower(text(value))
+    table = F.create_map(*(F.lit(x) for pair in _MORE.items() for x in pair))
+    letters = F.transform(F.split(lower, ""), lambda c: F.coalesce(F.try_element_at(table, c), c))
+    whole = F.when(lower.rlike("[" + "".join(_MORE) + "]"), F.array_join(letters, "")).otherwise(lower)
+    return F.lower(F.regexp_replace(F.translate(whole, ACCENTED, PLAIN), r"[^\x00-\x7F]", ""))
 
 
 def comparable(value: Column) -> Column:

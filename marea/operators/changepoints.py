@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "topic string, changepoint date, level_before double, level_after double"
-STABILITY = "topic string, changepoint date, stability double, confidence string"
+STABILITY = "topic string, changepoint date, stability double, confidence string, max_stability double, max_confidence string"
 
 
 def breaks(x: np.ndarray, penalty: float, least: int = 2, jump: int = 5) -> list[int]:
@@ -42,10 +42,10 @@ def _series(pdf: pd.DataFrame):
     return pdf["bucket"].to_numpy(), pdf["value"].to_numpy(dtype=float)
 
 
-def changepoints(series: DataFrame, value: str = "focus_rate", penalty: float = 6.0, least_points: int = 10, scale: float = 100.0, topic: str = "topic", order: str = "bucket") -> DataFrame:
+def changepoints(series: DataFrame, value: str = "focus_rate", penalty: float = 6.0, least_points: int = 10, scale: float = 1.0, topic: str = "topic", order: str = "bucket") -> DataFrame:
     """Per topic the last bucket before each break, with the mean on both sides. Short series have none.
 
-    scale: the values are measured in points (rates times 100) unless told otherwise. One group is one topic's series.
+    scale: what values are multiplied by before the penalty, 100 for rates in points. One group is one topic's series.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -59,30 +59,34 @@ def changepoints(series: DataFrame, value: str = "focus_rate", penalty: float =
     return rows.groupBy("topic").applyInPandas(run, SCHEMA)
 
 
-def stable_changepoints(series: DataFrame, value: str = "focus_rate", penalty: float = 6.0, draws: int = 200, block: int = 2, near: int = 1, least_points: int = 10, scale: float = 100.0, topic: str = "topic", order: str = "bucket", seed: int = 7) -> DataFrame:
-    """Each changepoint with the share of resampled series that break within `near` points of it: High from .70, Medium from .40.
+def stable_changepoints(series: DataFrame, value: str = "focus_rate", penalty: float = 6.0, draws: int = 200, block: int = 2, near: int = 1, least_points: int = 10, scale: float = 1.0, topic: str = "topic", order: str = "bucket", seed: int = 7) -> DataFrame:
+    """Each changepoint with the share of resampled series that break within `near` points of it: High from .70, Medium from
+    .40; and the topic's largest share, with its level.
 
-    A resampled series is the segment means with moving blocks of residuals; draws depend on the topic and the seed only.
+    A resampled series is made of `block` points in a row of the series, from places drawn evenly, until it is as long;
+    draws depend on the topic and the seed only.
     """
 
+    def level(share: float) -> str:
+        return "High" if share >= 0.70 else "Medium" if share >= 0.40 else "Low"
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         dates, x = _series(pdf)
         n = len(x)
         at = breaks(x * scale, penalty) if n >= least_points else []
         rows = []
         if at:
-            ends = [0, *at, n]
-            mean = np.concatenate([np.full(b - a, x[a:b].mean()) for a, b in zip(ends, ends[1:])])
-            rest = x - mean
             r = np.random.default_rng([seed, zlib.crc32(str(pdf["topic"].iloc[0]).encode())])
+            # so many blocks that even those cut off at the end suffice
+            starts = r.integers(0, max(1, n - block), (draws, n))
             hits = np.zeros(len(at))
-            for _ in range(draws):
-                starts = r.integers(0, n - block + 1, -(-n // block))
-                again = breaks((mean + rest[(starts[:, None] + np.arange(block)).ravel()[:n]]) * scale, penalty)
+            for own in starts:
+                places = (own[:, None] + np.arange(block)).ravel()
+                again = breaks(x[places[places < n][:n]] * scale, penalty)
                 hits += [any(abs(a - b) <= near for b in again) for a in at]
-            for a, h in zip(at, hits / draws):
-                rows.append((pdf["topic"].iloc[0], dates[a - 1], float(h), "High" if h >= 0.70 else "Medium" if h >= 0.40 else "Low"))
-        return pd.DataFrame(rows, columns=["topic", "changepoint", "stability", "confidence"])
+            shares = hits / draws
+            rows = [(pdf["topic"].iloc[0], dates[a - 1], float(h), level(h), float(shares.max()), level(shares.max())) for a, h in zip(at, shares)]
+        return pd.DataFrame(rows, columns=["topic", "changepoint", "stability", "confidence", "max_stability", "max_confidence"])
 
     rows = series.select(F.col(topic).alias("topic"), F.col(order).alias("bucket"), F.col(value).cast("double").alias("value"))
     return rows.groupBy("topic").applyInPandas(run, STABILITY)

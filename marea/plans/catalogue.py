@@ -1,25 +1,4 @@
-"""The registered queries: one name an operator of the inventory, with its SQL where SQL can say the same."""
+"""All registered queries."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Registers a function (spark, folder) -> DataFrame and its SQL."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-from marea.plans import queries_core, queries_linking, queries_more, queries_store  # noqa: E402, F401
+from marea.plans import queries_core, queries_linking, queries_more, queries_store  # noqa: F401
+from marea.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -10,7 +10,7 @@ from marea.functions import scores as S
 from marea.functions import text as X
 from marea.operators import drivers, filters, kpis, series
 from marea.plans import views as V
-from marea.plans.catalogue import query
+from marea.plans.registry import query
 
 START, END = dt.date(1996, 1, 1), dt.date(1996, 12, 31)
 PRO, PAS, DET = "count(*) FILTER (WHERE score >= 9)", "count(*) FILTER (WHERE score BETWEEN 7 AND 8)", "count(*) FILTER (WHERE score <= 6)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marea.functions import text as X
 from marea.operators import chains, changepoints, drivers, filters, hotspots, linking, operations, rationale, topics
 from marea.plans import views as V
-from marea.plans.catalogue import query
+from marea.plans.registry import query
 from marea.plans.queries_core import OVERALL, TOPICS, R, rounded, topic_weeks
 
 WORD = r"[\p{L}\p{N}_]{2,}"
@@ -348,12 +348,12 @@ def o_k05(spark, d):
 
 @query("o_k06_changepoints")
 def o_k06(spark, d):
-    return changepoints.changepoints(topic_weeks(spark, d))
+    return changepoints.changepoints(topic_weeks(spark, d), scale=100.0)
 
 
 @query("o_k07_stable_changepoints")
 def o_k07(spark, d):
-    return changepoints.stable_changepoints(topic_weeks(spark, d))
+    return changepoints.stable_changepoints(topic_weeks(spark, d), scale=100.0)
 
 
 @query("o_k08_logit_effect")

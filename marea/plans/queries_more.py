@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marea.functions import text as X
 from marea.operators import chains, drivers, filters, rationale, series
 from marea.plans import views as V
-from marea.plans.catalogue import query
+from marea.plans.registry import query
 from marea.plans.queries_core import TOPICS, R, driver_sql, rounded, topic_weeks
 from marea.plans.queries_linking import ENRICHED, RANK, _enriched
 from marea.sources import ingest

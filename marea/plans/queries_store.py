@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marea.functions import text as X
 from marea.operators import filters, kpis, quality
 from marea.plans import views as V
-from marea.plans.catalogue import query
+from marea.plans.registry import query
 from marea.plans.queries_core import R, rounded
 from marea.sources import ingest, store
 
@@ -77,7 +77,7 @@ def o_a10(spark, d):
 def o_a11(spark, d):
     r = V.responses(spark, d)
     first = r.agg(F.min("lever")).first()[0]
-    return store.subset(r, ["lever", "score"], levers=[first]).groupBy("lever").agg(F.count(F.lit(1)).alias("n"))
+    return store.hot_subset(r, "responses", columns=["lever", "score"], levers=[first]).groupBy("lever").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("o_a12_compact_index", f"{V.BASE} SELECT day AS event_day, lever, channel, count(*) AS n, {R('avg(score)', 'nps_avg')}, {R('avg(CASE WHEN score >= 9 THEN 1.0 ELSE 0 END)', 'promoter_rate')}, {R('avg(CASE WHEN score <= 6 THEN 1.0 ELSE 0 END)', 'detractor_rate')}, {R('100 * (avg(CASE WHEN score >= 9 THEN 1.0 ELSE 0 END) - avg(CASE WHEN score <= 6 THEN 1.0 ELSE 0 END))', 'nps_classic')} FROM responses GROUP BY 1, 2, 3")

@@ -61,15 +61,23 @@ def subset(df: DataFrame, columns: list[str] | None = None, start=None, end=None
     return df.select(*columns) if columns else df
 
 
-_hot: dict[tuple, DataFrame] = {}
+_hot: dict[str, tuple[tuple, DataFrame]] = {}
 
 
 def hot_subset(df: DataFrame, name: str, **selection) -> DataFrame:
-    """A subset that is kept for the next one who asks for the same."""
-    key = (name, json.dumps(selection, sort_keys=True, default=str))
-    if key not in _hot:
-        _hot[key] = subset(df, **selection).persist()
-    return _hot[key]
+    """A subset that is kept for the next one who asks for the same of the same data; what was kept by the name before goes.
+
+    The same data: the same session, plan and files. A snapshot that was written anew has other files.
+    """
+    spark = df.sparkSession
+    key = (spark.sparkContext.applicationId, df.semanticHash(), tuple(sorted(df.inputFiles())), json.dumps(selection, sort_keys=True, default=str))
+    known = _hot.get(name)
+    if known and known[0] == key:
+        return known[1]
+    if known and known[0][0] == key[0]:
+        known[1].unpersist()
+    _hot[name] = (key, subset(df, **selection).persist())
+    return _hot[name][1]
 
 
 def merge(current: DataFrame, batch: DataFrame, upload_id: str) -> tuple[DataFrame, DataFrame]:
@@ -119,7 +127,7 @@ class RecordStore:
 
     def current(self) -> DataFrame:
         pointers = self.table("pointers", "snapshot string, at timestamp")
-        last = pointers.orderBy(F.desc("at")).limit(1).collect()
+        last = pointers.orderBy(F.desc("at"), F.desc("snapshot")).limit(1).collect()
         return self.spark.read.parquet("/".join([self.root, "records", last[0]["snapshot"]])) if last else self.spark.createDataFrame([], RECORDS)
 
     def seen(self, context: str, file_hash: str) -> bool:

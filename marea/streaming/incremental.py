@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +23,18 @@ def new_files(stream: DataFrame, late: str = "7 days") -> DataFrame:
     return stream.withWatermark("at", late).dropDuplicatesWithinWatermark(["context", "file_hash"])
 
 
-def merge_into(stream: DataFrame, store, context: str, checkpoint: str):
-    """Merges each micro-batch of (business_key, record_fingerprint, payload) into a record store, once each."""
+def merge_into(stream: DataFrame, store, context: str, checkpoint: str, order: str = "record_fingerprint"):
+    """Merges each micro-batch of (business_key, record_fingerprint, payload) into a record store, once each.
+
+    A batch is known by the stream's own id and its number, so another stream, or one with a new checkpoint, is never
+    taken for a repeated upload. Of a key's rows in one batch that of the largest `order` counts.
+    """
 
     def run(batch: DataFrame, epoch: int) -> None:
-        store.upload(batch.dropDuplicates(["business_key"]), context, f"epoch-{epoch}")
+        own = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or stream_id
+        rest = [c for c in batch.columns if c != "business_key"]
+        last = batch.groupBy("business_key").agg(F.max_by(F.struct(*rest), F.col(order)).alias("r")).select("business_key", "r.*")
+        store.upload(last.select(batch.columns), context, f"{own}-{epoch}")
 
+    stream_id = uuid.uuid4().hex  # where the session doesn't tell: a restart merges its last batch again, which changes nothing
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -103,3 +103,14 @@ def test_profile_and_outliers(spark):
     got = {r.column: r for r in quality.profile(df).collect()}
     assert (got["c"].missing, got["c"].distinct, got["x"].missing_share) == (1, 2, 0.0)
     assert filters.outliers(df, "x", 1.5).count() == 1 and filters.outliers(df.filter("x = 1"), "x").count() == 0
+    many = spark.range(10).selectExpr("9 - id as x", "cast(null as string) as c").union(spark.range(2).selectExpr("id", "'q'"))
+    got = {r.column: r.samples for r in quality.profile(many).collect()}
+    assert got == {"x": ["0", "1", "2", "3", "4"], "c": ["q"]}
+
+
+def test_fold(spark):
+    df = spark.createDataFrame([("Őszi Škoda ﬁn",), ("ÑANDÚ ½ ﬄ",), ("ascii",), (None,)], "x string")
+    import unicodedata
+
+    want = [unicodedata.normalize("NFKD", (r[0] or "").lower()).encode("ascii", "ignore").decode() for r in df.collect()]
+    assert [r[0] for r in df.select(X.fold(F.col("x"))).collect()] == want

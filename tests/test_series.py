@@ -125,7 +125,10 @@ def test_hotspots(spark):
 def test_changepoints(spark):
     rows = [(dt.date(2026, 1, 5) + dt.timedelta(weeks=i), "t", 0.1 if i < 10 else 0.5) for i in range(20)] + [(dt.date(2026, 1, 5), "short", 0.1)]
     df = spark.createDataFrame(rows, "bucket date, topic string, focus_rate double")
-    got = changepoints.stable_changepoints(df, draws=20).collect()
-    assert [(r.topic, r.changepoint, r.confidence) for r in got] == [("t", dt.date(2026, 3, 9), "High")]
+    assert changepoints.changepoints(df).count() == 0  # a rate's errors are below the penalty
+    got = changepoints.stable_changepoints(df, draws=50, scale=100.0).collect()
+    assert [(r.topic, r.changepoint) for r in got] == [("t", dt.date(2026, 3, 9))]
+    assert 0 <= got[0].stability <= 1 and got[0].max_stability == got[0].stability and got[0].max_confidence == got[0].confidence
+    assert got == changepoints.stable_changepoints(df.orderBy(F.rand()), draws=50, scale=100.0).collect()
     x = np.r_[np.zeros(20), np.ones(20) * 9]
     assert changepoints.breaks(x, 6.0) == [20] and changepoints.breaks(np.zeros(20), 6.0) == []

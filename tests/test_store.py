@@ -106,3 +106,32 @@ def test_queries_run(spark, name):
     import __spark_entry__
 
     assert __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_hot_subset_follows_the_data(spark):
+    one = spark.createDataFrame([("a", 1)], "lever string, score int")
+    more = spark.createDataFrame([("a", 1), ("a", 2)], "lever string, score int")
+    assert store.hot_subset(one, "x", columns=["score"], levers=["a"]).count() == 1
+    assert store.hot_subset(more, "x", columns=["score"], levers=["a"]).count() == 2
+    assert store.hot_subset(more, "x", columns=["score"], levers=["b"]).count() == 0
+    assert store.hot_subset(more, "x", columns=["score"], levers=["b"]) is store.hot_subset(more, "x", columns=["score"], levers=["b"])
+
+
+def test_streams_don_t_pass_for_each_other(spark, tmp_path):
+    """Two streams with batches of the same numbers are both merged; of a key's rows the largest in order counts."""
+    from marea.streaming import incremental
+
+    s = store.RecordStore(spark, f"file://{tmp_path}/s")
+    schema = "business_key string, record_fingerprint string, payload string"
+    for name, rows in (("one", [("k1", "f1", "p1"), ("k1", "f2", "p2")]), ("two", [("k2", "f3", "p3")])):
+        spark.createDataFrame(rows, schema).write.json(f"file://{tmp_path}/{name}")
+        stream = spark.readStream.schema(schema).json(f"file://{tmp_path}/{name}")
+        incremental.merge_into(stream, s, "c", f"file://{tmp_path}/{name}-state").awaitTermination()
+    assert sorted((r.business_key, r.payload) for r in s.current().collect()) == [("k1", "p2"), ("k2", "p3")]
+
+
+def test_each_module_imports_alone():
+    import subprocess
+
+    for name in ("queries_core", "queries_linking", "queries_more", "queries_store", "catalogue"):
+        assert subprocess.run([sys.executable, "-c", f"import marea.plans.{name}"], capture_output=True, check=False).returncode == 0
