@@ -198,4 +198,4 @@ def remove_repeats(docs: DataFrame, length: int = 13, k: int = 5) -> DataFrame:
 
 def digest(docs: DataFrame, length: int = 13, k: int = 5) -> DataFrame:
     """One row per document: n_words, n_removed and the SHA-256 of the kept words joined by spaces."""
-    return remove_repeats(docs, length, k).mapInArrow(lambda batches: _digest(batches, length), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return remove_repeats(docs, length, k).mapInArrow(C.tidy(lambda batches: _digest(batches, length)), "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marea.llm import common as C
 from marea.llm.windows import slices
 
 #: Samples a row of a stored payload's frame, its rows, and pixels of a canvas or an image beyond which a file is a fault.
@@ -399,4 +400,4 @@ def _round_trip(batches):
 def store_texts(docs: DataFrame) -> DataFrame:
     """Digest of each text stored as a GIF and read back. Null texts count as empty; every row of docs gives one, repeated
     ones and those of null ids too. feature: frames, those with transparent samples, and the colour histogram."""
-    return docs.select("doc_id", "text").mapInArrow(_round_trip, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return docs.select("doc_id", "text").mapInArrow(C.tidy(_round_trip), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

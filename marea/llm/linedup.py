@@ -380,7 +380,7 @@ def _verified(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     )
     wanted = C.materialise(wanted)
     lists = wanted.groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
-    sets = C.materialise(_with(rows, lists, wanted.count()).filter("wanted is not null").mapInArrow(_sets, SETS))
+    sets = C.materialise(_with(rows, lists, wanted.count()).filter("wanted is not null").mapInArrow(C.tidy(_sets), SETS))
     # a repeated row gives its sets twice, which changes nothing
     later = sets.filter("y_doc is not null").select(F.col("doc").alias("x_doc"), F.col("at").alias("x_at"), "y_doc", "y_at", F.col("words").alias("x"))
     earlier = sets.filter("y_doc is null").select(F.col("doc").alias("y_doc"), F.col("at").alias("y_at"), F.col("words").alias("y"))
@@ -401,7 +401,7 @@ def _verified(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 def _levels(read: DataFrame) -> tuple[np.ndarray, int]:
     """How frequent each slot's words are, as 0 to 255, and the number of words."""
     counts = np.zeros((BLOCKS, SLOTS // BLOCKS), dtype=np.int64)
-    for block, data in read.filter("block is not null").select("block", "counts").repartition("block").mapInArrow(_add, "block int, counts binary").collect():  # BLOCKS rows
+    for block, data in read.filter("block is not null").select("block", "counts").repartition("block").mapInArrow(C.tidy(_add), "block int, counts binary").collect():  # BLOCKS rows
         counts[block] = np.frombuffer(data, np.int64)
     counts = counts.ravel()
     return np.minimum(6 * np.log2(counts + 1), 255).astype(np.uint8), int(counts.sum())
@@ -417,8 +417,8 @@ def matched_lines(rows: DataFrame, read: DataFrame, percent: int = 80) -> DataFr
     todo: list[tuple[int, int, dict]] = [(0, FIRST, {})]
     while todo:
         skip, upto, only = todo.pop()
-        packed = (rows if "wanted" not in only else _with(rows, only["open"], only["n"])).mapInArrow(_prefixes(rarity, percent, buckets, only.get("hot"), only.get("wanted"), only.get("least", 0)), "bucket int, rows binary")
-        found = C.materialise(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(skip, upto, percent, None if only.get("hot") else GROUP), PAIR))
+        packed = (rows if "wanted" not in only else _with(rows, only["open"], only["n"])).mapInArrow(C.tidy(_prefixes(rarity, percent, buckets, only.get("hot"), only.get("wanted"), only.get("least", 0))), "bucket int, rows binary")
+        found = C.materialise(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(C.tidy(_candidates(skip, upto, percent, None if only.get("hot") else GROUP)), PAIR))
         pairs = found.filter("hot is null").groupBy("x_doc", "x_at", "y_doc", "y_at").agg(F.max("more").alias("more"))
         pairs = C.materialise(pairs.join(out, ["x_doc", "x_at"], "left_anti") if out is not None else pairs)
         new = _verified(rows, pairs, percent)
@@ -449,7 +449,7 @@ def _groups(rows: DataFrame, rarity, percent: int, buckets: int, only: dict) ->
                 word = np.unique(rows["word"])
                 yield pa.RecordBatch.from_arrays([pa.array(_key(word, np.full(len(word), bucket))), pa.array(np.full(len(word), (rows["n"] & (_OPEN - 1)).min(), np.int64))], ["key", "n"])
 
-    return mine.mapInArrow(run, "key long, n long")
+    return mine.mapInArrow(C.tidy(run), "key long, n long")
 
 
 def _those(batches):
@@ -494,7 +494,7 @@ def _cut(batches):
 
 def _removals(rows: DataFrame, percent: int) -> DataFrame:
     """doc_id and the places of its lines that go."""
-    read = C.materialise(rows.mapInArrow(_read, READ))
+    read = C.materialise(rows.mapInArrow(C.tidy(_read), READ))
     gone = C.materialise(_gone(rows, read))
     listed = gone.groupBy("doc_id").agg(F.collect_list("at").alias("gone"))
     matched = matched_lines(_with(rows, listed, gone.count()), read, percent)
@@ -521,7 +521,7 @@ def remove_lines(docs: DataFrame, percent: int = 80, report: tuple[str, str] = (
     gone = _removals(rows, percent)
     named = _with(base.withColumn("part", F.coalesce(part, F.lit(0))), gone, gone.select(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0])
     kinds = f"doc_id {kind}, others {base.schema['others'].dataType.simpleString()}, text string, n_lines long, n_removed long"
-    out = named.select("doc_id", "others", "text", "part", "gone").mapInArrow(_cut, kinds)
+    out = named.select("doc_id", "others", "text", "part", "gone").mapInArrow(C.tidy(_cut), kinds)
     return out.select(*(F.col(c) if c in ("doc_id", "text") else F.col("others").getField(c).alias(c) for c in docs.columns), F.col("n_lines").alias(report[0]), F.col("n_removed").alias(report[1]))
 
 

@@ -170,7 +170,7 @@ def link(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
     are one node, whatever their texts. No rows: none. Other columns of docs are not looked at.
     """
     docs = docs.select("doc_id", "text")
-    rows = C.materialise(docs.mapInArrow(_sketches(words), "doc_id long, n long, name binary, id long, bands array<long>"))
+    rows = C.materialise(docs.mapInArrow(C.tidy(_sketches(words)), "doc_id long, n long, name binary, id long, bands array<long>"))
     whole = rows.filter("name is not null and doc_id is not null")
     # rows of one name have one set, and so one n and one list of bands
     first = C.materialise(whole.groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")))
@@ -182,7 +182,7 @@ def link(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
     degree = C.materialise(members.groupBy("id", "rep").agg(F.sum("size").alias("degree")))
     several = degree.count()
     wanted = degree.select(F.col("rep").alias("doc_id")).distinct()
-    sets = C.materialise(docs.filter("doc_id is not null").join(F.broadcast(wanted) if several <= BROADCAST_ROWS else wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "id long, rep long, hashes array<long>"))
+    sets = C.materialise(docs.filter("doc_id is not null").join(F.broadcast(wanted) if several <= BROADCAST_ROWS else wanted, "doc_id", "left_semi").mapInArrow(C.tidy(_sets(words)), "id long, rep long, hashes array<long>"))
     # rows of one doc_id are one node
     met = whole.join(classes, "name").select("doc_id", "rep")
     several_texts = met.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b")
@@ -206,7 +206,7 @@ def link(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
         seen = None
     while more:
         turn += 1
-        again = C.materialise(placed.mapInArrow(_bandings(turn), "key long, id long, n long, component long"))
+        again = C.materialise(placed.mapInArrow(C.tidy(_bandings(turn)), "key long, id long, n long, component long"))
         new = _confirm(_stars(again, f"xxhash64(id, key, {turn})", percent), able, percent)
         links = links.union(new)
         # pairs of components that no banding before has linked

@@ -39,6 +39,38 @@ class Vocabulary:
     data: np.ndarray
     begin: np.ndarray
 
+    def __post_init__(self):
+        self.tables = [Table(*p) for p in self.prefixes]
+
+
+class Table:
+    """Prefixes of one length by hash: a slot holds one key, and keys that found theirs taken stand in a sorted rest."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        slot = self.slot(keys)
+        _, first = np.unique(slot, return_index=True)
+        rest = np.ones(len(keys), bool)
+        rest[first] = False
+        size = 1 << int(64 - self.shift)
+        self.keys, self.values, self.full = np.zeros(size, np.uint64), np.full(size, -2, np.int32), np.zeros(size, bool)
+        self.keys[slot[first]], self.values[slot[first]] = keys[first], values[first]
+        self.full[slot[rest]] = True
+        self.rest, self.rest_values = keys[rest], values[rest].astype(np.int32)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0xD1342543DE82EF95)) >> self.shift).astype(np.int64)
+
+    def look(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, -2 where there is none."""
+        slot = self.slot(keys)
+        out = np.where(self.keys[slot] == keys, self.values[slot], np.int32(-2))
+        more = np.flatnonzero((out == -2) & self.full[slot])
+        if len(more):
+            at = np.minimum(np.searchsorted(self.rest, keys[more]), len(self.rest) - 1)
+            out[more] = np.where(self.rest[at] == keys[more], self.rest_values[at], np.int32(-2))
+        return out
+
 
 def load(path: str = DEFAULT_MODEL, shift: float = 10.0) -> Vocabulary:
     """A model's pieces. BPE scores are ranks: a piece of rank r gets a log-probability of -log(r + shift), by Zipf's law."""
@@ -89,18 +121,18 @@ class Lattice:
         raw, offsets = C.flat(chunks)
         n = len(raw)
         self.offsets = offsets
-        stop = np.repeat(offsets[1:], np.diff(offsets))  # end of each byte's chunk
-        live, key = np.arange(n), np.zeros(n, np.uint64)
+        stop = np.repeat(offsets[1:], np.diff(offsets)).astype(np.int32)  # end of each byte's chunk
+        live, key = np.arange(n, dtype=np.int32), np.zeros(n, np.uint64)
         starts, sizes, ids = [], [], []
-        for length, (keys, piece) in enumerate(vocabulary.prefixes, 1):
+        for length, table in enumerate(vocabulary.tables, 1):
             fits = live + length <= stop[live]
             live, key = live[fits], key[fits]
             if not len(live):
                 break
             key = key * np.uint64(0x9E3779B97F4A7C15) + raw[live + length - 1] + np.uint64(1)
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            known = keys[at] == key
-            live, key, found = live[known], key[known], piece[at[known]]
+            found = table.look(key)
+            known = found > -2
+            live, key, found = live[known], key[known], found[known]
             whole = found >= 0
             starts.append(live[whole].astype(np.int32))
             sizes.append(np.full(whole.sum(), length, np.int32))
@@ -326,7 +358,7 @@ def sample(docs: DataFrame, key: str = "doc_id", k: int = 3, seed: int = 0, thet
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array([s["sample"] for s in flat], pa.int32()), *(pa.array([s[c] for s in flat], pa.float64()) for c in ("log_prob", "bound", "inclusion")), lists, pa.array([s["round_trip"] for s in flat])], ["doc_id", *(c.split()[0] for c in SAMPLE.split(", "))])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col(key).cast("long").alias("key"), "text").mapInArrow(run, f"doc_id {kind}, {SAMPLE}")
+    return docs.select("doc_id", F.col(key).cast("long").alias("key"), "text").mapInArrow(C.tidy(run), f"doc_id {kind}, {SAMPLE}")
 
 
 def encode(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
@@ -342,7 +374,7 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
                 ids = [None if t is None else processor.encode(t, num_threads=1) if t else [] for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "text", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(C.tidy(run), "doc_id long, text string, ids array<int>")
 
 
 def decode(df: DataFrame, ids: Column | str = "ids", model: str = DEFAULT_MODEL) -> DataFrame:
@@ -354,7 +386,7 @@ def decode(df: DataFrame, ids: Column | str = "ids", model: str = DEFAULT_MODEL)
             out = [None if x is None else decode_ids(held.value, np.array(x, np.int64)).decode(errors="replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
 
-    return df.select("doc_id", F.col(ids).alias("ids") if isinstance(ids, str) else ids.alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return df.select("doc_id", F.col(ids).alias("ids") if isinstance(ids, str) else ids.alias("ids")).mapInArrow(C.tidy(run), "doc_id long, text string")
 
 
 def digest(docs: DataFrame, k: int = 3) -> DataFrame:

@@ -82,7 +82,7 @@ def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None
     owner = F.coalesce(owner if owner is not None else F.col("source"), F.lit("?"))
     repository = F.coalesce(repository if repository is not None else F.concat_ws("/", F.coalesce("source", F.lit("?")), F.coalesce("lang", F.lit("?"))), F.lit("?"))
     rows = docs.select("doc_id", F.expr("xxhash64(text)").alias("text_id"), owner.alias("owner"), repository.alias("repository"), "text")
-    found = C.materialise(rows.mapInArrow(_scan, SCAN))  # used three times, scanned once
+    found = C.materialise(rows.mapInArrow(C.tidy(_scan), SCAN))  # used three times, scanned once
     hits = found.filter(F.size("hits") > 0).select("doc_id", "text_id", "owner", "repository", F.explode("hits").alias("hit")).select("doc_id", "text_id", "owner", "repository", "hit.*")
     judged = ownership(hits, **limits).filter("verdict is not null").select("value", F.when(F.col("verdict") == "live", 3).otherwise(4).alias("kind"))
     judged = C.materialise(judged)

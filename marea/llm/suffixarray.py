@@ -170,4 +170,4 @@ def remove_repeats(docs: DataFrame, length: int = 50, k: int = 16) -> DataFrame:
 
 def digest(docs: DataFrame, length: int = 50, k: int = 16) -> DataFrame:
     """One row per document: n_bytes, n_removed, n_spans and the SHA-256 of what is kept."""
-    return remove_repeats(docs, length, k).mapInArrow(lambda batches: _digest(batches, length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return remove_repeats(docs, length, k).mapInArrow(C.tidy(lambda batches: _digest(batches, length)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

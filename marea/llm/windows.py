@@ -331,14 +331,14 @@ def removed_spans(docs: DataFrame, units: Units, solve: Callable) -> DataFrame:
     originals = first.groupBy("doc_id").agg(F.collect_list("part").alias("parts"))
     told = texts.join(originals, "doc_id", "left").withColumn("copy", ~F.coalesce(F.array_contains("parts", F.col("part")), F.lit(False))).drop("parts")
     single = told.filter("not copy").drop("copy")
-    low = single.select("doc_id", "text").mapInArrow(_minimisers(units), "h long, doc_id long")
-    shared = low.repartition("h").sortWithinPartitions("h").mapInArrow(_shared, "doc_id long, h long")
+    low = single.select("doc_id", "text").mapInArrow(C.tidy(_minimisers(units)), "h long, doc_id long")
+    shared = low.repartition("h").sortWithinPartitions("h").mapInArrow(C.tidy(_shared), "doc_id long, h long")
     per_doc = shared.groupBy("doc_id").agg(F.collect_list("h").alias("hs"))
-    names = single.join(per_doc, "doc_id").select("doc_id", "part", "text", "hs").mapInArrow(_names(units), "h int, name long, doc_id long, part int, at int, n short, left int, right int")
-    met = names.repartition("h").sortWithinPartitions("h", "name", "doc_id").mapInArrow(_compare_names, "kind byte, doc_id long, part int, at int, n short, h int").repartition("doc_id")
+    names = single.join(per_doc, "doc_id").select("doc_id", "part", "text", "hs").mapInArrow(C.tidy(_names(units)), "h int, name long, doc_id long, part int, at int, n short, left int, right int")
+    met = names.repartition("h").sortWithinPartitions("h", "name", "doc_id").mapInArrow(C.tidy(_compare_names), "kind byte, doc_id long, part int, at int, n short, h int").repartition("doc_id")
     wanted = met.filter(f"kind = {WANTED}").groupBy("doc_id").agg(F.collect_list(F.struct("h", "part", "at", "n")).alias("wanted"))
-    segments = single.join(wanted, "doc_id").select("doc_id", "part", "text", "wanted").mapInArrow(_segments(units), "h int, doc_id long, part int, at int, segment binary")
-    found = segments.repartition("h").sortWithinPartitions("h").mapInArrow(_spans(units, solve), "doc_id long, part int, start int, end int")
+    segments = single.join(wanted, "doc_id").select("doc_id", "part", "text", "wanted").mapInArrow(C.tidy(_segments(units)), "h int, doc_id long, part int, at int, segment binary")
+    found = segments.repartition("h").sortWithinPartitions("h").mapInArrow(C.tidy(_spans(units, solve)), "doc_id long, part int, start int, end int")
     copied = met.filter(f"kind = {SPAN}").select("doc_id", F.struct("part", F.col("at").alias("start"), F.expr("at + n").alias("end")).alias("span"))
     spans = copied.union(found.select("doc_id", F.struct("part", "start", "end"))).groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
     return told.join(spans, "doc_id", "left").select("doc_id", "text", "part", "copy", "spans").union(nameless)
