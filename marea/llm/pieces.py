@@ -24,7 +24,7 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Log-probability of a byte that stands for a part of an unknown character.
 BYTE_LOG_PROB = -16.0
 #: Bytes of text whose lattices and paths are held at once.
-SLICE = 1 << 18
+SLICE = 1 << 20
 SAMPLE = "sample int, log_prob double, bound double, inclusion double, ids array<int>, round_trip boolean"
 
 
@@ -323,15 +323,23 @@ def sample_slice(column, keys: np.ndarray, vocabulary: Vocabulary, k: int, seed:
             path = {"chunk": np.concatenate([parent["chunk"][: at + 1], chunks[a:b]]), "edge": np.concatenate([parent["edge"][:at], [new], edges[a:b]]), "top": top}
             branches(row, path, turn, at, top, banned)
             paths[row].append(path)
-    out = []
+    out, flat = [], []
     for row, own in enumerate(paths):
         limit, _ = best(row)
         told = []
         for i, p in enumerate(own):
-            ids = lattice.piece[p["edge"]]
             score = 1.0 if not np.isfinite(limit) else float(-np.expm1(-np.exp(min(p["log_prob"] - limit, 700.0))))
-            told.append({"sample": i, "log_prob": p["log_prob"], "bound": float(p["top"]), "inclusion": score, "ids": ids, "round_trip": decode_ids(vocabulary, ids) == text[begin[row] + 1 : begin[row + 1]].tobytes()})
+            told.append({"sample": i, "log_prob": p["log_prob"], "bound": float(p["top"]), "inclusion": score, "ids": lattice.piece[p["edge"]]})
         out.append(told)
+        flat += [(row, t) for t in told]
+    if flat:  # all samples are decoded side by side
+        ids = np.concatenate([t["ids"] for _, t in flat])
+        size = np.diff(vocabulary.begin)[ids]
+        upto = np.append(0, np.cumsum(size))
+        back = vocabulary.data[np.repeat(vocabulary.begin[ids] - upto[:-1], size) + np.arange(upto[-1])].tobytes()
+        cut, marked = upto[np.append(0, np.cumsum([len(t["ids"]) for _, t in flat]))], text.tobytes()
+        for (row, t), x, y in zip(flat, cut[:-1], cut[1:], strict=True):
+            t["round_trip"] = back[x:y] == marked[begin[row] : begin[row + 1]]
     return out
 
 
