@@ -343,7 +343,7 @@ def sample_slice(column, keys: np.ndarray, vocabulary: Vocabulary, k: int, seed:
     return out
 
 
-def sample(docs: DataFrame, key: str = "doc_id", k: int = 3, seed: int = 0, theta: float = 1.0, model: str = DEFAULT_MODEL) -> DataFrame:
+def sample(docs: DataFrame, key: str = "doc_id", k: int = 3, seed: int = 0, theta: float = 1.0, model: str = DEFAULT_MODEL, held_bytes: int = SLICE) -> DataFrame:
     """doc_id and the samples of each text (SAMPLE), one row a sample; texts that are null or empty have none.
 
     ids: the pieces; bound: the perturbed log-probability, falling; inclusion: the probability that the path is among
@@ -355,7 +355,7 @@ def sample(docs: DataFrame, key: str = "doc_id", k: int = 3, seed: int = 0, thet
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, limit=SLICE):
+            for part in slices(batch, limit=held_bytes):
                 keys = part.column("key").fill_null(0).to_numpy().astype(np.int64)
                 found = sample_slice(part.column("text"), keys, held.value, k, seed, theta)
                 n = [len(x) for x in found]
@@ -397,6 +397,6 @@ def decode(df: DataFrame, ids: Column | str = "ids", model: str = DEFAULT_MODEL)
     return df.select("doc_id", F.col(ids).alias("ids") if isinstance(ids, str) else ids.alias("ids")).mapInArrow(C.tidy(run), "doc_id long, text string")
 
 
-def digest(docs: DataFrame, k: int = 3) -> DataFrame:
+def digest(docs: DataFrame, k: int = 3, held_bytes: int = SLICE) -> DataFrame:
     """One row a sample: its number, pieces, scores, a hash of its ids, and whether it decodes to the text."""
-    return sample(docs, k=k).select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.round("log_prob", 6).alias("log_prob"), F.round("bound", 6).alias("bound"), F.round("inclusion", 6).alias("inclusion"), F.xxhash64("ids").alias("ids_hash"), "round_trip")
+    return sample(docs, k=k, held_bytes=held_bytes).select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.round("log_prob", 6).alias("log_prob"), F.round("bound", 6).alias("bound"), F.round("inclusion", 6).alias("inclusion"), F.xxhash64("ids").alias("ids_hash"), "round_trip")
