@@ -60,7 +60,8 @@ def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have none. A null doc_id keeps its null and samples as key 0; repeated rows sample alike.
     """
-    return pieces.digest(docs)
+    # smaller slices than alone: the executors hold what the stages before have left
+    return pieces.digest(docs, held_bytes=1 << 18)
 
 
 STAGES = [("toxicity", drop_toxic), ("line dedup", drop_lines), ("near-dedup", drop_near_copies), ("decontamination", drop_benchmark), ("segmentation", segment)]
