@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marea.llm import decontaminate, fmindex, gif, licenses, linedup, maxent, minhash, pieces, runs, secrets, suffixarray, toxicity
+from marea.llm import align, decontaminate, fmindex, gif, licenses, linedup, maxent, minhash, pieces, runs, secrets, suffixarray, toxicity
 from marea.llm.common import documents
 
 
@@ -58,8 +58,12 @@ def op12_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.judge(documents(spark, sf_dir))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.digest(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_gif, op2_decontamination, op3_minhash, op4_substring_dedup, op5_secrets, op6_toxicity, op7_line_dedup, op8_sentencepiece, op9_suffix_array_dedup, op10_licenses, op11_runs, op12_maxent)}
+    return {f.__name__: f for f in (op1_gif, op2_decontamination, op3_minhash, op4_substring_dedup, op5_secrets, op6_toxicity, op7_line_dedup, op8_sentencepiece, op9_suffix_array_dedup, op10_licenses, op11_runs, op12_maxent, op13_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
