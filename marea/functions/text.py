@@ -18,8 +18,21 @@ def _folded() -> tuple[dict[str, str], dict[str, str]]:
     return one, more
 
 
+def _ranges(characters: list[str]) -> str:
+    """A pattern of one of these characters, as few ranges."""
+    codes, out = sorted(map(ord, characters)), []
+    for c in codes:
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in out) + "]"
+
+
 _ONE, _MORE = _folded()
-ACCENTED, PLAIN = "".join(_ONE), "".join(_ONE.values()).replace("'", " ")
+ACCENTED, PLAIN = "".join(_ONE), "".join(_ONE.values())
+#: The longer ones as a pattern, and as one text that a map is made of.
+_LONGER, _SPELLED = _ranges(list(_MORE)), "\x02".join(f"{c}\x01{plain}" for c, plain in _MORE.items())
 
 # Markers that stand for a missing text.
 EMPTY_MARKERS = ("", "nan", "none", "null", "nat")
@@ -64,10 +77,12 @@ def known(value: Column) -> Column:
 def fold(value: Column) -> Column:
     """Lower case without accents or other signs beyond ASCII; letters and signs that hold ASCII ones fold to these."""
     lower = F.lower(text(value))
-    table = F.create_map(*(F.lit(x) for pair in _MORE.items() for x in pair))
-    letters = F.transform(F.split(lower, ""), lambda c: F.coalesce(F.try_element_at(table, c), c))
-    whole = F.when(lower.rlike("[" + "".join(_MORE) + "]"), F.array_join(letters, "")).otherwise(lower)
-    return F.lower(F.regexp_replace(F.translate(whole, ACCENTED, PLAIN), r"[^\x00-\x7F]", ""))
+    table = F.str_to_map(F.lit(_SPELLED), F.lit("\x02"), F.lit("\x01"))
+    # most texts have none of the characters that fold to several: those that one has are replaced one by one
+    longer = F.array_distinct(F.regexp_extract_all(lower, F.lit(_LONGER), F.lit(0)))
+    whole = F.aggregate(longer, lower, lambda t, c: F.replace(t, c, F.try_element_at(table, c)))
+    plain = F.lower(F.regexp_replace(F.translate(whole, ACCENTED, PLAIN), r"[^\x00-\x7F]", ""))
+    return F.when(lower.rlike(r"[^\x00-\x7F]"), plain).otherwise(lower)
 
 
 def comparable(value: Column) -> Column:

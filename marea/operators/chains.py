@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marea.functions import text as X
+from marea.session import settle, small
 
+#: Journeys that a catalogue holds at most where it is sent to every task; they are written by hand.
+CATALOGUE = 1_000
 #: The entity of each mode.
 MODES = {"lever": "lever", "sublever": "sublever", "service": "service_n2", "journeys": "journey_id", "broken_journeys": "journey_id"}
 
@@ -33,7 +36,7 @@ def match_journeys(rows: DataFrame, id_: list[str], texts: list[str], catalogue:
     """The journey with most of its keywords in a row's texts (ties: the first); rows without any have none."""
     hay = X.attribution(F.concat_ws(" ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in texts)))
     hits = F.aggregate("keywords", F.lit(0), lambda n, k: n + F.when(F.contains(F.col("hay"), X.fold(k)), 1).otherwise(0))
-    pairs = rows.select(*id_, hay.alias("hay")).join(F.broadcast(catalogue)).withColumn("hits", hits).filter("hits > 0")
+    pairs = rows.select(*id_, hay.alias("hay")).join(small(catalogue, CATALOGUE)).withColumn("hits", hits).filter("hits > 0")
     w = Window.partitionBy(*id_).orderBy(F.desc("hits"), "position")
     return pairs.withColumn("r", F.row_number().over(w)).filter("r = 1").select(*id_, "journey_id", "title", "touchpoint", "hits")
 
@@ -74,7 +77,7 @@ def chains(enriched: DataFrame, rationale: DataFrame, mode: str = "sublever", to
     key = entity(mode)
     rows = sound(enriched, mode)
     measures = rationale.select(F.col("nps_topic").alias("topic"), "risk_points", "priority", "confidence", "causal_score", "total_impact", "nps_delta_expected").dropDuplicates(["topic"])
-    at = rows.join(F.broadcast(measures), "topic", "left").withColumn("entity", F.col(key))
+    at = settle(rows.join(small(measures), "topic", "left").withColumn("entity", F.col(key)))
     per = at.groupBy("entity").agg(
         F.count_distinct("incident_id", "comment_id").alias("linked_pairs"), F.count_distinct("incident_id").alias("linked_incidents"), F.count_distinct("comment_id").alias("linked_comments"),
         _mode("topic").alias("topic"), _mode("touchpoint_").alias("touchpoint"), F.avg("similarity").alias("avg_similarity"), F.avg("score").alias("avg_nps"),
@@ -82,14 +85,15 @@ def chains(enriched: DataFrame, rationale: DataFrame, mode: str = "sublever", to
     )
 
     def examples(distinct: str, fields: list[str], order: list, n: int, name: str):
-        one = Window.partitionBy("entity", distinct).orderBy(*order, distinct)
-        best = at.withColumn("r", F.row_number().over(one)).filter("r = 1")
-        w = Window.partitionBy("entity").orderBy(*order, distinct)
+        # the best row of each id by a partial aggregate, then the first n of an entity, cut before they are shuffled
+        best = at.groupBy("entity", distinct).agg(F.min(F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), F.struct(*fields).alias("f"))).alias("best"))
+        w = Window.partitionBy("entity").orderBy("best")
         chosen = best.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= n)
-        return chosen.groupBy("entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", *fields))), lambda s: F.struct(*(s[f].alias(f) for f in fields))).alias(name))
+        return chosen.groupBy("entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("best.f").alias("f")))), lambda s: s["f"]).alias(name))
 
-    inc = examples("incident_id", ["incident_id", "similarity", "incident_ts"], [F.desc("similarity"), F.desc_nulls_last("incident_ts")], incident_examples, "incident_records")
-    com = examples("comment_id", ["comment_id", "score", "similarity"], [F.asc_nulls_last("score"), F.desc("similarity")], comment_examples, "comment_records")
+    latest = F.struct(F.col("incident_ts").isNull(), -F.unix_date(F.col("incident_ts").cast("date")), -F.unix_micros(F.col("incident_ts").cast("timestamp")))
+    inc = examples("incident_id", ["incident_id", "similarity", "incident_ts"], [-F.col("similarity"), latest, F.col("incident_id")], incident_examples, "incident_records")
+    com = examples("comment_id", ["comment_id", "score", "similarity"], [F.struct(F.col("score").isNull(), F.col("score")), -F.col("similarity"), F.col("comment_id")], comment_examples, "comment_records")
     story = F.concat(F.lit("Incidencias -> "), F.col("touchpoint"), F.lit(" -> "), F.col("entity"), F.lit(" -> Comentario -> NPS"))
     out = per.join(inc, "entity").join(com, "entity").join(source_topics(at, "entity"), "entity").withColumn("story", story)
     return out.orderBy(F.desc_nulls_last("priority"), F.desc("linked_pairs"), F.desc_nulls_last("causal_score"), F.desc_nulls_last("total_impact"), "entity").limit(top)
@@ -115,12 +119,12 @@ def topic_map(enriched: DataFrame, mode: str = "sublever") -> DataFrame:
 
 def remap_links(links: DataFrame, mapping: DataFrame) -> DataFrame:
     """Links with the entity in place of their topic; topics without one are left out."""
-    return links.join(F.broadcast(mapping.select("topic", "entity")), "topic").withColumn("topic", F.col("entity")).drop("entity")
+    return links.join(small(mapping.select("topic", "entity")), "topic").withColumn("topic", F.col("entity")).drop("entity")
 
 
 def remap_series(series: DataFrame, mapping: DataFrame) -> DataFrame:
     """A topic series by entity: sums, the mean score weighted by responses, the rate from the sums."""
-    m = series.join(F.broadcast(mapping.select("topic", "entity")), "topic")
+    m = series.join(small(mapping.select("topic", "entity")), "topic")
     w = F.when(F.col("nps_mean").isNotNull(), F.col("responses"))
     out = m.groupBy("bucket", F.col("entity").alias("topic")).agg(F.sum("responses").alias("responses"), F.sum("focus_count").alias("focus_count"), F.try_divide(F.sum(w * F.col("nps_mean")), F.sum(w)).alias("nps_mean"), F.sum("incidents").alias("incidents"))
     return out.withColumn("focus_rate", F.coalesce(F.try_divide(F.col("focus_count").cast("double"), F.col("responses")), F.lit(0.0)))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marea.functions import text as X
+from marea.operators.drivers import driver_table
+from marea.operators.filters import month_or_latest
 from marea.operators.linking import match_labels
+from marea.session import settle, small
 
 
 def severity(score: Column) -> Column:
@@ -18,17 +24,27 @@ def term_rows(docs: DataFrame, id_: str, text: str, *keep: str) -> DataFrame:
     return docs.select(F.col(id_).alias("id"), *keep, F.explode(F.array_distinct(X.tokens(F.col(text)))).alias("term"))
 
 
-def hot_terms(incidents: DataFrame, comments: DataFrame, min_occurrences: int = 3, most: int = 3) -> DataFrame:
+#: Terms by incidents that stand in where none has enough of them.
+FALLBACK = 20
+
+
+def hot_terms(incidents: DataFrame, comments: DataFrame, min_occurrences: int = 3, most: int = 3, taxonomy: DataFrame | None = None, month: dt.date | None = None) -> DataFrame:
     """Terms by product of incident and comment frequency, one of each stem, those that comments mention first.
 
-    incidents: incident_id, text; comments: comment_id, text. Terms of too few incidents are left out, unless all are.
+    incidents: incident_id, text (and ts for a month: else the latest that has any); comments: comment_id, text. Terms of
+    too few incidents are left out; where all are, the FALLBACK most frequent stand in. taxonomy (text: labels of the
+    business): terms that it has go alone, unless it has none of them.
     """
-    inc = term_rows(incidents, "incident_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("incidents"))
+    held = month_or_latest(incidents, month) if month else incidents
+    inc = settle(term_rows(held, "incident_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("incidents")))
+    enough = inc.filter(F.col("incidents") >= min_occurrences)
+    if enough.isEmpty():
+        enough = inc.orderBy(F.desc("incidents"), "term").limit(FALLBACK)
+    if taxonomy is not None:
+        known = enough.join(taxonomy.select(F.explode(X.tokens(F.col("text"))).alias("term")).distinct(), "term", "left_semi")
+        enough = enough if known.isEmpty() else known
     com = term_rows(comments, "comment_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("mentions"))
-    both = inc.join(com, "term", "left").fillna(0, ["mentions"])
-    w = Window.partitionBy()
-    enough = F.max((F.col("incidents") >= min_occurrences).cast("int")).over(w)
-    both = both.withColumn("_e", enough).filter((F.col("_e") == 0) | (F.col("incidents") >= min_occurrences)).drop("_e")
+    both = enough.join(com, "term", "left").fillna(0, ["mentions"])
     order = [F.desc(F.col("mentions") > 0), F.desc(F.col("incidents") * F.greatest("mentions", F.lit(1))), F.desc("mentions"), F.desc("incidents"), "term"]
     one = both.withColumn("_k", F.row_number().over(Window.partitionBy(X.stem(F.col("term"))).orderBy(*order))).filter("_k = 1").drop("_k")
     return one.orderBy(*order).limit(most).withColumn("hot_rank", F.row_number().over(Window.orderBy(*order)))
@@ -36,7 +52,7 @@ def hot_terms(incidents: DataFrame, comments: DataFrame, min_occurrences: int =
 
 def evidence(terms: DataFrame, incidents: DataFrame, comments: DataFrame, links: DataFrame, examples: int = 3) -> DataFrame:
     """Per hot term the incidents and comments that mention it, the linked ones, the main topic and examples."""
-    t = F.broadcast(terms.select("term", "hot_rank"))
+    t = small(terms.select("term", "hot_rank"))
     inc = term_rows(incidents, "incident_id", "text").join(t, "term")
     com = term_rows(comments, "comment_id", "text").join(t, "term")
     counts = inc.groupBy("term", "hot_rank").agg(F.count_distinct("id").alias("mention_incidents")).join(com.groupBy("term").agg(F.count_distinct("id").alias("mention_comments")), "term", "left").fillna(0, ["mention_comments"])
@@ -51,7 +67,7 @@ def evidence(terms: DataFrame, incidents: DataFrame, comments: DataFrame, links:
 
 def timeline(terms: DataFrame, incidents: DataFrame, comments: DataFrame) -> DataFrame:
     """Per term and day incidents and comments that mention it, comments by severity; terms that only one side has are out."""
-    t = F.broadcast(terms.select("term"))
+    t = small(terms.select("term"))
     inc = term_rows(incidents, "incident_id", "text", "day").join(t, "term").groupBy("term", "day").agg(F.count_distinct("id").alias("incident_records"))
     com = term_rows(comments, "comment_id", "text", "day", "score").join(t, "term").withColumn("severity", severity(F.col("score")))
     per = com.groupBy("term", "day").agg(F.count_distinct("id").alias("comments"), *(F.count_if(F.col("severity") == s).alias(f"{s}_comments") for s in ("critical", "high", "moderate")))
@@ -76,12 +92,33 @@ def daily_breakdown(daily: DataFrame, ranked: DataFrame) -> DataFrame:
     return out.withColumn("no_hotspot", F.greatest(F.lit(0), F.col("incidents") - F.col("hotspot_1") - F.col("hotspot_2") - F.col("hotspot_3")))
 
 
-def best_axis(incidents: DataFrame, lever_labels: DataFrame, sublever_labels: DataFrame) -> DataFrame:
-    """Share of incidents that the weak labels of either axis match; the larger wins, equals: lever."""
+#: Responses that a label needs to count as red.
+RED_LEAST = 200
+
+
+def red_labels(responses: DataFrame, dimension: str, min_n: int = RED_LEAST) -> DataFrame:
+    """label and position of the values below the overall score that enough responses have; the largest gap first."""
+    red = driver_table(responses.filter(F.col(dimension).isNotNull()), dimension).filter((F.col("gap_vs_overall") < 0) & (F.col("n") >= min_n))
+    return red.select(F.col("value").alias("label"), F.row_number().over(Window.orderBy("gap_vs_overall", "value")).cast("long").alias("position"))
+
+
+def label_hits(incidents: DataFrame, responses: DataFrame, axes: tuple[str, ...] = ("lever", "sublever"), min_n: int = RED_LEAST, least: float = 0.60) -> DataFrame:
+    """axis, label, position and hits: the incidents whose text fits each red label of either axis best; 0 where none does."""
+    parts = []
+    for axis in axes:
+        labels = settle(red_labels(responses, axis, min_n))
+        hits = match_labels(incidents, "incident_id", "text", labels, least).groupBy("label").agg(F.count(F.lit(1)).alias("hits"))
+        parts.append(labels.join(hits, "label", "left").fillna(0, ["hits"]).select(F.lit(axis).alias("axis"), "label", "position", "hits"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def best_axis(hits: DataFrame, incidents: DataFrame, axes: tuple[str, ...] = ("lever", "sublever")) -> DataFrame:
+    """Share of incidents that the red labels of each axis match (label_hits); the largest wins, equals: the first axis."""
     n = incidents.agg(F.count(F.lit(1)).alias("n"))
-    parts = [match_labels(incidents, "incident_id", "text", labels).agg(F.count_distinct("id").alias("matched")).withColumn("axis", F.lit(axis)) for axis, labels in (("lever", lever_labels), ("sublever", sublever_labels))]
-    out = parts[0].unionByName(parts[1]).crossJoin(n).withColumn("ratio", F.try_divide(F.col("matched").cast("double"), F.col("n")))
-    return out.withColumn("best", F.row_number().over(Window.orderBy(F.desc("ratio"), "axis")) == 1).select("axis", "matched", "ratio", "best")
+    all_axes = hits.sparkSession.createDataFrame([(a, i) for i, a in enumerate(axes)], "axis string, place int")
+    matched = hits.groupBy("axis").agg(F.sum("hits").alias("matched"))
+    out = all_axes.join(matched, "axis", "left").fillna(0, ["matched"]).crossJoin(F.broadcast(n)).withColumn("ratio", F.coalesce(F.try_divide(F.col("matched").cast("double"), F.col("n")), F.lit(0.0)))
+    return out.withColumn("best", F.row_number().over(Window.orderBy(F.desc("ratio"), "place")) == 1).select("axis", "matched", "ratio", "best")
 
 
 def align(evidence_: DataFrame, axis_terms: DataFrame, most: int = 3) -> DataFrame:

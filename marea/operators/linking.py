@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marea.session import settle
+
 
 def terms(docs: DataFrame, id_: str, text: str, bigrams: bool = True) -> DataFrame:
     """id, term and tf: words of two and more characters, and pairs of neighbours."""
@@ -21,10 +23,10 @@ def vocabulary(postings: DataFrame, n_docs: int, min_df: int = 2, max_terms: int
 
 
 def weights(postings: DataFrame, vocab: DataFrame) -> DataFrame:
-    """id, term and weight: tf times idf, each document of length 1."""
+    """id, term, weight (tf times idf, each document of length 1) and idf."""
     raw = postings.join(vocab, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    return raw.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"), "idf")
 
 
 def similarities(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -33,6 +35,27 @@ def similarities(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "term").groupBy("left_id", "right_id").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 9).alias("similarity"))
 
 
+def prefixes(weighted: DataFrame, threshold: float) -> DataFrame:
+    """The rarest terms of each document: without them a document of length 1 can't reach the threshold with any other.
+
+    Terms are taken from the rarest on (equals by name) until the length of those left is under the threshold.
+    """
+    rest = Window.partitionBy("id").orderBy("idf", F.desc("term")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return weighted.withColumn("left", F.sum(F.col("weight") * F.col("weight")).over(rest)).filter(F.col("left") >= (threshold - 1e-8) ** 2).drop("left")
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Cosine of exactly the pairs that reach the threshold (above 0), from weights with idf.
+
+    The rarest term that such a pair shares is in the prefix of either side, so an equi-join of the prefixes meets every
+    pair; its similarity is then summed over all terms.
+    """
+    met = prefixes(left, threshold).select(F.col("id").alias("left_id"), "term").join(prefixes(right, threshold).select(F.col("id").alias("right_id"), "term"), "term").select("left_id", "right_id").distinct()
+    a, b = left.select(F.col("id").alias("left_id"), "term", F.col("weight").alias("wa")), right.select(F.col("id").alias("right_id"), "term", F.col("weight").alias("wb"))
+    sums = met.join(a, "left_id").join(b, ["right_id", "term"]).groupBy("left_id", "right_id").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 9).alias("similarity"))
+    return sums.filter(F.col("similarity") >= threshold)
+
+
 def top_k(pairs: DataFrame, k: int) -> DataFrame:
     """The k most similar partners of each left id; ties by partner."""
     w = Window.partitionBy("left_id").orderBy(F.desc("similarity"), "right_id")
@@ -47,16 +70,18 @@ def link(incidents: DataFrame, comments: DataFrame, threshold: float = 0.25, k:
     """
     docs = comments.select(F.concat(F.lit("c"), F.col("comment_id").cast("string")).alias("id"), "text").unionByName(incidents.select(F.concat(F.lit("i"), F.col("incident_id").cast("string")).alias("id"), "text"))
     n = docs.count()
-    postings = terms(docs, "id", "text")
+    postings = settle(terms(docs, "id", "text"))
     vocab = vocabulary(postings, n, min_df or (1 if n < 250 else 2), max_terms)
-    weighted = weights(postings, vocab)
+    vocab = settle(vocab)
+    weighted = settle(weights(postings, vocab))
     inc = weighted.filter("id like 'i%'")
     ids = incidents.select(F.concat(F.lit("i"), F.col("incident_id").cast("string")).alias("left_id"), "incident_id", F.col("ts").alias("incident_ts"))
     of = comments.select(F.concat(F.lit("c"), F.col("comment_id").cast("string")).alias("id"), F.col("topic"))
     by_topic = postings.join(of, "id").groupBy(F.col("topic").alias("id"), "term").agg(F.sum("tf").alias("tf"))
     best = top_k(similarities(inc, weights(by_topic, vocab)), 1).filter(F.col("similarity") >= threshold)
     assignments = best.join(ids, "left_id").select("incident_id", F.col("right_id").alias("topic"), "similarity")
-    near = top_k(similarities(inc, weighted.filter("id like 'c%'")), k).filter(F.col("similarity") >= threshold)
+    # a pair under the threshold takes no place from one above it, so only those above are ranked
+    near = top_k(similar_pairs(inc, weighted.filter("id like 'c%'"), threshold), k)
     cs = comments.select(F.concat(F.lit("c"), F.col("comment_id").cast("string")).alias("right_id"), "comment_id", F.col("ts").alias("comment_ts"), "topic")
     links = near.join(ids, "left_id").join(cs, "right_id").filter(F.abs(F.datediff("incident_ts", "comment_ts")) <= max_days)
     return assignments, links.select("incident_id", "comment_id", "similarity", "topic", "incident_ts", "comment_ts")
@@ -71,13 +96,24 @@ def contains_terms(docs: DataFrame, id_: str, text: str, wanted: DataFrame) -> D
 
 
 def match_labels(docs: DataFrame, id_: str, text: str, labels: DataFrame, least: float = 0.60) -> DataFrame:
-    """The label (a small table) that fits each text best: its phrase occurs (1.0), or its words do to at least that share."""
+    """The label that fits each text best: its phrase occurs (1.0), or its words do to at least that share (above 0).
+
+    Two equi-joins find the candidates: the first (up to four) characters of a label's phrase meet those places of a text
+    that read the same, and the words that count for an axis meet an index of the labels' words. Equal fits: the label of
+    the smallest `position`, if there is such a column, then by name.
+    """
     from marea.functions import text as X
 
-    d = docs.select(F.col(id_).alias("id"), X.phrase(F.col(text)).alias("p"), X.axis_tokens(F.col(text)).alias("t"))
-    l = labels.select("label", X.phrase(F.col("label")).alias("lp"), X.axis_tokens(F.col("label")).alias("lt")).filter("lp <> ''")  # noqa: E741
-    share = F.try_divide(F.size(F.array_intersect("t", "lt")).cast("double"), F.size("lt"))
-    fit = F.when(F.contains(F.concat(F.lit(" "), F.col("p"), F.lit(" ")), F.concat(F.lit(" "), F.col("lp"), F.lit(" "))), 1.0).otherwise(F.coalesce(share, F.lit(0.0)))
-    pairs = d.join(F.broadcast(l)).withColumn("fit", fit).filter(F.col("fit") >= least)
-    w = Window.partitionBy("id").orderBy(F.desc("fit"), "label")
+    place = F.col("position").cast("long") if "position" in labels.columns else F.lit(0).cast("long")
+    l = settle(labels.groupBy("label").agg(F.min(place).alias("position")).select("label", "position", X.phrase(F.col("label")).alias("lp"), X.axis_tokens(F.col("label")).alias("lt")).filter("lp <> ''"))  # noqa: E741
+    d = settle(docs.select(F.col(id_).alias("id"), X.phrase(F.col(text)).alias("p"), X.axis_tokens(F.col(text)).alias("t")).filter("p <> ''"))
+    heads = l.select("label", "position", "lp", F.substring("lp", 1, 4).alias("head"))
+    sizes = [r[0] for r in heads.select(F.length("head")).distinct().collect()]  # four at most
+    at = lambda n: F.transform(F.when(F.length("p") >= n, F.sequence(F.lit(1), F.length("p") - (n - 1))), lambda i: F.substr("p", i, F.lit(n)))
+    starts = d.select("id", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*(at(n) for n in sizes)))))).alias("head")) if sizes else d.select("id", F.lit("").alias("head"))
+    whole = starts.join(heads, "head").join(d.select("id", "p"), "id").filter(F.contains("p", "lp"))
+    tokens = l.select("label", "position", F.size("lt").alias("n"), F.explode("lt").alias("word"))
+    shared = d.select("id", F.explode("t").alias("word")).join(tokens, "word").groupBy("id", "label", "position").agg((F.count(F.lit(1)).cast("double") / F.first("n")).alias("fit"))
+    pairs = whole.select("id", "label", "position", F.lit(1.0).alias("fit")).unionByName(shared.filter(F.col("fit") >= least))
+    w = Window.partitionBy("id").orderBy(F.desc("fit"), "position", "label")
     return pairs.withColumn("r", F.row_number().over(w)).filter("r = 1").select("id", "label", "fit")

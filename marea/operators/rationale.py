@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marea.functions import scores as S
 from marea.functions import text as X
+from marea.session import small
 
 c01 = S.clip
 
@@ -50,7 +51,7 @@ def rationale(series: DataFrame, rank: DataFrame | None = None, focus: str = "de
     total = rows.agg(F.sum("responses").alias("total"))
     kept = cuts.filter((F.col("topic_responses") >= min_responses) & (F.col("weeks") >= 3) & (F.col("rates") >= 3))
     q = lambda i: F.round(F.get("q", F.lit(i)), 9)
-    at = rows.join(F.broadcast(kept), "nps_topic").withColumn("low30", F.col("incidents") <= q(0)).withColumn("high70", F.col("incidents") >= q(2)).withColumn("low50", F.col("incidents") <= q(1)).withColumn("high50", F.col("incidents") > q(1))
+    at = rows.join(small(kept), "nps_topic").withColumn("low30", F.col("incidents") <= q(0)).withColumn("high70", F.col("incidents") >= q(2)).withColumn("low50", F.col("incidents") <= q(1)).withColumn("high50", F.col("incidents") > q(1))
 
     def side(flag):
         return [F.count_if(flag), F.avg(F.when(flag, F.col("rate"))), F.avg(F.when(flag, F.col("nps_mean"))), F.sum(F.when(flag, F.col("responses")))]
@@ -109,13 +110,18 @@ def learned_factors(log: DataFrame, **context: str) -> DataFrame:
 
 
 def hypotheses(rank: DataFrame, factors: DataFrame, lags: DataFrame | None = None, stability: DataFrame | None = None, leads: DataFrame | None = None, topic: str = "topic") -> DataFrame:
-    """The ranking with what else is known of each topic, and its confidence after what was learned."""
+    """The ranking with what else is known of each topic, and its confidence after what was learned.
+
+    lags: best_lag_weeks and corr; stability: changepoints, max_cp_stability and max_cp_level; leads:
+    incidents_lead_changepoint_share, each by topic, a row at most. Topics that a side doesn't know keep nulls in its
+    columns. Order: learned confidence, incidents, responses, then by name.
+    """
     out = rank
     for side in (stability, lags, leads):
         if side is not None:
-            out = out.join(side, topic, "left")
+            out = out.join(side.dropDuplicates([topic]), topic, "left")
     out = out.join(factors.select(topic, "confirmed", "rejected", "factor"), topic, "left").fillna({"factor": 1.0, "confirmed": 0, "rejected": 0})
-    return out.withColumn("confidence_learned", c01(F.col("score") * F.col("factor"))).orderBy(F.desc("confidence_learned"), F.desc("score"), F.desc("incidents"), topic)
+    return out.withColumn("confidence_learned", c01(F.coalesce("score", F.lit(0.0)) * F.col("factor"))).orderBy(F.desc("confidence_learned"), F.desc("incidents"), F.desc("responses"), topic)
 
 
 def logit_effect(df: DataFrame, outcome: str, treatment: str, controls: list[str], top: int = 20, least: int = 500) -> DataFrame:

@@ -127,11 +127,6 @@ def o_d20(spark, d):
     return rounded(rationale.learned_factors(_log(spark, d)))
 
 
-@query("o_d21_hypotheses", f"{V.FULL}, {RANK} SELECT topic, {R('score', 'score')}, {R('score', 'confidence_learned')} FROM k")
-def o_d21(spark, d):
-    return rounded(rationale.hypotheses(rationale.causal_rank(topic_weeks(spark, d)), rationale.learned_factors(_log(spark, d))).select("topic", "score", "confidence_learned"))
-
-
 def _operations(spark, d):
     r, i = V.table(spark, d, "lineitem"), V.incidents(spark, d)
     last = r.groupBy(F.col("l_orderkey").alias("incident_id")).agg(F.max(F.col("l_shipdate").cast("date")).alias("resolved"), F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("S"), (F.col("l_suppkey") % 7).cast("string")))), "; ").alias("orgs"))
@@ -194,22 +189,6 @@ def o_c04(spark, d):
 CHAINS = "c AS (SELECT {e} AS entity, count(*) AS linked_pairs, count(DISTINCT incident_id) AS linked_incidents, count(DISTINCT comment_id) AS linked_comments, avg(similarity) AS avg_similarity, avg(score) AS avg_nps FROM e GROUP BY 1)"
 
 
-def _chains(spark, d, mode):
-    return chains.chains(_enriched(spark, d), _rationale(spark, d).limit(0), mode)
-
-
-for _mode, _column in (("lever", "lever"), ("sublever", "sublever"), ("service", "service_n2")):
-
-    @query(f"o_d22_chains_{_mode}", f"{ENRICHED}, {CHAINS.format(e=_column)} SELECT entity, linked_pairs, linked_incidents, linked_comments, {R('avg_similarity', 'avg_similarity')}, {R('avg_nps', 'avg_nps')} FROM c ORDER BY c.linked_pairs DESC, entity LIMIT 10")
-    def o_d22(spark, d, mode=_mode):
-        return rounded(_chains(spark, d, mode).select("entity", "linked_pairs", "linked_incidents", "linked_comments", "avg_similarity", "avg_nps"))
-
-
-@query("o_d23_chain_totals", f"{ENRICHED}, {CHAINS.format(e='lever')} SELECT count(*) AS chains, CAST(sum(linked_incidents) AS BIGINT) AS incidents, CAST(sum(linked_comments) AS BIGINT) AS comments, CAST(sum(linked_pairs) AS BIGINT) AS pairs FROM c")
-def o_d23(spark, d):
-    return chains.chain_totals(_chains(spark, d, "lever")).drop("topics")
-
-
 MAP = "mp AS (SELECT topic, sublever AS entity, count(*) AS pairs, avg(similarity) AS similarity FROM e GROUP BY 1, 2), mt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY pairs DESC, similarity DESC, entity) AS r FROM mp) WHERE r = 1)"
 
 
@@ -245,14 +224,14 @@ def o_d52(spark, d):
     return rounded(chains.entity_summary(_enriched(spark, d)))
 
 
-@query("o_c14_journey_match", """WITH k(pos, id, words) AS (VALUES """ + ", ".join(f"({i}, '{j[0]}', {list(j[7])})" for i, j in enumerate(chains.JOURNEYS)) + """), x AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(translate(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), '""" + X.ACCENTED + "', '" + X.PLAIN + """'), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9> /]+', ' ', 'g'), ' +', ' ', 'g')) AS h FROM documents),
+@query("o_c14_journey_match", """WITH k(pos, id, words) AS (VALUES """ + ", ".join(f"({i}, '{j[0]}', {list(j[7])})" for i, j in enumerate(chains.JOURNEYS)) + """), x AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(translate(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), '""" + X.ACCENTED + "', '" + X.PLAIN.replace("'", "''") + """'), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9> /]+', ' ', 'g'), ' +', ' ', 'g')) AS h FROM documents),
 p AS (SELECT doc_id, pos, id, len(list_filter(words, lambda w: contains(h, w))) AS hits FROM x, k), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, pos) AS n FROM p WHERE hits > 0) SELECT doc_id, id AS journey_id, CAST(hits AS BIGINT) AS hits FROM r WHERE n = 1""")
 def o_c14(spark, d):
     got = chains.match_journeys(V.table(spark, d, "documents"), ["doc_id"], ["text"], chains.journey_catalogue(spark))
     return got.select("doc_id", "journey_id", F.col("hits").cast("long").alias("hits"))
 
 
-FOLD = "regexp_replace(translate(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), '" + X.ACCENTED + "', '" + X.PLAIN + "'), '[^\\x00-\\x7F]', '', 'g')"
+FOLD = "regexp_replace(translate(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), '" + X.ACCENTED + "', '" + X.PLAIN.replace("'", "''") + "'), '[^\\x00-\\x7F]', '', 'g')"
 STOP = ", ".join(f"'{w}'" for w in X.TERM_STOPWORDS)
 TOKENS = f"tk AS (SELECT 'i' AS side, item_id AS id, item_id % 60 AS day, t AS term FROM (SELECT item_id, unnest(list_distinct(regexp_extract_all({FOLD}, '[a-z0-9]{{4,}}'))) AS t FROM benchmark) WHERE t NOT IN ({STOP}) AND NOT regexp_matches(t, '^[0-9]+$') UNION ALL SELECT 'c', doc_id, doc_id % 60, t FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all({FOLD}, '[a-z0-9]{{4,}}'))) AS t FROM documents) WHERE t NOT IN ({STOP}) AND NOT regexp_matches(t, '^[0-9]+$'))"
 STEM = "CASE WHEN term LIKE '%es' AND length(term) > 4 THEN substr(term, 1, length(term) - 2) WHEN term LIKE '%s' AND length(term) > 3 THEN substr(term, 1, length(term) - 1) ELSE term END"
@@ -273,12 +252,6 @@ def o_c12(spark, d):
     return linking.contains_terms(V.tickets(spark, d), "incident_id", "text", _hot(spark, d))
 
 
-@query("o_d44_hot_evidence", f"WITH {HOT} SELECT term, hot_rank, count(*) FILTER (WHERE side = 'i') AS mention_incidents, count(*) FILTER (WHERE side = 'c') AS mention_comments FROM tk JOIN hot USING (term) WHERE hot_rank <= 3 GROUP BY 1, 2")
-def o_d44(spark, d):
-    got = hotspots.evidence(_hot(spark, d), V.tickets(spark, d), V.comments(spark, d), _link(spark, d)[1])
-    return got.select("term", F.col("hot_rank").cast("long").alias("hot_rank"), "mention_incidents", "mention_comments")
-
-
 def _dated(spark, d):
     return V.tickets(spark, d).withColumnRenamed("ts", "day"), V.comments(spark, d).withColumnRenamed("ts", "day").withColumn("score", (F.col("comment_id") % 11).cast("double"))
 
@@ -310,26 +283,6 @@ def o_d50(spark, d):
     return hotspots.overlap_days(hotspots.timeline(_hot(spark, d), *_dated(spark, d)))
 
 
-@query("o_c13_label_match")
-def o_c13(spark, d):
-    labels = V.table(spark, d, "part").select(F.col("p_type").alias("label")).distinct()
-    texts = V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
-    return linking.match_labels(texts, "id", "text", labels)
-
-
-@query("o_d48_best_axis")
-def o_d48(spark, d):
-    p = V.table(spark, d, "part")
-    texts = p.select(F.col("p_partkey").alias("incident_id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
-    return hotspots.best_axis(texts, p.select(F.col("p_type").alias("label")).distinct(), p.select(F.col("p_brand").alias("label")).distinct())
-
-
-@query("o_d49_aligned_evidence")
-def o_d49(spark, d):
-    h = _hot(spark, d, 6)
-    return hotspots.align(hotspots.evidence(h, V.tickets(spark, d), V.comments(spark, d), _link(spark, d)[1]).drop("hot_rank"), h.limit(2))
-
-
 @query("o_k03_topics")
 def o_k03(spark, d):
     return topics.extract_topics(V.comments(spark, d))
@@ -365,10 +318,3 @@ def o_k08(spark, d):
 @query("o_f07_evidence_order", f"{EVIDENCE} SELECT CAST(substr(l, 2) AS BIGINT) AS incident_id, CAST(substr(r, 2) AS BIGINT) AS comment_id, row_number() OVER (ORDER BY lang, s DESC, CAST(substr(l, 2) AS BIGINT), CAST(substr(r, 2) AS BIGINT)) AS place FROM k JOIN documents ON r = 'c' || doc_id WHERE rank <= 5 AND s >= 0.25 AND abs(CAST(substr(l, 2) AS BIGINT) % 60 - CAST(substr(r, 2) AS BIGINT) % 60) <= 10")
 def o_f07(spark, d):
     return drivers.numbered(_link(spark, d)[1], "topic", F.desc("similarity"), "incident_id", "comment_id", name="place").select("incident_id", "comment_id", F.col("place").cast("long").alias("place"))
-
-
-@query("o_f09_capped_evidence", f"{ENRICHED}, {CHAINS.format(e='lever')} SELECT entity, least(5, linked_incidents) AS incidents, least(2, linked_comments) AS comments FROM c")
-def o_f09(spark, d):
-    return chains.capped(_chains(spark, d, "lever"), 5, 2).select("entity", F.size("incident_records").cast("long").alias("incidents"), F.size("comment_records").cast("long").alias("comments"))
-
-

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows up to which a side that was counted is broadcast.
@@ -27,6 +28,30 @@ def empty(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all nodes share (spark.checkpoint.dir); a temporary one where none is set, as in local tests."""
+    import tempfile
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_marea_shared", None)
+    if not folder:
+        folder = spark._marea_shared = "file://" + tempfile.mkdtemp(prefix="marea-")
+    return folder.rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Writes a frame that is used several times to the shared folder and reads it back; lost executors don't lose it."""
+    import uuid
+
+    path = f"{shared_dir(df.sparkSession)}/marea/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The frame with a broadcast hint if it has at most so many rows, counted; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def ship(spark: SparkSession) -> None:
     """Gives the Python workers this package, once a context: they may run where it isn't installed."""
     import os

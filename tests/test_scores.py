@@ -109,7 +109,7 @@ def test_profile_and_outliers(spark):
 
 
 def test_fold(spark):
-    df = spark.createDataFrame([("Őszi Škoda ﬁn",), ("ÑANDÚ ½ ﬄ",), ("ascii",), (None,)], "x string")
+    df = spark.createDataFrame([("Őszi Škoda ﬁn",), ("ÑANDÚ ½ ﬄ",), ("ascii",), (None,), ("it\uff07s", ), ("a … b…½½ №7 ™",), ("'quoted' \uff07½\uff07",)], "x string")
     import unicodedata
 
     want = [unicodedata.normalize("NFKD", (r[0] or "").lower()).encode("ascii", "ignore").decode() for r in df.collect()]
