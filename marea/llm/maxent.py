@@ -32,7 +32,7 @@ ROWS = 1 << 15
 #: The end of a text, as a word; no word holds a space.
 END = b" "
 #: Events a partition trains on; histories a gradient step takes.
-PARTITION, STEP = 2_000_000, 4096
+PARTITION, STEP = 1_000_000, 4096
 LOG10 = np.log(10.0)
 
 
@@ -175,7 +175,7 @@ def table(counts: DataFrame, most: int = TABLE, shape: Shape = Shape()) -> tuple
 def _count_events(model: Model):
     def run(batches):
         for batch in batches:
-            for part in slices(batch, limit=4 << 20):
+            for part in slices(batch, limit=2 << 20):
                 words, code, first = tokens(part.column("text"))
                 if not len(part):
                     continue
@@ -325,12 +325,14 @@ def train(model: Model, docs: DataFrame, rates: tuple[float, ...] = (0.3, 0.2, 0
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
     events = docs.select("text").mapInArrow(C.tidy(lambda batches: _count_events(held.value)(batches)), "history long, name int, n long").groupBy("history", "name").agg(F.sum("n").alias("n"))
-    events = C.materialise(events)
-    parts = max(1, -(-events.count() // PARTITION))
+    counted = C.materialise(events)
+    parts = max(1, -(-counted.count() // PARTITION))
+    # all events of a history meet in a partition: they are as many as there are names at most
+    events = C.materialise(counted.repartition(parts, "history"))
+    C.discard(counted)
     for i, rate in enumerate(rates):
         now = spark.sparkContext.broadcast(model)
-        # all events of a history meet in a partition: they are as many as there are names at most
-        moved = events.repartition(parts, "history").mapInArrow(C.tidy(_train(now, rate, passes, ridge, i)), "row long, mass double, moved binary")
+        moved = events.coalesce(parts).mapInArrow(C.tidy(_train(now, rate, passes, ridge, i)), "row long, mass double, moved binary")
         merged = moved.repartition(parts, "row").mapInArrow(C.tidy(_average(model.shape)), "row long, moved binary").toArrow()
         now.destroy()
         weights = [w.copy() for w in model.weights]
