@@ -1,14 +1,17 @@
 """Alignment of two tokenizers over the same texts: groups of tokens between common borders, and corpus-wide pair counts.
 
-Each Arrow batch becomes two interval tables of a local DuckDB, one row a token with its bytes' range: an ASOF join finds the
-first token of the other side that ends no sooner and so tells common borders, a window sum over these numbers the groups,
-and a range join within a group links tokens whose ranges overlap. Each document's distinct pairs are written once with
-their multiplicity; Spark merges partial counts of the pairs, and every document meets the counts of its own.
+Neither side has a token across a space that follows a visible ASCII character, so texts are cut there into units, and each
+distinct unit of an Arrow batch is tokenized once. The units become two interval tables of a local DuckDB, one row a token
+with its bytes' range: an ASOF join finds the first token of the other side that ends no sooner and so tells common borders,
+a window sum over these numbers the groups, and a range join within a group links tokens whose ranges overlap; a join with
+the units of each document sums its links. Each document's distinct pairs are written once with their multiplicity; Spark
+merges partial counts of the pairs, and every document meets the counts of its own.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import tempfile
 from dataclasses import dataclass
@@ -32,7 +35,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 @dataclass
 class Tokenizer:
-    """encode: the ids of some texts, joined, and their number in each; data and begin: the bytes of the ids."""
+    """encode: the ids of some units, joined, and their number in each; data and begin: the bytes of the ids."""
 
     encode: object
     data: np.ndarray
@@ -49,7 +52,7 @@ class Tokenizer:
 
 def _joined(lists) -> tuple[np.ndarray, np.ndarray]:
     n = np.array([len(x) for x in lists], np.int64)
-    return np.fromiter((i for x in lists for i in x), np.int64, int(n.sum())), n
+    return np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(n.sum())), n
 
 
 def _tables(names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -79,51 +82,77 @@ def byte_level(content: bytes) -> Tokenizer:
     table = [b""] * (max(vocabulary.values()) + 1)
     for name, i in names.items():
         table[i] = name
-    return Tokenizer(lambda texts: _joined([encoding.encode_ordinary(" " + t) for t in texts]), *_tables(table))
+    return Tokenizer(lambda units: _joined([encoding.encode_ordinary(t) for t in units]), *_tables(table))
 
 
 @functools.lru_cache(maxsize=1)
 def piece_level(content: bytes) -> Tokenizer:
-    """A model of pieces; it puts the space before a text itself."""
+    """A model of pieces; it puts the space before a unit itself. No piece may have the mark of a space after something else."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_proto=content)
     names = [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace("▁", " ").encode() for i in range(model.get_piece_size())]
-    return Tokenizer(lambda texts: _joined(model.encode(texts, num_threads=1)), *_tables(names))
+    if any(" " in x.lstrip(b" ").decode(errors="replace") for x in names):
+        raise ValueError("a piece goes on after a space")
+    return Tokenizer(lambda units: _joined(model.encode([u[1:] for u in units], num_threads=1)), *_tables(names))
+
+
+def units(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the units of some joined texts, and each text's first unit (one more at the end).
+
+    A unit starts with its text or with a space after a visible ASCII character. Before such a space both sides have a
+    border: the byte-level pattern takes a space only at a token's start or within white space, and so do the pieces.
+    """
+    cut = np.zeros(len(raw) + 1, bool)
+    cut[1:-1] = (raw[1:] == 32) & (raw[:-1] > 32) & (raw[:-1] < 127)
+    ends = offsets[1:][np.diff(offsets) > 0] - 1
+    cut[ends] = False  # a space that ends a text is no unit of its own
+    cut[offsets] = True
+    cut[-1] = False
+    starts = np.flatnonzero(cut)
+    return starts, np.searchsorted(starts, offsets)
 
 
 def _decimals(most: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables([str(i).encode() for i in range(most)])
 
 
-def _render(doc, group, ids, digits) -> tuple[bytes, np.ndarray]:
-    """All documents' groups as text, one after the other with a byte after each, and the end of each token's text.
+def _render(unit, group, ids, digits, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """All units' groups as text, one after the other with ; after each, and where each unit's begins (one more at the end).
 
-    doc, group, ids: of the tokens of A and of B.
+    unit, group, ids: of the tokens of A and of B.
     """
     place = [np.arange(len(ids[0])) + np.searchsorted(group[1], group[0], "left"), np.arange(len(ids[1])) + np.searchsorted(group[0], group[1], "right")]
     n = len(ids[0]) + len(ids[1])
     whole = np.empty((4, n), np.int64)
     for side in (0, 1):
-        whole[:, place[side]] = ids[side], group[side], doc[side], np.full(len(ids[side]), side)
-    own, g, d, s = whole
+        whole[:, place[side]] = ids[side], group[side], unit[side], np.full(len(ids[side]), side)
+    own, g, u, s = whole
     mark = np.full(n, ord(","), np.uint8)
     mark[:-1][s[1:] != s[:-1]] = ord("|")
     mark[:-1][g[1:] != g[:-1]] = ord(";")
+    mark[-1:] = ord(";")
     data, begin = digits
     size = np.diff(begin)[own] + 1
     upto = np.append(0, np.cumsum(size))
     out = np.append(data, np.uint8(0))[np.minimum(np.repeat(begin[own] - upto[:-1], size) + np.arange(upto[-1]), len(data))]
     out[upto[1:] - 1] = mark
-    return out.tobytes(), upto[np.searchsorted(d, np.arange(int(d[-1]) + 2 if n else 1))]
+    return out, upto[np.searchsorted(u, np.arange(rows + 1))]
 
 
 QUERIES = (
     # the first B token that ends no sooner tells whether A's end is a common border; the sum of those before numbers the groups
-    "CREATE OR REPLACE TEMP TABLE ag AS SELECT doc, i, id, s, e, common, sum(common::INT) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) - common::INT AS g FROM (SELECT a.*, a.e = b.e AS common FROM a ASOF JOIN b ON a.e <= b.e)",
-    "CREATE OR REPLACE TEMP TABLE bg AS SELECT b.doc, b.i, b.id, b.s, b.e, c.g FROM b ASOF JOIN (SELECT e, g FROM ag WHERE common) c ON b.e <= c.e",
+    "CREATE OR REPLACE TEMP TABLE ag AS SELECT unit, i, id, s, e, common, sum(common::INT) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) - common::INT AS g FROM (SELECT a.*, a.e = b.e AS common FROM a ASOF JOIN b ON a.e <= b.e)",
+    "CREATE OR REPLACE TEMP TABLE bg AS SELECT b.unit, b.i, b.id, b.s, b.e, c.g FROM b ASOF JOIN (SELECT e, g FROM ag WHERE common) c ON b.e <= c.e",
 )
-LINKS = f"SELECT ag.doc AS doc, ag.id::BIGINT * {SIDE} + bg.id AS pair, count(*) AS n FROM ag JOIN bg ON ag.g = bg.g AND ag.s < bg.e AND bg.s < ag.e GROUP BY ALL ORDER BY 1, 2"
+LINKS = f"CREATE OR REPLACE TEMP TABLE links AS SELECT ag.unit AS unit, ag.id::BIGINT * {SIDE} + bg.id AS pair, count(*) AS n FROM ag JOIN bg ON ag.g = bg.g AND ag.s < bg.e AND bg.s < ag.e GROUP BY ALL"
+OF_DOCUMENTS = "SELECT d.doc AS doc, l.pair AS pair, sum(d.times * l.n)::BIGINT AS n FROM docs d JOIN links l USING (unit) GROUP BY ALL ORDER BY 1, 2"
+
+
+def _spans(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of some spans, joined, and the end of each among them (0 first)."""
+    upto = np.append(0, np.cumsum(size))
+    return np.repeat(begin - upto[:-1], size) + np.arange(upto[-1]), upto
 
 
 def _align(files):
@@ -134,50 +163,58 @@ def _align(files):
         digits = _decimals(max(len(a.begin), len(b.begin)))
         con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": tempfile.mkdtemp()})
         con.execute("SET preserve_insertion_order = false")
-        kind = pa.list_(pa.int32())
+
+        def load(name: str, **columns) -> None:
+            con.register("arrow", pa.table(columns))
+            con.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS FROM arrow")
+            con.unregister("arrow")
+
         for batch in batches:
-            for part in slices(batch):
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                rows = len(texts)
-                want, offsets = C.flat(pa.array([" " + t if t else "" for t in texts], pa.large_string()))
-                full = [i for i, t in enumerate(texts) if t]
-                sides = []
+            for part in slices(batch, limit=2 << 20):
+                rows = len(part)
+                raw, offsets = C.flat(pa.array([" " + t if t else "" for t in part.column("text").to_pylist()], pa.large_string()))
+                starts, first = units(raw, offsets)
+                coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(raw)).astype(np.int64)), pa.py_buffer(raw)]).dictionary_encode()
+                distinct, code = coded.dictionary, coded.indices.to_numpy()
+                want, bound = C.flat(distinct)
+                texts = distinct.cast(pa.large_string()).to_pylist()
+                good, sides = np.ones(len(texts), bool), []
                 for own in (a, b):
-                    ids, n = own.encode([texts[i] for i in full])
-                    count = np.zeros(rows, np.int64)
-                    count[full] = n
-                    sides.append((ids, count))
-                good = np.diff(offsets) > 0
-                for own, (ids, count) in zip((a, b), sides, strict=True):
-                    size, at = own.size(ids), np.append(0, np.cumsum(count))
-                    upto = np.append(0, np.cumsum(size))[at]
-                    good &= np.diff(upto) == np.diff(offsets)
-                    if not np.array_equal(upto, offsets) or not np.array_equal(own.joined(ids), want):
-                        data = own.joined(ids)
-                        good &= np.array([np.array_equal(data[upto[r] : upto[r + 1]], want[offsets[r] : offsets[r + 1]]) for r in range(rows)], bool)
-                docs, names = [], []
-                for own, table, (ids, count) in zip((a, b), "ab", sides, strict=True):
-                    doc = np.repeat(np.arange(rows), count)
-                    keep = good[doc]
-                    doc, ids = doc[keep], ids[keep]
+                    ids, n = own.encode(texts)
+                    upto = np.append(0, np.cumsum(own.size(ids)))[np.append(0, np.cumsum(n))]
+                    data = own.joined(ids)
+                    if not np.array_equal(upto, bound) or not np.array_equal(data, want):
+                        good &= np.array([np.array_equal(data[upto[u] : upto[u + 1]], want[bound[u] : bound[u + 1]]) for u in range(len(texts))], bool)
+                    sides.append((ids, n))
+                owner, names = [], []
+                for own, name, (ids, n) in zip((a, b), "ab", sides, strict=True):
+                    unit = np.repeat(np.arange(len(texts)), n)
+                    unit, ids = unit[good[unit]], ids[good[unit]]
                     end = np.cumsum(own.size(ids))
-                    docs.append(doc)
+                    owner.append(unit)
                     names.append(ids)
-                    con.register("tokens", pa.table({"doc": doc.astype(np.int32), "i": np.arange(len(ids), dtype=np.int32), "id": ids.astype(np.int32), "s": end - own.size(ids), "e": end}))
-                    con.execute(f"CREATE OR REPLACE TEMP TABLE {table} AS FROM tokens")
-                    con.unregister("tokens")
-                for query in QUERIES:
+                    load(name, unit=unit.astype(np.int32), i=np.arange(len(ids), dtype=np.int32), id=ids.astype(np.int32), s=end - own.size(ids), e=end)
+                for query in (*QUERIES, LINKS):
                     con.execute(query)
                 groups = [con.execute(f"SELECT g::BIGINT AS g FROM {t}g ORDER BY i").fetchnumpy()["g"] for t in "ab"]
-                links = con.execute(LINKS).fetchnumpy()
-                text, bound = _render(docs, groups, names, digits)
-                bound = np.append(bound, np.full(rows + 1 - len(bound), bound[-1]))
-                common = con.execute("SELECT doc FROM ag WHERE common").fetchnumpy()["doc"]
+                common = con.execute("SELECT unit FROM ag WHERE common").fetchnumpy()["unit"]
+                text, begin = _render(owner, groups, names, digits, len(texts))
+                # documents all of whose units either side spells
+                doc = np.repeat(np.arange(rows), np.diff(first))
+                sound = np.bincount(doc, weights=~good[code], minlength=rows) == 0
+                kept = sound[doc]
+                doc, code = doc[kept], code[kept]
+                pair, times = np.unique(doc * max(1, len(texts)) + code, return_counts=True)
+                load("docs", doc=(pair // max(1, len(texts))).astype(np.int32), unit=(pair % max(1, len(texts))).astype(np.int32), times=times)
+                links = con.execute(OF_DOCUMENTS).fetchnumpy()
                 cut = np.searchsorted(links["doc"], np.arange(rows + 1))
                 many = np.append(0, np.cumsum(links["n"].astype(np.int64)))
-                lists = [pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(links[c].astype(np.int32))).cast(kind) for c in ("pair", "n")]
+                lists = [pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(links[c].astype(np.int32))) for c in ("pair", "n")]
+                place, upto = _spans(begin[code], np.diff(begin)[code])
+                told, upto = text[place].tobytes(), upto[np.searchsorted(doc, np.arange(rows + 1))]
+                totals = (np.bincount(doc, weights=np.bincount(x, minlength=len(texts))[code], minlength=rows).astype(np.int64) for x in (*owner, common))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *(pa.array(np.bincount(x, minlength=rows)) for x in (*docs, common)), pa.array(np.diff(many[cut])), *lists, pa.array([text[x : max(x, y - 1)].decode() for x, y in zip(bound[:-1], bound[1:], strict=True)])],
+                    [part.column("doc_id"), *map(pa.array, totals), pa.array(np.diff(many[cut])), *lists, pa.array([told[x : max(x, y - 1)].decode() for x, y in zip(upto[:-1], upto[1:], strict=True)])],
                     ["doc_id", "n_a", "n_b", "n_groups", "n_links", "pairs", "times", "groups"],
                 )
         con.close()
@@ -190,7 +227,8 @@ def align(docs: DataFrame, byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE)
 
     groups: `a1,a2|b1;a3|b2,b3`, the ids of either side in order; pairs: SIDE times A's id plus B's, rising. Null and empty
     texts, and those that either side's bytes don't spell, have none; a null doc_id stays null, repeated rows are aligned
-    each, other columns are not read. No rows: none. A text is held whole with its tokens, about 150 bytes of memory a byte.
+    each, other columns are not read. No rows: none. A text is held whole with its tokens: about 150 bytes of memory for
+    a byte of distinct units, 30 for another.
     """
     C.lean(docs.sparkSession)
     files = []

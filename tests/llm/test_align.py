@@ -4,10 +4,13 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import sentencepiece
 from tokenizers import Tokenizer
 
 from marea.llm import align
+from marea.llm import common as C
 
 
 def token_bytes():
@@ -77,6 +80,26 @@ def test_against_loops(spark):
     assert [tuple(r)[1:] for r in align.digest(frame.filter("doc_id = 70")).collect()] == [(0, 0, 0, 0, 0, 0, "")]
 
 
+def test_units_are_tokenized_like_whole_texts():
+    """Both libraries on whole texts against their tokens unit by unit."""
+    rng = random.Random(9)
+    parts = ["a", "don't", "it's", " ", "  ", "   ", "\n", "\n\n", "\t", ".", ",", "...", "é", "Été", "12", "3", "\u00a0", "\u3000", "日本", "🙂", "\x1c", "\x85", "<s>", "'s", "-", "the", "Straße", "‑", "\u2028", "_x"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
+    files = [open(p, "rb").read() for p in (align.BYTE_BPE, align.PIECE_BPE)]
+    a, b = Tokenizer.from_file(align.BYTE_BPE), sentencepiece.SentencePieceProcessor(model_file=align.PIECE_BPE)
+    a.encode_special_tokens = True
+    raw, offsets = C.flat(pa.array([" " + t for t in texts], pa.large_string()))
+    starts, first = align.units(raw, offsets)
+    ends = np.append(starts[1:], len(raw))
+    own = [raw[x:y].tobytes().decode() for x, y in zip(starts, ends, strict=True)]
+    assert len(own) > 1.5 * len(texts)
+    for side, whole in ((align.byte_level(files[0]), lambda t: a.encode(" " + t, add_special_tokens=False).ids), (align.piece_level(files[1]), b.encode)):
+        ids, n = side.encode(own)
+        at = np.append(0, np.cumsum(n))[first]
+        for i, t in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == whole(t), repr(t)
+
+
 def test_whole_table(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect() if len(r.text or "") < 6000]
     got = align.digest(spark.createDataFrame(docs, "doc_id long, text string"))
