@@ -4,7 +4,7 @@ Two models of words as byte n-grams, one of toxic and one of ordinary labelled t
 both discount them and give the rest to one shared model, a Kneser-Ney model whose lower orders count distinct
 continuations in both classes together. So rare expressions score alike in both. A word's log-likelihood ratio is summed
 over its bytes, and a document is judged by its ratios per word: their mean, the largest and the share of strong ones,
-brought to a probability by logistic regression.
+brought to a probability by logistic regression. Counts and estimates are tables, made by joins and aggregates.
 """
 
 from __future__ import annotations
@@ -12,9 +12,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marea.llm import common as C
@@ -27,18 +28,24 @@ _LETTER[np.r_[97:123, 128:256]] = True
 STRONG = 2.0
 
 
+#: N-grams up to which a model goes to every task as arrays; beyond it words are met with them by joins, with equal scores.
+ENTRIES = 8_000_000
+
+
 @dataclass
 class Model:
     order: int
-    keys: np.ndarray  # n-grams of the full order, packed
-    ratios: np.ndarray
-    contexts: np.ndarray  # their first bytes, and the ratio of a byte never seen after them
-    rest: np.ndarray
+    grams: DataFrame  # key (a packed n-gram of the full order) and ratio
+    contexts: DataFrame  # context (their first bytes) and rest: the ratio of a byte never seen after them
     weights: np.ndarray  # of the features, the intercept last
 
-    @property
-    def entries(self) -> int:
-        return len(self.keys) + len(self.contexts)
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        """Both tables, sorted."""
+        out = []
+        for table, names in ((self.grams, ("key", "ratio")), (self.contexts, ("context", "rest"))):
+            held = table.toArrow().sort_by(names[0])
+            out += [held.column(names[0]).to_numpy().astype(np.uint64), held.column(names[1]).to_numpy()]
+        return tuple(out)
 
 
 def _words(column) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -104,39 +111,43 @@ def _count_grams(order):
     return run
 
 
-def _group(keys: np.ndarray, *values: np.ndarray):
-    distinct, code = np.unique(keys, return_inverse=True)
-    return distinct, code, [np.bincount(code, weights=v, minlength=len(distinct)) for v in values]
-
-
-def _continuation(keys: np.ndarray, order: int, discount: float) -> np.ndarray:
-    """The shared probability of the last byte of each (distinct, packed) n-gram after those before it, by continuations."""
-    if order == 0:
-        return np.full(len(keys), 1 / 256)
-    shorter = keys & np.uint64((1 << 8 * order) - 1)
-    distinct, code, (kinds,) = _group(shorter, np.ones(len(keys)))
-    _, context, (total, types) = _group(distinct >> np.uint64(8), kinds, np.ones(len(distinct)))
-    below = _continuation(distinct, order - 1, discount)
-    p = (np.maximum(kinds - discount, 0) + discount * types[context] * below) / total[context]
-    return p[code]
-
+def estimate(grams: DataFrame, order: int, discount: float = 0.75, own_discount: float = 1.5) -> tuple[DataFrame, DataFrame]:
+    """key and ratio of each n-gram, context and rest: the log ratio of a byte not seen after it.
 
-def estimate(keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, order: int, discount: float = 0.75, own_discount: float = 1.5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted n-grams and their log ratios, sorted contexts and the log ratio of a byte not seen after them.
-
-    discount: of the shared model's counts; own_discount: of the counts of each class, whose mass goes to the shared
-    model, so that rare expressions are smoothed by what both classes have of them.
+    grams: key, toxic and ordinary, a row each packed n-gram of the full order. discount: of the shared model's counts;
+    own_discount: of the counts of each class, whose mass goes to the shared model, so that rare expressions are smoothed
+    by what both classes have of them. The shared model's lower orders count distinct continuations: each order's keys
+    are those of the next one without their first byte.
     """
-    both = toxic + ordinary
-    contexts, context, (total, types) = _group(keys >> np.uint64(8), both, np.ones(len(keys)))
-    shared = (np.maximum(both - discount, 0) + (discount * types)[context] * _continuation(keys, order - 1, discount)) / total[context]
-    logs, rests = [], []
-    for own in (toxic, ordinary):
-        _, _, (sums, given) = _group(keys >> np.uint64(8), own, np.minimum(own, own_discount))
-        free = np.where(sums > 0, given / np.maximum(sums, 1), 1.0)
-        logs.append(np.log(np.where(sums[context] > 0, np.maximum(own - own_discount, 0) / np.maximum(sums[context], 1), 0.0) + free[context] * shared))
-        rests.append(np.log(free))
-    return keys, (logs[0] - logs[1]).astype(np.float32), contexts, (rests[0] - rests[1]).astype(np.float32)
+    grams = C.materialise(grams.filter("toxic + ordinary > 0").select("key", F.col("toxic").cast("double").alias("toxic"), F.col("ordinary").cast("double").alias("ordinary")))
+    short = lambda o: F.col("key").bitwiseAND(F.lit((1 << 8 * o) - 1))
+    context = F.shiftright("key", 8).alias("context")
+    levels, keys = {}, grams.select("key")
+    for o in range(order - 1, 0, -1):
+        keys = keys.groupBy(short(o).alias("key")).agg(F.count(F.lit(1)).cast("double").alias("kinds"))
+        levels[o] = keys
+    below = None
+    for o in range(1, order):
+        own = levels[o].withColumn("context", context)
+        sums = own.groupBy("context").agg(F.sum("kinds").alias("total"), F.count(F.lit(1)).alias("types"))
+        own = own.join(sums, "context")
+        own = own.withColumn("lower", F.lit(1 / 256)) if below is None else own.withColumn("last", short(o - 1)).join(below.select(F.col("key").alias("last"), F.col("p").alias("lower")), "last")
+        below = own.select("key", ((F.greatest(F.col("kinds") - discount, F.lit(0.0)) + discount * F.col("types") * F.col("lower")) / F.col("total")).alias("p"))
+    both = F.col("toxic") + F.col("ordinary")
+    given = lambda c: F.sum(F.least(F.col(c), F.lit(own_discount)))
+    sums = grams.groupBy(context).agg(F.sum(both).alias("total"), F.count(F.lit(1)).alias("types"), *(F.sum(c).alias(f"all_{c}") for c in ("toxic", "ordinary")), *(given(c).alias(f"given_{c}") for c in ("toxic", "ordinary")))
+    for c in ("toxic", "ordinary"):
+        sums = sums.withColumn(f"free_{c}", F.when(F.col(f"all_{c}") > 0, F.col(f"given_{c}") / F.greatest(f"all_{c}", F.lit(1.0))).otherwise(1.0))
+    sums = C.materialise(sums)
+    at = grams.withColumn("context", context).join(sums, "context")
+    at = at.withColumn("lower", F.lit(1 / 256)) if below is None else at.withColumn("last", short(order - 1)).join(below.select(F.col("key").alias("last"), F.col("p").alias("lower")), "last")
+    shared = (F.greatest(both - discount, F.lit(0.0)) + discount * F.col("types") * F.col("lower")) / F.col("total")
+    log = lambda c: F.log(F.when(F.col(f"all_{c}") > 0, F.greatest(F.col(c) - own_discount, F.lit(0.0)) / F.greatest(f"all_{c}", F.lit(1.0))).otherwise(0.0) + F.col(f"free_{c}") * shared)
+    ratios = C.materialise(at.select("key", (log("toxic") - log("ordinary")).cast("float").alias("ratio")))
+    rests = C.materialise(sums.select("context", (F.log("free_toxic") - F.log("free_ordinary")).cast("float").alias("rest")))
+    C.discard(grams)
+    C.discard(sums)
+    return ratios, rests
 
 
 def _lookup(table: np.ndarray, values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,43 +156,88 @@ def _lookup(table: np.ndarray, values: np.ndarray, keys: np.ndarray) -> tuple[np
     return found, np.where(found, values[at] if len(table) else 0, 0)
 
 
-def word_ratios(model: Model, words: pa.Array) -> np.ndarray:
-    key, word = _keys(words, model.order)
-    found, ratio = _lookup(model.keys, model.ratios, key)
-    _, rest = _lookup(model.contexts, model.rest, key >> np.uint64(8))
+def word_ratios(words: pa.Array, order: int, arrays: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The log-likelihood ratio of each word: the sum over its bytes."""
+    keys, ratios, contexts, rests = arrays
+    key, word = _keys(words, order)
+    found, ratio = _lookup(keys, ratios, key)
+    _, rest = _lookup(contexts, rests, key >> np.uint64(8))
     return np.bincount(word, weights=np.where(found, ratio, rest), minlength=len(words))
 
 
-def features(model: Model, column) -> np.ndarray:
-    """Per row: mean ratio of its words, the largest (at least 0), log of the number and share of strong ones. No words: zeros."""
-    words, code, first = _words(column)
-    ratio = word_ratios(model, words)[code]
-    n = np.diff(first)
-    row = np.repeat(np.arange(len(n)), n)
-    mean = np.bincount(row, weights=np.clip(ratio, -10, 10), minlength=len(n)) / np.maximum(n, 1)
-    most = np.zeros(len(n))
-    full = n > 0
-    if full.any():
-        most[full] = np.maximum(np.maximum.reduceat(ratio, first[:-1][full]), 0)
-    strong = np.bincount(row, weights=ratio > STRONG, minlength=len(n))
-    return np.column_stack([100 * mean.clip(-0.2, 0.2), np.minimum(most, 12), np.log1p(strong), np.log1p(1000 * strong / np.maximum(n, 1)), np.ones(len(n))])
+#: What a text is judged by, from its words' ratios: their sum, the largest, how many are strong, and how many there are.
+SUMS = "total double, most double, strong double, n double"
 
 
-def _scores(model):
+def _sums(order: int, arrays):
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                p = 1 / (1 + np.exp(-(features(model, part.column("text")) @ model.weights)))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names if c != "text"), pa.array(np.round(p, 6))], [*(c for c in part.schema.names if c != "text"), "score"])
+                words, code, first = _words(part.column("text"))
+                ratio = word_ratios(words, order, arrays.value)[code]
+                n = np.diff(first)
+                row = np.repeat(np.arange(len(n)), n)
+                total = np.bincount(row, weights=np.clip(ratio, -10, 10), minlength=len(n))
+                most = np.zeros(len(n))
+                full = n > 0
+                if full.any():
+                    most[full] = np.maximum(np.maximum.reduceat(ratio, first[:-1][full]), 0)
+                strong = np.bincount(row, weights=ratio > STRONG, minlength=len(n))
+                kept = [c for c in part.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(x.astype(float)) for x in (total, most, strong, n))], [*kept, "total", "most", "strong", "n"])
+
+    return run
+
+
+def _list_words(batches):
+    for batch in batches:
+        for part in slices(batch):
+            words, code, first = _words(part.column("text"))
+            if not len(code):
+                continue
+            rows = np.repeat(np.arange(len(first) - 1), np.diff(first))
+            pair, times = np.unique(rows * len(words) + code, return_counts=True)
+            yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(pair // len(words))), words.take(pa.array(pair % len(words))).cast(pa.binary()), pa.array(times)], ["row", "word", "times"])
+
+
+def _list_grams(order: int):
+    def run(batches):
+        for batch in batches:
+            key, word = _keys(batch.column("word"), order)
+            yield pa.RecordBatch.from_arrays([batch.column("word").take(pa.array(word)), pa.array(key.view(np.int64))], ["word", "key"])
 
     return run
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+def sums(docs: DataFrame, model: Model, entries: int = ENTRIES) -> DataFrame:
+    """docs (text, and columns of other names than SUMS) with SUMS in place of text.
+
+    A model of up to `entries` n-grams goes to every task; a larger one is met by joins: the words of all texts with their
+    n-grams, and these with the model.
+    """
+    order, spark = model.order, docs.sparkSession
+    if model.grams.count() <= entries:
+        held = spark.sparkContext.broadcast(model.arrays())
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
+        return docs.mapInArrow(C.tidy(_sums(order, held)), f"{kinds}, {SUMS}")
+    rest = [c for c in docs.columns if c != "text"]
+    rows = C.materialise(docs.select(F.monotonically_increasing_id().alias("row"), "text", F.struct(*(F.col(f"`{c}`") for c in rest)).alias("kept")))
+    told = C.materialise(rows.select("row", "text").mapInArrow(C.tidy(_list_words), "row long, word binary, times long"))
+    grams = told.select("word").distinct().mapInArrow(C.tidy(_list_grams(order)), "word binary, key long").withColumn("context", F.shiftright("key", 8))
+    ratio = F.sum(F.coalesce("ratio", "rest", F.lit(0.0)).cast("double")).alias("ratio")
+    scored = grams.join(model.grams, "key", "left").join(model.contexts, "context", "left").groupBy("word").agg(ratio)
+    per = told.join(scored, "word").groupBy("row").agg(
+        F.sum(F.col("times") * F.greatest(F.lit(-10.0), F.least(F.lit(10.0), "ratio"))).alias("total"), F.greatest(F.max("ratio"), F.lit(0.0)).alias("most"),
+        F.sum(F.when(F.col("ratio") > STRONG, F.col("times")).otherwise(0)).cast("double").alias("strong"), F.sum("times").cast("double").alias("n"),
+    )
+    return rows.drop("text").join(per, "row", "left").select("kept.*", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("total", "most", "strong", "n")))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (weight * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -189,76 +245,91 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
-    """text and label (0 or 1) of the documents with a label; several labels of one id: the largest."""
+    """doc_id, text, label (0 or 1) and half (0 or 1) of the documents with a label; several labels of one id: the largest.
+
+    The halves split either label evenly, by the order of hashes, so that a rare label is in both.
+    """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label)).cast("int").alias("label"))
+    known = C.materialise(known.withColumn("slot", F.xxhash64("doc_id")))
+    counts = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # about 10,000 ids a window; a label of fewer is one
+    parts = F.coalesce(*(F.when(F.col("label") == k, F.lit(max(1, n // 10_000))) for k, n in counts.items()), F.lit(1)) if counts else F.lit(1)
+    place = F.row_number().over(Window.partitionBy("label", F.pmod("slot", parts)).orderBy("slot", "doc_id"))
+    known = known.withColumn("half", (place % 2).cast("int")).select("doc_id", "label", "half")
     if labels.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
-    return docs.filter("text is not null").select("doc_id", "text").join(known, "doc_id").select("doc_id", "text", "label")
+    return docs.filter("text is not null").select("doc_id", "text").join(known, "doc_id").select("doc_id", "text", "label", "half")
 
 
-def fit(rows: DataFrame, order: int = 5, calibration_rows: int = 20_000, entries: int = 8_000_000) -> Model:
-    """Counts all rows (doc_id, text, label), a word once a document, and estimates both models.
+def fit(rows: DataFrame, order: int = 5, calibration_rows: int = 20_000, entries: int = ENTRIES) -> Model:
+    """Counts all rows (doc_id, text, label, half), a word once a document, and estimates both models.
 
-    No n-gram is left out. Those of `order` bytes within words are bounded by the alphabet, not by the rows; where there
-    are more than `entries` of them all the same, the order is one less, so the model that is broadcast has that bound.
-    The final weights are fitted on about `calibration_rows` rows, those of the smallest hashes of doc_id. Without rows of
-    both labels every score is the share of the one there is (0 without rows). Null and empty texts have no words.
+    No n-gram is left out and the order is what it is, however many n-grams there are; their counts and ratios are tables
+    in the shared folder, and `entries` only says from where on texts meet them by joins. The final weights are fitted on
+    half of `calibration_rows` rows of either label at most, those of the smallest hashes of doc_id, which count for all of
+    their label; each half's features come from the other half's counts. Without rows of both labels every score is the
+    share of the one there is (0 without rows). Null and empty texts have no words.
     """
-    spark = rows.sparkSession
-    rows = rows.select("text", "label", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 16)).cast("int").alias("slot")).withColumn("half", F.expr("slot % 2"))
+    rows = rows.select("text", "label", "half", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 16)).cast("int").alias("slot"))
     kinds = ", ".join(f"{c} long" for c in COUNTS)
-    sums = [F.sum(c).alias(c) for c in COUNTS]
-    words = C.materialise(rows.mapInArrow(C.tidy(_count_words), f"word binary, {kinds}").groupBy("word").agg(*sums))
-    while True:
-        grams = C.materialise(words.mapInArrow(C.tidy(_count_grams(order)), f"key long, {kinds}").groupBy("key").agg(*sums))
-        if order == 1 or grams.count() <= entries:
-            break
-        C.discard(grams)
-        order -= 1
-    keep = grams.toPandas()  # `entries` rows at most
-    C.discard(grams)
+    added = [F.sum(c).alias(c) for c in COUNTS]
+    words = C.materialise(rows.select("text", "label", "half").mapInArrow(C.tidy(_count_words), f"word binary, {kinds}").groupBy("word").agg(*added))
+    grams = C.materialise(words.mapInArrow(C.tidy(_count_grams(order)), f"key long, {kinds}").groupBy("key").agg(*added))
     C.discard(words)
-    keys = keep["key"].to_numpy(dtype=np.int64).view(np.uint64)
-    by = np.argsort(keys)
-    keys, counts = keys[by], keep[list(COUNTS)].to_numpy(dtype=float)[by]
-
-    def model(bad, good):
-        some = bad + good > 0
-        return Model(order, *estimate(keys[some], bad[some], good[some], order), np.zeros(5))
 
-    # each half's features come from the other half's counts
-    halves = spark.sparkContext.broadcast([model(counts[:, 2], counts[:, 3]), model(counts[:, 0], counts[:, 1])])
-
-    def measure(batches):
-        for batch in batches:
-            for part in slices(batch):
-                half = part.column("half").to_numpy()[:, None]
-                x = np.where(half == 0, *(features(m, part.column("text")) for m in halves.value))
-                yield pa.RecordBatch.from_arrays([part.column("label"), *(pa.array(c) for c in x.T)], ["label", *(f"f{i}" for i in range(x.shape[1]))])
-
-    # the bound by hash: as many of 2^16 slots as the rows allow
-    n = rows.count()
-    slots = 1 << 16 if n <= calibration_rows else int((1 << 16) * calibration_rows / n)
-    sample = rows.filter(F.col("slot") < slots).mapInArrow(C.tidy(measure), "label int, f0 double, f1 double, f2 double, f3 double, f4 double").toPandas()
+    def model(*halves: int) -> Model:
+        bad, good = (sum((F.col(f"{kind}{h}") for h in halves), F.lit(0)) for kind in ("toxic", "ordinary"))
+        return Model(order, *estimate(grams.select("key", bad.alias("toxic"), good.alias("ordinary")), order), np.zeros(5))
+
+    whole = model(0, 1)
+    n = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(n) < 2:
+        whole.weights = np.array([0, 0, 0, 0, 30.0 if 1 in n else -30.0])
+        return whole
+    slots = {k: max(1, min(1 << 16, int((1 << 16) * calibration_rows / 2 / m))) for k, m in n.items()}
+    chosen = rows.filter(F.col("slot") < F.when(F.col("label") == 1, slots[1]).otherwise(slots[0]))
+    sample = []
+    for half in (0, 1):
+        other = model(1 - half)
+        sample.append(sums(chosen.filter(F.col("half") == half).select("text", "label"), other, entries).toPandas())
+        C.discard(other.grams)
+        C.discard(other.contexts)
+    C.discard(grams)
+    sample = pd.concat(sample)
     y = sample["label"].to_numpy(dtype=float)
-    whole = model(counts[:, 0] + counts[:, 2], counts[:, 1] + counts[:, 3])
-    if len(set(y)) == 2:
-        whole.weights = _logistic(sample.drop(columns="label").to_numpy(), y)
-    else:
-        whole.weights = np.array([0, 0, 0, 0, -30.0 if not len(y) or y[0] == 0 else 30.0])
+    if len(set(y)) < 2:  # the sample by hash has none of one label
+        whole.weights = np.array([0, 0, 0, 0, float(np.log((n[1] + 0.5) / (n[0] + 0.5)))])
+        return whole
+    share = np.array([slots[0], slots[1]])[y.astype(int)] / (1 << 16)
+    whole.weights = _logistic(_matrix(sample), y, 1 / share)
     return whole
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def _matrix(sample: pd.DataFrame) -> np.ndarray:
+    """Features of the logistic regression: the length-normalised log-likelihood ratio leads; the intercept is last."""
+    total, most, strong, n = (sample[c].to_numpy(dtype=float) for c in ("total", "most", "strong", "n"))
+    n = np.maximum(n, 1)
+    return np.column_stack([100 * (total / n).clip(-0.2, 0.2), np.minimum(most, 12), np.log1p(strong), np.log1p(1000 * strong / n), np.ones(len(n))])
+
+
+def probability(weights: np.ndarray) -> Column:
+    """The score from SUMS: _matrix() and the weights as an expression."""
+    n = F.greatest("n", F.lit(1.0))
+    x = [100 * F.greatest(F.lit(-0.2), F.least(F.lit(0.2), F.col("total") / n)), F.least("most", F.lit(12.0)), F.log1p("strong"), F.log1p(1000 * F.col("strong") / n), F.lit(1.0)]
+    z = sum((float(w) * v for w, v in zip(weights, x, strict=True)), F.lit(0.0))
+    return F.round(1 / (1 + F.exp(-z)), 6)
+
+
+def score(docs: DataFrame, model: Model, entries: int = ENTRIES) -> DataFrame:
     """docs (text and any other columns) with `score` in place of text: the probability of label 1, 0 to 1.
 
-    A column that is called `score` already is replaced. Null text: as empty; a text without words has the score of zero
-    features. Repeated rows score alike. No rows: none.
+    A column that is called `score` already is replaced; other columns may have any names. Null text: as empty; a text
+    without words has the score of zero features. Repeated rows score alike. No rows: none.
     """
-    docs = docs.drop("score")
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    return docs.withColumn("text", F.coalesce("text", F.lit(""))).mapInArrow(C.tidy(lambda batches: _scores(held.value)(batches)), f"{kinds}, score double")
+    rest = [c for c in docs.columns if c not in ("text", "score")]
+    held = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("held")) if rest else docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    out = sums(held, model, entries).withColumn("score", probability(model.weights))
+    return out.select(*(["held.*"] if rest else []), "score")
 
 
 HELD_OUT = "crc32(cast(cast(doc_id as string) as binary)) % 4 = 2"

@@ -38,14 +38,35 @@ def test_toxicity_on_held_out_rows(spark):
     assert (nothing["predicted"] == 0).all() and toxicity.judge(docs.limit(0), marks).count() == 0
 
 
-def test_class_models_are_distributions():
+def test_rare_label_and_large_models(spark):
+    """Two toxic rows in 10,000 are found again, and a model that is met by joins scores like one that every task has."""
+    r = random.Random(4)
+    words = ["".join(r.choice(["the", "on", "er", "ti", "an", "re"]) for _ in range(r.randint(1, 3))) for _ in range(400)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(12)) + (" gromak vilbis gromaks" if i in (17, 4242) else ""), int(i in (17, 4242))) for i in range(10_000)]
+    docs = spark.createDataFrame([(a, b) for a, b, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(a, c) for a, _, c in rows], "doc_id long, toxic int")
+    learned = toxicity.labelled(docs, labels)
+    assert sorted(x.half for x in learned.filter("label = 1").collect()) == [0, 1]
+    model = toxicity.fit(learned, calibration_rows=20)
+    fresh = spark.createDataFrame([(0, "the on gromak", 1), (1, "the on er", 2), (2, None, 3), (2, "", 3), (3, "vilbis vilbis the", 4)], "doc_id long, text string, n int").withColumn("total", F.lit("kept"))
+    got = {(x.doc_id, x.n): (x.score, x.total) for x in toxicity.score(fresh, model).collect()}
+    assert got[0, 1][0] > got[1, 2][0] < got[3, 4][0] and got[0, 1][0] >= 0.3 and got[1, 2][0] < 0.3 and got[2, 3][1] == "kept"
+    joined = {(x.doc_id, x.n): x.score for x in toxicity.score(fresh, model, entries=0).collect()}
+    assert all(joined[k] == pytest.approx(v[0], abs=1e-6) for k, v in got.items())
+    again = toxicity.fit(learned, calibration_rows=20, entries=0)
+    assert again.order == model.order and again.weights == pytest.approx(model.weights, abs=1e-6)
+
+
+def test_class_models_are_distributions(spark):
     """Against Kneser-Ney written out: after each context both classes sum to one over all bytes, and ratios follow."""
     words = pa.array([b"abab", b"abc", b"ba", b"cab", b"abd"], pa.binary())
     key, word = toxicity._keys(words, 3)
     toxic_words = np.array([1, 1, 0, 0, 1])
     keys, code = np.unique(key, return_inverse=True)
     toxic, ordinary = np.bincount(code, toxic_words[word]), np.bincount(code, 2 - toxic_words[word])
-    _, ratio, contexts, rest = toxicity.estimate(keys, toxic, ordinary, 3, 0.75, 0.5)
+    counts = spark.createDataFrame([(int(k), int(t), int(o)) for k, t, o in zip(keys, toxic, ordinary, strict=True)], "key long, toxic long, ordinary long")
+    told, ratio, contexts, rest = toxicity.Model(3, *toxicity.estimate(counts, 3, 0.75, 0.5), np.zeros(5)).arrays()
+    assert (told == keys).all()
     split = lambda k: (int(k) >> 8, int(k) & 255)
 
     def shared(grams, context, byte, order):
@@ -81,7 +102,7 @@ def test_class_models_are_distributions():
 
 def test_scores_of_few_labels_and_clashing_columns(spark):
     docs = spark.createDataFrame([(i, t, "s", 5) for i, t in enumerate(["gromak gromak vilbis", "the other house", None, ""])], "doc_id long, text string, half string, score int")
-    model = toxicity.fit(docs.limit(2).selectExpr("doc_id", "text", "cast(1 - doc_id as int) as label"))
+    model = toxicity.fit(docs.limit(2).selectExpr("doc_id", "text", "cast(1 - doc_id as int) as label", "0 as half"))
     got = toxicity.score(docs, model)
     assert got.columns == ["doc_id", "half", "score"]
     score = {r.doc_id: r.score for r in got.collect()}
