@@ -326,12 +326,20 @@ def frames(data: bytes | None) -> list[dict]:
 def decode_frames(df: DataFrame, key: Sequence[str], column: str = "gif") -> DataFrame:
     """`key` columns and the frames of a binary GIF column, one row per frame (FRAMES); null and empty files give none.
 
-    A key column that is called like one of FRAMES comes back as `key_` and its name. Files that are no GIF, or whose
+    A key column that is called like one of FRAMES comes back with `key_` before its name, as often as it takes to be free. Files that are no GIF, or whose
     canvas or images have more than PIXELS pixels, give a row with a fault; repeated rows give their frames again.
     """
     own = [c.split()[0] for c in FRAMES.split(", ")]
-    names = [f"key_{c}" if c in own else c for c in key]
-    keyed = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(key, names, strict=True)), F.col(f"`{column}`").alias("the_file"))
+    names: list[str] = []
+    for c in key:
+        name = c
+        while name in own or name in names or name != c and name in key:
+            name = f"key_{name}"
+        names.append(name)
+    file = "the_file"
+    while file in names:
+        file += "_"
+    keyed = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(key, names, strict=True)), F.col(f"`{column}`").alias(file))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields[:-1])
 
     def run(batches):

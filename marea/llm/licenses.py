@@ -1,9 +1,10 @@
 """License scans by sentence rules.
 
-Comment signs at the heads of lines go, and a text is cut into sentences at marks and at blank lines, so wrapped lines stay
-together. Each sentence is normalised and looked up in a table of known licence sentences; titles and copyright lines may
-stand before a known one. A sentence that is not known as a whole is looked up line by line. The identifiers of what was
-found, in order, are matched against ordered licence rules: of each family the first rule that matches names the licence.
+Comment signs at the heads of lines go, and a text is cut into sentences at marks, at dashes between words and at blank
+lines, so wrapped lines stay together. Each sentence is normalised, and the known licence sentences that it holds are its
+identifiers: those that no longer known one of the same sentence holds, in their order. The identifiers of a text, in
+order, are matched against ordered licence rules: of each family the first rule that matches names the licence. A text, and
+a sentence, without any word of TRIGGERS holds no known sentence and is passed by.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Comment signs, where sentences end (a mark before white space or the end, or a blank line), and characters of no word.
-SIGNS, CUT, REST = r"(?m)^[ \t]*(?://+|/?\*+/?|#+|;+|--+|%+|<!--|rem )[ \t]?", r"[.!?;:]+(?:[ \t\r\f\n]+|$)|\n[ \t\r\f]*\n", "[^a-z0-9]+"
-#: Words by whose last a known sentence is looked up.
-KEY = 3
+#: Comment signs, where sentences end (a mark before white space or the end, a dash between words, a blank line), and characters of no word.
+SIGNS, CUT, REST = r"(?m)^[ \t]*(?://+|/?\*+/?|#+|;+|--+|%+|<!--|rem )[ \t]?", r"[.!?;:]+(?:[ \t\r\f\n]+|$)|[ \t]+-+[ \t]+|\n[ \t\r\f]*\n", "[^a-z0-9]+"
+#: A tag whose colon ends no sentence.
+TAG = "(?i)(spdx-license-identifier):[ \t]*"
+#: Every known sentence has a word that holds one of these.
+TRIGGERS = ("licens", "software", "redistribution", "mpl", "copyright", "domain", "reserved", "warranty")
 
 # Identifiers and normalised sentences (lower case, letters and digits, single spaces) of public licences.
 SENTENCES = {
@@ -64,6 +67,10 @@ SENTENCES = {
     "zlib-origin": "the origin of this software must not be misrepresented you must not claim that you wrote the original software",
     "zlib-origin-cut": "the origin of this software must not be misrepresented",
     "wtfpl": "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",
+    "wtfpl-terms": "the terms of the do what the fuck you want to public license",
+    "artistic-title": "the artistic license 2 0",
+    "artistic-licensed": "licensed under the artistic license 2 0",
+    "artistic-terms": "the terms of the artistic license 2 0",
     "cc0": "licensed under cc0 1 0",
     "cc0-dedicated": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
     "public-domain": "this work is in the public domain",
@@ -93,6 +100,10 @@ RULES = [
     ("boost", "BSL-1.0", "boost-distributed"),
     ("zlib", "Zlib", "zlib-grant"),
     ("wtfpl", "WTFPL", "wtfpl"),
+    ("wtfpl", "WTFPL", "wtfpl-terms"),
+    ("artistic", "Artistic-2.0", "artistic-licensed"),
+    ("artistic", "Artistic-2.0", "artistic-terms"),
+    ("artistic", "Artistic-2.0", "artistic-title"),
     ("cc0", "CC0-1.0", "cc0"),
     ("cc0", "CC0-1.0", "cc0-dedicated"),
     ("apache", "Apache-2.0", "apache-licensed-the-license"),
@@ -133,6 +144,19 @@ def _add_families() -> None:
                 SENTENCES[key] = sentence
                 # licences of one text may differ in version, so each is a family of its own
                 RULES.insert(9, (f"{short}-{full}", f"{short}-{full}" + {"later": "-or-later", "only": "-only", "kernel": "-only"}.get(kind, ""), key))
+        # as the older ones are published, a semicolon stands before the version
+        SENTENCES[f"{name.split()[1][:7]}-terms"] = f"you can redistribute it and or modify it under the terms of the {name} as published by the free software foundation"
+        for v in versions:
+            said, full = v.replace(".", " "), v if "." in v else f"{v}.0"
+            SENTENCES[f"either-{said.replace(' ', '-')}"] = f"either version {said} of the license or at your option any later version"
+            SENTENCES[f"version-{said.replace(' ', '-')}"] = f"version {said} of the license"
+            for kind, suffix in (("either", "-or-later"), ("version", "-only")):
+                RULES.insert(9, (f"{short}-{full}", f"{short}-{full}{suffix}", f"{name.split()[1][:7]}-terms,{kind}-{said.replace(' ', '-')}"))
+    tags = ["MIT", "MIT-0", "ISC", "0BSD", "Apache-2.0", "MPL-2.0", "BSL-1.0", "Zlib", "WTFPL", "CC0-1.0", "Unlicense", "Artistic-2.0", "EPL-1.0", "EPL-2.0", *(f"BSD-{i}-Clause" for i in (2, 3, 4))]
+    tags += [f"{x}{kind}" for x in ("GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for kind in ("", "-only", "-or-later")]
+    for tag in tags:
+        SENTENCES[f"tag-{tag.lower()}"] = "spdx license identifier " + tag.lower().replace("-", " ").replace(".", " ")
+        RULES.append((f"tag-{tag.lower()}", tag, f"tag-{tag.lower()}"))
     for kind in ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd"):
         for v in ("2.0", "2.5", "3.0", "4.0"):
             words = f"cc {kind} {v}".replace("-", " ").replace(".", " ")
@@ -147,31 +171,22 @@ def _add_families() -> None:
 _add_families()
 
 
-def _by_end() -> dict[str, list[tuple[str, str]]]:
-    """Known sentences by their last words, the longest first."""
-    out: dict[str, list[tuple[str, str]]] = {}
-    for name, sentence in SENTENCES.items():
-        out.setdefault(" ".join(sentence.split()[-KEY:]), []).append((sentence, name))
-    return {k: sorted(v, key=lambda x: (-len(x[0]), x[1])) for k, v in out.items()}
-
-
 def sentence_ids(text: Column) -> Column:
     """The identifiers of the known sentences of a text, in order; no text: none."""
-    table = _by_end()
-    known = F.create_map(*(x for end, rows in table.items() for x in (F.lit(end), F.array(*(F.struct(F.lit(s).alias("s"), F.lit(n).alias("n")) for s, n in rows)))))
-    plain = lambda s: F.trim(F.regexp_replace(F.lower(s), REST, " "))
+    table = F.array(*(F.struct(F.lit(f" {s} ").alias("s"), F.lit(n).alias("n")) for n, s in sorted(SENTENCES.items())))
+    some = "|".join(TRIGGERS)
+    none = F.expr("cast(array() as array<string>)")
 
     def found(s):
-        """What a normalised sentence is, or ends with after a title."""
-        end = F.substring_index(s, " ", -KEY)
-        return F.get(F.filter(F.try_element_at(known, end), lambda k: (s == k["s"]) | F.endswith(s, F.concat(F.lit(" "), k["s"]))), F.lit(0))["n"]
-
-    def parts(s):
-        whole = found(plain(s))
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.filter(F.transform(F.split(s, "\n"), lambda x: found(plain(x))), lambda x: x.isNotNull()))
+        whole = F.concat(F.lit(" "), F.trim(F.regexp_replace(s, REST, " ")), F.lit(" "))
+        met = F.filter(table, lambda k: F.contains(whole, k["s"]))
+        longest = F.filter(met, lambda k: ~F.exists(met, lambda o: (o["s"] != k["s"]) & F.contains(o["s"], k["s"])))
+        placed = F.array_sort(F.transform(longest, lambda k: F.struct(F.call_function("instr", whole, k["s"]).alias("at"), k["n"].alias("n"))))
+        return F.transform(placed, lambda k: k["n"])
 
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), SIGNS, "")
-    return F.flatten(F.transform(F.split(bare, CUT), parts))
+    bare = F.regexp_replace(F.regexp_replace(F.lower(text), TAG, "$1 "), SIGNS, "")
+    heavy = F.flatten(F.transform(F.filter(F.split(bare, CUT), lambda s: s.rlike(some)), found))
+    return F.when(F.lower(text).rlike(some), heavy).otherwise(none)
 
 
 def licences(sequence: Column, rules: list[tuple[str, str, str]] | None = None) -> Column:
@@ -202,20 +217,16 @@ def sql() -> str:
     """The same over table documents in DuckDB's SQL."""
     table = ", ".join(f"('{s}', '{n}')" for n, s in SENTENCES.items())
     rules = ", ".join(f"({i}, '{f}', '{n}', ',{ids},')" for i, (f, n, ids) in enumerate(RULES))
-    plain = lambda x: f"trim(regexp_replace(lower({x}), '{REST}', ' ', 'g'))"
     return f"""
 WITH known(sentence, id) AS (VALUES {table}),
 rules(i, family, name, ids) AS (VALUES {rules}),
-bare AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(coalesce(text, ''), '{SIGNS}', '', 'g') AS t FROM documents),
-cut AS (SELECT r, unnest(string_split_regex(t, '{CUT}')) AS s, generate_subscripts(string_split_regex(t, '{CUT}'), 1) AS i FROM bare),
-lines AS (SELECT r, i, s, unnest(string_split(s, chr(10))) AS l, generate_subscripts(string_split(s, chr(10)), 1) AS j FROM cut),
-ends AS (SELECT DISTINCT array_to_string(string_split(sentence, ' ')[-{KEY}:], ' ') AS e FROM known),
-norm AS (SELECT r, i, j, {plain('s')} AS whole, {plain('l')} AS line FROM lines),
-likely AS (SELECT * FROM norm WHERE array_to_string(string_split(whole, ' ')[-{KEY}:], ' ') IN (SELECT e FROM ends) OR array_to_string(string_split(line, ' ')[-{KEY}:], ' ') IN (SELECT e FROM ends)),
-texts AS (SELECT DISTINCT whole AS x FROM likely UNION SELECT line FROM likely),
-named AS (SELECT x, max_by(id, length(sentence)) AS id FROM texts JOIN known ON x = sentence OR ends_with(x, ' ' || sentence) GROUP BY x),
-hits AS (SELECT s.r, s.i, s.j, coalesce(w.id, n.id) AS id FROM likely s LEFT JOIN named w ON s.whole = w.x LEFT JOIN named n ON s.line = n.x AND w.id IS NULL WHERE w.id IS NULL AND n.id IS NOT NULL OR w.id IS NOT NULL AND s.j = (SELECT min(j) FROM likely o WHERE o.r = s.r AND o.i = s.i)),
-ids AS (SELECT r, count(*) AS n_known, string_agg(id, ',' ORDER BY i, j) AS sentence_ids FROM hits GROUP BY r),
+bare AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(regexp_replace(lower(coalesce(text, '')), '{TAG}', '\\1 ', 'g'), '{SIGNS}', '', 'g') AS t FROM documents),
+cut AS (SELECT r, unnest(string_split_regex(t, '{CUT}')) AS s, generate_subscripts(string_split_regex(t, '{CUT}'), 1) AS i FROM bare WHERE regexp_matches(t, '{'|'.join(TRIGGERS)}')),
+norm AS (SELECT r, i, ' ' || trim(regexp_replace(s, '{REST}', ' ', 'g')) || ' ' AS whole FROM cut WHERE regexp_matches(s, '{'|'.join(TRIGGERS)}')),
+held AS (SELECT whole, ' ' || sentence || ' ' AS sentence, id FROM (SELECT DISTINCT whole FROM norm), known WHERE contains(whole, ' ' || sentence || ' ')),
+longest AS (SELECT whole, id, instr(whole, sentence) AS j FROM held h WHERE NOT EXISTS (SELECT 1 FROM held o WHERE o.whole = h.whole AND o.sentence <> h.sentence AND contains(o.sentence, h.sentence))),
+hits AS (SELECT r, i, j, id FROM norm JOIN longest USING (whole)),
+ids AS (SELECT r, count(*) AS n_known, string_agg(id, ',' ORDER BY i, j, id) AS sentence_ids FROM hits GROUP BY r),
 met AS (SELECT ids.r, rules.i, name, instr(',' || sentence_ids || ',', rules.ids) AS place, row_number() OVER (PARTITION BY ids.r, family ORDER BY rules.i) AS turn FROM ids JOIN rules ON contains(',' || sentence_ids || ',', rules.ids)),
 named_licences AS (SELECT r, string_agg(name, ',' ORDER BY place, i) AS license FROM met WHERE turn = 1 GROUP BY r)
 SELECT doc_id, coalesce(n_known, 0) AS n_known, coalesce(sentence_ids, '') AS sentence_ids, CASE WHEN sentence_ids IS NULL THEN 'NONE' ELSE coalesce(license, 'UNKNOWN') END AS license

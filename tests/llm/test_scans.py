@@ -146,14 +146,42 @@ copyright notice and this permission notice appear in all copies.
 """
 
 
-def gnu(name, version, program="program"):
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software. If you use this software
+   in a product, an acknowledgment in the product documentation would be
+   appreciated but is not required.
+"""
+WTFPL = """            DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE
+                    Version 2, December 2004
+
+ Everyone is permitted to copy and distribute verbatim or modified
+ copies of this license document, and changing it is allowed as long
+ as the name is changed.
+
+            DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE
+   TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION
+
+  0. You just DO WHAT THE FUCK YOU WANT TO.
+"""
+
+
+def gnu(name, version, program="program", mark=";"):
+    """The notice as it is published; from version 3 on with a comma before the version."""
     return f"""/*
  * This {program} is free software; you can redistribute it and/or
  * modify it under the terms of the GNU {name}
- * as published by the Free Software Foundation; either version {version}
+ * as published by the Free Software Foundation{mark} either version {version}
  * of the License, or (at your option) any later version.
  */
-""".replace("Foundation;", "Foundation,")
+"""
 
 
 def test_licenses(spark):
@@ -175,9 +203,15 @@ def test_licence_files(spark):
     endorse = "3. Neither the name of the copyright holder nor the names of its contributors\n   may be used to endorse or promote products derived from this software without\n   specific prior written permission.\n"
     rows = [
         (MIT, "MIT"), (BSD, "Proprietary,BSD-2-Clause"), (BSD + endorse, "Proprietary,BSD-3-Clause"), (APACHE, "Apache-2.0"), (ISC, "ISC"),
-        (gnu("General Public License", 3), "GPL-3.0-or-later"), (gnu("General Public License", 2), "GPL-2.0-or-later"),
-        (gnu("Lesser General Public License", "2.1", "library"), "LGPL-2.1-or-later"), (gnu("Affero General Public License", 3), "AGPL-3.0-or-later"),
+        (gnu("General Public License", 3, mark=","), "GPL-3.0-or-later"), (gnu("General Public License", 2), "GPL-2.0-or-later"),
+        (gnu("Lesser General Public License", "2.1", "library"), "LGPL-2.1-or-later"), (gnu("Affero General Public License", 3, mark=","), "AGPL-3.0-or-later"),
         (APACHE + "\n" + MIT, "Apache-2.0,MIT"),
+        ("// SPDX-License-Identifier: Apache-2.0\nint main() {}\n", "Apache-2.0"), ("/* SPDX-License-Identifier: GPL-2.0-or-later */", "GPL-2.0-or-later"), ("# spdx-license-identifier: MIT", "MIT"),
+        ("This project is licensed under the MIT License - see the LICENSE file for details", "MIT"),
+        ("The parts below are licensed under the MIT license and nothing else, all rights reserved", "MIT,Proprietary"),
+        (ZLIB, "Zlib"), (WTFPL, "WTFPL"), ("This module is distributed under the terms of the Artistic License 2.0.", "Artistic-2.0"),
+        (gnu("General Public License", 2).replace("either version 2\n * of the License, or (at your option) any later version.", "version 2 of the License."), "GPL-2.0-only"),
+        ("A licence to print software.", "NONE"), ("this program is free software", "UNKNOWN"),
     ]
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
     got = {r.doc_id: r.license for r in licenses.recognise(df).collect()}
@@ -190,6 +224,11 @@ def test_licence_files(spark):
     assert {r[0]: r[3] for r in con.sql(licenses.sql()).fetchall()} == got
 
 
+def test_every_known_sentence_has_a_trigger():
+    assert all(any(t in w for t in licenses.TRIGGERS for w in s.split()) for s in licenses.SENTENCES.values())
+    assert {i for _, _, ids in licenses.RULES for i in ids.split(",")} <= set(licenses.SENTENCES)
+
+
 def test_hostile_gif_and_clashing_keys(spark):
     small = gif.pack(bytes(range(256)) * 64)
     huge = b"GIF89a" + (32767).to_bytes(2, "little") * 2 + bytes([0x70, 0, 0]) + b"\x2c" + bytes(4) + (1).to_bytes(2, "little") * 2 + b"\x00\x02\x00\x3b"
@@ -198,5 +237,8 @@ def test_hostile_gif_and_clashing_keys(spark):
     assert [(r.key_frame, r.fault) for r in rows if r.key_frame == 2] == [(2, "canvas too large")]
     mine = sorted((r for r in rows if r.key_frame == 1), key=lambda r: r.frame)
     assert [(r.disposal, r.delay_ms) for r in mine] == [(1, 40), (2, 50), (3, 60), (1, 40)] and {sum(r.histogram) for r in mine} == {64 * 64}
+    both = spark.createDataFrame([(7, 8, 9, small)], "frame long, key_frame long, the_file long, gif binary")
+    one = gif.decode_frames(both, ["frame", "key_frame", "the_file"]).first()
+    assert (one.key_key_frame, one.key_frame, one.the_file, one.frame) == (7, 8, 9, 0)
     # equal frames: the second shows what stands there already
     assert gif.unpack(gif.pack(b"ab" * 4096))[2:] == (2, 1)
