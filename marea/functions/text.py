@@ -51,6 +51,14 @@ TERM_STOPWORDS = (
 # Words that make no axis label.
 AXIS_STOPWORDS = ("de", "del", "la", "el", "los", "las", "con", "sin", "por", "para", "que", "una", "uno", "unos", "unas", "and", "the")
 
+# Words that make no term of a comment topic.
+TOPIC_STOPWORDS = (
+    "de", "la", "que", "el", "en", "y", "a", "los", "del", "se", "las", "por", "un", "para", "con", "no", "una", "su", "al", "lo", "como", "más", "pero", "sus", "le", "ya",
+    "o", "este", "sí", "porque", "esta", "entre", "cuando", "muy", "sin", "sobre", "también", "me", "hasta", "hay", "donde", "quien", "desde", "todo", "nos", "durante",
+    "todos", "uno", "les", "ni", "contra", "otros", "ese", "eso", "ante", "ellos", "e", "esto", "mí", "antes", "algunos", "qué", "unos", "yo", "otro", "otras", "otra", "él",
+    "tanto", "esa", "estos", "mucho", "quienes", "nada", "muchos", "cual", "poco", "ella", "estar", "estas", "algunas", "algo", "nosotros", "mi",
+)
+
 # Tones and the expressions that show them.
 TONES = {
     "frustracion": ["no puedo", "no deja", "error", "falla", "fallo", "bloquea", "se queda", "lento", "intermitente", "timeout"],

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marea.functions import scores as S
+
 SCHEMA = "topic string, changepoint date, level_before double, level_after double"
 STABILITY = "topic string, changepoint date, stability double, confidence string, max_stability double, max_confidence string"
 
@@ -59,12 +61,13 @@ def changepoints(series: DataFrame, value: str = "focus_rate", penalty: float =
     return rows.groupBy("topic").applyInPandas(run, SCHEMA)
 
 
-def stable_changepoints(series: DataFrame, value: str = "focus_rate", penalty: float = 6.0, draws: int = 200, block: int = 2, near: int = 1, least_points: int = 10, scale: float = 1.0, topic: str = "topic", order: str = "bucket", seed: int = 7) -> DataFrame:
+def stable_changepoints(series: DataFrame, value: str = "focus_rate", penalty: float = 6.0, draws: int = 200, block: int = 2, near: int = 1, least_points: int = 10, scale: float = 1.0, topic: str = "topic", order: str = "bucket", seed: int = 7, disjoint: bool = False) -> DataFrame:
     """Each changepoint with the share of resampled series that break within `near` points of it: High from .70, Medium from
     .40; and the topic's largest share, with its level.
 
     A resampled series is made of `block` points in a row of the series, from places drawn evenly, until it is as long;
-    draws depend on the topic and the seed only.
+    draws depend on the topic and the seed only. disjoint: the places are multiples of `block` and as many blocks are
+    drawn as there are; a draw that is shorter than `least_points` counts without breaks.
     """
 
     def level(share: float) -> str:
@@ -78,11 +81,13 @@ def stable_changepoints(series: DataFrame, value: str = "focus_rate", penalty: f
         if at:
             r = np.random.default_rng([seed, zlib.crc32(str(pdf["topic"].iloc[0]).encode())])
             # so many blocks that even those cut off at the end suffice
-            starts = r.integers(0, max(1, n - block), (draws, n))
+            blocks = -(-n // block)
+            starts = block * r.integers(0, blocks, (draws, blocks)) if disjoint else r.integers(0, max(1, n - block), (draws, n))
             hits = np.zeros(len(at))
             for own in starts:
                 places = (own[:, None] + np.arange(block)).ravel()
-                again = breaks(x[places[places < n][:n]] * scale, penalty)
+                places = places[places < n][:n]
+                again = breaks(x[places] * scale, penalty) if not disjoint or len(places) >= least_points else []
                 hits += [any(abs(a - b) <= near for b in again) for a in at]
             shares = hits / draws
             rows = [(pdf["topic"].iloc[0], dates[a - 1], float(h), level(h), float(shares.max()), level(shares.max())) for a, h in zip(at, shares)]
@@ -90,3 +95,25 @@ def stable_changepoints(series: DataFrame, value: str = "focus_rate", penalty: f
 
     rows = series.select(F.col(topic).alias("topic"), F.col(order).alias("bucket"), F.col(value).cast("double").alias("value"))
     return rows.groupBy("topic").applyInPandas(run, STABILITY)
+
+
+def dimension_series(responses: DataFrame, dimensions: list[str], ts: str = "ts", score: str = "score", grain: str = "day") -> DataFrame:
+    """dimension, value, bucket and nps: the classic score of each bucket that has known scores, for each value of each
+    dimension and (value *) for all rows, in one pass. Null values are left out."""
+    x = S.number(F.col(score))
+    sides = F.array(F.struct(F.lit("*").alias("dimension"), F.lit("*").alias("value")), *(F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dimensions))
+    rows = responses.filter(F.col(ts).isNotNull()).select(F.date_trunc(grain, F.col(ts)).cast("date").alias("bucket"), x.alias("score"), F.inline(sides))
+    return rows.filter("value is not null").groupBy("dimension", "value", "bucket").agg(S.classic(F.col("score")).alias("nps")).filter("nps is not null")
+
+
+def dimension_changepoints(responses: DataFrame, dimensions: list[str], ts: str = "ts", score: str = "score", grain: str = "day", penalty: float = 8.0, draws: int = 200, block: int = 5, least_points: int = 12, seed: int = 7) -> DataFrame:
+    """dimension, value, changepoint, stability and confidence of the breaks in each value's series of the classic score.
+
+    All series of all dimensions are one grouped pass, a group a series; stability comes from disjoint blocks. Series of
+    under `least_points` buckets have none.
+    """
+    series = dimension_series(responses, dimensions, ts, score, grain)
+    named = series.withColumn("topic", F.to_json(F.struct("dimension", "value")))
+    found = stable_changepoints(named, "nps", penalty, draws, block, 1, least_points, seed=seed, disjoint=True)
+    part = lambda c: F.get_json_object("topic", f"$.{c}").alias(c)
+    return found.select(part("dimension"), part("value"), "changepoint", "stability", "confidence")

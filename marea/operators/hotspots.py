@@ -65,6 +65,12 @@ def evidence(terms: DataFrame, incidents: DataFrame, comments: DataFrame, links:
     return counts.join(per, "term", "left").join(topics, "term", "left").join(shown, "term", "left").fillna(0, ["linked_incidents", "linked_comments"])
 
 
+def records(incidents: DataFrame, comments: DataFrame) -> DataFrame:
+    """Both sides as one table: side, id, day and text."""
+    one = incidents.select(F.lit("incident").alias("side"), F.col("incident_id").cast("string").alias("id"), "day", "text")
+    return one.unionByName(comments.select(F.lit("comment").alias("side"), F.col("comment_id").cast("string").alias("id"), "day", "text"))
+
+
 def timeline(terms: DataFrame, incidents: DataFrame, comments: DataFrame) -> DataFrame:
     """Per term and day incidents and comments that mention it, comments by severity; terms that only one side has are out."""
     t = small(terms.select("term"))

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from marea.session import settle
 
 
-def terms(docs: DataFrame, id_: str, text: str, bigrams: bool = True) -> DataFrame:
+def terms(docs: DataFrame, id_: str, text: str, bigrams: bool = True, stop: tuple[str, ...] = ()) -> DataFrame:
     """id, term and tf: words of two and more characters, and pairs of neighbours."""
-    w = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)
-    words = docs.select(F.col(id_).alias("id"), w.alias("w"))
+    own = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)
+    words = docs.select(F.col(id_).alias("id"), (F.filter(own, lambda t: ~t.isin(*stop)) if stop else own).alias("w"))
     pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(1))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.expr("cast(array() as array<string>)"))
     return words.select("id", F.explode(F.concat("w", pairs) if bigrams else F.col("w")).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marea.functions import scores as S
+from marea.session import settle
 
 
 def _bucket(ts: str, grain: str) -> Column:
@@ -99,19 +100,32 @@ def daily_signals(series: DataFrame) -> DataFrame:
 
 
 def share_of_total(df: DataFrame, column: str) -> DataFrame:
-    return df.withColumn(f"{column}_share", F.try_divide(F.col(column).cast("double"), F.sum(column).over(Window.partitionBy())))
+    total = df.agg(F.sum(column).alias("_total"))
+    return df.crossJoin(F.broadcast(total)).withColumn(f"{column}_share", F.try_divide(F.col(column).cast("double"), F.col("_total"))).drop("_total")
 
 
 def by_maximum(df: DataFrame, column: str) -> DataFrame:
     """A column over its maximum; 0 where that is not positive."""
-    top = F.max(column).over(Window.partitionBy())
-    return df.withColumn(f"{column}_norm", F.when(top > 0, F.col(column) / top).otherwise(0.0))
+    top = df.agg(F.max(column).alias("_top"))
+    return df.crossJoin(F.broadcast(top)).withColumn(f"{column}_norm", F.when(F.col("_top") > 0, F.col(column) / F.col("_top")).otherwise(0.0)).drop("_top")
+
+
+def numbered_globally(df: DataFrame, *order: str, name: str = "place") -> DataFrame:
+    """Rows numbered from 0 in an order over all of them, without bringing them to one task.
+
+    The rows are written in ranges of the order; the counts of the ranges, a row each, give every range its first number.
+    Equal keys lie in one range.
+    """
+    dealt = settle(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    first = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows")).withColumn("_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)))  # a row a range
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("_within", within).join(F.broadcast(first.select("_range", "_first")), "_range").withColumn(name, F.col("_first") + F.col("_within") - 1).drop("_range", "_within", "_first")
 
 
 def evenly(df: DataFrame, most: int, *order: str) -> DataFrame:
     """At most so many rows, evenly spaced over the order: a deterministic down-sample, for charts."""
-    w = Window.partitionBy().orderBy(*order)
-    at = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
+    at = numbered_globally(df, *order, name="_i").crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("_n"))))
     slot = F.floor(F.col("_i") * (most - 1) / F.greatest(F.col("_n") - 1, F.lit(1)))
     before = F.floor((F.col("_i") - 1) * (most - 1) / F.greatest(F.col("_n") - 1, F.lit(1)))
     return at.filter((F.col("_n") <= most) | (F.col("_i") == 0) | (slot > before)).drop("_i", "_n")

@@ -5,47 +5,77 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.feature import PCA, CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marea.functions import text as X
 from marea.operators.chains import confidence_label, impact_label
 from marea.operators.linking import terms, vocabulary, weights
+from marea.session import settle
 
+#: Characters that a text needs to be clustered.
+SHORTEST = 5
 
-def _vectors(docs: DataFrame, id_: str, text: str, max_terms: int, min_df: int):
-    """id and features of documents that have terms, the vocabulary in order, and weights in long form."""
-    n = docs.count()
-    postings = terms(docs, id_, text)
-    vocab = vocabulary(postings, n, min_df if n >= 4 else 1, max_terms)
-    index = vocab.withColumn("i", F.row_number().over(Window.orderBy("term")) - 1)  # at most max_terms rows
-    w = weights(postings, vocab).join(F.broadcast(index.select("term", "i")), "term")
-    size = index.count()
-    pack = F.udf(lambda xs: SparseVector(size, sorted((int(x["i"]), float(x["weight"])) for x in xs)), VectorUDT())
-    return w.groupBy("id").agg(pack(F.collect_list(F.struct("i", "weight"))).alias("features")), index, w
+
+def _vectors(docs: DataFrame, id_: str, text: str, max_terms: int, min_df: int, stop: tuple[str, ...] = ()):
+    """id and features (tf times idf, length 1, sparse) of all documents, the number of terms, and weights in long form.
+
+    Only the vocabulary, `max_terms` words at most, passes through the driver; counting, scaling and norming stay in the JVM.
+    """
+    postings = settle(terms(docs, id_, text, stop=stop))
+    vocab = vocabulary(postings, docs.count(), min_df, max_terms).orderBy("term").collect()
+    if not vocab:
+        return None, 0, None
+    table = settle(docs.sparkSession.createDataFrame([tuple(r) for r in vocab], "term string, idf double"))
+    listed = postings.groupBy("id").agg(F.flatten(F.collect_list(F.array_repeat("term", F.col("tf").cast("int")))).alias("terms"))
+    rows = docs.select(F.col(id_).alias("id")).join(listed, "id", "left").withColumn("terms", F.coalesce("terms", F.expr("cast(array() as array<string>)")))
+    counted = CountVectorizerModel.from_vocabulary([r.term for r in vocab], "terms", "tf").transform(rows)
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense([r.idf for r in vocab]), inputCol="tf", outputCol="scaled").transform(counted)
+    return Normalizer(p=2.0, inputCol="scaled", outputCol="features").transform(scaled).select("id", "features"), len(vocab), settle(weights(postings, table))
 
 
 def cluster_count(n: int, wanted: int) -> int:
-    return min(wanted, max(2, n // 50)) if n >= 100 else max(1, min(5, n))
+    """Clusters for n texts: one for 50 of them, 2 to `wanted`; for under 100 texts 5 at most."""
+    return min(wanted, max(2, n // 50)) if n >= 100 else min(5, n)
+
+
+def _clusters(vectors: DataFrame, k: int, restarts: int, seed: int = 42) -> DataFrame:
+    """id and cluster of the best of several starts."""
+    models = [KMeans(k=k, seed=seed + i, maxIter=20).fit(vectors) for i in range(restarts)]
+    best = min(models, key=lambda m: m.summary.trainingCost)
+    return best.transform(vectors).select("id", F.col("prediction").alias("cluster"))
 
 
-def extract_topics(comments: DataFrame, id_: str = "comment_id", text: str = "text", wanted: int = 8, max_terms: int = 4000, top_terms: int = 10, examples: int = 5) -> DataFrame:
-    """Clusters of comments with their main terms and examples, largest first."""
-    docs = comments.select(F.col(id_).alias("id"), X.letters(F.col(text)).alias("t"), F.col(text).alias("raw")).filter("t <> ''")
-    vectors, _, w = _vectors(docs, "id", "t", max_terms, 2)
+def extract_topics(comments: DataFrame, id_: str = "comment_id", text: str = "text", wanted: int = 10, max_terms: int = 4000, top_terms: int = 10, examples: int = 5, restarts: int = 3) -> DataFrame:
+    """Clusters of comments, largest first: cluster_id, n, their main terms and examples (cleaned texts of the first ids).
+
+    Texts of under SHORTEST characters, and Spanish stop words, don't count; under two texts, or without any term that two
+    texts share, there are no topics. cluster_id is the place in the order by size and main terms, so it doesn't depend on
+    how the clustering numbers them.
+    """
+    docs = comments.select(F.col(id_).alias("id"), X.letters(F.col(text)).alias("t")).filter(F.length("t") >= SHORTEST)
+    none = comments.sparkSession.createDataFrame([], "cluster_id int, n long, top_terms array<string>, examples array<string>")
+    docs = settle(docs)
+    n = docs.count()
+    k = cluster_count(n, wanted)
+    if k < 2:
+        return none
+    vectors, width, w = _vectors(docs, "id", "t", max_terms, 2, X.TOPIC_STOPWORDS)
+    if not width:
+        return none
     vectors = vectors.persist()
-    n = vectors.count()
-    if not n:
-        return comments.sparkSession.createDataFrame([], "cluster_id int, n long, top_terms array<string>, examples array<string>")
-    fitted = KMeans(k=cluster_count(n, wanted), seed=42, maxIter=20).fit(vectors).transform(vectors).select("id", F.col("prediction").alias("cluster_id"))
-    centre = w.join(fitted, "id").groupBy("cluster_id", "term").agg(F.sum("weight").alias("w"))
-    ranked = centre.withColumn("r", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("w"), "term"))).filter(F.col("r") <= top_terms)
-    told = ranked.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]).alias("top_terms"))
-    shown = fitted.join(docs.select("id", "raw"), "id").withColumn("r", F.row_number().over(Window.partitionBy("cluster_id").orderBy("id"))).filter(F.col("r") <= examples)
-    shown = shown.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "raw"))), lambda x: x["raw"]).alias("examples"))
-    return fitted.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).join(told, "cluster_id").join(shown, "cluster_id").orderBy(F.desc("n"), "cluster_id")
+    fitted = settle(_clusters(vectors, k, restarts))
+    vectors.unpersist()
+    centre = w.join(fitted, "id").groupBy("cluster", "term").agg(F.round(F.sum("weight"), 9).alias("w"))
+    ranked = centre.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("w"), "term"))).filter(F.col("r") <= top_terms)
+    told = ranked.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]).alias("top_terms"))
+    shown = fitted.join(docs, "id").withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy("id"))).filter(F.col("r") <= examples)
+    shown = shown.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "t"))), lambda x: x["t"]).alias("examples"))
+    sizes = fitted.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).join(told, "cluster", "left").join(shown, "cluster")
+    order = [F.desc("n"), "top_terms", "cluster"]
+    return sizes.withColumn("cluster_id", (F.row_number().over(Window.orderBy(*order)) - 1)).select("cluster_id", "n", F.coalesce("top_terms", F.expr("cast(array() as array<string>)")).alias("top_terms"), "examples").orderBy("cluster_id")
 
 
 def assign_topics(comments: DataFrame, topics: DataFrame, text: str = "text", first: int = 5) -> DataFrame:
@@ -54,7 +84,7 @@ def assign_topics(comments: DataFrame, topics: DataFrame, text: str = "text", fi
     ranked = t.agg(F.array_sort(F.collect_list(F.struct("pos", "terms", "name"))).alias("topics"))  # a few rows: one cell
     clean = X.letters(F.col(text))
     hits = F.filter("topics", lambda s: F.exists(s["terms"], lambda w: F.contains(F.col("_clean"), w)))
-    out = comments.withColumn("_clean", clean).crossJoin(F.broadcast(ranked))
+    out = comments.withColumn("_clean", clean).crossJoin(F.broadcast(ranked))  # one row
     name = F.when(F.col("_clean") == "", "__NO_TEXT__").otherwise(F.coalesce(F.get(hits, F.lit(0))["name"], F.lit("__OTHER__")))
     return out.withColumn("topic", name).drop("_clean", "topics")
 
@@ -69,11 +99,12 @@ def broken_journeys(enriched: DataFrame, max_terms: int = 384, dimensions: int =
     """Clusters of linked pairs by their texts: labels, counts, cohesion (mean cosine to the centre), impact and confidence."""
     rows = enriched.withColumn("pair", F.concat_ws("|", F.col("incident_id").cast("string"), F.col("comment_id").cast("string")))
     rows = rows.withColumn("t", X.letters(F.concat_ws(" ", "topic", "lever", "sublever", "incident_text", "comment")))
-    vectors, index, w = _vectors(rows, "pair", "t", max_terms, 1)
-    vectors = vectors.persist()
-    n, width = vectors.count(), index.count()
-    if not n:
+    rows = settle(rows)
+    n = rows.count()
+    vectors, width, w = _vectors(rows, "pair", "t", max_terms, 1) if n else (None, 0, None)
+    if not width:
         return enriched.sparkSession.createDataFrame([], "journey_id string")
+    vectors = vectors.persist()
     axes = max(1, rows.select("sublever").distinct().count())
     k = min(n, journey_count(n, max(2, axes)))
     small = PCA(k=max(1, min(dimensions, width - 1, n)), inputCol="features", outputCol="p").fit(vectors).transform(vectors).select("id", F.col("p").alias("features")) if width > 2 else vectors

@@ -212,12 +212,6 @@ def o_b18(spark, d):
     return n.select("n_nationkey", filters.first_filled(n, ["missing", "BLANK", "N_NAME"]).alias("label"))
 
 
-@query("o_b05_token_set", "SELECT r_regionkey, 'a,b' AS key FROM region")
-def o_b05(spark, d):
-    r = V.table(spark, d, "region").withColumn("n2", F.lit(" b , a,b,"))
-    return filters.with_tokens(r, "n2", "a, b").select("r_regionkey", X.token_set(F.col("n2")).alias("key"))
-
-
 @query("o_b08_epoch_parser", "SELECT event_id, CAST(ts AS TIMESTAMP) AS s, CAST(date_trunc('second', ts) AS TIMESTAMP) AS ms FROM events")
 def o_b08(spark, d):
     e = V.table(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))

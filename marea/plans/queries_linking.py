@@ -73,11 +73,6 @@ def o_c02(spark, d):
     return topic_weeks(spark, d).groupBy("topic").agg(F.sum("incidents").alias("incidents"), F.count(F.lit(1)).alias("buckets"))
 
 
-@query("o_c03_assignment_dates", f"{V.FULL} SELECT incident_id, topic, day FROM assignments LEFT JOIN (SELECT incident_id, day FROM incidents) USING (incident_id)")
-def o_c03(spark, d):
-    return V.assignments(spark, d).join(V.incidents(spark, d).select("incident_id", "day"), "incident_id", "left")
-
-
 RANK = f"""{TOPICS}, m AS (SELECT *, quantile_cont(incidents, 0.5) OVER (PARTITION BY topic) AS md FROM s), c AS (SELECT topic, count(DISTINCT bucket) AS weeks, CAST(sum(responses) AS BIGINT) AS responses, CAST(sum(incidents) AS BIGINT) AS incidents, avg(focus_rate) AS focus_rate, avg(focus_rate) FILTER (WHERE incidents >= md) AS h, avg(focus_rate) FILTER (WHERE incidents < md) AS l FROM m GROUP BY 1),
 k AS (SELECT topic, weeks, responses, incidents, focus_rate, h - l AS delta_focus_rate, 100.0 * incidents / greatest(responses, 1) AS incidents_per_100, greatest(0, least(1, 0.45 * greatest(0, least(1, ln(1 + incidents) / 5)) + 0.35 * abs(coalesce(h - l, 0)) + 0.20 * greatest(0, least(1, ln(1 + responses) / 10)))) AS score FROM c)"""
 RANKED = f"topic, weeks, responses, incidents, {R('focus_rate', 'focus_rate')}, {R('delta_focus_rate', 'delta_focus_rate')}, {R('incidents_per_100', 'incidents_per_100')}, {R('score', 'score')}"

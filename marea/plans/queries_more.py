@@ -28,17 +28,6 @@ def o_a03(spark, d):
     return ingest.incidents(o, "C", "2-HIGH").df.select("incident_id", F.col("Fecha").cast("date").alias("day"))
 
 
-@query("o_b10_date_column", "SELECT 'o_orderdate' AS name")
-def o_b10(spark, d):
-    return spark.createDataFrame([(filters.date_column(V.table(spark, d, "orders").columns),)], "name string")
-
-
-@query("o_b15_resolvers", "SELECT 'A' AS channel, 'Todos' AS other")
-def o_b15(spark, d):
-    seen = [r[0] for r in V.responses(spark, d).select("channel").distinct().collect()]
-    return spark.createDataFrame([(filters.resolve(" a", seen), filters.resolve("zz", seen))], "channel string, other string")
-
-
 @query("o_b02_standardised_columns", "SELECT r_regionkey, r_name FROM region")
 def o_b02(spark, d):
     return filters.standardise(V.table(spark, d, "region").withColumnRenamed("r_name", " r_name ")).select("r_regionkey", "r_name")
@@ -77,41 +66,12 @@ def o_c18(spark, d):
     return series.attach(V.links(spark, d), t, ["lever"]).groupBy("lever").agg(F.count(F.lit(1)).alias("n"), F.max("responses").alias("responses"))
 
 
-@query("o_c20_matrix_totals", f"{V.BASE}, m AS (SELECT lever, channel, count(*) AS n FROM responses GROUP BY 1, 2), t AS (SELECT lever, count(*) AS total FROM responses GROUP BY 1) SELECT lever, channel, n, total FROM m JOIN t USING (lever)")
-def o_c20(spark, d):
-    r = V.responses(spark, d)
-    return r.groupBy("lever", "channel").agg(F.count(F.lit(1)).alias("n")).join(r.groupBy("lever").agg(F.count(F.lit(1)).alias("total")), "lever")
-
-
-@query("o_c15_ranked_pivot", f"{V.BASE} SELECT day, count(*) FILTER (WHERE channel = 'A') AS a, count(*) FILTER (WHERE channel = 'N') AS n, count(*) FILTER (WHERE channel = 'R') AS r FROM responses GROUP BY day")
-def o_c15(spark, d):
-    return V.responses(spark, d).groupBy("day").pivot("channel", ["A", "N", "R"]).agg(F.count(F.lit(1))).fillna(0).withColumnsRenamed({"A": "a", "N": "n", "R": "r"})
-
-
-@query("o_d25_impact_labels", f"{E}, c AS (SELECT sublever, count(*) AS pairs, avg(score) AS m, avg(similarity) AS s FROM e GROUP BY 1) SELECT sublever, CASE WHEN pairs >= 10 OR m <= 2 THEN 'Muy alto' WHEN pairs >= 6 OR m <= 4 THEN 'Alto' WHEN pairs >= 3 THEN 'Medio' ELSE 'Bajo' END AS impact, CASE WHEN s >= 0.85 THEN 'Alto' WHEN s >= 0.75 THEN 'Medio' ELSE 'Bajo' END AS confidence FROM c")
-def o_d25(spark, d):
-    c = _enriched(spark, d).groupBy("sublever").agg(F.count(F.lit(1)).alias("pairs"), F.avg("score").alias("m"), F.avg("similarity").alias("s"))
-    return c.select("sublever", chains.impact_label(F.col("pairs"), F.col("m")).alias("impact"), chains.confidence_label(F.lit(0.8), F.col("s")).alias("confidence"))
-
-
 @query("o_f01_driver_sort", f"{V.BASE}, o AS (SELECT 100.0 * (count(*) FILTER (WHERE score >= 9) - count(*) FILTER (WHERE score <= 6)) / count(score) AS overall FROM responses), x AS (SELECT value, n, nps - overall AS gap FROM ({driver_sql('sublever')}), o) SELECT value, row_number() OVER (ORDER BY gap DESC, n DESC, value) AS place FROM x")
 def o_f01(spark, d):
     t = drivers.driver_table(V.responses(spark, d), "sublever")
     return drivers.numbered(t, F.desc("gap_vs_overall"), F.desc("n"), "value", name="place").select("value", F.col("place").cast("long").alias("place"))
 
 
-@query("o_f04_negative_deltas", f"{V.BASE}, c AS (SELECT sublever AS value, avg(score) AS m FROM responses WHERE year(day) = 1996 GROUP BY 1), b AS (SELECT sublever AS value, avg(score) AS m FROM responses WHERE year(day) < 1996 GROUP BY 1), x AS (SELECT value, c.m - b.m AS delta FROM c JOIN b USING (value)) SELECT value, {R('delta', 'delta_nps')} FROM x WHERE delta < 0 ORDER BY delta, value LIMIT 6")
-def o_f04(spark, d):
-    r = V.responses(spark, d)
-    t = drivers.driver_delta(r.filter("year(day) = 1996"), r.filter("year(day) < 1996"), "sublever", 1)
-    return rounded(drivers.head(t.filter("delta_nps < 0").select("value", "delta_nps"), "delta_nps", "value", n=6))
-
-
 @query("o_f08_journey_table", f"{E}, c AS (SELECT sublever AS entity, count(*) AS linked_pairs, avg(score) AS m FROM e GROUP BY 1) SELECT entity, linked_pairs, {R('m', 'avg_nps')} FROM c ORDER BY linked_pairs DESC, m, entity LIMIT 6")
 def o_f08(spark, d):
     return rounded(drivers.head(chains.entity_summary(_enriched(spark, d)).select("entity", "linked_pairs", "avg_nps"), F.desc("linked_pairs"), "avg_nps", "entity", n=6))
-
-
-@query("o_g03_token_intersection", "SELECT r_regionkey, 2 AS common FROM region")
-def o_g03(spark, d):
-    return V.table(spark, d, "region").select("r_regionkey", F.size(F.array_intersect(X.axis_tokens(F.lit("Pago con tarjeta")), X.axis_tokens(F.lit("tarjeta, PAGO!")))).alias("common"))

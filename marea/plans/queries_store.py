@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,13 +11,13 @@ from marea.operators import filters, kpis, quality
 from marea.plans import views as V
 from marea.plans.registry import query
 from marea.plans.queries_core import R, rounded
+from marea.session import shared_dir
 from marea.sources import ingest, store
 
 
 def scratch(spark) -> str:
-    """A folder under the one the session shares; a temporary one where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{root.rstrip('/')}/marea/{uuid.uuid4().hex}"
+    """A new folder under the one the session shares."""
+    return f"{shared_dir(spark)}/marea/{uuid.uuid4().hex}"
 
 
 def _raw(spark, d):
@@ -27,23 +26,11 @@ def _raw(spark, d):
     return r.select(F.date_format("ts", "yyyy-MM-dd").alias(" Fecha"), F.col("score").cast("int").cast("string").alias("nps"), F.col("channel").alias("CANAL"), F.concat(F.lit("  "), F.col("lever")).alias("palanca "), F.col("sublever").alias("Sub-palanca"), (F.col("order_id") * 10 + F.col("line_no")).cast("string").alias("ID"), F.col("part_id").alias("extra"))
 
 
-@query("o_a01_ingest_responses", f"{V.BASE} SELECT lever, count(DISTINCT order_id * 10 + line_no) > 0 AS any_rows FROM responses GROUP BY lever")
-def o_a01(spark, d):
-    got = ingest.responses(_raw(spark, d)).df
-    return got.groupBy(F.col("Palanca").alias("lever")).agg((F.count(F.lit(1)) > 0).alias("any_rows"))
-
-
 @query("o_a01_ingest_counts", f"{V.BASE} SELECT count(DISTINCT order_id * 10 + line_no) AS rows FROM responses")
 def o_a01b(spark, d):
     return ingest.responses(_raw(spark, d)).df.agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("o_a02_headers", "SELECT * FROM (VALUES ('Fecha'), ('NPS'), ('Canal'), ('Palanca'), ('Subpalanca'), ('ID'), ('extra')) AS t(name)")
-def o_a02(spark, d):
-    got = filters.rename_headers(filters.standardise(_raw(spark, d)), ingest.ALIASES)
-    return spark.createDataFrame([(c,) for c in got.columns], "name string")
-
-
 @query("o_a08_lines_round_trip", f"{V.BASE} SELECT lever, count(*) AS n, {R('avg(score)', 'mean_score')} FROM responses WHERE day >= DATE '1996-01-01' GROUP BY lever")
 def o_a08(spark, d):
     path = scratch(spark)
@@ -113,14 +100,6 @@ def o_a16b(spark, d):
     return _merged(spark, d)[1].groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("o_a17_upload_ledger", "SELECT * FROM (VALUES ('completed', 2), ('duplicate_upload', 1)) AS t(status, n)")
-def o_a17(spark, d):
-    s = store.RecordStore(spark, scratch(spark))
-    for name, odd in (("a", False), ("b", True), ("b", True)):
-        s.upload(_batch(spark, d, odd), "ctx", name)
-    return s.uploads().groupBy("status").agg(F.count(F.lit(1)).cast("int").alias("n"))
-
-
 @query("o_a19_page", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 50 OFFSET 100")
 def o_a19(spark, d):
     return store.page(V.table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], 100, 50).select("l_orderkey", "l_linenumber", "l_partkey")
@@ -189,11 +168,6 @@ def o_d54(spark, d):
     return spark.createDataFrame([(e["n"], round(e["mean_score"], 6))], "n long, mean_score double")
 
 
-@query("o_g01_union_all", "SELECT doc_id AS id, 'c' AS side FROM documents UNION ALL SELECT item_id, 'i' FROM benchmark")
-def o_g01(spark, d):
-    return V.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("c").alias("side")).unionByName(V.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("i").alias("side")))
-
-
 @query("o_g02_ordered_distinct", "SELECT r_regionkey, 'b,a' AS names FROM region")
 def o_g02(spark, d):
     return V.table(spark, d, "region").select("r_regionkey", F.array_join(X.split_list(F.lit(" b; a |b,\na")), ",").alias("names"))

@@ -134,31 +134,147 @@ class RecordStore:
         """Whether a completed upload of the context had this file."""
         return not self.table("uploads", UPLOADS).filter((F.col("context") == context) & (F.col("file_hash") == file_hash) & (F.col("status") == "completed")).isEmpty()
 
-    def upload(self, batch: DataFrame, context: str, file_hash: str, issues: list[tuple] | None = None) -> str:
-        """Merges one file's rows; the same file again is a duplicate_upload and changes nothing. Returns the status."""
-        upload_id = uuid.uuid4().hex
+    def upload(self, batch: DataFrame, context: str, file_hash: str, issues: list[tuple] | None = None, upload_id: str | None = None) -> str:
+        """Merges one file's rows and returns the status: completed, duplicate_upload (the same file again, which changes
+        nothing) or failed.
+
+        The attempt is written as processing before anything else. What goes wrong while it is merged leaves it failed,
+        with an issue, and the records as they were: the pointer to the new snapshot is the last step.
+        """
+        upload_id = upload_id or uuid.uuid4().hex
         if self.seen(context, file_hash):
             self._log(upload_id, context, file_hash, "duplicate_upload", 0, 0, 0, 0)
             return "duplicate_upload"
-        snapshot, events = merge(self.current(), batch, upload_id)
-        snapshot.write.parquet("/".join([self.root, "records", upload_id]))
-        self._append("events", events)
-        self.spark.createDataFrame([(upload_id,)], "snapshot string").withColumn("at", F.current_timestamp()).write.mode("append").parquet("/".join([self.root, "pointers"]))
-        c = merge_counts(self.table("events", EVENTS).filter(F.col("upload_id") == upload_id)).first()
+        self._log(upload_id, context, file_hash, "processing", 0, 0, 0, 0)
         if issues:
-            self._append("issues", self.spark.createDataFrame([(upload_id, *i) for i in issues], ISSUES))
+            self._issue(*((upload_id, *i) for i in issues))
+        try:
+            snapshot, events = merge(self.current(), batch, upload_id)
+            snapshot.write.parquet("/".join([self.root, "records", upload_id]))
+            events.write.parquet("/".join([self.root, "pending", upload_id]))
+            told = self.spark.read.schema(EVENTS).parquet("/".join([self.root, "pending", upload_id]))
+            c = merge_counts(told).first()
+            self._append("events", told)
+            self._append("pointers", self.spark.createDataFrame([(upload_id,)], "snapshot string").withColumn("at", F.current_timestamp()))
+        except Exception as e:  # whatever the batch's plan or the folder raise
+            self._issue((upload_id, "ERROR", "storage_error", str(e).split("\n")[0][:500], None))
+            self._log(upload_id, context, file_hash, "failed", 0, 0, 0, 0)
+            return "failed"
         self._log(upload_id, context, file_hash, "completed", sum(c), *c)
         return "completed"
 
+    def _issue(self, *rows: tuple) -> None:
+        self._append("issues", self.spark.createDataFrame(list(rows), ISSUES))
+
     def _log(self, upload_id, context, file_hash, status, *counts) -> None:
         row = self.spark.createDataFrame([(upload_id, context, file_hash, status, *counts)], "upload_id string, context string, file_hash string, status string, rows long, inserted long, updated long, duplicates long")
         self._append("uploads", row.withColumn("at", F.current_timestamp()))
 
-    def uploads(self, n: int = 10) -> DataFrame:
-        """The newest attempts, the last state of each; one that never ended is failed."""
-        w = Window.partitionBy("upload_id").orderBy(F.desc("at"))
-        last = self.table("uploads", UPLOADS).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
-        return last.withColumn("status", F.when(F.col("status") == "processing", "failed").otherwise(F.col("status"))).orderBy(F.desc("at"), "upload_id").limit(n)
+    def states(self) -> DataFrame:
+        """The last state of each attempt."""
+        w = Window.partitionBy("upload_id").orderBy(F.desc("at"), F.when(F.col("status") == "processing", 1).otherwise(0))
+        return self.table("uploads", UPLOADS).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+    def uploads(self, n: int = 10, context: str | None = None) -> DataFrame:
+        """The newest attempts, of a context or of all, each in its last state."""
+        last = self.states()
+        return (last if context is None else last.filter(F.col("context") == context)).orderBy(F.desc("at"), "upload_id").limit(n)
+
+    def issues(self, upload_id: str | None = None) -> DataFrame:
+        """What was noted on an attempt, or on all."""
+        told = self.table("issues", ISSUES)
+        return told if upload_id is None else told.filter(F.col("upload_id") == upload_id)
+
+    def recover(self) -> int:
+        """Marks attempts that stopped while processing as failed, with an issue each; to be called when a store is opened
+        and nothing writes to it. Returns how many there were."""
+        left = self.states().filter("status = 'processing'").select("upload_id", "context", "file_hash").collect()
+        for r in left:
+            self._issue((r.upload_id, "ERROR", "interrupted_upload", "the upload stopped before it was complete", None))
+            self._log(r.upload_id, r.context, r.file_hash, "failed", 0, 0, 0, 0)
+        return len(left)
+
+
+@dataclass
+class ResultCache:
+    """Results of costly queries as Parquet under one folder, found by their inputs; the least recently used go first.
+
+    An entry is a folder named by its key; it counts from the moment it is renamed to that name, so a stopped writer leaves
+    none. most_bytes: what all entries may take together.
+    """
+
+    spark: SparkSession
+    root: str
+    most_bytes: int = 10 << 30
+
+    def _path(self, name: str = ""):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def _fs(self):
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def key(self, namespace: str, source: DataFrame | str, **params) -> str:
+        """The name of a result: of a source's plan and files (with sizes and times, so that changed files are another
+        source), or of a signature that the caller keeps, such as a snapshot's id; and of the parameters."""
+        if isinstance(source, str):
+            return signature(namespace, source, params)
+        stats = [self._path_of(f) for f in sorted(source.inputFiles())]
+        return signature(namespace, source.semanticHash(), stats, params)
+
+    def _path_of(self, file: str) -> tuple:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(file)
+        s = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        return (file, s.getLen(), s.getModificationTime())
+
+    def get(self, key: str) -> DataFrame | None:
+        """The result of that name, which then counts as used, or None."""
+        if not self._fs().exists(self._path(f"{key}/_SUCCESS")):
+            return None
+        self._touch(key)
+        return self.spark.read.parquet(f"{self.root}/{key}")
+
+    def _touch(self, key: str) -> None:
+        self._fs().create(self._path(f"{key}/_used"), True).close()
+
+    def put(self, key: str, df: DataFrame) -> DataFrame:
+        """Writes a result under its name and returns it as written; older entries make room. One that is there stays."""
+        beside = f"_{key}.{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{beside}")
+        if not self._fs().rename(self._path(beside), self._path(key)):
+            self._fs().delete(self._path(beside), True)
+        self._touch(key)
+        self.evict(keep=key)
+        return self.spark.read.parquet(f"{self.root}/{key}")
+
+    def through(self, key: str, make) -> tuple[DataFrame, bool]:
+        """The result of that name, made where it is missing, and whether it was there."""
+        known = self.get(key)
+        return (known, True) if known is not None else (self.put(key, make()), False)
+
+    def entries(self) -> list[tuple[str, int, int]]:
+        """Name, bytes and time of last use of each entry, the least recently used first."""
+        fs = self._fs()
+        if not fs.exists(self._path()):
+            return []
+        out = []
+        for s in fs.listStatus(self._path()):
+            name = s.getPath().getName()
+            if not name.startswith("_") and fs.exists(self._path(f"{name}/_used")):
+                out.append((name, fs.getContentSummary(s.getPath()).getLength(), fs.getFileStatus(self._path(f"{name}/_used")).getModificationTime()))
+        return sorted(out, key=lambda e: (e[2], e[0]))
+
+    def evict(self, keep: str | None = None) -> list[str]:
+        """Removes the least recently used entries until the rest fit; `keep` stays whatever its size."""
+        known = self.entries()
+        total, gone = sum(e[1] for e in known), []
+        for name, size, _ in known:
+            if total <= self.most_bytes:
+                break
+            if name != keep:
+                self._fs().delete(self._path(name), True)
+                gone.append(name)
+                total -= size
+        return gone
 
 
 def page(df: DataFrame, order: list[str], offset: int = 0, limit: int = 100) -> DataFrame:
@@ -193,6 +309,42 @@ def artifacts(root: str, dataset_id: str, version: str, context: str, kpis: dict
     return folder
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file in any folder that Spark writes to, in one step: written beside, then renamed."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(p, False)
+    if not fs.rename(beside, p):
+        raise OSError(f"can't write {path}")
+
+
+def artifact_tree(spark: SparkSession, root: str, dataset_id: str, version: str, context: str, kpis: dict, packs: dict[str, dict]) -> str:
+    """artifacts() in a folder that all nodes share; returns it."""
+    folder = "/".join([root.rstrip("/"), dataset_id, version, context])
+    said = lambda value: json.dumps(value, ensure_ascii=False, indent=1, default=str)
+    put_text(spark, f"{folder}/kpis.json", said(kpis))
+    for name, pack in packs.items():
+        put_text(spark, f"{folder}/insights/{name}__pack.json", said(pack))
+        put_text(spark, f"{folder}/insights/{name}__pack.md", pack_markdown(pack))
+    put_text(spark, f"{folder}/manifest.json", said({"dataset_id": dataset_id, "version": version, "context": context, "kpis": "kpis.json", "insights": sorted(packs)}))
+    return folder
+
+
+def pack_table(df: DataFrame, dimension: str, context: dict, score: str = "score", comment: str = "comment", verbatims: int = 10) -> DataFrame:
+    """The figures and first comments of every value of a dimension in one pass: value, id, n, mean and verbatims. The id
+    depends on the context and the value only."""
+    name = json.dumps(context, sort_keys=True, ensure_ascii=False)
+    per = df.filter(F.col(dimension).isNotNull()).groupBy(F.col(dimension).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"))
+    w = Window.partitionBy("value").orderBy("said")
+    said = df.filter(F.col(comment).isNotNull()).select(F.col(dimension).cast("string").alias("value"), F.col(comment).alias("said")).distinct()
+    first = said.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= verbatims).groupBy("value").agg(F.array_sort(F.collect_list("said")).alias("verbatims"))
+    return per.join(first, "value", "left").withColumn("id", F.substring(F.sha1(F.concat_ws("|", F.lit(name), F.lit(dimension), "value")), 1, 12))
+
+
 def insight_pack(df: DataFrame, title: str, context: dict, score: str = "score", comment: str = "comment", verbatims: int = 10) -> dict:
     """Figures and first comments of a slice, under a stable id."""
     from marea.operators.kpis import score_kpis
