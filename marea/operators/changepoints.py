@@ -97,6 +97,15 @@ def stable_changepoints(series: DataFrame, value: str = "focus_rate", penalty: f
     return rows.groupBy("topic").applyInPandas(run, STABILITY)
 
 
+def topic_stability(series: DataFrame, topic: str = "topic", **options) -> DataFrame:
+    """A row each topic of the series: its changepoints in order, max_cp_stability and max_cp_level; a topic without any has
+    none, no stability and an empty level. options: those of stable_changepoints()."""
+    found = stable_changepoints(series, topic=topic, **options)
+    per = found.groupBy("topic").agg(F.array_sort(F.collect_list("changepoint")).alias("changepoints"), F.first("max_stability").alias("max_cp_stability"), F.first("max_confidence").alias("max_cp_level"))
+    none = F.expr("cast(array() as array<date>)")
+    return series.select(F.col(topic).alias("topic")).distinct().join(per, "topic", "left").select(F.col("topic").alias(topic), F.coalesce("changepoints", none).alias("changepoints"), "max_cp_stability", F.coalesce("max_cp_level", F.lit("")).alias("max_cp_level"))
+
+
 def dimension_series(responses: DataFrame, dimensions: list[str], ts: str = "ts", score: str = "score", grain: str = "day") -> DataFrame:
     """dimension, value, bucket and nps: the classic score of each bucket that has known scores, for each value of each
     dimension and (value *) for all rows, in one pass. Null values are left out."""

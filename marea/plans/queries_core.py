@@ -374,11 +374,13 @@ def o_e06(spark, d):
     return rounded(series.lead_share(s, cps))
 
 
-@query("o_e07_gap_fill", """WITH p AS (SELECT CAST(ts AS DATE) AS date, count(*) AS n, avg(value) AS v FROM events WHERE event_id % 97 = 0 GROUP BY 1), g AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM p),
+@query("o_e07_gap_fill", """WITH p AS (SELECT DATE '2024-01-01' + CAST(3 * (CAST(ts AS DATE) - DATE '2024-01-01') + event_id % 2 AS INT) AS date, count(*) AS n, avg(value) AS v FROM events GROUP BY 1), g AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM p),
 f AS (SELECT g.date, coalesce(n, 0) AS n, (SELECT max(date) FROM p WHERE p.date <= g.date) AS a, (SELECT min(date) FROM p WHERE p.date >= g.date) AS b FROM g LEFT JOIN p USING (date))
 SELECT f.date, f.n, round(CASE WHEN a = b THEN pa.v ELSE pa.v + (pb.v - pa.v) * date_diff('day', a, f.date) / date_diff('day', a, b) END, 6) AS v FROM f JOIN p pa ON pa.date = a JOIN p pb ON pb.date = b""")
 def o_e07(spark, d):
-    p = V.events(spark, d).filter("event_id % 97 = 0").groupBy(F.col("day").alias("date")).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("v"))
+    # days three apart, and the next ones: every third day is a gap
+    date = F.expr("date_add(date'2024-01-01', cast(3 * datediff(day, date'2024-01-01') + event_id % 2 as int))")
+    p = V.events(spark, d).groupBy(date.alias("date")).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("v"))
     return rounded(series.fill_days(p, ["n"], ["v"]))
 
 

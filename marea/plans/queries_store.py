@@ -42,15 +42,14 @@ def o_a08(spark, d):
     return rounded(got.groupBy("lever").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score")))
 
 
-@query("o_a09_partitioned_round_trip", f"{V.BASE} SELECT lever, count(*) AS n, {R('avg(score)', 'mean_score')} FROM responses WHERE day BETWEEN DATE '1996-01-01' AND DATE '1996-01-31' GROUP BY lever")
+@query("o_a09_partitioned_round_trip", f"WITH {V.EVENTS} SELECT channel AS lever, count(*) AS n, {R('avg(score)', 'mean_score')}, min(day) AS first_day FROM events_ WHERE day >= DATE '2024-01-03' GROUP BY channel")
 def o_a09(spark, d):
     import datetime as dt
 
     path = scratch(spark)
-    month = V.responses(spark, d).select("ts", "lever", "score").filter("ts >= date'1995-12-01' and ts < date'1996-03-01'")
-    store.write_partitioned(month, path, candidates=["lever"])
-    got = store.subset(spark.read.parquet(path), ["lever", "score"], dt.date(1996, 1, 1), dt.date(1996, 1, 31))
-    return rounded(got.groupBy("lever").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score")))
+    store.write_partitioned(V.events(spark, d).select("ts", F.col("channel").alias("lever"), "score"), path, candidates=["lever"])
+    got = store.subset(spark.read.parquet(path), ["lever", "score", "event_day"], dt.date(2024, 1, 3))
+    return rounded(got.groupBy("lever").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"), F.min("event_day").alias("first_day")))
 
 
 @query("o_a10_pushdown_scan", "SELECT count(*) AS n, round(sum(l_quantity), 6) AS quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1996-02-01'")

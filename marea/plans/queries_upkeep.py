@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from marea import session
 from marea.functions import text as X
 from marea.operators import changepoints, drivers, filters, hotspots, labels, selectors, topics
+from marea.plans import batch
 from marea.plans import views as V
-from marea.plans.queries_core import R, rounded
+from marea.plans.queries_core import R, rounded, topic_weeks
 from marea.plans.queries_store import _raw, scratch
 from marea.plans.registry import query
 from marea.sources import ingest, journeys, reviews, store
@@ -353,3 +354,23 @@ def o_k06_series(spark, d):
 @query("o_k06_dimension_changepoints")
 def o_k06_dimensions(spark, d):
     return changepoints.dimension_changepoints(V.responses(spark, d), ["lever", "channel"], grain="month", draws=100)
+
+
+@query("o_k07_topic_stability")
+def o_k07_topics(spark, d):
+    # points, not rates; topics without a break are told too
+    return changepoints.topic_stability(topic_weeks(spark, d).withColumn("topic", F.col("topic")), scale=100.0, draws=100)
+
+
+ONCE = f"{V.BASE}, once AS (SELECT order_id * 10 + line_no AS id, min(lever) AS lever, min(sublever) AS sublever, min(score) AS score FROM responses GROUP BY 1 HAVING count(*) = 1)"
+
+
+@query("o_batch_platform", f"{ONCE}, ov AS (SELECT (count(*) FILTER (WHERE score >= 9) - count(*) FILTER (WHERE score <= 6)) * 100.0 / count(*) AS o FROM once), ga AS (SELECT sublever AS value, count(*) AS n, (count(*) FILTER (WHERE score >= 9) - count(*) FILTER (WHERE score <= 6)) * 100.0 / count(*) - (SELECT o FROM ov) AS gap FROM once GROUP BY 1), op AS (SELECT value, n, -0.6 * gap AS up, least(1, log10(greatest(n, 10)) / 5) AS conf FROM ga WHERE gap < 0 AND n >= 20) SELECT 'completed' AS status, (SELECT count(*) FROM once) AS rows, value, n, {R('up', 'potential_uplift')} FROM op ORDER BY up * conf DESC, n DESC, value LIMIT 2")
+def o_batch(spark, d):
+    raw = _raw(spark, d).withColumn("service_origin", F.lit("Casa")).withColumn("service_origin_n1", F.lit("Web"))
+    seen = raw.groupBy("ID").agg(F.count(F.lit(1)).alias("times")).filter("times = 1")
+    told = batch.run(spark, [batch.Run(raw.join(seen, "ID", "left_semi"), "Casa", "Web", dimensions=("Subpalanca",), top_packs=2, min_n=20)], scratch(spark))[0]
+    k = json.loads("\n".join(x.value for x in spark.read.text(f"{told['folder']}/kpis.json").collect()))
+    packs = [json.loads("\n".join(x.value for x in spark.read.text(f"{told['folder']}/insights/{p}__pack.json").collect())) for p in told["packs"]]
+    rows = [(told["status"], k["dataset"]["rows"], p["driver"]["value"], p["driver"]["n"], float(p["driver"]["potential_uplift"])) for p in packs]
+    return rounded(spark.createDataFrame(rows, "status string, rows long, value string, n long, potential_uplift double"))
