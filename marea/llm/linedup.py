@@ -307,6 +307,8 @@ def _candidates(skip: int, upto: int, percent: int, group: int | None):
         found = [np.concatenate(c) for c in zip(*_pairs(rows, skip, upto, percent), strict=True)]
         if found and len(found[0]):
             x, y, more = found
+            other = (rows["doc"][x] != rows["doc"][y]) | (rows["at"][x] != rows["at"][y])  # a repeated row's line is no other one
+            x, y, more = x[other], y[other], more[other]
             columns = [rows["doc"][x], rows["at"][x], rows["doc"][y], rows["at"][y]]
             for i in range(0, len(x), 100_000):
                 c = slice(i, i + 100_000)

@@ -38,6 +38,7 @@ class Model:
     grams: DataFrame  # key (a packed n-gram of the full order) and ratio
     contexts: DataFrame  # context (their first bytes) and rest: the ratio of a byte never seen after them
     weights: np.ndarray  # of the features, the intercept last
+    prior: float = 0.0  # the share of label 1, which texts without words get
 
     def arrays(self) -> tuple[np.ndarray, ...]:
         """Both tables, sorted."""
@@ -73,7 +74,7 @@ def _keys(words: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(out[-1], dtype=np.uint64)
     for back in range(order):
         shifted = np.zeros_like(text)
-        shifted[back:] = text[: len(text) - back] if back else text
+        shifted[back:] = text[: max(0, len(text) - back)]
         key |= np.where(place >= back, shifted, 0).astype(np.uint64) << np.uint64(8 * back)
     real = place > 0
     return key[real], np.repeat(np.arange(n), size)[real]
@@ -252,8 +253,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFr
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label)).cast("int").alias("label"))
     known = C.materialise(known.withColumn("slot", F.xxhash64("doc_id")))
     counts = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # about 10,000 ids a window; a label of fewer is one
-    parts = F.coalesce(*(F.when(F.col("label") == k, F.lit(max(1, n // 10_000))) for k, n in counts.items()), F.lit(1)) if counts else F.lit(1)
+    # about 1,000 ids a window; a label of fewer is one
+    parts = F.coalesce(*(F.when(F.col("label") == k, F.lit(max(1, n // 1_000))) for k, n in counts.items()), F.lit(1)) if counts else F.lit(1)
     place = F.row_number().over(Window.partitionBy("label", F.pmod("slot", parts)).orderBy("slot", "doc_id"))
     known = known.withColumn("half", (place % 2).cast("int")).select("doc_id", "label", "half")
     if labels.count() <= BROADCAST_ROWS:
@@ -283,6 +284,7 @@ def fit(rows: DataFrame, order: int = 5, calibration_rows: int = 20_000, entries
 
     whole = model(0, 1)
     n = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    whole.prior = n.get(1, 0) / max(1, sum(n.values()))
     if len(n) < 2:
         whole.weights = np.array([0, 0, 0, 0, 30.0 if 1 in n else -30.0])
         return whole
@@ -312,23 +314,23 @@ def _matrix(sample: pd.DataFrame) -> np.ndarray:
     return np.column_stack([100 * (total / n).clip(-0.2, 0.2), np.minimum(most, 12), np.log1p(strong), np.log1p(1000 * strong / n), np.ones(len(n))])
 
 
-def probability(weights: np.ndarray) -> Column:
-    """The score from SUMS: _matrix() and the weights as an expression."""
+def probability(model: Model) -> Column:
+    """The score from SUMS: _matrix() and the weights as an expression; without words it is the prior."""
     n = F.greatest("n", F.lit(1.0))
     x = [100 * F.greatest(F.lit(-0.2), F.least(F.lit(0.2), F.col("total") / n)), F.least("most", F.lit(12.0)), F.log1p("strong"), F.log1p(1000 * F.col("strong") / n), F.lit(1.0)]
-    z = sum((float(w) * v for w, v in zip(weights, x, strict=True)), F.lit(0.0))
-    return F.round(1 / (1 + F.exp(-z)), 6)
+    z = sum((float(w) * v for w, v in zip(model.weights, x, strict=True)), F.lit(0.0))
+    return F.round(F.when(F.col("n") == 0, float(model.prior)).otherwise(1 / (1 + F.exp(-z))), 6)
 
 
 def score(docs: DataFrame, model: Model, entries: int = ENTRIES) -> DataFrame:
     """docs (text and any other columns) with `score` in place of text: the probability of label 1, 0 to 1.
 
     A column that is called `score` already is replaced; other columns may have any names. Null text: as empty; a text
-    without words has the score of zero features. Repeated rows score alike. No rows: none.
+    without words says nothing and has the share of label 1 among the learned rows. Repeated rows score alike. No rows: none.
     """
     rest = [c for c in docs.columns if c not in ("text", "score")]
     held = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("held")) if rest else docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    out = sums(held, model, entries).withColumn("score", probability(model.weights))
+    out = sums(held, model, entries).withColumn("score", probability(model))
     return out.select(*(["held.*"] if rest else []), "score")
 
 
