@@ -14,7 +14,7 @@ TOXIC = 0.5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below TOXIC, by a model of all labels; those without a label are judged like the rest.
 
-    Null and empty texts have no words and are scored by their lack; rows with a null doc_id are judged too, repeated rows
+    Null and empty texts have no words and the labels' own share of toxic rows as score; rows with a null doc_id are judged too, repeated rows
     alike. Without labels nothing goes. No rows: none.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
