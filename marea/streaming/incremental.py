@@ -34,7 +34,8 @@ def merge_into(stream: DataFrame, store, context: str, checkpoint: str, order: s
         own = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or stream_id
         rest = [c for c in batch.columns if c != "business_key"]
         last = batch.groupBy("business_key").agg(F.max_by(F.struct(*rest), F.col(order)).alias("r")).select("business_key", "r.*")
-        store.upload(last.select(batch.columns), context, f"{own}-{epoch}")
+        if store.upload(last.select(batch.columns), context, f"{own}-{epoch}") == "failed":
+            raise RuntimeError(f"batch {epoch} was not merged; the store's issues say why")  # the stream stops, and comes back to it
 
     stream_id = uuid.uuid4().hex  # where the session doesn't tell: a restart merges its last batch again, which changes nothing
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
