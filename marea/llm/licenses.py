@@ -9,6 +9,8 @@ a sentence, without any word of TRIGGERS holds no known sentence and is passed b
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -174,7 +176,7 @@ _add_families()
 def sentence_ids(text: Column) -> Column:
     """The identifiers of the known sentences of a text, in order; no text: none."""
     table = F.array(*(F.struct(F.lit(f" {s} ").alias("s"), F.lit(n).alias("n")) for n, s in sorted(SENTENCES.items())))
-    some = "|".join(TRIGGERS)
+    some = lambda s: reduce(Column.__or__, (F.contains(s, F.lit(t)) for t in TRIGGERS))
     none = F.expr("cast(array() as array<string>)")
 
     def found(s):
@@ -185,8 +187,8 @@ def sentence_ids(text: Column) -> Column:
         return F.transform(placed, lambda k: k["n"])
 
     bare = F.regexp_replace(F.regexp_replace(F.lower(text), TAG, "$1 "), SIGNS, "")
-    heavy = F.flatten(F.transform(F.filter(F.split(bare, CUT), lambda s: s.rlike(some)), found))
-    return F.when(F.lower(text).rlike(some), heavy).otherwise(none)
+    heavy = F.flatten(F.transform(F.filter(F.split(bare, CUT), some), found))
+    return F.when(some(F.lower(text)), heavy).otherwise(none)
 
 
 def licences(sequence: Column, rules: list[tuple[str, str, str]] | None = None) -> Column:
