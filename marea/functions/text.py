@@ -83,13 +83,13 @@ def known(value: Column) -> Column:
 
 
 def fold(value: Column) -> Column:
-    """Lower case without accents or other signs beyond ASCII; letters and signs that hold ASCII ones fold to these."""
+    """Lower case without accents or other signs beyond ASCII; letters and signs that hold ASCII ones fold to these, as they are."""
     lower = F.lower(text(value))
     table = F.str_to_map(F.lit(_SPELLED), F.lit("\x02"), F.lit("\x01"))
     # most texts have none of the characters that fold to several: those that one has are replaced one by one
     longer = F.array_distinct(F.regexp_extract_all(lower, F.lit(_LONGER), F.lit(0)))
     whole = F.aggregate(longer, lower, lambda t, c: F.replace(t, c, F.try_element_at(table, c)))
-    plain = F.lower(F.regexp_replace(F.translate(whole, ACCENTED, PLAIN), r"[^\x00-\x7F]", ""))
+    plain = F.regexp_replace(F.translate(whole, ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
     return F.when(lower.rlike(r"[^\x00-\x7F]"), plain).otherwise(lower)
 
 
