@@ -26,7 +26,7 @@ def _link(spark, d, **options):
 def o_k01(spark, d):
     docs = V.comments(spark, d).select(F.concat(F.lit("c"), F.col("comment_id").cast("string")).alias("id"), "text").union(V.tickets(spark, d).select(F.concat(F.lit("i"), F.col("incident_id").cast("string")).alias("id"), "text"))
     postings = linking.terms(docs, "id", "text")
-    return rounded(linking.weights(postings, linking.vocabulary(postings, docs.count())).filter("id like 'i%'"))
+    return rounded(linking.weights(postings, linking.vocabulary(postings, docs.count())).filter("id like 'i%'").select("id", "term", "weight"))
 
 
 EVIDENCE = f"""WITH {TERMS}, p AS (SELECT a.id AS l, b.id AS r, round(sum(a.weight * b.weight), 9) AS s FROM wt a JOIN wt b USING (term) WHERE a.id LIKE 'i%' AND b.id LIKE 'c%' GROUP BY 1, 2),
