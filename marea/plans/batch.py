@@ -37,6 +37,13 @@ def _rows(df: DataFrame, most: int) -> list[dict]:
     return [r.asDict() for r in df.limit(most).collect()]
 
 
+def _shape(rows: DataFrame) -> tuple[int, int]:
+    """The number of rows and the sum of their hashes of 40 bits, whatever their order; a long holds 2^23 of these hashes for sure, so they are summed as decimals."""
+    hashes = F.pmod(F.xxhash64("_business_key", "_record_fingerprint"), F.lit(1 << 40)).cast("decimal(13,0)")
+    n, total = rows.agg(F.count(F.lit(1)), F.sum(hashes)).first()
+    return n, int(total or 0)
+
+
 def _pack(spark: SparkSession, rows: DataFrame, top, context: dict, controls: list[str]) -> dict:
     """An insight pack of one value, with its effect on being a detractor beside the other columns held fixed."""
     own = rows.filter(F.col(f"`{top.dimension}`").cast("string") == top.value)
@@ -63,8 +70,7 @@ def run(spark: SparkSession, runs: list[Run], root: str) -> list[dict]:
             continue
         rows = settle(got.df)
         key = store.context_key(spec.origin, spec.n1, spec.n2)
-        shape = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("_business_key", "_record_fingerprint"), F.lit(1 << 40))).alias("h")).first()
-        dataset_id = store.signature(key, shape.n, shape.h)
+        dataset_id = store.signature(key, *_shape(rows))
         meta = store.write_lines(rows, f"{root.rstrip('/')}/datasets/{key}/{dataset_id}", "Fecha").first().asDict()
         tables = {d: _rows(drivers.driver_table(rows, d, score="NPS"), SHOWN) for d in spec.dimensions if d in rows.columns}
         named = rows.select("NPS", F.col("Palanca").alias("lever"), F.col("Subpalanca").alias("sublever"), X.topic(F.col("Palanca"), F.col("Subpalanca")).alias("topic"))

@@ -135,3 +135,12 @@ def test_each_module_imports_alone():
 
     for name in ("queries_core", "queries_linking", "queries_more", "queries_store", "catalogue"):
         assert subprocess.run([sys.executable, "-c", f"import marea.plans.{name}"], capture_output=True, check=False).returncode == 0
+
+
+def test_hash_sum_of_many_rows(spark):
+    """More rows than a long holds hashes of 40 bits for."""
+    from marea.plans import batch
+
+    rows = spark.range(20_000_000).select(F.col("id").alias("_business_key"), F.lit(1).alias("_record_fingerprint"))
+    n, total = batch._shape(rows)
+    assert n == 20_000_000 and 2**63 < total < n * 2**40
