@@ -2,31 +2,91 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marea.session import settle
+from marea.session import settle, small
 
 
-def terms(docs: DataFrame, id_: str, text: str, bigrams: bool = True, stop: tuple[str, ...] = ()) -> DataFrame:
-    """id, term and tf: words of two and more characters, and pairs of neighbours."""
-    own = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)
-    words = docs.select(F.col(id_).alias("id"), (F.filter(own, lambda t: ~t.isin(*stop)) if stop else own).alias("w"))
-    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(1))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.expr("cast(array() as array<string>)"))
-    return words.select("id", F.explode(F.concat("w", pairs) if bigrams else F.col("w")).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+def grams(text: Column, bigrams: bool = True, stop: tuple[str, ...] = ()) -> Column:
+    """All words of two and more characters of a text, then all pairs of neighbours."""
+    own = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)
+    words = F.filter(own, lambda t: ~t.isin(*stop)) if stop else own
+    if not bigrams:
+        return words
+    # bound by a lambda: the words are taken from the text once
+    both = lambda w: F.concat(w, F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b)))
+    return F.get(F.transform(F.array(words), both), F.lit(0))
+
+
+def counted(terms_: Column) -> Column:
+    """The distinct terms of an array with their counts, as term and tf: runs of the sorted array."""
+
+    def runs(s: Column) -> Column:
+        firsts = F.filter(F.transform(s, lambda t, i: F.when((i == 0) | (t != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+        told = lambda b: F.zip_with(b, F.slice(b, 2, F.size(b)), lambda i, j: F.struct(F.get(s, i).alias("term"), (F.coalesce(j, F.size(s)) - i).cast("long").alias("tf")))
+        return F.get(F.transform(F.array(firsts), told), F.lit(0))
+
+    return F.get(F.transform(F.array(F.sort_array(terms_)), runs), F.lit(0))
+
+
+def repeated(docs: DataFrame, id_: str) -> DataFrame:
+    """The ids that several rows have, as _again: mostly none, so they are written and broadcast."""
+    return small(settle(docs.groupBy(F.col(id_).alias("_again")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_again")))
+
+
+def row_terms(docs: DataFrame, id_: str, text: str, keep: tuple[str, ...] = (), bigrams: bool = True, stop: tuple[str, ...] = ()) -> DataFrame:
+    """id, kept columns, term and tf of each row by itself, without a shuffle."""
+    rows = docs.select(F.col(id_).alias("id"), *keep, F.explode(counted(grams(F.col(text), bigrams, stop))).alias("_t"))
+    return rows.select("id", *keep, "_t.term", "_t.tf")
+
+
+def terms(docs: DataFrame, id_: str, text: str, bigrams: bool = True, stop: tuple[str, ...] = (), several: DataFrame | None = None) -> DataFrame:
+    """id, term and tf: words of two and more characters, and pairs of neighbours; rows of one id count together.
+
+    Only rows whose id is among those of `several` (by default `repeated`) are shuffled.
+    """
+    several = repeated(docs, id_) if several is None else several
+    same = F.col(id_).eqNullSafe(F.col("_again"))
+    once = row_terms(docs.join(several, same, "left_anti"), id_, text, (), bigrams, stop)
+    again = row_terms(docs.join(several, same, "left_semi"), id_, text, (), bigrams, stop)
+    return once.unionByName(again.groupBy("id", "term").agg(F.sum("tf").alias("tf")))
 
 
 def vocabulary(postings: DataFrame, n_docs: int, min_df: int = 2, max_terms: int = 50_000) -> DataFrame:
     """term and idf of the most frequent terms that enough documents have: ln((1 + n) / (1 + df)) + 1."""
-    stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
+    return _chosen(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")), n_docs, min_df, max_terms)
+
+
+def _chosen(stats: DataFrame, n_docs: int, min_df: int, max_terms: int) -> DataFrame:
+    stats = stats.filter(F.col("df") >= min_df)
     return stats.orderBy(F.desc("total"), "term").limit(max_terms).select("term", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
+def text_vocabulary(docs: DataFrame, id_: str, text: str, n_docs: int, min_df: int = 2, max_terms: int = 50_000, bigrams: bool = True, stop: tuple[str, ...] = (), several: DataFrame | None = None) -> DataFrame:
+    """vocabulary() straight from the texts: only sums by term are shuffled, no postings."""
+    several = repeated(docs, id_) if several is None else several
+    same = F.col(id_).eqNullSafe(F.col("_again"))
+    told = lambda rows, sets: rows.select(F.explode(F.get(F.transform(F.array(grams(F.col(text), bigrams, stop)), sets), F.lit(0))).alias("_s")).select("_s.new", F.explode("_s.t").alias("term"))
+    every = lambda g: F.struct(F.lit(False).alias("new"), g.alias("t"))
+    # the terms of a text, and its distinct ones once more; those of repeated ids are distinct by id
+    once = told(docs.join(several, same, "left_anti"), lambda g: F.array(every(g), F.struct(F.lit(True).alias("new"), F.array_distinct(g).alias("t"))))
+    again = docs.join(several, same, "left_semi")
+    distinct = terms(again, id_, text, bigrams, stop, several).select(F.lit(True).alias("new"), "term")
+    seen = once.unionByName(told(again, lambda g: F.array(every(g)))).unionByName(distinct)
+    return _chosen(seen.groupBy("term").agg(F.count_if("new").alias("df"), F.count_if(~F.col("new")).alias("total")), n_docs, min_df, max_terms)
+
+
 def weights(postings: DataFrame, vocab: DataFrame) -> DataFrame:
     """id, term, weight (tf times idf, each document of length 1) and idf."""
-    raw = postings.join(vocab, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"), "idf")
+    raw = postings.join(small(vocab), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    return raw.join(lengths(postings, vocab), "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"), "idf")
+
+
+def lengths(postings: DataFrame, vocab: DataFrame) -> DataFrame:
+    """id and norm: the length of each document that has a term of the vocabulary."""
+    w = F.col("tf") * F.col("idf")
+    return postings.join(small(vocab), "term").groupBy("id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
 
 
 def similarities(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -56,6 +116,29 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
     return sums.filter(F.col("similarity") >= threshold)
 
 
+#: Pairs of a task of near_pairs, on average.
+TASK_PAIRS = 1_000_000
+
+
+def near_pairs(left: DataFrame, docs: DataFrame, vocab: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Cosine of the pairs of the left weights and of n documents (id, text) that reach the threshold (above 0).
+
+    The texts and their lengths are brought together by id; after that a document's terms, its products with the left
+    side and their sums stay in its task, so neither postings nor pairs are shuffled while the left side can be broadcast.
+    """
+    weighted = small(settle(left.select(F.col("id").alias("left_id"), "term", (F.col("weight") * F.col("idf")).alias("wa"))))
+    m = left.select("id").distinct().count()
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, n * m // TASK_PAIRS + 1)
+    held = docs.filter("id is not null").repartition(parts, "id")
+    met = lambda rows, other, *keep: rows.select("id", *keep, F.explode(grams(F.col("text"))).alias("term")).join(other, "term")
+    tf = met(held, small(vocab)).groupBy("id", "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
+    norms = tf.groupBy("id").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2)))).alias("norm"))
+    # counted before they meet the left side: frequent terms occur often in a text and in many of the left
+    shared = met(held.join(norms.hint("shuffle_hash"), "id"), small(weighted.select("term").distinct()), "norm").groupBy("id", "norm", "term").agg(F.count(F.lit(1)).alias("tf"))
+    sums = shared.join(weighted, "term").groupBy("left_id", F.col("id").alias("right_id")).agg(F.sum(F.col("tf") * F.col("wa") / F.col("norm")).alias("s"))
+    return sums.select("left_id", "right_id", F.round("s", 9).alias("similarity")).filter(F.col("similarity") >= threshold)
+
+
 def top_k(pairs: DataFrame, k: int) -> DataFrame:
     """The k most similar partners of each left id; ties by partner."""
     w = Window.partitionBy("left_id").orderBy(F.desc("similarity"), "right_id")
@@ -68,21 +151,25 @@ def link(incidents: DataFrame, comments: DataFrame, threshold: float = 0.25, k:
     incidents: incident_id, ts, text; comments: comment_id, ts, topic, text. Rank first, then threshold and days: a
     partner that fails does not make room for the next. A topic's document is the sum of its comments' terms.
     """
-    docs = comments.select(F.concat(F.lit("c"), F.col("comment_id").cast("string")).alias("id"), "text").unionByName(incidents.select(F.concat(F.lit("i"), F.col("incident_id").cast("string")).alias("id"), "text"))
+    own = lambda side, id_: F.concat(F.lit(side), F.col(id_).cast("string"))
+    right, asked = comments.select(own("c", "comment_id").alias("id"), "text", "topic"), incidents.select(own("i", "incident_id").alias("id"), "text")
+    docs = right.select("id", "text").unionByName(asked)
     n = docs.count()
-    postings = settle(terms(docs, "id", "text"))
-    vocab = vocabulary(postings, n, min_df or (1 if n < 250 else 2), max_terms)
-    vocab = settle(vocab)
-    weighted = settle(weights(postings, vocab))
-    inc = weighted.filter("id like 'i%'")
-    ids = incidents.select(F.concat(F.lit("i"), F.col("incident_id").cast("string")).alias("left_id"), "incident_id", F.col("ts").alias("incident_ts"))
-    of = comments.select(F.concat(F.lit("c"), F.col("comment_id").cast("string")).alias("id"), F.col("topic"))
-    by_topic = postings.join(of, "id").groupBy(F.col("topic").alias("id"), "term").agg(F.sum("tf").alias("tf"))
+    several = repeated(docs, "id")
+    vocab = settle(text_vocabulary(docs, "id", "text", n, min_df or (1 if n < 250 else 2), max_terms, several=several))
+    inc = settle(weights(settle(terms(asked.filter("id is not null"), "id", "text", several=several)), vocab))
+    ids = incidents.select(own("i", "incident_id").alias("left_id"), "incident_id", F.col("ts").alias("incident_ts"))
+    # a row of a repeated id brings all terms of the id to its topic
+    same = F.col("id").eqNullSafe(F.col("_again"))
+    again = right.join(several, same, "left_semi")
+    each = right.join(several, same, "left_anti").filter("id is not null").select("text", "topic").unionByName(again.select("id", "text").join(again.select("id", "topic"), "id").select("text", "topic"))
+    found = each.select(F.col("topic").alias("id"), F.explode(grams(F.col("text"))).alias("term")).join(small(vocab.select("term")), "term")
+    by_topic = found.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
     best = top_k(similarities(inc, weights(by_topic, vocab)), 1).filter(F.col("similarity") >= threshold)
     assignments = best.join(ids, "left_id").select("incident_id", F.col("right_id").alias("topic"), "similarity")
     # a pair under the threshold takes no place from one above it, so only those above are ranked
-    near = top_k(similar_pairs(inc, weighted.filter("id like 'c%'"), threshold), k)
-    cs = comments.select(F.concat(F.lit("c"), F.col("comment_id").cast("string")).alias("right_id"), "comment_id", F.col("ts").alias("comment_ts"), "topic")
+    near = settle(top_k(near_pairs(inc, right.select("id", "text"), vocab, n, threshold), k))
+    cs = comments.join(small(near.select(F.substring("right_id", 2, 99).alias("_c")).distinct()), F.col("comment_id").cast("string") == F.col("_c"), "left_semi").select(own("c", "comment_id").alias("right_id"), "comment_id", F.col("ts").alias("comment_ts"), "topic")
     links = near.join(ids, "left_id").join(cs, "right_id").filter(F.abs(F.datediff("incident_ts", "comment_ts")) <= max_days)
     return assignments, links.select("incident_id", "comment_id", "similarity", "topic", "incident_ts", "comment_ts")
 

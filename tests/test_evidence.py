@@ -26,6 +26,35 @@ def test_similar_pairs_are_all_pairs_over_the_threshold(spark):
     assert far < near <= right.count()
 
 
+def test_links_shuffle_no_postings(spark):
+    """Links and assignments of all pairs, ids that repeat or are null among them, and a plan that moves texts instead of pairs."""
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(40)]
+    text = lambda n: " ".join(rng.choice(words[:n]) for _ in range(rng.randrange(0, 14)))
+    day = dt.date(2026, 1, 1)
+    comments = spark.createDataFrame([(None if i == 7 else i // 2 if i < 6 else i, day, f"t{i % 3}", text(5 + i % 36)) for i in range(300)], "comment_id long, ts date, topic string, text string")
+    tickets = spark.createDataFrame([(i, day, text(40)) for i in range(25)], "incident_id long, ts date, text string")
+    docs = comments.selectExpr("'c' || comment_id id", "text").union(tickets.selectExpr("'i' || incident_id id", "text"))
+    postings = linking.terms(docs, "id", "text")
+    plain = docs.select("id", F.explode(linking.grams(F.col("text"))).alias("term")).groupBy("id", "term").count()
+    assert sorted(map(tuple, postings.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    vocab = linking.vocabulary(plain.withColumnRenamed("count", "tf"), docs.count())
+    rows = lambda df: {(r.term, round(r.idf, 9)) for r in df.collect()}
+    assert rows(linking.text_vocabulary(docs, "id", "text", docs.count())) == rows(vocab)
+    weighted = linking.weights(postings, vocab).cache()
+    all_pairs = linking.similarities(weighted.filter("id like 'i%'"), weighted.filter("id like 'c%'"))
+    near = linking.top_k(all_pairs.filter("similarity >= 0.25"), 5)
+    want = {(int(r.left_id[1:]), int(r.right_id[1:]), r.similarity) for r in near.collect()}
+    assigned, links = linking.link(tickets, comments)
+    assert {(r.incident_id, r.comment_id, r.similarity) for r in links.collect()} == want and want
+    of = comments.selectExpr("'c' || comment_id id", "topic")
+    by_topic = postings.join(of, "id").groupBy(F.col("topic").alias("id"), "term").agg(F.sum("tf").alias("tf"))
+    best = linking.top_k(linking.similarities(weighted.filter("id like 'i%'"), linking.weights(by_topic, vocab)), 1).filter("similarity >= 0.25")
+    assert {(r.incident_id, r.topic, r.similarity) for r in assigned.collect()} == {(int(r.left_id[1:]), r.right_id, r.similarity) for r in best.collect()}
+    plan = linking.near_pairs(weighted.filter("id like 'i%'"), docs.filter("id like 'c%'"), vocab, 300, 0.25)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(left_id" not in plan
+
+
 def test_label_match(spark):
     """Every pair of a text and a label: the phrase anywhere, even within words, or enough of the label's words."""
     rng = random.Random(2)
@@ -228,3 +257,8 @@ def test_review_pages(spark, tmp_path):
     (tmp_path / "p").mkdir()
     (tmp_path / "p" / "a.json").write_text('[{"store": "ios", "rating": 4, "text": "x"}, {"store": "web", "rating": "n/a"}]\n[{"store": "ios", "rating": 2.5}]\n{broken\n')
     assert sorted((r.store, r.rating) for r in reviews.pages(spark, f"file://{tmp_path}/p").collect() if r.store) == sorted([("ios", 4.0), ("web", None), ("ios", 2.5)], key=str)
+
+
+def test_tones_clean_a_text_once(spark):
+    plan = spark.createDataFrame([("x",)], "t string").select(X.tones(F.col("t")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 2
