@@ -6,34 +6,40 @@ import math
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marea.functions import text as X
 from marea.operators.chains import confidence_label, impact_label
-from marea.operators.linking import terms, vocabulary, weights
-from marea.session import settle
+from marea.operators.linking import grams, text_vocabulary
+from marea.session import settle, small
 
 #: Characters that a text needs to be clustered.
 SHORTEST = 5
 
 
-def _vectors(docs: DataFrame, id_: str, text: str, max_terms: int, min_df: int, stop: tuple[str, ...] = ()):
-    """id and features (tf times idf, length 1, sparse) of all documents, the number of terms, and weights in long form.
+def _vectors(docs: DataFrame, id_: str, text: str, max_terms: int, min_df: int, n: int, stop: tuple[str, ...] = ()):
+    """id and features (tf times idf, length 1, sparse) of all n documents, and the terms of their places.
 
-    Only the vocabulary, `max_terms` words at most, passes through the driver; counting, scaling and norming stay in the JVM.
+    Only the vocabulary, `max_terms` words at most, passes through the driver; each row is counted, scaled and normed where it is.
     """
-    postings = settle(terms(docs, id_, text, stop=stop))
-    vocab = vocabulary(postings, docs.count(), min_df, max_terms).orderBy("term").collect()
+    vocab = text_vocabulary(docs, id_, text, n, min_df, max_terms, stop=stop).orderBy("term").collect()
     if not vocab:
-        return None, 0, None
-    table = settle(docs.sparkSession.createDataFrame([tuple(r) for r in vocab], "term string, idf double"))
-    listed = postings.groupBy("id").agg(F.flatten(F.collect_list(F.array_repeat("term", F.col("tf").cast("int")))).alias("terms"))
-    rows = docs.select(F.col(id_).alias("id")).join(listed, "id", "left").withColumn("terms", F.coalesce("terms", F.expr("cast(array() as array<string>)")))
+        return None, []
+    rows = docs.select(F.col(id_).alias("id"), grams(F.col(text), stop=stop).alias("terms"))
     counted = CountVectorizerModel.from_vocabulary([r.term for r in vocab], "terms", "tf").transform(rows)
     scaled = ElementwiseProduct(scalingVec=Vectors.dense([r.idf for r in vocab]), inputCol="tf", outputCol="scaled").transform(counted)
-    return Normalizer(p=2.0, inputCol="scaled", outputCol="features").transform(scaled).select("id", "features"), len(vocab), settle(weights(postings, table))
+    return Normalizer(p=2.0, inputCol="scaled", outputCol="features").transform(scaled).select("id", "features"), [r.term for r in vocab]
+
+
+def _centres(vectors: DataFrame, fitted: DataFrame, words: list[str], name: str) -> DataFrame:
+    """cluster, term and the sum of its weights (above 0) in a cluster: one dense sum a cluster, no postings."""
+    sums = vectors.join(fitted, "id").groupBy("cluster").agg(Summarizer.sum(F.col("features")).alias("s"))
+    listed = vectors.sparkSession.createDataFrame(list(enumerate(words)), "place int, term string")
+    return sums.select("cluster", F.posexplode(vector_to_array("s")).alias("place", name)).filter(F.col(name) > 0).join(F.broadcast(listed), "place").select("cluster", "term", name)
 
 
 def cluster_count(n: int, wanted: int) -> int:
@@ -62,16 +68,16 @@ def extract_topics(comments: DataFrame, id_: str = "comment_id", text: str = "te
     k = cluster_count(n, wanted)
     if k < 2:
         return none
-    vectors, width, w = _vectors(docs, "id", "t", max_terms, 2, X.TOPIC_STOPWORDS)
-    if not width:
+    vectors, words = _vectors(docs, "id", "t", max_terms, 2, n, X.TOPIC_STOPWORDS)
+    if not words:
         return none
-    vectors = vectors.persist()
+    vectors = settle(vectors)
     fitted = settle(_clusters(vectors, k, restarts))
-    vectors.unpersist()
-    centre = w.join(fitted, "id").groupBy("cluster", "term").agg(F.round(F.sum("weight"), 9).alias("w"))
+    centre = _centres(vectors, fitted, words, "w").withColumn("w", F.round("w", 9))
     ranked = centre.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("w"), "term"))).filter(F.col("r") <= top_terms)
     told = ranked.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]).alias("top_terms"))
-    shown = fitted.join(docs, "id").withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy("id"))).filter(F.col("r") <= examples)
+    first = fitted.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy("id"))).filter(F.col("r") <= examples).drop("r")
+    shown = docs.join(small(first), "id").withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy("id", "t"))).filter(F.col("r") <= examples)
     shown = shown.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "t"))), lambda x: x["t"]).alias("examples"))
     sizes = fitted.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).join(told, "cluster", "left").join(shown, "cluster")
     order = [F.desc("n"), "top_terms", "cluster"]
@@ -101,19 +107,22 @@ def broken_journeys(enriched: DataFrame, max_terms: int = 384, dimensions: int =
     rows = rows.withColumn("t", X.letters(F.concat_ws(" ", "topic", "lever", "sublever", "incident_text", "comment")))
     rows = settle(rows)
     n = rows.count()
-    vectors, width, w = _vectors(rows, "pair", "t", max_terms, 1) if n else (None, 0, None)
+    vectors, terms_ = _vectors(rows, "pair", "t", max_terms, 1, n) if n else (None, [])
+    width = len(terms_)
     if not width:
         return enriched.sparkSession.createDataFrame([], "journey_id string")
-    vectors = vectors.persist()
+    vectors = settle(vectors)
     axes = max(1, rows.select("sublever").distinct().count())
     k = min(n, journey_count(n, max(2, axes)))
-    small = PCA(k=max(1, min(dimensions, width - 1, n)), inputCol="features", outputCol="p").fit(vectors).transform(vectors).select("id", F.col("p").alias("features")) if width > 2 else vectors
-    model = KMeans(k=k, seed=7, distanceMeasure="euclidean").fit(small)
-    found = model.transform(small).select(F.col("id").alias("pair"), F.col("prediction").alias("cluster"))
-    centre = w.join(found.withColumnRenamed("pair", "id"), "id").groupBy("cluster", "term").agg(F.sum("weight").alias("c"))
+    has = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x) > 0
+    low = PCA(k=max(1, min(dimensions, width - 1, n)), inputCol="features", outputCol="p").fit(vectors).transform(vectors).select("id", F.col("p").alias("features"), has.alias("long")) if width > 2 else vectors.withColumn("long", has)
+    model = KMeans(k=k, seed=7, distanceMeasure="euclidean").fit(low)
+    fitted = settle(model.transform(low).select("id", F.col("prediction").alias("cluster"), "long"))
+    found = fitted.select(F.col("id").alias("pair"), "cluster")
+    centre = settle(_centres(vectors, fitted.select("id", "cluster"), terms_, "c"))
     norm = centre.groupBy("cluster").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
-    cos = w.join(found.withColumnRenamed("pair", "id"), "id").join(centre, ["cluster", "term"]).join(norm, "cluster").groupBy("cluster", "id").agg((F.sum(F.col("weight") * F.col("c")) / F.first("norm")).alias("cos"))
-    cohesion = cos.groupBy("cluster").agg(F.avg("cos").alias("semantic_cohesion"))
+    # the mean cosine of unit vectors to their sum is its length over their number; rows without terms don't count
+    cohesion = fitted.groupBy("cluster").agg(F.count_if("long").alias("n")).filter("n > 0").join(norm, "cluster").select("cluster", (F.col("norm") / F.col("n")).alias("semantic_cohesion"))
     words = centre.filter(~F.contains("term", F.lit(" "))).withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("c"), "term"))).filter("r <= 5").groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]).alias("keywords"))
     label = lambda c: F.mode(F.when(~X.generic(F.col(c)), F.col(c)), True).alias(c)
     per = rows.join(found, "pair").groupBy("cluster").agg(label("lever"), label("sublever"), F.count_distinct("pair").alias("linked_pairs"), F.count_distinct("incident_id").alias("linked_incidents"), F.count_distinct("comment_id").alias("linked_comments"), F.avg("similarity").alias("avg_similarity"), F.avg("score").alias("avg_nps"))
