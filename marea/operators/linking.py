@@ -193,14 +193,23 @@ def match_labels(docs: DataFrame, id_: str, text: str, labels: DataFrame, least:
 
     place = F.col("position").cast("long") if "position" in labels.columns else F.lit(0).cast("long")
     l = settle(labels.groupBy("label").agg(F.min(place).alias("position")).select("label", "position", X.phrase(F.col("label")).alias("lp"), X.axis_tokens(F.col("label")).alias("lt")).filter("lp <> ''"))  # noqa: E741
-    d = settle(docs.select(F.col(id_).alias("id"), X.phrase(F.col(text)).alias("p"), X.axis_tokens(F.col(text)).alias("t")).filter("p <> ''"))
+    all_ = settle(docs.select(F.col(id_).alias("id"), X.phrase(F.col(text)).alias("p"), X.axis_tokens(F.col(text)).alias("t")).filter("p <> ''"))
+    # equal texts have equal labels: each is matched once, under a number that it is written with
+    d = settle(all_.groupBy("p").agg(F.first("t").alias("t")).select(F.monotonically_increasing_id().alias("id"), "p", "t"))
     heads = l.select("label", "position", "lp", F.substring("lp", 1, 4).alias("head"))
     sizes = [r[0] for r in heads.select(F.length("head")).distinct().collect()]  # four at most
     at = lambda n: F.transform(F.when(F.length("p") >= n, F.sequence(F.lit(1), F.length("p") - (n - 1))), lambda i: F.substr("p", i, F.lit(n)))
     starts = d.select("id", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*(at(n) for n in sizes)))))).alias("head")) if sizes else d.select("id", F.lit("").alias("head"))
-    whole = starts.join(heads, "head").join(d.select("id", "p"), "id").filter(F.contains("p", "lp"))
+    whole = starts.join(small(heads), "head").join(d.select("id", "p"), "id").filter(F.contains("p", "lp"))
     tokens = l.select("label", "position", F.size("lt").alias("n"), F.explode("lt").alias("word"))
-    shared = d.select("id", F.explode("t").alias("word")).join(tokens, "word").groupBy("id", "label", "position").agg((F.count(F.lit(1)).cast("double") / F.first("n")).alias("fit"))
+    shared = d.select("id", F.explode("t").alias("word")).join(small(tokens), "word").groupBy("id", "label", "position").agg((F.count(F.lit(1)).cast("double") / F.first("n")).alias("fit"))
     pairs = whole.select("id", "label", "position", F.lit(1.0).alias("fit")).unionByName(shared.filter(F.col("fit") >= least))
     w = Window.partitionBy("id").orderBy(F.desc("fit"), "position", "label")
-    return pairs.withColumn("r", F.row_number().over(w)).filter("r = 1").select("id", "label", "fit")
+    best = pairs.withColumn("r", F.row_number().over(w)).filter("r = 1").select("id", "label", "fit")
+    told = settle(best.join(d.select("id", "p"), "id").select("p", "label", "fit"))
+    # an id of several rows has the best of its texts
+    at = all_.select("id", "p").join(small(told), "p").join(small(l.select("label", "position")), "label")
+    several = repeated(all_, "id")
+    same = F.col("id").eqNullSafe(F.col("_again"))
+    again = at.join(several, same, "left_semi").withColumn("r", F.row_number().over(w)).filter("r = 1")
+    return at.join(several, same, "left_anti").select("id", "label", "fit").unionByName(again.select("id", "label", "fit"))

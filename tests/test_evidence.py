@@ -262,3 +262,13 @@ def test_review_pages(spark, tmp_path):
 def test_tones_clean_a_text_once(spark):
     plan = spark.createDataFrame([("x",)], "t string").select(X.tones(F.col("t")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") == 2
+
+
+def test_label_match_of_equal_texts(spark):
+    """Equal texts are matched once: the candidates don't grow with their copies, and each id has its own label."""
+    marks = spark.createDataFrame([("Pagos tarjeta",), ("Login",)], "label string")
+    docs = spark.range(1000).select(F.col("id"), F.when(F.col("id") % 2 == 0, "Falla en Login").otherwise("Pagos con tarjeta").alias("text"))
+    got = linking.match_labels(docs.unionAll(docs.filter("id = 0")), "id", "text", marks)
+    assert {(r.label, r.n) for r in got.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()} == {("Login", 500), ("Pagos tarjeta", 500)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan.lower()
