@@ -110,15 +110,17 @@ def responses(df: DataFrame, service_origin: str | None = None, service_origin_n
     df = df.withColumn("NPS Group", F.when(F.col("NPS Group") == "", F.coalesce(S.band_label(F.col("NPS")), F.lit(""))).otherwise(F.col("NPS Group")))
     if extra:
         df = df.withColumn("extra_payload", F.to_json(F.struct(*(F.col(f"`{c}`") for c in extra))))
-    bad = df.agg(F.count_if(F.col("Fecha").isNull()).alias("dates"), F.count_if(F.col("NPS").isNull()).alias("scores"), F.count(F.lit(1)).alias("n")).first()
-    for n, code, column in ((bad["dates"], "invalid_dates", "Fecha"), (bad["scores"], "invalid_scores", "NPS")):
-        if n:
-            result.issues.append(("WARN", code, f"{n} rows dropped", column))
-    df = filters.valid_rows(df, "Fecha", "NPS")
     fields = [F.col(f"`{c}`").cast("string") for c in ("Fecha", "NPS", "Canal", "Palanca", "Subpalanca", "Comment")]
     df = df.withColumn("_business_key", business_key(F.col("ID"), *fields)).withColumn("_record_fingerprint", fingerprint(*fields, F.col("NPS Group"), F.col("Browser"), F.col("`Operating System`")))
-    unique = last_of_key(df, "_business_key", "_source_row_number")
-    counts = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("_business_key").alias("k")).first()
+    # all that is counted comes from one pass: rows by key and by what they lack, then those sums
+    lacks = df.select(F.col("Fecha").isNull().alias("date"), F.col("NPS").isNull().alias("score"), F.col("_business_key").alias("key"))
+    per = lacks.groupBy("date", "score", F.when(~F.col("date") & ~F.col("score"), F.col("key")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    n, valid = F.col("n"), ~F.col("date") & ~F.col("score")
+    counts = per.agg(*(F.coalesce(F.sum(F.when(c, n)), F.lit(0)).alias(name) for name, c in (("dates", F.col("date")), ("scores", F.col("score")), ("n", valid))), F.count_if(valid).alias("k")).first()
+    for lost_rows, code, column in ((counts["dates"], "invalid_dates", "Fecha"), (counts["scores"], "invalid_scores", "NPS")):
+        if lost_rows:
+            result.issues.append(("WARN", code, f"{lost_rows} rows dropped", column))
+    unique = last_of_key(filters.valid_rows(df, "Fecha", "NPS"), "_business_key", "_source_row_number")
     result.df, result.meta = features(unique), {"rows": counts["k"], "duplicate_rows_in_file": counts["n"] - counts["k"]}
     if not counts["n"]:
         result.issues.append(("ERROR", "no_valid_rows", "no row has a date and a score", None))

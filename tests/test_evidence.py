@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marea.functions import text as X
-from marea.operators import changepoints, chains, hotspots, labels, linking, rationale, selectors, series, topics
+from marea.operators import changepoints, chains, filters, hotspots, labels, linking, rationale, selectors, series, topics
 from marea.sources import journeys, reviews, store
 
 
@@ -272,3 +272,47 @@ def test_label_match_of_equal_texts(spark):
     assert {(r.label, r.n) for r in got.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()} == {("Login", 500), ("Pagos tarjeta", 500)}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "explode" not in plan.lower()
+
+
+def test_folded_words_and_dates(spark):
+    """Distinct tokens, texts, generic labels and dates are what the plain expressions give, on odd characters too."""
+    import re
+    import unicodedata
+
+    rng = random.Random(3)
+    signs = list("aAbzZ09 _->/.,\t\n") + ["  ", "ñ", "É", "ß", "ﬁ", "½", "…", "Σ", "İ", "\u0085", " ", " ", "́", "🙂", "Ⅷ", "㎏", "abcd", "error", "2026"]
+    texts = [None, "", " ", "Sin  Comentarios > N/A", "nan", "n/á", "sin comentario > x"] + ["".join(rng.choice(signs) for _ in range(rng.randrange(0, 40))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    plain = F.forall(F.split(X.attribution(F.col("t")), ">"), lambda p: F.trim(p).isin(*X.GENERIC_LABELS))
+    rows = df.select("t", F.sort_array(F.array_distinct(X.tokens(F.col("t")))).alias("want"), F.sort_array(F.filter(X.words(F.col("t")), lambda w: X.wanted(w))).alias("got"), X.text(F.col("t")).alias("text"), F.trim(F.regexp_replace(F.coalesce("t", F.lit("")), X.SPACES, " ")).alias("spaced"), X.generic(F.col("t")).alias("g"), plain.alias("h"), X.fold(F.col("t")).alias("fold")).collect()
+    assert all(r.got == r.want for r in rows) and sum(len(r.want) for r in rows) > 50
+    assert all(r.text == r.spaced and r.g == r.h for r in rows) and {r.g for r in rows} == {True, False}
+    assert all(r.fold == unicodedata.normalize("NFKD", r.text.lower()).encode("ascii", "ignore").decode() for r in rows if not re.search("[İ́Σ]", r.text))
+    dates = ["2026-01-02", "02/01/2026", "2026/01/02", "2026-01-02 03:04:05", "2026-01-02T03:04:05", "02/01/2026 03:04:05", "2026-01-02t03:04:05", "2026-1-2", "no", "2026 01 02", None, "nan", " 2026-01-02 "]
+    formats = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy", "yyyy/MM/dd")
+    got = spark.createDataFrame([(d,) for d in dates], "d string").select(filters.date_of(F.col("d")).alias("got"), F.coalesce(*(F.try_to_timestamp(X.known(F.col("d")), F.lit(f)) for f in formats)).alias("want"))
+    assert all(r.got == r.want for r in got.collect()) and got.filter("got is not null").count() >= 7
+    # what a row costs: no format is tried that can't fit
+    plan = lambda c: df.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(filters.date_of(F.col("t"))).lower().count("contains(") >= 6
+
+
+def test_ingest_counts_in_one_pass(spark):
+    """Rows, duplicates and dropped rows of a file, from a single job over it."""
+    from marea.sources import ingest
+
+    rows = [("2026-01-02", "9", "a", "b", "c", "1"), ("2026-01-02", "8", "a", "b", "c", "1"), ("never", "8", "a", "b", "c", "2"), ("02/01/2026", "x", "a", "b", "c", "3"), ("never", None, "a", "b", "c", "3"), ("2026/01/02", "7", "a", "b", "c", "")]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(rows, "Fecha string, NPS string, Canal string, Palanca string, Subpalanca string, ID string").mapInArrow(count, "Fecha string, NPS string, Canal string, Palanca string, Subpalanca string, ID string")
+    got = ingest.responses(df)
+    assert seen.value == len(rows)
+    assert got.meta == {"rows": 2, "duplicate_rows_in_file": 1}
+    assert [i[1:3] for i in got.issues] == [("invalid_dates", "2 rows dropped"), ("invalid_scores", "2 rows dropped")]
+    assert sorted((r.ID, r.NPS) for r in got.df.collect()) == [("", 7.0), ("1", 8.0)]
+    assert [i[1] for i in ingest.responses(df.limit(0)).issues] == ["no_valid_rows"]
