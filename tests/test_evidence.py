@@ -297,6 +297,15 @@ def test_folded_words_and_dates(spark):
     assert plan(filters.date_of(F.col("t"))).lower().count("contains(") >= 6
 
 
+def test_comments_are_searched_for_the_terms_alone(spark):
+    """Mentions are the rows of the terms, and a text is not folded for words that no term is."""
+    docs = spark.createDataFrame([(1, "Transferencia ERROR 2026 pago"), (2, "transferéncia; páGO\u0085pagoss"), (3, None)], "id long, text string")
+    terms = spark.createDataFrame([("transferencia",), ("pago",), ("error",), ("2026",)], "term string")
+    got = hotspots.mentions(docs, "id", "text", terms)
+    want = hotspots.term_rows(docs, "id", "text").join(terms, "term")
+    assert sorted((r.id, r.term) for r in got.collect()) == sorted((r.id, r.term) for r in want.collect()) == [(1, "pago"), (1, "transferencia"), (2, "pago"), (2, "transferencia")]
+
+
 def test_ingest_counts_in_one_pass(spark):
     """Rows, duplicates and dropped rows of a file, from a single job over it."""
     from marea.sources import ingest
