@@ -35,8 +35,8 @@ def journey_catalogue(spark, rows: list[tuple] | None = None) -> DataFrame:
 def match_journeys(rows: DataFrame, id_: list[str], texts: list[str], catalogue: DataFrame) -> DataFrame:
     """The journey with most of its keywords in a row's texts (ties: the first); rows without any have none."""
     hay = X.attribution(F.concat_ws(" ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in texts)))
-    hits = F.aggregate("keywords", F.lit(0), lambda n, k: n + F.when(F.contains(F.col("hay"), X.fold(k)), 1).otherwise(0))
-    pairs = rows.select(*id_, hay.alias("hay")).join(small(catalogue, CATALOGUE)).withColumn("hits", hits).filter("hits > 0")
+    hits = F.aggregate("keywords", F.lit(0), lambda n, k: n + F.when(F.contains(F.col("hay"), k), 1).otherwise(0))
+    pairs = rows.select(*id_, hay.alias("hay")).join(small(catalogue.withColumn("keywords", F.transform("keywords", X.fold)), CATALOGUE)).withColumn("hits", hits).filter("hits > 0")
     w = Window.partitionBy(*id_).orderBy(F.desc("hits"), "position")
     return pairs.withColumn("r", F.row_number().over(w)).filter("r = 1").select(*id_, "journey_id", "title", "touchpoint", "hits")
 
@@ -67,35 +67,40 @@ def sound(enriched: DataFrame, mode: str) -> DataFrame:
     return rows.filter((X.text(F.col("incident_id")) != "") & (X.text(F.col("comment_id")) != "") & ~X.generic(F.col("comment")) & ~X.generic(F.col("topic")) & (F.col("touchpoint_") != ""))
 
 
-def _mode(column: str) -> Column:
-    """The most frequent value, the smallest of equals."""
-    return F.mode(F.col(column), True)
-
-
 def chains(enriched: DataFrame, rationale: DataFrame, mode: str = "sublever", top: int = 10, incident_examples: int = 5, comment_examples: int = 2) -> DataFrame:
     """One row an entity: counts, dominant labels, rationale measures, and its best examples of both sides."""
     key = entity(mode)
     rows = sound(enriched, mode)
     measures = rationale.select(F.col("nps_topic").alias("topic"), "risk_points", "priority", "confidence", "causal_score", "total_impact", "nps_delta_expected").dropDuplicates(["topic"])
     at = settle(rows.join(small(measures), "topic", "left").withColumn("entity", F.col(key)))
+    # sums by entity need no shuffle of rows, so what does (distinct ids) is counted apart from them
     per = at.groupBy("entity").agg(
-        F.count_distinct("incident_id", "comment_id").alias("linked_pairs"), F.count_distinct("incident_id").alias("linked_incidents"), F.count_distinct("comment_id").alias("linked_comments"),
-        _mode("topic").alias("topic"), _mode("touchpoint_").alias("touchpoint"), F.avg("similarity").alias("avg_similarity"), F.avg("score").alias("avg_nps"),
+        F.avg("similarity").alias("avg_similarity"), F.avg("score").alias("avg_nps"),
         F.max("risk_points").alias("risk_points"), F.max("priority").alias("priority"), F.max("confidence").alias("confidence"), F.max("causal_score").alias("causal_score"), F.max("total_impact").alias("total_impact"), F.avg("nps_delta_expected").alias("nps_delta_expected"),
     )
 
-    def examples(distinct: str, fields: list[str], order: list, n: int, name: str):
+    def mode(column: str, name: str):
+        # the most frequent value, the smallest of equals; null where there is none
+        told = at.groupBy("entity", column).agg(F.count(F.lit(1)).alias("n"))
+        return told.groupBy("entity").agg(F.min(F.when(F.col(column).isNotNull(), F.struct((-F.col("n")).alias("n"), column)))[column].alias(name))
+
+    pairs = at.select("entity", "incident_id", "comment_id").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("linked_pairs"))
+
+    def examples(distinct: str, fields: list[str], order: list, n: int, name: str, number: str):
         # the best row of each id by a partial aggregate, then the first n of an entity, cut before they are shuffled
         best = at.groupBy("entity", distinct).agg(F.min(F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), F.struct(*fields).alias("f"))).alias("best"))
         w = Window.partitionBy("entity").orderBy("best")
         chosen = best.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= n)
-        return chosen.groupBy("entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("best.f").alias("f")))), lambda s: s["f"]).alias(name))
+        shown = chosen.groupBy("entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("best.f").alias("f")))), lambda s: s["f"]).alias(name))
+        return shown.join(at.select("entity", distinct).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias(number)), "entity")
 
     latest = F.struct(F.col("incident_ts").isNull(), -F.unix_date(F.col("incident_ts").cast("date")), -F.unix_micros(F.col("incident_ts").cast("timestamp")))
-    inc = examples("incident_id", ["incident_id", "similarity", "incident_ts"], [-F.col("similarity"), latest, F.col("incident_id")], incident_examples, "incident_records")
-    com = examples("comment_id", ["comment_id", "score", "similarity"], [F.struct(F.col("score").isNull(), F.col("score")), -F.col("similarity"), F.col("comment_id")], comment_examples, "comment_records")
+    inc = examples("incident_id", ["incident_id", "similarity", "incident_ts"], [-F.col("similarity"), latest, F.col("incident_id")], incident_examples, "incident_records", "linked_incidents")
+    com = examples("comment_id", ["comment_id", "score", "similarity"], [F.struct(F.col("score").isNull(), F.col("score")), -F.col("similarity"), F.col("comment_id")], comment_examples, "comment_records", "linked_comments")
     story = F.concat(F.lit("Incidencias -> "), F.col("touchpoint"), F.lit(" -> "), F.col("entity"), F.lit(" -> Comentario -> NPS"))
-    out = per.join(inc, "entity").join(com, "entity").join(source_topics(at, "entity"), "entity").withColumn("story", story)
+    out = per.join(pairs, "entity").join(inc, "entity").join(com, "entity").join(mode("topic", "topic"), "entity").join(mode("touchpoint_", "touchpoint"), "entity").join(source_topics(at, "entity"), "entity")
+    told = ["linked_pairs", "linked_incidents", "linked_comments", "topic", "touchpoint"]
+    out = out.select("entity", *told, *(c for c in out.columns if c not in ("entity", *told))).withColumn("story", story)
     return out.orderBy(F.desc_nulls_last("priority"), F.desc("linked_pairs"), F.desc_nulls_last("causal_score"), F.desc_nulls_last("total_impact"), "entity").limit(top)
 
 

@@ -10,6 +10,7 @@ from marea.plans import views as V
 from marea.plans.queries_core import TOPICS, R, lag_sql, rounded, topic_weeks
 from marea.plans.queries_linking import C01, CHAINS, FOLD, HOT, RANK, RATIONALE, STEM, STOP, TOKENS, _enriched, _hot, _link
 from marea.plans.registry import query
+from marea.session import settle
 
 # what is known of a topic beside its rank; a break is every fortieth week, held by the share of weeks about it over the topic's mean
 BREAKS = "cps AS (SELECT topic, bucket AS cp FROM (SELECT topic, bucket, row_number() OVER (PARTITION BY topic ORDER BY bucket) AS r FROM s) WHERE r % 40 = 20)"
@@ -32,8 +33,8 @@ def _held(s):
     return per.groupBy("topic").agg(F.max("share").alias("max_cp_stability"))
 
 
-def _hypotheses(spark, d):
-    s = topic_weeks(spark, d)
+def _hypotheses(spark, d, s=None):
+    s = settle(topic_weeks(spark, d)) if s is None else s
     rank = rationale.causal_rank(s)
     lags = series.best_lag(s).select("topic", F.col("best_lag").cast("long").alias("best_lag_weeks"), "corr")
     leads = series.lead_share(s, _breaks(s)).select("topic", F.col("lead_share").alias("incidents_lead_changepoint_share"))
@@ -56,7 +57,8 @@ SIGNALS = RATIONALE.replace(
 
 
 def _full_rationale(spark, d):
-    return rationale.rationale(topic_weeks(spark, d), _hypotheses(spark, d))
+    s = settle(topic_weeks(spark, d))  # read by each part
+    return rationale.rationale(s, settle(_hypotheses(spark, d, s)))
 
 
 LANE = "CASE WHEN pr >= 0.72 OR pr >= 0.62 AND sb >= 0.60 THEN 'Fix estructural' WHEN pr >= 0.48 AND coalesce(best_lag_weeks, 0) <= 2 THEN 'Quick win operativo' ELSE 'Instrumentación + validación' END"
@@ -77,6 +79,8 @@ BROKEN = "SELECT *, 'Tramo ' || (comment_id % 7) AS touchpoint, 'roto-' || (comm
 
 def _pairs(spark, d, mode):
     rows = _enriched(spark, d).withColumn("topic", F.col("lever"))
+    if mode in ("journeys", "broken_journeys"):
+        rows = settle(rows)  # met with their own journeys
     if mode == "journeys":
         catalogue = chains.journey_catalogue(spark, [(*j[:7], [k.replace("#", " ") for k in j[7]]) for j in STORY])
         return rows.join(chains.match_journeys(rows, ["incident_id", "comment_id"], ["lever", "sublever"], catalogue), ["incident_id", "comment_id"])
@@ -88,7 +92,7 @@ def _pairs(spark, d, mode):
 
 
 def _chains(spark, d, mode, top=10):
-    return chains.chains(_pairs(spark, d, mode), _full_rationale(spark, d), mode, top=top)
+    return chains.chains(_pairs(spark, d, mode), settle(_full_rationale(spark, d)), mode, top=top)
 
 
 FROM_MODE = {"lever": ("SELECT *, sublever AS tp FROM pairs", "lever"), "sublever": ("SELECT *, sublever AS tp FROM pairs", "sublever"), "service": ("SELECT *, service_n2 AS tp FROM pairs", "service_n2"), "journeys": ("SELECT *, touchpoint AS tp FROM jj", "journey_id"), "broken_journeys": (f"SELECT *, touchpoint AS tp FROM ({BROKEN})", "journey_id")}

@@ -325,3 +325,18 @@ def test_ingest_counts_in_one_pass(spark):
     assert [i[1:3] for i in got.issues] == [("invalid_dates", "2 rows dropped"), ("invalid_scores", "2 rows dropped")]
     assert sorted((r.ID, r.NPS) for r in got.df.collect()) == [("", 7.0), ("1", 8.0)]
     assert [i[1] for i in ingest.responses(df.limit(0)).issues] == ["no_valid_rows"]
+
+
+def test_chain_labels_and_counts(spark):
+    """Modes, distinct ids and pairs of an entity whose pairs repeat, and no row comes several times into a shuffle."""
+    day = dt.date(2026, 1, 1)
+    rows = [(i % 5, i % 7, 0.5, float(i % 11), "lev", f"Sub{i % 2}", f"topic{i % 3}", "texto", "svc", day) for i in range(60)] * 2
+    df = spark.createDataFrame(rows, "incident_id long, comment_id long, similarity double, score double, lever string, sublever string, topic string, comment string, service_n2 string, incident_ts date")
+    none = spark.createDataFrame([], "nps_topic string, risk_points double, priority double, confidence double, causal_score double, total_impact double, nps_delta_expected double")
+    table = chains.chains(df, none)
+    assert "Expand" not in table._jdf.queryExecution().optimizedPlan().toString()
+    for r in table.collect():
+        own = [x for x in rows if x[5] == r.entity]
+        topics_ = [x[6] for x in own]
+        assert (r.linked_pairs, r.linked_incidents, r.linked_comments) == (len({x[:2] for x in own}), len({x[0] for x in own}), len({x[1] for x in own}))
+        assert r.topic == min(set(topics_), key=lambda t: (-topics_.count(t), t)) and r.touchpoint == r.entity
