@@ -327,6 +327,25 @@ def test_ingest_counts_in_one_pass(spark):
     assert [i[1] for i in ingest.responses(df.limit(0)).issues] == ["no_valid_rows"]
 
 
+def test_incident_lines_meet_the_parts_last(spark):
+    """Links and assignments join an incident's lines with the parts, not all lines."""
+    from marea.plans import views as V
+    from marea.plans import queries_linking as L
+
+    d = "/root/testdata/sf0.001"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (V.links(spark, d), V.assignments(spark, d)):
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.index("p_partkey") < plan.index("o_orderkey") and plan.count("Join") == 2
+            first = next(line for line in plan.splitlines() if "Join" in line)
+            assert "p_partkey" in first, first
+        plan = L.o_c05(spark, d)._jdf.queryExecution().optimizedPlan().toString()
+        assert "lineitem" not in plan and "l_orderkey" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_chain_labels_and_counts(spark):
     """Modes, distinct ids and pairs of an entity whose pairs repeat, and no row comes several times into a shuffle."""
     day = dt.date(2026, 1, 1)
