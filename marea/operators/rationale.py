@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marea.functions import scores as S
 from marea.functions import text as X
-from marea.session import small
+from marea.session import settle, small
 
 c01 = S.clip
 
@@ -125,17 +125,22 @@ def hypotheses(rank: DataFrame, factors: DataFrame, lags: DataFrame | None = Non
 
 
 def logit_effect(df: DataFrame, outcome: str, treatment: str, controls: list[str], top: int = 20, least: int = 500) -> DataFrame:
-    """Marginal effect of a 0/1 treatment on a 0/1 outcome with one-hot controls: mean p(1-p) times its coefficient, and p-value."""
+    """Marginal effect of a 0/1 treatment on a 0/1 outcome with one-hot controls: mean p(1-p) times its coefficient, and p-value.
+
+    Equal rows are one row with their number as its weight, so the rows are read once and not in each step of the fit.
+    """
     from pyspark.ml.feature import RFormula
     from pyspark.ml.regression import GeneralizedLinearRegression
 
     rows = df.select(F.col(outcome).cast("double").alias("y"), F.col(treatment).cast("double").alias("t"), *controls).filter("y is not null and t is not null")
+    rows = settle(rows.groupBy("y", "t", *controls).agg(F.count(F.lit(1)).cast("double").alias("_n")))
     for c in controls:
-        kept = rows.groupBy(c).count().orderBy(F.desc("count"), c).limit(top).select(F.col(c), F.lit(True).alias(f"_{c}"))
+        kept = rows.groupBy(c).agg(F.sum("_n").alias("_rows")).orderBy(F.desc("_rows"), c).limit(top).select(F.col(c), F.lit(True).alias(f"_{c}"))
         rows = rows.join(F.broadcast(kept), c, "left").withColumn(c, F.when(F.col(f"_{c}"), F.col(c).cast("string")).otherwise("__OTHER__")).drop(f"_{c}")
+    rows = settle(rows.groupBy("y", "t", *controls).agg(F.sum("_n").alias("_n")))
     used = [c for c in controls if rows.select(c).distinct().limit(2).count() > 1]
-    data = RFormula(formula="y ~ " + " + ".join(["t", *used])).fit(rows).transform(rows).select("y", "features")
-    model = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="features", labelCol="y", regParam=0.0).fit(data)
-    p = model.transform(data).agg(F.avg(F.col("prediction") * (1 - F.col("prediction"))), F.count(F.lit(1))).first()
+    data = RFormula(formula="y ~ " + " + ".join(["t", *used])).fit(rows).transform(rows).select("y", "features", "_n")
+    model = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="features", labelCol="y", weightCol="_n", regParam=0.0).fit(data)
+    p = model.transform(data).agg(F.sum(F.col("_n") * F.col("prediction") * (1 - F.col("prediction"))) / F.sum("_n"), F.sum("_n")).first()
     rows_ = [(treatment, outcome, float(p[0] * model.coefficients[0]), float(model.summary.pValues[0]), int(p[1]), bool(p[1] < least))]
     return df.sparkSession.createDataFrame(rows_, "treatment string, outcome string, effect double, p_value double, n long, few_rows boolean")

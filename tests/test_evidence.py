@@ -327,6 +327,36 @@ def test_ingest_counts_in_one_pass(spark):
     assert [i[1] for i in ingest.responses(df.limit(0)).issues] == ["no_valid_rows"]
 
 
+def test_logit_of_cells(spark):
+    """The effect and its p-value are those of a fit by row, and the rows are read once."""
+    rng = random.Random(4)
+    rows = [(float(rng.random() < 0.3 + 0.2 * (t := rng.randrange(2))), float(t), f"a{rng.randrange(4)}", rng.choice(["x", "y", None])) for _ in range(900)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(rows, "y double, t double, a string, b string").mapInArrow(count, "y double, t double, a string, b string")
+    got = rationale.logit_effect(df, "y", "t", ["a", "b"], top=3).first()
+    assert seen.value == len(rows)
+    top = sorted({r[2] for r in rows}, key=lambda v: (-sum(r[2] == v for r in rows), v))[:3]
+    kept = ["x", "y"]
+    levels = [*top[1:], "o"]
+    x = np.array([[1.0, r[1], *((r[2] if r[2] in top else "o") == v for v in levels), *(r[3] == v for v in kept)] for r in rows], dtype=float)
+    y, w = np.array([r[0] for r in rows]), np.zeros(2 + len(levels) + 2)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ w))
+        hessian = (x * (p * (1 - p))[:, None]).T @ x
+        w = w + np.linalg.solve(hessian, x.T @ (y - p))
+    p = 1 / (1 + np.exp(-x @ w))
+    z = abs(w[1]) / np.sqrt(np.linalg.inv(hessian)[1, 1])
+    from math import erfc
+
+    assert got.effect == pytest.approx(float(np.mean(p * (1 - p)) * w[1]), rel=1e-6) and got.p_value == pytest.approx(erfc(z / 2**0.5), rel=1e-4) and got.n == 900 and not got.few_rows
+
+
 def test_incident_lines_meet_the_parts_last(spark):
     """Links and assignments join an incident's lines with the parts, not all lines."""
     from marea.plans import views as V
