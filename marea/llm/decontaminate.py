@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marea.llm.common import materialise
+
 #: Words of a shingle; Hamming radius; blocks (a block differs by radius // BLOCKS = 1 bit at most in some block).
 SHINGLE, RADIUS, BLOCKS = 5, 23, 12
 #: Rows up to which the benchmark's shingles and fingerprints are broadcast; above it they are shuffled.
@@ -31,19 +33,10 @@ def shingled(df: DataFrame, *keep: str | Column) -> DataFrame:
     return out.select("*", F.expr(f"posexplode(transform(sequence(0, size(w) - {SHINGLE}), i -> xxhash64({gram})))").alias("pos", "h")).withColumn("n_words", F.size("w")).drop("w")
 
 
-def _lanes(h: Column) -> list[Column]:
-    """Sums over the rows of each bit of h, two bits a column in 32-bit lanes."""
-    return [F.sum(F.shiftrightunsigned(h, i).bitwiseAND(F.lit(0x0000000100000001))).alias(f"lane{i}") for i in range(32)]
-
-
-def _fingerprint(count: Column) -> Column:
-    """Bit b is set where more than half of the counted hashes have it."""
-    out = F.lit(0).cast("long")
-    for i in range(32):
-        low, high = F.col(f"lane{i}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(F.col(f"lane{i}"), 32)
-        for bit, ones in ((i, low), (i + 32, high)):
-            out = out.bitwiseOR(F.when(2 * ones > count, F.shiftleft(F.lit(1).cast("long"), bit)).otherwise(F.lit(0).cast("long")))
-    return out
+def _fingerprint(hashes: str) -> Column:
+    """Bit b is set where more than half of the hashes have it. One small expression: 64 columns of code are costly to plan and compile."""
+    ones = f"size(filter({hashes}, x -> shiftrightunsigned(x, b) & 1L = 1L))"
+    return F.expr(f"aggregate(sequence(0, 63), 0L, (bits, b) -> bits | if(2 * {ones} > size({hashes}), shiftleft(1L, b), 0L))")
 
 
 def _blocks(fingerprint: Column, near: bool) -> Column:
@@ -68,19 +61,20 @@ def search(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFram
     documents of fewer than five words, null texts and null ids match nothing. Rows of one id count together.
     """
     items = benchmark.filter("item_id is not null").select("item_id", F.xxhash64("text").alias("item_text"), "text").dropDuplicates(["item_id", "item_text"])
-    grams = shingled(items, "item_id", "item_text").withColumnRenamed("n_words", "size")
+    grams = materialise(shingled(items, "item_id", "item_text").withColumnRenamed("n_words", "size"))
     counts = grams.groupBy("item_id", "item_text", "size", "h").agg(F.count(F.lit(1)).alias("times"))
     total = counts.count()
     sizes = counts.select("h", "size").distinct()
-    # the document's side of the first join is by far the larger and is not shuffled while the items' fit a broadcast
+    # the document's side of the first join is by far the larger and is not shuffled while the items' fit a broadcast; texts are
+    # cut once: windows and pairs are made of the few shingles that are left
     texts = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("part"), "text")
-    hits = shingled(texts, "doc_id", "part").join(_small(sizes.select("h").distinct(), total), "h", "left_semi").select("doc_id", "part", "n_words", "pos", "h").repartition("doc_id")
+    hits = materialise(shingled(texts, "doc_id", "part").join(_small(sizes.select("h").distinct(), total), "h", "left_semi").select("doc_id", "part", "n_words", "pos", "h")).repartition("doc_id")
     spread = hits.join(_small(sizes, total), "h").filter("size <= n_words").select("doc_id", "part", "size", "h", F.explode(F.expr(f"sequence(greatest(0, pos - size + {SHINGLE}), least(pos, n_words - size))")).alias("start"))
-    windows = spread.groupBy("doc_id", "part", "size", "start").agg(F.count(F.lit(1)).alias("hits"), *_lanes(F.col("h")))
+    windows = spread.groupBy("doc_id", "part", "size", "start").agg(F.count(F.lit(1)).alias("hits"), F.collect_list("h").alias("hashes"))
     # similarity s of two multisets of m shingles each needs 2 m s / (1 + s) in common
     enough = windows.filter(F.col("hits") * (100 + percent) >= 2 * percent * (F.col("size") - (SHINGLE - 1)))
-    marked = enough.select("doc_id", "part", "size", "start", _fingerprint(F.col("hits")).alias("print"))
-    known = grams.groupBy("item_id", "item_text", "size").agg(F.count(F.lit(1)).alias("m"), *_lanes(F.col("h"))).select("item_id", "item_text", "size", _fingerprint(F.col("m")).alias("of"))
+    marked = enough.select("doc_id", "part", "size", "start", _fingerprint("hashes").alias("print"))
+    known = grams.groupBy("item_id", "item_text", "size").agg(F.collect_list("h").alias("hashes")).select("item_id", "item_text", "size", _fingerprint("hashes").alias("of"))
     blocks = known.select("*", F.explode(_blocks(F.col("of"), True)).alias("block"))
     near = marked.select("*", F.explode(_blocks(F.col("print"), False)).alias("block")).join(_small(blocks, total), ["size", "block"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("of"))) <= RADIUS)
     pairs = near.select("doc_id", "part", "size", "start", "item_id", "item_text").distinct()

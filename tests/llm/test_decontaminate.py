@@ -54,3 +54,12 @@ def test_against_all_windows(spark):
     dirty = {k[0] for k, *_ in got}
     assert sorted(str(x.doc_id) for x in D.clean(df, bench).collect()) == sorted(str(d) for d, _ in docs if d not in dirty)
     assert D.search(df.limit(0), bench).count() == D.search(df, bench.limit(0)).count() == 0
+
+
+def test_texts_are_cut_once(spark):
+    """What is left for the windows starts from the few shingles of the benchmark, by a plan that a small driver can hold."""
+    docs = spark.createDataFrame([(1, "x " + "one two three four five six seven " * 2), (2, "none of them")], "doc_id long, text string")
+    found = D.search(docs, spark.createDataFrame([(7, "one two three four five six seven")], "item_id long, text string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "split(" not in plan and len(plan) < 15_000
+    assert [tuple(x) for x in found.collect()] == [(1, 7, 1.0, 1, 2)]
