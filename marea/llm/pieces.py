@@ -122,10 +122,11 @@ class Lattice:
         n = len(raw)
         self.offsets = offsets
         stop = np.repeat(offsets[1:], np.diff(offsets)).astype(np.int32)  # end of each byte's chunk
+        room = stop - np.arange(n, dtype=np.int32)
         live, key = np.arange(n, dtype=np.int32), np.zeros(n, np.uint64)
         starts, sizes, ids = [], [], []
         for length, table in enumerate(vocabulary.tables, 1):
-            fits = live + length <= stop[live]
+            fits = room[live] >= length
             live, key = live[fits], key[fits]
             if not len(live):
                 break
@@ -147,7 +148,7 @@ class Lattice:
         wide[char] = width
         single[start[size == wide[start]]] = True
         lone = ~single[char]
-        inside = np.repeat(char[lone], width[lone]) + np.concatenate([np.arange(w) for w in width[lone]]) if lone.any() else np.zeros(0, np.int64)
+        inside = np.repeat(char[lone], width[lone]) + np.arange(width[lone].sum()) - np.repeat(np.cumsum(width[lone]) - width[lone], width[lone]) if lone.any() else np.zeros(0, np.int64)
         start = np.concatenate([start, inside]).astype(np.int32)
         size = np.concatenate([size, np.ones(len(inside), np.int32)])
         piece = np.concatenate([piece, vocabulary.byte_ids[raw[inside]]]).astype(np.int32)
@@ -156,25 +157,28 @@ class Lattice:
         order = np.argsort(start, kind="stable")
         self.start, self.end, self.piece = start[order], start[order] + size[order], piece[order]
         weight = theta * vocabulary.log_probs[self.piece]
-        # sums over all paths to a chunk's end, from its end backwards; a chunk's end has sum 1
-        beta = np.full(n + 1, -np.inf)
-        left = (stop - np.arange(n))[self.start]
+        # sums over all paths to a chunk's end, from its end backwards; a chunk's end has sum 1, kept in the last place
+        beta = np.full(n + 2, -np.inf)
+        beta[n + 1] = 0.0
+        goal = np.where(self.end == stop[self.start], np.int32(n + 1), self.end) if n else self.end
+        left = room[self.start]
         level = np.argsort(left.astype(np.uint16) if len(left) and left.max() < 1 << 16 else left, kind="stable")
-        cuts = np.flatnonzero(np.append(True, np.diff(left[level]) > 0)) if len(left) else np.zeros(0, np.int64)
-        for a, b in zip(cuts, np.append(cuts, len(level))[1:], strict=False):
-            e = level[a:b]
-            to = np.where(self.end[e] == stop[self.start[e]], 0.0, beta[np.minimum(self.end[e], n)])
-            value = weight[e] + to
-            head = np.flatnonzero(np.append(True, np.diff(self.start[e]) > 0))
-            beta[self.start[e][head]] = np.logaddexp.reduceat(value, head)
-        to = np.where(self.end == stop[self.start], 0.0, beta[np.minimum(self.end, n)]) if n else beta[:0]
+        # level by level, and in a level node by node
+        far, node, to, add = left[level], self.start[level], goal[level], weight[level]
+        head = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, np.int64)
+        cuts = np.flatnonzero(np.append(True, far[1:] != far[:-1])) if len(far) else np.zeros(0, np.int64)
+        heads, node = np.append(np.searchsorted(head, cuts), len(head)), node[head]
+        for a, b, x, y in zip(cuts, np.append(cuts, len(level))[1:], heads[:-1], heads[1:], strict=False):
+            beta[node[x:y]] = np.logaddexp.reduceat(add[a:b] + beta[to[a:b]], head[x:y] - a)
+        to = beta[goal]
         # an edge that leads nowhere has no part in any path
         good = np.isfinite(to)
-        self.start, self.end, self.piece = self.start[good], self.end[good], self.piece[good]
-        log_q = np.minimum(weight[good] + to[good] - beta[self.start], 0.0)
+        if not good.all():
+            self.start, self.end, self.piece, weight, to = self.start[good], self.end[good], self.piece[good], weight[good], to[good]
+        log_q = np.minimum(weight + to - beta[self.start], 0.0)
         # with each edge the probability of its node's edges up to it
         self.log_q = log_q
-        self.first = np.searchsorted(self.start, np.arange(n + 1))
+        self.first = np.append(0, np.cumsum(np.bincount(self.start, minlength=n)))
         sums = np.cumsum(np.exp(self.log_q))
         last = np.zeros(len(sums), dtype=bool)
         last[self.first[1:][np.diff(self.first) > 0] - 1] = True
@@ -223,10 +227,14 @@ def _chunks(column):
     return tokens.dictionary, tokens.indices.to_numpy(), place[:-1], np.searchsorted(place, new), new, text
 
 
-def _uniform(key: np.ndarray, what: int, place) -> np.ndarray:
-    """Hash of key, purpose and place, in (0, 1)."""
-    turn = np.array([(what + 1) * 0x9E3779B97F4A7C15 % 2**64], dtype=np.uint64)
-    x = C.mix(C.mix(np.atleast_1d(key) + turn) + np.asarray(place).astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(1))
+def _seeds(key: np.ndarray, what: int) -> np.ndarray:
+    """Hash of key and purpose."""
+    return C.mix(key + np.array([(what + 1) * 0x9E3779B97F4A7C15 % 2**64], dtype=np.uint64))
+
+
+def _uniform(seeds: np.ndarray, place) -> np.ndarray:
+    """Hash of a seed and a place, in (0, 1)."""
+    x = C.mix(seeds + np.asarray(place).astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(1))
     return ((x >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52
 
 
@@ -242,44 +250,55 @@ def sample_slice(column, keys: np.ndarray, vocabulary: Vocabulary, k: int, seed:
     shift = base - chunk  # from node to place in the row
 
     def walk(chunks, nodes, turn):
-        draw = lambda lanes, here: _uniform(keys[rows[chunks[lanes]]], 4 * turn, here + shift[chunks[lanes]])
+        seeds, away = _seeds(keys, 4 * turn)[rows[chunks]], shift[chunks]
+        draw = lambda lanes, here: _uniform(seeds[lanes], here + away[lanes])
         lane, edge = lattice.walk(nodes, stop[chunks], draw)
         return chunks[lane], edge
 
-    def branches(row, path, turn, since, top, banned, margin=70.0):
-        """Bounds of the sets that leave the path at each edge from `since` on; banned: excluded edges there besides its own.
+    def branches(found, turn, margin=25.0):
+        """Bounds of the sets that leave each path at each edge from `since` on, all paths of (row, path) side by side.
 
-        A set's bound is its log mass and 37 at most (uniforms have 52 bits), so sets far below the best are left out;
-        `cut` bounds what is left out.
+        path: edges, chunks, log-probabilities up to each edge from `since` on (sums), its own bound (top), and the edges
+        excluded at `since` besides its own (banned). A set's bound is its log mass and 37 at most (uniforms have 52 bits),
+        so sets far below the best are left out; `cut` bounds what is left out.
         """
-        q = lattice.log_q[path["edge"]]
-        sums = np.append(0.0, np.cumsum(q))
-        before = sums[since:-1]
-        keep = len(before) if margin is None else int(np.searchsorted(-before, -(min(before[0], top) - margin - 37.0)))
-        edges = path["edge"][since : since + keep]
+        if not found:
+            return
+        for _, p in found:
+            before = p["sums"][:-1]
+            p["keep"] = keep = len(before) if margin is None else len(before) - int(np.searchsorted(before[::-1], min(before[0], p["top"]) - margin - 37.0, side="right"))
+            p["cut"] = before[keep] + 37.0 if keep < len(before) else -np.inf
+        kept = np.array([p["keep"] for _, p in found])
+        at = np.append(0, np.cumsum(kept))
+        take = lambda name: np.concatenate([p[name][p["since"] : p["since"] + p["keep"]] for _, p in found])
+        edges, chunks = take("edge"), take("chunk")
         node = lattice.start[edges]
-        away = np.log(np.maximum(-np.expm1(q[since : since + keep]), 1e-300))
+        away = np.log(np.maximum(-np.expm1(lattice.log_q[edges]), 1e-300))
         away[lattice.first[node + 1] - lattice.first[node] == 1] = -np.inf
-        if banned:
-            out = {*banned, edges[0]}
-            rest = [e for e in range(lattice.first[node[0]], lattice.first[node[0] + 1]) if e not in out]
-            away[0] = np.log(max(np.exp(lattice.log_q[rest]).sum(), 1e-300)) if rest else -np.inf
-        mass = before[:keep] + away
-        wait = -np.log(_uniform(keys[row : row + 1], 4 * turn + 1, shift[path["chunk"][since : since + keep]] + node))
+        for (_, p), i in zip(found, at[:-1], strict=True):
+            if p["banned"]:
+                out = {*p["banned"], edges[i]}
+                rest = [e for e in range(lattice.first[node[i]], lattice.first[node[i] + 1]) if e not in out]
+                away[i] = np.log(max(np.exp(lattice.log_q[rest]).sum(), 1e-300)) if rest else -np.inf
+        mass = np.concatenate([p["sums"][: p["keep"]] for _, p in found]) + away
+        wait = -np.log(_uniform(np.repeat(_seeds(keys[[row for row, _ in found]], 4 * turn + 1), kept), shift[chunks] + node))
         with np.errstate(divide="ignore", over="ignore"):
-            bound = mass - np.log(np.exp(mass - top) + wait)
-        path |= {"since": since, "bound": np.where(np.isfinite(mass), bound, -np.inf), "banned": banned, "log_prob": float(sums[-1]), "turn": turn, "cut": before[keep] + 37.0 if keep < len(before) else -np.inf, "used": path.get("used", [])}
-        path["bound"][path["used"]] = -np.inf
+            bound = mass - np.log(np.exp(mass - np.repeat([p["top"] for _, p in found], kept)) + wait)
+        bound = np.where(np.isfinite(mass), bound, -np.inf)
+        for (_, p), x, y in zip(found, at[:-1], at[1:], strict=True):
+            p["bound"] = bound[x:y]
+            p["bound"][p["used"]] = -np.inf
 
     paths: list[list[dict]] = [[] for _ in range(len(first) - 1)]
-    roots = -np.log(-np.log(_uniform(keys, 2, 0)))
+    roots = -np.log(-np.log(_uniform(_seeds(keys, 2), 0)))
     chunks, edges = walk(np.arange(len(code)), chunk.copy(), 0)
+    log_q = lattice.log_q[edges]
     cut = np.searchsorted(rows[chunks], np.arange(len(first))) if len(chunks) else np.zeros(len(first), int)
     for row in range(len(first) - 1):
         if cut[row + 1] > cut[row]:
-            path = {"chunk": chunks[cut[row] : cut[row + 1]], "edge": edges[cut[row] : cut[row + 1]], "top": float(roots[row])}
-            branches(row, path, 0, 0, path["top"], [])
-            paths[row].append(path)
+            own = slice(cut[row], cut[row + 1])
+            paths[row].append({"chunk": chunks[own], "edge": edges[own], "sums": np.append(0.0, np.cumsum(log_q[own])), "since": 0, "turn": 0, "top": float(roots[row]), "banned": [], "used": []})
+    branches([(row, own[0]) for row, own in enumerate(paths) if own], 0)
 
     def best(row):
         while True:
@@ -291,10 +310,10 @@ def sample_slice(column, keys: np.ndarray, vocabulary: Vocabulary, k: int, seed:
             if not short:
                 return top, which
             for p in short:
-                branches(row, p, p["turn"], p["since"], p["top"], p["banned"], None)
+                branches([(row, p)], p["turn"], None)
 
     for turn in range(1, k):
-        picks = _uniform(keys, 4 * turn + 3, 0)
+        picks = _uniform(_seeds(keys, 4 * turn + 3), 0)
         opened, todo_chunks, todo_nodes = [], [], []
         for row in range(len(paths)):
             top, which = best(row)
@@ -317,19 +336,22 @@ def sample_slice(column, keys: np.ndarray, vocabulary: Vocabulary, k: int, seed:
         if not opened:
             break
         chunks, edges = walk(np.concatenate(todo_chunks), np.concatenate(todo_nodes), turn)
-        owner = rows[chunks]
+        log_q, new_paths = lattice.log_q[edges], []
+        cut = np.searchsorted(rows[chunks], np.arange(len(first)))
         for row, parent, at, new, banned, top in opened:
-            a, b = np.searchsorted(owner, [row, row + 1])
-            path = {"chunk": np.concatenate([parent["chunk"][: at + 1], chunks[a:b]]), "edge": np.concatenate([parent["edge"][:at], [new], edges[a:b]]), "top": top}
-            branches(row, path, turn, at, top, banned)
+            a, b = cut[row], cut[row + 1]
+            sums = np.cumsum(np.concatenate([[parent["sums"][at - parent["since"]], lattice.log_q[new]], log_q[a:b]]))
+            path = {"chunk": np.concatenate([parent["chunk"][: at + 1], chunks[a:b]]), "edge": np.concatenate([parent["edge"][:at], [new], edges[a:b]]), "sums": sums, "since": at, "turn": turn, "top": top, "banned": banned, "used": []}
             paths[row].append(path)
+            new_paths.append((row, path))
+        branches(new_paths, turn)
     out, flat = [], []
     for row, own in enumerate(paths):
         limit, _ = best(row)
         told = []
         for i, p in enumerate(own):
-            score = 1.0 if not np.isfinite(limit) else float(-np.expm1(-np.exp(min(p["log_prob"] - limit, 700.0))))
-            told.append({"sample": i, "log_prob": p["log_prob"], "bound": float(p["top"]), "inclusion": score, "ids": lattice.piece[p["edge"]]})
+            score = 1.0 if not np.isfinite(limit) else float(-np.expm1(-np.exp(min(p["sums"][-1] - limit, 700.0))))
+            told.append({"sample": i, "log_prob": float(p["sums"][-1]), "bound": float(p["top"]), "inclusion": score, "ids": lattice.piece[p["edge"]]})
         out.append(told)
         flat += [(row, t) for t in told]
     if flat:  # all samples are decoded side by side

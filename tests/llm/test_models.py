@@ -160,6 +160,22 @@ def test_all_segmentations_come_out(small):
     assert found[2][0]["round_trip"] and [vocabulary.pieces[i] for i in found[2][0]["ids"]][-2:] == [b"\xc3", b"\xa9"]
 
 
+def test_texts_are_sampled_side_by_side(small, monkeypatch):
+    """As many draws for 300 texts as for 30 of the same length, and the same samples as one by one."""
+    _, vocabulary = small
+    calls, mix = [], pieces.C.mix
+    monkeypatch.setattr(pieces.C, "mix", lambda x: calls.append(1) or mix(x))
+    texts, used = ["ab ab abab ba" * 40] * 300, []
+    for n in (30, 300):
+        calls.clear()
+        found = pieces.sample_slice(pa.array(texts[:n]), np.arange(n), vocabulary, 3)
+        used.append(len(calls))
+    assert used[1] < 1.5 * used[0]
+    for i in (0, 7, 299):
+        alone = pieces.sample_slice(pa.array(texts[:1]), np.arange(i, i + 1), vocabulary, 3)[0]
+        assert [(s["log_prob"], s["bound"], s["inclusion"], s["ids"].tolist()) for s in alone] == [(s["log_prob"], s["bound"], s["inclusion"], s["ids"].tolist()) for s in found[i]]
+
+
 def test_sampling_frames(spark):
     rows = [(1, "Hello  world\nñ ☃"), (2, None), (3, ""), (4, "x" * 3000), (None, "a b"), (1, "Hello  world\nñ ☃"), (5, " the " * 20_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("sample", F.lit(1))
