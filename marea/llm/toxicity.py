@@ -115,39 +115,40 @@ def _count_grams(order):
 def estimate(grams: DataFrame, order: int, discount: float = 0.75, own_discount: float = 1.5) -> tuple[DataFrame, DataFrame]:
     """key and ratio of each n-gram, context and rest: the log ratio of a byte not seen after it.
 
-    grams: key, toxic and ordinary, a row each packed n-gram of the full order. discount: of the shared model's counts;
-    own_discount: of the counts of each class, whose mass goes to the shared model, so that rare expressions are smoothed
-    by what both classes have of them. The shared model's lower orders count distinct continuations: each order's keys
-    are those of the next one without their first byte.
+    grams: key, toxic and ordinary, a row each packed n-gram of the full order; of several models at once with a column
+    `model`, which both tables then have too. discount: of the shared model's counts; own_discount: of the counts of each
+    class, whose mass goes to the shared model, so that rare expressions are smoothed by what both classes have of them.
+    The shared model's lower orders count distinct continuations: each order's keys are those of the next one without
+    their first byte. These counts are written, as every order is used by all above it.
     """
-    grams = C.materialise(grams.filter("toxic + ordinary > 0").select("key", F.col("toxic").cast("double").alias("toxic"), F.col("ordinary").cast("double").alias("ordinary")))
+    by = ["model"] if "model" in grams.columns else []
+    grams = C.materialise(grams.filter("toxic + ordinary > 0").select(*by, "key", F.col("toxic").cast("double").alias("toxic"), F.col("ordinary").cast("double").alias("ordinary")))
     short = lambda o: F.col("key").bitwiseAND(F.lit((1 << 8 * o) - 1))
     context = F.shiftright("key", 8).alias("context")
-    levels, keys = {}, grams.select("key")
+    levels, keys = {}, grams
     for o in range(order - 1, 0, -1):
-        keys = keys.groupBy(short(o).alias("key")).agg(F.count(F.lit(1)).cast("double").alias("kinds"))
+        keys = C.materialise(keys.groupBy(*by, short(o).alias("key")).agg(F.count(F.lit(1)).cast("double").alias("kinds")))
         levels[o] = keys
+    group = Window.partitionBy(*by, "context")  # a context has as many rows as there are bytes at most
     below = None
     for o in range(1, order):
-        own = levels[o].withColumn("context", context)
-        sums = own.groupBy("context").agg(F.sum("kinds").alias("total"), F.count(F.lit(1)).alias("types"))
-        own = own.join(sums, "context")
-        own = own.withColumn("lower", F.lit(1 / 256)) if below is None else own.withColumn("last", short(o - 1)).join(below.select(F.col("key").alias("last"), F.col("p").alias("lower")), "last")
-        below = own.select("key", ((F.greatest(F.col("kinds") - discount, F.lit(0.0)) + discount * F.col("types") * F.col("lower")) / F.col("total")).alias("p"))
+        own = levels[o].withColumn("context", context).withColumns({"total": F.sum("kinds").over(group), "types": F.count(F.lit(1)).over(group)})
+        own = own.withColumn("lower", F.lit(1 / 256)) if below is None else own.withColumn("last", short(o - 1)).join(below.withColumnsRenamed({"key": "last", "p": "lower"}), [*by, "last"])
+        below = own.select(*by, "key", ((F.greatest(F.col("kinds") - discount, F.lit(0.0)) + discount * F.col("types") * F.col("lower")) / F.col("total")).alias("p"))
     both = F.col("toxic") + F.col("ordinary")
     given = lambda c: F.sum(F.least(F.col(c), F.lit(own_discount)))
-    sums = grams.groupBy(context).agg(F.sum(both).alias("total"), F.count(F.lit(1)).alias("types"), *(F.sum(c).alias(f"all_{c}") for c in ("toxic", "ordinary")), *(given(c).alias(f"given_{c}") for c in ("toxic", "ordinary")))
+    sums = grams.groupBy(*by, context).agg(F.sum(both).alias("total"), F.count(F.lit(1)).alias("types"), *(F.sum(c).alias(f"all_{c}") for c in ("toxic", "ordinary")), *(given(c).alias(f"given_{c}") for c in ("toxic", "ordinary")))
     for c in ("toxic", "ordinary"):
         sums = sums.withColumn(f"free_{c}", F.when(F.col(f"all_{c}") > 0, F.col(f"given_{c}") / F.greatest(f"all_{c}", F.lit(1.0))).otherwise(1.0))
     sums = C.materialise(sums)
-    at = grams.withColumn("context", context).join(sums, "context")
-    at = at.withColumn("lower", F.lit(1 / 256)) if below is None else at.withColumn("last", short(order - 1)).join(below.select(F.col("key").alias("last"), F.col("p").alias("lower")), "last")
+    at = grams.withColumn("context", context).join(sums, [*by, "context"])
+    at = at.withColumn("lower", F.lit(1 / 256)) if below is None else at.withColumn("last", short(order - 1)).join(below.withColumnsRenamed({"key": "last", "p": "lower"}), [*by, "last"])
     shared = (F.greatest(both - discount, F.lit(0.0)) + discount * F.col("types") * F.col("lower")) / F.col("total")
     log = lambda c: F.log(F.when(F.col(f"all_{c}") > 0, F.greatest(F.col(c) - own_discount, F.lit(0.0)) / F.greatest(f"all_{c}", F.lit(1.0))).otherwise(0.0) + F.col(f"free_{c}") * shared)
-    ratios = C.materialise(at.select("key", (log("toxic") - log("ordinary")).cast("float").alias("ratio")))
-    rests = C.materialise(sums.select("context", (F.log("free_toxic") - F.log("free_ordinary")).cast("float").alias("rest")))
-    C.discard(grams)
-    C.discard(sums)
+    ratios = C.materialise(at.select(*by, "key", (log("toxic") - log("ordinary")).cast("float").alias("ratio")))
+    rests = C.materialise(sums.select(*by, "context", (F.log("free_toxic") - F.log("free_ordinary")).cast("float").alias("rest")))
+    for x in (grams, sums, *levels.values()):
+        C.discard(x)
     return ratios, rests
 
 
@@ -278,25 +279,28 @@ def fit(rows: DataFrame, order: int = 5, calibration_rows: int = 20_000, entries
     grams = C.materialise(words.mapInArrow(C.tidy(_count_grams(order)), f"key long, {kinds}").groupBy("key").agg(*added))
     C.discard(words)
 
-    def model(*halves: int) -> Model:
+    n = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def of(name: int, *halves: int) -> Column:
         bad, good = (sum((F.col(f"{kind}{h}") for h in halves), F.lit(0)) for kind in ("toxic", "ordinary"))
-        return Model(order, *estimate(grams.select("key", bad.alias("toxic"), good.alias("ordinary")), order), np.zeros(5))
+        return F.struct(F.lit(name).alias("model"), bad.alias("toxic"), good.alias("ordinary"))
 
-    whole = model(0, 1)
-    n = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # the model of all rows and those of either half in one set of tables: plans are a third of three
+    models = [of(2, 0, 1), *((of(0, 0), of(1, 1)) if len(n) > 1 else ())]
+    ratios, rests = estimate(grams.select("key", F.explode(F.array(*models)).alias("of")).select("of.*", "key"), order)
+    C.discard(grams)
+
+    def model(name: int) -> Model:
+        return Model(order, *(x.filter(F.col("model") == name).drop("model") for x in (ratios, rests)), np.zeros(5))
+
+    whole = model(2)
     whole.prior = n.get(1, 0) / max(1, sum(n.values()))
     if len(n) < 2:
         whole.weights = np.array([0, 0, 0, 0, 30.0 if 1 in n else -30.0])
         return whole
     slots = {k: max(1, min(1 << 16, int((1 << 16) * calibration_rows / 2 / m))) for k, m in n.items()}
     chosen = rows.filter(F.col("slot") < F.when(F.col("label") == 1, slots[1]).otherwise(slots[0]))
-    sample = []
-    for half in (0, 1):
-        other = model(1 - half)
-        sample.append(sums(chosen.filter(F.col("half") == half).select("text", "label"), other, entries).toPandas())
-        C.discard(other.grams)
-        C.discard(other.contexts)
-    C.discard(grams)
+    sample = [sums(chosen.filter(F.col("half") == half).select("text", "label"), model(1 - half), entries).toPandas() for half in (0, 1)]
     sample = pd.concat(sample)
     y = sample["label"].to_numpy(dtype=float)
     if len(set(y)) < 2:  # the sample by hash has none of one label

@@ -57,6 +57,26 @@ def test_rare_label_and_large_models(spark):
     assert again.order == model.order and again.weights == pytest.approx(model.weights, abs=1e-6)
 
 
+def test_models_share_tables_and_plans_stay_small(spark, monkeypatch):
+    """Several models estimated at once equal those of one at a time, and no plan has the counts of all orders again and again."""
+    one = [(int(k), int(k) % 3, int(k) % 2 + m) for m in (0, 1) for k in (0x6120, 0x206120, 0x612062, 0x206162, 0x616263, 0x626320)]
+    counts = [spark.createDataFrame(x, "key long, toxic long, ordinary long") for x in (one[:6], one[6:])]
+    both = toxicity.estimate(counts[0].withColumn("model", F.lit(0)).union(counts[1].withColumn("model", F.lit(1))), 3)
+    for m, rows in enumerate(counts):
+        for several, single in zip(both, toxicity.estimate(rows, 3), strict=True):
+            assert sorted(several.filter(f"model = {m}").drop("model").collect()) == sorted(single.collect())
+    sizes, write = [], toxicity.C.materialise
+
+    def watched(df):
+        sizes.append(df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate ["))
+        return write(df)
+
+    monkeypatch.setattr(toxicity.C, "materialise", watched)
+    docs = spark.createDataFrame([(i, f"a text of {i} words") for i in range(40)], "doc_id long, text string")
+    toxicity.fit(toxicity.labelled(docs, docs.selectExpr("doc_id", "cast(doc_id % 4 = 0 as int) as toxic")))
+    assert len(sizes) < 14 and max(sizes) < 5
+
+
 def test_class_models_are_distributions(spark):
     """Against Kneser-Ney written out: after each context both classes sum to one over all bytes, and ratios follow."""
     words = pa.array([b"abab", b"abc", b"ba", b"cab", b"abd"], pa.binary())
