@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marea.session import settle, small
+from marea.operators import postings
+from marea.session import BROADCAST_ROWS, settle, small
 
 
 def grams(text: Column, bigrams: bool = True, stop: tuple[str, ...] = ()) -> Column:
@@ -66,15 +67,15 @@ def _chosen(stats: DataFrame, n_docs: int, min_df: int, max_terms: int) -> DataF
 def text_vocabulary(docs: DataFrame, id_: str, text: str, n_docs: int, min_df: int = 2, max_terms: int = 50_000, bigrams: bool = True, stop: tuple[str, ...] = (), several: DataFrame | None = None) -> DataFrame:
     """vocabulary() straight from the texts: only sums by term are shuffled, no postings."""
     several = repeated(docs, id_) if several is None else several
+    words = lambda rows: rows.select(grams(F.col(text), False, stop).alias("words"))
+    none = several.isEmpty()
     same = F.col(id_).eqNullSafe(F.col("_again"))
-    told = lambda rows, sets: rows.select(F.explode(F.get(F.transform(F.array(grams(F.col(text), bigrams, stop)), sets), F.lit(0))).alias("_s")).select("_s.new", F.explode("_s.t").alias("term"))
-    every = lambda g: F.struct(F.lit(False).alias("new"), g.alias("t"))
-    # the terms of a text, and its distinct ones once more; those of repeated ids are distinct by id
-    once = told(docs.join(several, same, "left_anti"), lambda g: F.array(every(g), F.struct(F.lit(True).alias("new"), F.array_distinct(g).alias("t"))))
-    again = docs.join(several, same, "left_semi")
-    distinct = terms(again, id_, text, bigrams, stop, several).select(F.lit(True).alias("new"), "term")
-    seen = once.unionByName(told(again, lambda g: F.array(every(g)))).unionByName(distinct)
-    return _chosen(seen.groupBy("term").agg(F.count_if("new").alias("df"), F.count_if(~F.col("new")).alias("total")), n_docs, min_df, max_terms)
+    # each batch tells of a term once; those of repeated ids are distinct by id
+    seen = words(docs if none else docs.join(several, same, "left_anti")).mapInArrow(postings.counts(bigrams), "term string, df long, total long")
+    if not none:
+        again = terms(docs.join(several, same, "left_semi"), id_, text, bigrams, stop, several)
+        seen = seen.unionByName(again.select("term", F.lit(1).cast("long").alias("df"), F.col("tf").alias("total")))
+    return _chosen(seen.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total")), n_docs, min_df, max_terms)
 
 
 def weights(postings: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -120,23 +121,43 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
 TASK_PAIRS = 1_000_000
 
 
-def near_pairs(left: DataFrame, docs: DataFrame, vocab: DataFrame, n: int, threshold: float) -> DataFrame:
+def near_pairs(left: DataFrame, docs: DataFrame, vocab: DataFrame, n: int, threshold: float, several: DataFrame | None = None) -> DataFrame:
     """Cosine of the pairs of the left weights and of n documents (id, text) that reach the threshold (above 0).
 
-    The texts and their lengths are brought together by id; after that a document's terms, its products with the left
-    side and their sums stay in its task, so neither postings nor pairs are shuffled while the left side can be broadcast.
+    A document's terms, its length and its products with the left side stay in the batch that has its text, so neither texts
+    nor postings nor pairs are shuffled while the left side and the vocabulary can be sent to all tasks. Rows of one id
+    count together: those of `several` (by default `repeated`), and all beyond that bound, go through joins.
     """
-    weighted = small(settle(left.select(F.col("id").alias("left_id"), "term", (F.col("weight") * F.col("idf")).alias("wa"))))
-    m = left.select("id").distinct().count()
+    weighted = settle(left.select(F.col("id").alias("left_id"), "term", (F.col("weight") * F.col("idf")).alias("wa")))
+    held = docs.filter("id is not null")
+    if max(f.limit(BROADCAST_ROWS + 1).count() for f in (weighted, vocab)) > BROADCAST_ROWS:
+        sums = _joined_pairs(weighted, held, vocab, n)
+    else:
+        several = repeated(docs, "id") if several is None else several
+        none = several.isEmpty()
+        same = F.col("id").eqNullSafe(F.col("_again"))
+        known = vocab.select("term", "idf").toArrow()
+        run = postings.products(known["term"].to_pylist(), known["idf"].to_numpy(), weighted.toArrow(), threshold)
+        once = held if none else held.join(several, same, "left_anti")
+        sums = once.select("id", grams(F.col("text"), False).alias("words")).mapInArrow(run, "left_id string, right_id string, s double")
+        if not none:
+            again = held.join(several, same, "left_semi")
+            sums = sums.unionByName(_joined_pairs(weighted, again, vocab, again.count()))
+    return sums.select("left_id", "right_id", F.round("s", 9).alias("similarity")).filter(F.col("similarity") >= threshold)
+
+
+def _joined_pairs(weighted: DataFrame, docs: DataFrame, vocab: DataFrame, n: int) -> DataFrame:
+    """left_id, right_id and s of all pairs that share a term: the texts are brought together by id, and stay there."""
+    weighted = small(weighted)
+    m = weighted.select("left_id").distinct().count()
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, n * m // TASK_PAIRS + 1)
-    held = docs.filter("id is not null").repartition(parts, "id")
+    held = docs.repartition(parts, "id")
     met = lambda rows, other, *keep: rows.select("id", *keep, F.explode(grams(F.col("text"))).alias("term")).join(other, "term")
     tf = met(held, small(vocab)).groupBy("id", "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
     norms = tf.groupBy("id").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2)))).alias("norm"))
     # counted before they meet the left side: frequent terms occur often in a text and in many of the left
     shared = met(held.join(norms.hint("shuffle_hash"), "id"), small(weighted.select("term").distinct()), "norm").groupBy("id", "norm", "term").agg(F.count(F.lit(1)).alias("tf"))
-    sums = shared.join(weighted, "term").groupBy("left_id", F.col("id").alias("right_id")).agg(F.sum(F.col("tf") * F.col("wa") / F.col("norm")).alias("s"))
-    return sums.select("left_id", "right_id", F.round("s", 9).alias("similarity")).filter(F.col("similarity") >= threshold)
+    return shared.join(weighted, "term").groupBy("left_id", F.col("id").alias("right_id")).agg(F.sum(F.col("tf") * F.col("wa") / F.col("norm")).alias("s"))
 
 
 def top_k(pairs: DataFrame, k: int) -> DataFrame:
@@ -145,12 +166,8 @@ def top_k(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def link(incidents: DataFrame, comments: DataFrame, threshold: float = 0.25, k: int = 5, max_days: int = 10, min_df: int | None = None, max_terms: int = 50_000) -> tuple[DataFrame, DataFrame]:
-    """Assignments (incident, best topic) and evidence links (incident, comment).
-
-    incidents: incident_id, ts, text; comments: comment_id, ts, topic, text. Rank first, then threshold and days: a
-    partner that fails does not make room for the next. A topic's document is the sum of its comments' terms.
-    """
+def _prepared(incidents: DataFrame, comments: DataFrame, min_df: int | None, max_terms: int) -> tuple:
+    """What both kinds of links need: comments and ids as documents, their number, repeated ids, vocabulary and the incidents' weights."""
     own = lambda side, id_: F.concat(F.lit(side), F.col(id_).cast("string"))
     right, asked = comments.select(own("c", "comment_id").alias("id"), "text", "topic"), incidents.select(own("i", "incident_id").alias("id"), "text")
     docs = right.select("id", "text").unionByName(asked)
@@ -159,19 +176,54 @@ def link(incidents: DataFrame, comments: DataFrame, threshold: float = 0.25, k:
     vocab = settle(text_vocabulary(docs, "id", "text", n, min_df or (1 if n < 250 else 2), max_terms, several=several))
     inc = settle(weights(settle(terms(asked.filter("id is not null"), "id", "text", several=several)), vocab))
     ids = incidents.select(own("i", "incident_id").alias("left_id"), "incident_id", F.col("ts").alias("incident_ts"))
-    # a row of a repeated id brings all terms of the id to its topic
-    same = F.col("id").eqNullSafe(F.col("_again"))
-    again = right.join(several, same, "left_semi")
-    each = right.join(several, same, "left_anti").filter("id is not null").select("text", "topic").unionByName(again.select("id", "text").join(again.select("id", "topic"), "id").select("text", "topic"))
-    found = each.select(F.col("topic").alias("id"), F.explode(grams(F.col("text"))).alias("term")).join(small(vocab.select("term")), "term")
-    by_topic = found.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    best = top_k(similarities(inc, weights(by_topic, vocab)), 1).filter(F.col("similarity") >= threshold)
-    assignments = best.join(ids, "left_id").select("incident_id", F.col("right_id").alias("topic"), "similarity")
+    return right, n, several, vocab, inc, ids
+
+
+def _assignments(right: DataFrame, n: int, several: DataFrame, vocab: DataFrame, inc: DataFrame, ids: DataFrame, threshold: float) -> DataFrame:
+    each = right.filter("id is not null").select("text", "topic")
+    if not several.isEmpty():
+        # a row of a repeated id brings all terms of the id to its topic
+        same = F.col("id").eqNullSafe(F.col("_again"))
+        again = right.join(several, same, "left_semi")
+        each = right.join(several, same, "left_anti").filter("id is not null").select("text", "topic").unionByName(again.select("id", "text").join(again.select("id", "topic"), "id").select("text", "topic"))
+    if vocab.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        known = vocab.select("term").toArrow()["term"].to_pylist()
+        told = each.filter("topic is not null").select(F.col("topic").cast("string"), grams(F.col("text"), False).alias("words"))
+        by_topic = told.mapInArrow(postings.topic_counts(known), "id string, term string, tf long").groupBy("id", "term").agg(F.sum("tf").alias("tf"))
+    else:
+        found = each.select(F.col("topic").alias("id"), F.explode(grams(F.col("text"))).alias("term")).join(vocab.select("term"), "term")
+        by_topic = found.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # read for the weights and for their lengths
+    best = top_k(similarities(inc, weights(settle(by_topic), vocab)), 1).filter(F.col("similarity") >= threshold)
+    return best.join(ids, "left_id").select("incident_id", F.col("right_id").alias("topic"), "similarity")
+
+
+def _links(comments: DataFrame, right: DataFrame, n: int, several: DataFrame, vocab: DataFrame, inc: DataFrame, ids: DataFrame, threshold: float, k: int, max_days: int) -> DataFrame:
     # a pair under the threshold takes no place from one above it, so only those above are ranked
-    near = settle(top_k(near_pairs(inc, right.select("id", "text"), vocab, n, threshold), k))
-    cs = comments.join(small(near.select(F.substring("right_id", 2, 99).alias("_c")).distinct()), F.col("comment_id").cast("string") == F.col("_c"), "left_semi").select(own("c", "comment_id").alias("right_id"), "comment_id", F.col("ts").alias("comment_ts"), "topic")
+    near = settle(top_k(near_pairs(inc, right.select("id", "text"), vocab, n, threshold, several), k))
+    cs = comments.join(small(near.select(F.substring("right_id", 2, 99).alias("_c")).distinct()), F.col("comment_id").cast("string") == F.col("_c"), "left_semi").select(F.concat(F.lit("c"), F.col("comment_id").cast("string")).alias("right_id"), "comment_id", F.col("ts").alias("comment_ts"), "topic")
     links = near.join(ids, "left_id").join(cs, "right_id").filter(F.abs(F.datediff("incident_ts", "comment_ts")) <= max_days)
-    return assignments, links.select("incident_id", "comment_id", "similarity", "topic", "incident_ts", "comment_ts")
+    return links.select("incident_id", "comment_id", "similarity", "topic", "incident_ts", "comment_ts")
+
+
+def assign(incidents: DataFrame, comments: DataFrame, threshold: float = 0.25, min_df: int | None = None, max_terms: int = 50_000) -> DataFrame:
+    """The assignments of link() alone: no pair of an incident and a comment is made."""
+    return _assignments(*_prepared(incidents, comments, min_df, max_terms), threshold)
+
+
+def evidence_links(incidents: DataFrame, comments: DataFrame, threshold: float = 0.25, k: int = 5, max_days: int = 10, min_df: int | None = None, max_terms: int = 50_000) -> DataFrame:
+    """The evidence links of link() alone."""
+    return _links(comments, *_prepared(incidents, comments, min_df, max_terms), threshold, k, max_days)
+
+
+def link(incidents: DataFrame, comments: DataFrame, threshold: float = 0.25, k: int = 5, max_days: int = 10, min_df: int | None = None, max_terms: int = 50_000) -> tuple[DataFrame, DataFrame]:
+    """Assignments (incident, best topic) and evidence links (incident, comment).
+
+    incidents: incident_id, ts, text; comments: comment_id, ts, topic, text. Rank first, then threshold and days: a
+    partner that fails does not make room for the next. A topic's document is the sum of its comments' terms.
+    """
+    told = _prepared(incidents, comments, min_df, max_terms)
+    return _assignments(*told, threshold), _links(comments, *told, threshold, k, max_days)
 
 
 def contains_terms(docs: DataFrame, id_: str, text: str, wanted: DataFrame) -> DataFrame:

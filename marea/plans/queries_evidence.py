@@ -8,7 +8,7 @@ from marea.functions import text as X
 from marea.operators import chains, drivers, hotspots, linking, rationale, series
 from marea.plans import views as V
 from marea.plans.queries_core import TOPICS, R, lag_sql, rounded, topic_weeks
-from marea.plans.queries_linking import C01, CHAINS, FOLD, HOT, RANK, RATIONALE, STEM, STOP, TOKENS, _enriched, _hot, _link
+from marea.plans.queries_linking import C01, CHAINS, FOLD, HOT, RANK, RATIONALE, STEM, STOP, TOKENS, _enriched, _hot, _links
 from marea.plans.registry import query
 from marea.session import settle
 
@@ -190,7 +190,7 @@ def evidence_sql():
 
 
 def _evidence(spark, d):
-    return hotspots.evidence(_hot(spark, d, 6), V.tickets(spark, d), V.comments(spark, d), _link(spark, d)[1])
+    return hotspots.evidence(_hot(spark, d, 6), V.tickets(spark, d), V.comments(spark, d), _links(spark, d))
 
 
 @query("o_d44_hot_evidence", f"WITH {evidence_sql()} SELECT term, hot_rank, mention_incidents, mention_comments, linked_incidents, linked_comments, main_topic, examples FROM ev")

@@ -55,6 +55,60 @@ def test_links_shuffle_no_postings(spark):
     assert "hashpartitioning(left_id" not in plan
 
 
+def test_assignments_make_no_pairs(spark, monkeypatch):
+    """Topics are assigned without a pair of an incident and a comment; a null topic is none."""
+    day = dt.date(2026, 1, 1)
+    comments = spark.createDataFrame([(1, day, "a", "uno dos tres"), (2, day, "b", "dos cuatro"), (3, day, None, "uno dos tres"), (4, day, "a", None)], "comment_id long, ts date, topic string, text string")
+    tickets = spark.createDataFrame([(7, day, "uno tres"), (8, day, "cuatro"), (9, day, None)], "incident_id long, ts date, text string")
+    told = lambda df: sorted(map(tuple, df.collect()))
+    both = told(linking.link(tickets, comments)[0])
+    monkeypatch.setattr(linking, "near_pairs", None)
+    assert told(linking.assign(tickets, comments)) == both and [r[:2] for r in both] == [(7, "a"), (8, "b")]
+
+
+@pytest.mark.parametrize("words", [3, 1 << 22])
+def test_terms_of_a_batch(monkeypatch, words):
+    """Counts of terms, of a vocabulary's terms by topic, and cosines of a batch, in pieces of any size; texts may be empty."""
+    import math
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from marea.operators import postings
+
+    rng = random.Random(5)
+    texts = [[rng.choice("abcdef") * 2 for _ in range(rng.randrange(0, 9))] for _ in range(40)] + [[]]
+    batch = pa.record_batch([pa.array([f"c{i}" for i in range(41)]), pa.array([f"t{i % 3}" for i in range(41)]), pa.array(texts, pa.list_(pa.string()))], names=["id", "topic", "words"]).slice(2)
+    monkeypatch.setattr(postings, "WORDS", words)
+    monkeypatch.setattr(postings, "HELD", words)
+    grams = [t + [f"{a} {b}" for a, b in zip(t, t[1:])] for t in texts[2:]]
+    rows = lambda run, *more: [r for b in run(iter([batch, batch.slice(0, 0)])) for r in zip(*(c.to_pylist() for c in b.columns))]
+    for bigrams in (True, False):
+        df, total = Counter(), Counter()
+        for term, d, n in rows(postings.counts(bigrams)):
+            df[term], total[term] = df[term] + d, total[term] + n
+        kept = [[t for t in g if bigrams or " " not in t] for g in grams]
+        assert total == Counter(t for g in kept for t in g) and df == Counter(t for g in kept for t in set(g))
+    known = ["aa", "bb", "cc", "aa bb", "ff ee", "dd dd"]
+    got = Counter()
+    for topic, term, n in rows(postings.topic_counts(known)):
+        got[topic, term] += n
+    assert got == Counter((f"t{(i + 2) % 3}", t) for i, g in enumerate(grams) for t in g if t in known)
+    idf = {t: 1.0 + i / 7 for i, t in enumerate(known)}
+    left = [("x", "aa", 0.5), ("y", "aa bb", 0.8), ("x", "ff ee", 0.7), ("y", "cc", 0.2)]
+    table = pa.table(dict(zip(("left_id", "term", "wa"), map(list, zip(*left)))))
+    want = {}
+    for i, g in enumerate(grams):
+        tf = Counter(t for t in g if t in idf)
+        norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in tf.items()))
+        for o in "xy":
+            s = sum(tf[t] * w / norm for own, t, w in left if own == o and tf[t])
+            if s >= 0.1:
+                want[o, f"c{i + 2}"] = round(s, 9)
+    assert {r[:2]: round(r[2], 9) for r in rows(postings.products(known, np.array(list(idf.values())), table, 0.1))} == want and want
+    assert not rows(postings.products(known, np.array(list(idf.values())), table.slice(0, 0), 0.1)) and not rows(postings.topic_counts([]))
+
+
 def test_label_match(spark):
     """Every pair of a text and a label: the phrase anywhere, even within words, or enough of the label's words."""
     rng = random.Random(2)
