@@ -200,8 +200,10 @@ def o_d44(spark, d):
 
 @query("o_d49_aligned_evidence", f"WITH {evidence_sql()}, fl AS (SELECT *, CASE WHEN hot_rank IN (2, 5) THEN 1 ELSE 0 END AS aligned FROM ev), nr AS (SELECT *, row_number() OVER (ORDER BY aligned DESC, linked_comments DESC, mention_incidents DESC, term) AS place FROM fl) SELECT term, aligned, linked_comments, mention_incidents, place FROM nr WHERE place <= 3")
 def o_d49(spark, d):
-    ev = _evidence(spark, d)
-    out = hotspots.align(ev.drop("hot_rank"), ev.filter("hot_rank in (2, 5)"))
+    # the terms are read twice; how many comments mention them is not asked
+    hot = settle(_hot(spark, d, 6))
+    ev = hotspots.evidence(hot, V.tickets(spark, d), None, _links(spark, d))
+    out = hotspots.align(ev.drop("hot_rank"), hot.filter("hot_rank in (2, 5)"))
     return out.select("term", "aligned", "linked_comments", "mention_incidents", F.col("hot_rank").cast("long").alias("place"))
 
 

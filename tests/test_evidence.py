@@ -443,3 +443,14 @@ def test_chain_labels_and_counts(spark):
         topics_ = [x[6] for x in own]
         assert (r.linked_pairs, r.linked_incidents, r.linked_comments) == (len({x[:2] for x in own}), len({x[0] for x in own}), len({x[1] for x in own}))
         assert r.topic == min(set(topics_), key=lambda t: (-topics_.count(t), t)) and r.touchpoint == r.entity
+
+
+def test_evidence_without_comments(spark):
+    """Without comments the evidence is the same but for mention_comments, and no comment is searched."""
+    terms = spark.createDataFrame([("pago", 1), ("clave", 2)], "term string, hot_rank int")
+    inc = spark.createDataFrame([(1, "Pago fallido"), (2, "clave y pago")], "incident_id long, text string")
+    com = spark.createDataFrame([(5, "pago"), (6, "pago")], "comment_id long, text string")
+    links = spark.createDataFrame([(1, 5, 0.5, "t"), (2, 6, 0.4, "u"), (2, 5, 0.3, "t")], "incident_id long, comment_id long, similarity double, topic string")
+    told = lambda df: sorted(map(tuple, df.drop("mention_comments").collect()))
+    alone = hotspots.evidence(terms, inc, None, links)
+    assert told(alone) == told(hotspots.evidence(terms, inc, com, links)) and "mention_comments" not in alone.columns
