@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from marea.functions import text as X
 from marea.operators import drivers, kpis, rationale
-from marea.session import settle
 from marea.sources import ingest, store
 
 PIPELINE_VERSION = "1"
@@ -63,12 +62,12 @@ def run(spark: SparkSession, runs: list[Run], root: str) -> list[dict]:
     out = []
     for spec in runs:
         context = {"service_origin": spec.origin, "service_origin_n1": spec.n1, "service_origin_n2": spec.n2}
-        got = ingest.responses(spec.responses, spec.origin, spec.n1, spec.n2 or None)
+        got = ingest.responses(spec.responses, spec.origin, spec.n1, spec.n2 or None, hold=True)
         issues = [{"level": i[0], "code": i[1], "message": i[2], "column": i[3]} for i in got.issues]
         if got.failed:
             out.append({"context": context, "status": "failed", "dataset_id": None, "folder": None, "packs": [], "issues": issues})
             continue
-        rows = settle(got.df)
+        rows = got.df
         key = store.context_key(spec.origin, spec.n1, spec.n2)
         dataset_id = store.signature(key, *_shape(rows))
         meta = store.write_lines(rows, f"{root.rstrip('/')}/datasets/{key}/{dataset_id}", "Fecha").first().asDict()

@@ -20,9 +20,9 @@ def scratch(spark) -> str:
     return f"{shared_dir(spark)}/marea/{uuid.uuid4().hex}"
 
 
-def _raw(spark, d):
-    """Survey rows as a file has them: odd headers, texts for numbers and dates."""
-    r = V.responses(spark, d)
+def _raw(spark, d, of=None):
+    """Survey rows as a file has them: odd headers, texts for numbers and dates; of: of these responses."""
+    r = V.responses(spark, d) if of is None else of
     return r.select(F.date_format("ts", "yyyy-MM-dd").alias(" Fecha"), F.col("score").cast("int").cast("string").alias("nps"), F.col("channel").alias("CANAL"), F.concat(F.lit("  "), F.col("lever")).alias("palanca "), F.col("sublever").alias("Sub-palanca"), (F.col("order_id") * 10 + F.col("line_no")).cast("string").alias("ID"), F.col("part_id").alias("extra"))
 
 

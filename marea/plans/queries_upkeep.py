@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marea import session
@@ -367,9 +368,11 @@ ONCE = f"{V.BASE}, once AS (SELECT order_id * 10 + line_no AS id, min(lever) AS
 
 @query("o_batch_platform", f"{ONCE}, ov AS (SELECT (count(*) FILTER (WHERE score >= 9) - count(*) FILTER (WHERE score <= 6)) * 100.0 / count(*) AS o FROM once), ga AS (SELECT sublever AS value, count(*) AS n, (count(*) FILTER (WHERE score >= 9) - count(*) FILTER (WHERE score <= 6)) * 100.0 / count(*) - (SELECT o FROM ov) AS gap FROM once GROUP BY 1), op AS (SELECT value, n, -0.6 * gap AS up, least(1, log10(greatest(n, 10)) / 5) AS conf FROM ga WHERE gap < 0 AND n >= 20) SELECT 'completed' AS status, (SELECT count(*) FROM once) AS rows, value, n, {R('up', 'potential_uplift')} FROM op ORDER BY up * conf DESC, n DESC, value LIMIT 2")
 def o_batch(spark, d):
-    raw = _raw(spark, d).withColumn("service_origin", F.lit("Casa")).withColumn("service_origin_n1", F.lit("Web"))
-    seen = raw.groupBy("ID").agg(F.count(F.lit(1)).alias("times")).filter("times = 1")
-    told = batch.run(spark, [batch.Run(raw.join(seen, "ID", "left_semi"), "Casa", "Web", dimensions=("Subpalanca",), top_packs=2, min_n=20)], scratch(spark))[0]
+    r = V.responses(spark, d)
+    once = r.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy(F.col("order_id") * 10 + F.col("line_no")))).filter("times = 1")
+    # the file: it is read for its counts and for its rows
+    raw = session.settle(_raw(spark, d, once)).withColumn("service_origin", F.lit("Casa")).withColumn("service_origin_n1", F.lit("Web"))
+    told = batch.run(spark, [batch.Run(raw, "Casa", "Web", dimensions=("Subpalanca",), top_packs=2, min_n=20)], scratch(spark))[0]
     k = json.loads("\n".join(x.value for x in spark.read.text(f"{told['folder']}/kpis.json").collect()))
     packs = [json.loads("\n".join(x.value for x in spark.read.text(f"{told['folder']}/insights/{p}__pack.json").collect())) for p in told["packs"]]
     rows = [(told["status"], k["dataset"]["rows"], p["driver"]["value"], p["driver"]["n"], float(p["driver"]["potential_uplift"])) for p in packs]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marea.functions import scores as S
 from marea.functions import text as X
 from marea.operators import filters
+from marea.session import settle
 
 # Header words and the columns they name.
 ALIASES = {
@@ -77,10 +78,11 @@ def features(df: DataFrame, comment: str = "Comment", n2: str = "service_origin_
     return df.withColumn("_text_norm", X.comparable(F.col(comment))).withColumn("_service_origin_n2_key", X.token_set(F.col(n2)))
 
 
-def responses(df: DataFrame, service_origin: str | None = None, service_origin_n1: str | None = None, service_origin_n2: str | None = None) -> Result:
+def responses(df: DataFrame, service_origin: str | None = None, service_origin_n1: str | None = None, service_origin_n2: str | None = None, hold: bool = False) -> Result:
     """Survey responses in canonical form: one row a business key, the last of the file.
 
     A missing column, an ambiguous context or no valid row is an ERROR and ends it; extra columns stay, as JSON too.
+    hold: the rows are written, without what can be made of their other columns again; for frames that are read several times.
     """
     result = Result(filters.rename_headers(filters.standardise(df), ALIASES))
     df = result.df
@@ -104,23 +106,35 @@ def responses(df: DataFrame, service_origin: str | None = None, service_origin_n
     df = filters.with_tokens(df, "service_origin_n2", n2 or "") if "service_origin_n2" in df.columns else df.withColumn("service_origin_n2", F.lit(n2 or ""))
     df = df.withColumn("_source_row_number", F.monotonically_increasing_id())
     texts = [c for c in REQUIRED + OPTIONAL if c not in ("Fecha", "NPS")]
-    df = df.withColumns({c: X.text(F.col(f"`{c}`")) if c in df.columns else F.lit("") for c in texts})
+    blank = [c for c in texts if c not in df.columns]
+    order = [*df.columns, *blank, *(["extra_payload"] if extra else []), "_business_key", "_record_fingerprint"]
+    df = df.withColumns({c: X.text(F.col(f"`{c}`")) for c in texts if c not in blank})
     date = F.col("Fecha") if dict(df.dtypes)["Fecha"].startswith("timestamp") else filters.date_or_epoch(F.col("Fecha"))
     df = df.withColumn("Fecha", date).withColumn("NPS", S.number(F.col("NPS")))
-    df = df.withColumn("NPS Group", F.when(F.col("NPS Group") == "", F.coalesce(S.band_label(F.col("NPS")), F.lit(""))).otherwise(F.col("NPS Group")))
+    of = lambda c: F.lit("") if c in blank else F.col(f"`{c}`").cast("string")
+    fields = [of(c) for c in ("Fecha", "NPS", "Canal", "Palanca", "Subpalanca", "Comment")]
+    key = business_key(of("ID"), *fields)
+    valid = ~F.col("date") & ~F.col("score")
+    lacks = df.select(F.col("Fecha").isNull().alias("date"), F.col("NPS").isNull().alias("score"), key.alias("key"))
+    sums = lambda n: [F.coalesce(F.sum(F.when(c, n)), F.lit(0)).alias(name) for name, c in (("dates", F.col("date")), ("scores", F.col("score")), ("n", valid))]
+    unique = last_of_key(filters.valid_rows(df.withColumn("_business_key", key), "Fecha", "NPS"), "_business_key", "_source_row_number")
+    if hold:
+        # the rows that are written tell how many keys there are
+        unique = settle(unique.drop("_business_key")).withColumn("_business_key", key)
+        counts = lacks.agg(*sums(F.lit(1).cast("long"))).first().asDict() | {"k": unique.count()}
+    else:
+        # all that is counted comes from one pass: rows by key and by what they lack, then those sums
+        per = lacks.groupBy("date", "score", F.when(valid, F.col("key")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+        counts = per.agg(*sums(F.col("n")), F.count_if(valid).alias("k")).first()
+    # what is made of a row alone is made after the rows are dealt by key
+    unique = unique.withColumns({c: F.lit("") for c in blank})
     if extra:
-        df = df.withColumn("extra_payload", F.to_json(F.struct(*(F.col(f"`{c}`") for c in extra))))
-    fields = [F.col(f"`{c}`").cast("string") for c in ("Fecha", "NPS", "Canal", "Palanca", "Subpalanca", "Comment")]
-    df = df.withColumn("_business_key", business_key(F.col("ID"), *fields)).withColumn("_record_fingerprint", fingerprint(*fields, F.col("NPS Group"), F.col("Browser"), F.col("`Operating System`")))
-    # all that is counted comes from one pass: rows by key and by what they lack, then those sums
-    lacks = df.select(F.col("Fecha").isNull().alias("date"), F.col("NPS").isNull().alias("score"), F.col("_business_key").alias("key"))
-    per = lacks.groupBy("date", "score", F.when(~F.col("date") & ~F.col("score"), F.col("key")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    n, valid = F.col("n"), ~F.col("date") & ~F.col("score")
-    counts = per.agg(*(F.coalesce(F.sum(F.when(c, n)), F.lit(0)).alias(name) for name, c in (("dates", F.col("date")), ("scores", F.col("score")), ("n", valid))), F.count_if(valid).alias("k")).first()
+        unique = unique.withColumn("extra_payload", F.to_json(F.struct(*(F.col(f"`{c}`") for c in extra))))
+    unique = unique.withColumn("NPS Group", F.when(F.col("NPS Group") == "", F.coalesce(S.band_label(F.col("NPS")), F.lit(""))).otherwise(F.col("NPS Group")))
+    unique = unique.withColumn("_record_fingerprint", fingerprint(*fields, F.col("NPS Group"), F.col("Browser"), F.col("`Operating System`"))).select(*(f"`{c}`" for c in order))
     for lost_rows, code, column in ((counts["dates"], "invalid_dates", "Fecha"), (counts["scores"], "invalid_scores", "NPS")):
         if lost_rows:
             result.issues.append(("WARN", code, f"{lost_rows} rows dropped", column))
-    unique = last_of_key(filters.valid_rows(df, "Fecha", "NPS"), "_business_key", "_source_row_number")
     result.df, result.meta = features(unique), {"rows": counts["k"], "duplicate_rows_in_file": counts["n"] - counts["k"]}
     if not counts["n"]:
         result.issues.append(("ERROR", "no_valid_rows", "no row has a date and a score", None))

@@ -24,8 +24,8 @@ def context_key(origin: str, n1: str, n2: str = "") -> str:
 
 
 def write_lines(df: DataFrame, path: str, date: str = "ts") -> DataFrame:
-    """JSON lines with sorted columns and ISO dates; returns one row on what was written."""
-    df.select(*sorted(df.columns)).write.mode("overwrite").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss").json(path)
+    """JSON lines with sorted columns and ISO dates, as gzip files; returns one row on what was written."""
+    df.select(*sorted(df.columns)).write.mode("overwrite").option("compression", "gzip").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss").json(path)
     return df.agg(F.count(F.lit(1)).alias("rows"), F.min(F.col(date).cast("date")).alias("first_day"), F.max(F.col(date).cast("date")).alias("last_day"))
 
 

@@ -454,3 +454,22 @@ def test_evidence_without_comments(spark):
     told = lambda df: sorted(map(tuple, df.drop("mention_comments").collect()))
     alone = hotspots.evidence(terms, inc, None, links)
     assert told(alone) == told(hotspots.evidence(terms, inc, com, links)) and "mention_comments" not in alone.columns
+
+
+def test_batch_writes_little(spark, tmp_path, monkeypatch):
+    """Held rows are the rows of any ingestion, written without what is made of them; JSON lines are compressed."""
+    from marea.sources import ingest, store
+
+    rows = [("2026-01-02", "9", " a", "b", "c", "1", None, "u"), ("2026-01-02", "8", "a", "b ", "c", "1", "hola", "v"), ("never", "8", "a", "b", "c", "2", "", "w"), ("2026/01/02", "7", "a", "b", "c", "", "Sí", None), ("2026/01/02", "7", "a", "b", "c", " ", "Sí", "x")]
+    df = spark.createDataFrame(rows, "Fecha string, NPS string, Canal string, Palanca string, Subpalanca string, ID string, Comment string, odd string").coalesce(1)
+    held = []
+    monkeypatch.setattr(ingest, "settle", lambda f, write=ingest.settle: held.append(f) or write(f))
+    plain, got = ingest.responses(df, "A", "B"), ingest.responses(df, "A", "B", hold=True)
+    told = lambda r: sorted(map(str, r.df.collect()))
+    assert plain.df.dtypes == got.df.dtypes and told(plain) == told(got) and len(told(got)) == 2
+    assert plain.meta == got.meta == {"rows": 2, "duplicate_rows_in_file": 2} and plain.issues == got.issues
+    assert len(held) == 1 and not {"_business_key", "_record_fingerprint", "extra_payload", "_text_norm"} & set(held[0].columns)
+    store.write_lines(got.df, str(tmp_path / "lines"), "Fecha")
+    assert all(f.name.endswith(".json.gz") for f in (tmp_path / "lines").glob("part-*"))
+    back = store.read_lines(spark, str(tmp_path / "lines"), got.df.schema, date="Fecha")
+    assert sorted(map(str, back.select(*got.df.columns).collect())) == told(got)
